@@ -41,8 +41,14 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents", "doc_id", "text"), capacity=1024, end_id=2, **tokenizer_files())
 
 
+def op10_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftwell.llm.nbsvm import score_quality
+
+    return score_quality(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "quality"), threshold=0.3)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op7_chat_format, op8_vector_search, op9_best_fit_packing)
+    f.__name__: f for f in (op7_chat_format, op8_vector_search, op9_best_fit_packing, op10_quality_nbsvm)
 }
 
 ORACLES: dict[str, str] = {
