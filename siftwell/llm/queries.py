@@ -17,6 +17,20 @@ def tokenizer_files() -> dict:
     return {"tokenizer_path": public_tokenizers.path("byte_bpe_50k.json"), "ranks_path": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN, "special": {"<|endoftext|>": 50256}}
 
 
+def op5_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftwell.llm.toxicity import score_toxicity
+
+    english = F.col("lang") == "en"
+    categories = {"toxic_english": F.col("toxic") * english.cast("int"), "toxic_other": F.col("toxic") * (~english).cast("int"), "toxic": F.col("toxic")}
+    return score_toxicity(table(spark, sf_dir, "documents", "doc_id", "text", "lang"), table(spark, sf_dir, "labels", "doc_id", "toxic"), categories, threshold=0.3)
+
+
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftwell.llm.near_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), share=(85, 100), width=5)
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftwell.llm.chat_format import digest_output, format_conversations
 
@@ -48,7 +62,7 @@ def op10_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op7_chat_format, op8_vector_search, op9_best_fit_packing, op10_quality_nbsvm)
+    f.__name__: f for f in (op5_toxicity_chain, op6_minhash_near_dedup, op7_chat_format, op8_vector_search, op9_best_fit_packing, op10_quality_nbsvm)
 }
 
 ORACLES: dict[str, str] = {

@@ -32,15 +32,14 @@ class Sparse:
         self.n = np.array([len(x) for x in ids])
         self.flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
         self.row = np.repeat(np.arange(len(ids)), self.n)
-        self.scale = 1 / np.sqrt(np.maximum(self.n, 1))
         self.dense = dense
 
 
-def logistic(data: Sparse, y: np.ndarray, size: int, steps: int = 60, rate: float = 0.15, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray, float]:
-    """Weights, dense weights and intercept by Adam on the class-balanced log loss."""
+def logistic(data: Sparse, y: np.ndarray, size: int, steps: int = 150, rate: float = 0.1, decay: float = 1.0) -> tuple[np.ndarray, np.ndarray, float]:
+    """Weights, dense weights and intercept by Adam on the penalised log loss."""
     k = data.dense.shape[1]
     w, m, v = np.zeros(size + k + 1), np.zeros(size + k + 1), np.zeros(size + k + 1)
-    weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9)) / len(y)
+    weight = 1 / len(y)
     for t in range(1, steps + 1):
         z = np.bincount(data.row, weights=w[data.flat], minlength=len(y)) + data.dense @ w[size : size + k] + w[-1]
         g = weight * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y)
@@ -51,14 +50,34 @@ def logistic(data: Sparse, y: np.ndarray, size: int, steps: int = 60, rate: floa
     return w[:size], w[size : size + k], float(w[-1])
 
 
+def informative(ids: list[np.ndarray], y: np.ndarray, size: int, most: int = 4096, least: int = 3) -> np.ndarray:
+    """Features whose presence differs most between the classes (two-proportion z score)."""
+    ones = max(int(y.sum()), 1)
+    zeros = max(len(y) - ones, 1)
+    a = np.bincount(np.concatenate([x for x, t in zip(ids, y, strict=True) if t] or [np.zeros(0, np.int64)]), minlength=size)
+    total = np.bincount(np.concatenate(ids), minlength=size)
+    p = total / len(y)
+    z = (a / ones - (total - a) / zeros) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / ones + 1 / zeros))
+    z[(total < least) | (np.abs(z) < 4)] = 0
+    return np.sort(np.argsort(-np.abs(z), kind="stable")[: min(most, int((z != 0).sum()))])
+
+
+def train_link(ids: list[np.ndarray], earlier: np.ndarray, y: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """A logistic model on this category's informative features; weights in the full table."""
+    chosen = informative(ids, y, size)
+    place = np.full(size, -1, np.int64)
+    place[chosen] = np.arange(len(chosen))
+    some = [p[p >= 0] for p in (place[x] for x in ids)]
+    w, d, b = logistic(Sparse(some, earlier), y, len(chosen))
+    table = np.zeros(size)
+    table[chosen] = w
+    return table, d, b
+
+
 def fit_chain(ids: list[np.ndarray], labels: list[np.ndarray], size: int, folds: int = 3) -> list[tuple[np.ndarray, np.ndarray, float]]:
     """One (weights, weights of earlier log-odds, intercept) per category, in order."""
     n = len(ids)
     fold, earlier, chain = np.arange(n) % folds, np.zeros((n, 0)), []
-    keep = np.zeros(size, bool)  # features of a single row say nothing
-    if n:
-        keep = np.bincount(np.concatenate(ids), minlength=size) >= 3
-    ids = [x[keep[x]] for x in ids]
     for y in labels:
         if not n or y.min() == y.max():
             share = min(max((y.sum() + 0.5) / (n + 1), 0.01), 0.99)
@@ -68,12 +87,12 @@ def fit_chain(ids: list[np.ndarray], labels: list[np.ndarray], size: int, folds:
             odds = np.zeros(n)
             for f in range(folds):
                 a, rest = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
-                w, d, b = logistic(Sparse([ids[i] for i in a], earlier[a]), y[a], size)
+                w, d, b = train_link([ids[i] for i in a], earlier[a], y[a], size)
                 for i in rest:
                     odds[i] = w[ids[i]].sum() + earlier[i] @ d + b
-            w, d, b = logistic(Sparse(ids, earlier), y, size)
+            w, d, b = train_link(ids, earlier, y, size)
         chain.append((w, d, b))
-        earlier = np.concatenate([earlier, np.clip(odds, -10, 10)[:, None]], 1)
+        earlier = np.concatenate([earlier, np.clip(odds, -10, 10)[:, None] / 10], 1)
     return chain
 
 
@@ -94,7 +113,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, categories: dict[str, Col
     def finish(sums: np.ndarray):
         odds: list[np.ndarray] = []
         for i, (d, b) in enumerate(later):
-            odds.append(sums[:, i] + b + sum((np.clip(o, -10, 10) * x for o, x in zip(odds, d, strict=True)), np.zeros(len(sums))))
+            odds.append(sums[:, i] + b + sum((np.clip(o, -10, 10) / 10 * x for o, x in zip(odds, d, strict=True)), np.zeros(len(sums))))
         p = [1 / (1 + np.exp(-np.clip(o, -40, 40))) for o in odds]
         return [*p, (p[-1] >= threshold).astype(np.int32)]
 
