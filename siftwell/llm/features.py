@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -81,7 +82,7 @@ def score_documents(docs: DataFrame, hasher: Hasher, weights: np.ndarray, finish
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = batch.column("text")
-            n = np.asarray(pa.compute.fill_null(pa.compute.binary_length(text), 0))
+            n = np.asarray(pc.fill_null(pc.binary_length(text), 0))
             for a, b in cuts(n, 1 << 20):
                 part = batch.slice(a, b - a)
                 values = finish(hasher.presence_sums(Batch(part.column("text")), weights))
@@ -96,7 +97,7 @@ def collect_sample(rows: DataFrame, hasher: Hasher, extra: list[str]) -> tuple[l
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column("text")), 0))
+            n = np.asarray(pc.fill_null(pc.binary_length(batch.column("text")), 0))
             for a, b in cuts(n, 1 << 20):
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in hasher.unique_ids(Batch(part.column("text")))], pa.binary()), *(part.column(c) for c in extra)], names=["ids", *extra])

@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -91,7 +92,7 @@ _SIG_SCHEMA = "doc_id long, n_shingles long, " + ", ".join(f"{c} long" for c in
 
 
 def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    n = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column("text")), 0))
+    n = np.asarray(pc.fill_null(pc.binary_length(batch.column("text")), 0))
     for a, b in cuts(n, 1 << 20):
         yield batch.slice(a, b - a)
 
