@@ -17,6 +17,18 @@ def tokenizer_files() -> dict:
     return {"tokenizer_path": public_tokenizers.path("byte_bpe_50k.json"), "ranks_path": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN, "special": {"<|endoftext|>": 50256}}
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftwell.llm.substring_dedup import dedup_substrings
+
+    return dedup_substrings(table(spark, sf_dir, "documents", "doc_id", "text"), batches=2, window=20)
+
+
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftwell.llm.suffix_dedup import dedup_suffixes
+
+    return dedup_suffixes(table(spark, sf_dir, "documents", "doc_id", "text"), length=100)
+
+
 def op5_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftwell.llm.toxicity import score_toxicity
 
@@ -62,7 +74,7 @@ def op10_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op5_toxicity_chain, op6_minhash_near_dedup, op7_chat_format, op8_vector_search, op9_best_fit_packing, op10_quality_nbsvm)
+    f.__name__: f for f in (op1_substring_dedup, op2_suffix_dedup, op5_toxicity_chain, op6_minhash_near_dedup, op7_chat_format, op8_vector_search, op9_best_fit_packing, op10_quality_nbsvm)
 }
 
 ORACLES: dict[str, str] = {
