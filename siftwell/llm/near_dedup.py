@@ -107,12 +107,35 @@ def signature_table(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, _SIG_SCHEMA)
 
 
-def set_table(docs: DataFrame, width: int) -> DataFrame:
-    """node, and its full sorted set as 6 bytes an element."""
+#: Bounds of the bitmap that preselects documents whose sets are needed.
+LEAST_BITS, MOST_BITS = 20, 25
+
+
+def wanted_bitmap(nodes: DataFrame) -> np.ndarray:
+    """A bitmap over hashes of the nodes: at most 2**MOST_BITS bits, gathered as 64-bit words.
+
+    Other documents may pass it (more of them once it fills up); none of the nodes is missed.
+    """
+    n = nodes.count()
+    bits = min(MOST_BITS, max(LEAST_BITS, (16 * n).bit_length()))
+    place = F.pmod(F.xxhash64("node"), F.lit(1 << bits))
+    words = nodes.select(F.shiftright(place, 6).alias("word"), F.expr("shiftleft(1L, cast(pmod(pmod(xxhash64(node), %dL), 64) as int))" % (1 << bits)).alias("bit"))
+    out = np.zeros(1 << (bits - 6), np.int64)
+    got = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out[np.asarray(got.column("word"))] = np.asarray(got.column("bits"))
+    return out.view(np.uint64)
+
+
+def set_table(docs: DataFrame, wanted: np.ndarray, width: int) -> DataFrame:
+    """node and its full sorted set, 6 bytes an element, of documents that the bitmap lets through."""
+    bits = len(wanted) * 64
+    docs = docs.where("doc_id IS NOT NULL").withColumn("place", F.pmod(F.xxhash64("doc_id"), F.lit(bits)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _parts(batch):
+            place = np.asarray(batch.column("place")).astype(np.uint64)
+            hit = (wanted[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1)
+            for part in _parts(batch.filter(pa.array(hit.astype(bool)))):
                 values, edges = shingle_sets(Batch(part.column("text")), width)
                 raw = values.view(np.uint8).reshape(-1, 8)[:, :6]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([raw[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())], names=["node", "items"])
@@ -186,7 +209,7 @@ def near_duplicates(docs: DataFrame, share: tuple[int, int] = (80, 100), width:
     star = star.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).where(possible(share)).select("a", "b", likely(share).alias("likely")).distinct()
     star = materialise(star, "star")
     candidates = member.select("node").distinct()
-    sets = materialise(set_table(docs.join(candidates.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi"), width), "sets")
+    sets = materialise(set_table(docs, wanted_bitmap(candidates), width), "sets")
 
     def across(roots: DataFrame) -> DataFrame:
         """Pairs of one bucket but different components that the bitmaps leave open."""
