@@ -29,6 +29,12 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_suffixes(table(spark, sf_dir, "documents", "doc_id", "text"), length=100)
 
 
+def op3_canonical_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftwell.llm.fingerprints import fingerprint_with_edits
+
+    return fingerprint_with_edits(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op5_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftwell.llm.toxicity import score_toxicity
 
@@ -74,7 +80,7 @@ def op10_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup, op2_suffix_dedup, op5_toxicity_chain, op6_minhash_near_dedup, op7_chat_format, op8_vector_search, op9_best_fit_packing, op10_quality_nbsvm)
+    f.__name__: f for f in (op1_substring_dedup, op2_suffix_dedup, op3_canonical_fingerprint, op5_toxicity_chain, op6_minhash_near_dedup, op7_chat_format, op8_vector_search, op9_best_fit_packing, op10_quality_nbsvm)
 }
 
 ORACLES: dict[str, str] = {
