@@ -34,7 +34,7 @@ from siftwell.llm import superwindows as S
 from siftwell.llm.common import remove, scratch, shuffle_partitions
 from siftwell.llm.homes import MOST_HOMES, Home, home_table, homes_of
 from siftwell.llm.rolling import avalanche, span_hashes
-from siftwell.llm.window_match import RUN, _grouped, match, repeated
+from siftwell.llm.window_match import BUCKETS_PER_PARTITION, RUN, _grouped, match, repeated
 
 
 def word_finder(window: int, gram: int):
@@ -113,7 +113,7 @@ class FingerprintIndex:
         self.spark, self.path = spark, path or scratch(spark, "fingerprints")
         self.window, self.gram, self.home_bytes, self.fan_in = window, gram, home_bytes, fan_in
         self.partitions = shuffle_partitions(spark)
-        self.buckets = buckets or self.partitions
+        self.buckets = buckets or BUCKETS_PER_PARTITION * self.partitions
         self.runs: list[str] = []
         self.tables: list[DataFrame] = []
         self.next_home = 0

@@ -31,7 +31,7 @@ from siftwell.llm.common import shuffle_partitions
 from siftwell.llm.homes import Home, home_table, homes_of
 from siftwell.llm.lyndon_sort import common_prefixes, suffix_array
 from siftwell.llm.rolling import avalanche, byte_values
-from siftwell.llm.window_match import match, repeated
+from siftwell.llm.window_match import BUCKETS_PER_PARTITION, match, repeated
 
 
 def byte_finder(length: int, gram: int):
@@ -283,8 +283,8 @@ def dedup_suffixes(docs: DataFrame, length: int = 100, gram: int | None = None,
         raise ValueError("length - gram must lie in 0..63")
     homes, _ = home_table(docs, home_bytes)
     partitions = shuffle_partitions(docs.sparkSession)
-    addressed, _ = match(homes, byte_finder(length, gram), decide_bytes(length, gram), partitions, partitions)
-    out = cut_bytes(addressed, length, gram, partitions, texts)
+    addressed, _ = match(homes, byte_finder(length, gram), decide_bytes(length, gram), BUCKETS_PER_PARTITION * partitions, partitions)
+    out = cut_bytes(addressed, length, gram, BUCKETS_PER_PARTITION * partitions, texts)
     return out if texts else out.drop("kept_text")
 
 

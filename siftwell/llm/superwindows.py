@@ -54,7 +54,8 @@ def find(values: np.ndarray, edges: np.ndarray, length: int, gram: int, chunk: i
         first, where = start[new], where[new]
         end = start[np.r_[new[1:], len(start)] - 1]
         check = avalanche(span_hashes(v, first, end + length, 2) + (where - first).astype(np.uint64))
-        parts.append((g[where], check, where + at, first + at, end - first + 1))
+        # an anchor is the least of many hashes; mixed again its values spread evenly over buckets
+        parts.append((avalanche(g[where]), check, where + at, first + at, end - first + 1))
     return Found(parts)
 
 

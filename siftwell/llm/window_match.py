@@ -14,6 +14,8 @@ from siftwell.llm.common import materialise
 from siftwell.llm.homes import Home, homes_of
 
 ENTRY, RUN, ASK = 0, 1, 2
+#: Buckets are hashed to partitions; several to each even out.
+BUCKETS_PER_PARTITION = 4
 _ENTRIES = "kind int, bucket int, home int, payload binary"
 _SCHEMA = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("home", pa.int32()), ("payload", pa.binary())])
 _ANSWERS = "home int, round int, bucket int, payload binary"
