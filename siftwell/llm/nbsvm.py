@@ -98,9 +98,10 @@ def fit(ids: list[np.ndarray], y: np.ndarray, size: int, folds: int = 3) -> tupl
     return w * slope, b * slope + shift
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, folds: int = 5, max_rows: int = MAX_TRAINING_ROWS, hasher: Hasher = HASHER, extra: tuple[str, ...] = ()) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, folds: int = 5, max_rows: int = MAX_TRAINING_ROWS, hasher: Hasher = HASHER, extra: tuple[str, ...] = (), prefix: str = "") -> DataFrame:
     """doc_id, held_out, score, predicted (and extra columns of docs) for every row of docs.
 
+    prefix goes before the names of the three new columns, should extra columns clash with them.
     Learns only from labelled rows whose crc32(doc_id as text) modulo folds is not 0.
     """
     remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
@@ -114,8 +115,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, fo
 
     types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     # the text column itself may be kept: it is then returned as it came in
-    rows = docs.select(F.col("doc_id"), "text", (remainder == 0).alias("held_out"), *(F.col(c) for c in extra if c != "text"))
-    keep = ["doc_id", "held_out", *extra]
-    kinds = {"doc_id": types["doc_id"], "held_out": "boolean"} | {c: types[c] for c in extra}
-    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keep), "score double", "predicted int"])
-    return score_documents(rows, hasher, w.astype(np.float64)[:, None], finish, ["score", "predicted"], schema, keep)
+    rows = docs.select(F.col("doc_id"), "text", (remainder == 0).alias(f"{prefix}held_out"), *(F.col(c) for c in extra if c != "text"))
+    keep = ["doc_id", f"{prefix}held_out", *extra]
+    kinds = {"doc_id": types["doc_id"], f"{prefix}held_out": "boolean"} | {c: types[c] for c in extra}
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keep), f"`{prefix}score` double", f"`{prefix}predicted` int"])
+    return score_documents(rows, hasher, w.astype(np.float64)[:, None], finish, [f"{prefix}score", f"{prefix}predicted"], schema, keep)

@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.llm.common import materialise
@@ -232,3 +232,14 @@ def near_duplicates(docs: DataFrame, share: tuple[int, int] = (80, 100), width:
     out = sig.select("doc_id", "n_shingles", "k1", "k2").join(named, ["k1", "k2"], "left")
     component = F.when(F.col("doc_id").isNull(), None).otherwise(F.when(F.col("n_shingles") > 0, F.col("root")).otherwise(F.col("doc_id")))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def distinct_documents(docs: DataFrame, share: tuple[int, int] = (80, 100), width: int = 5) -> DataFrame:
+    """The rows of docs that stay: per component its smallest doc_id, all with a null doc_id.
+
+    Of rows that share a doc_id the one with the smallest text stays.
+    """
+    kept = near_duplicates(docs.select("doc_id", "text"), share, width).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id")).distinct()
+    rows = docs.where("doc_id IS NOT NULL").join(kept, F.col("doc_id") == F.col("_id"), "left_semi")
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    return rows.withColumn("_row", first).where("_row = 1").select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))

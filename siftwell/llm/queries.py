@@ -35,6 +35,16 @@ def op3_canonical_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_with_edits(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+#: Target token weights of the domains (the languages), and the share of all tokens to keep.
+TARGETS, KEEP = {"de": 0.2, "en": 0.4, "es": 0.2, "fr": 0.2}, 0.6
+
+
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftwell.llm.mixing import mixing_rates
+
+    return mixing_rates(table(spark, sf_dir, "documents", "doc_id", "text", "lang"), table(spark, sf_dir, "labels", "doc_id"), TARGETS, "lang", KEEP)
+
+
 def op5_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftwell.llm.toxicity import score_toxicity
 
@@ -80,7 +90,7 @@ def op10_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup, op2_suffix_dedup, op3_canonical_fingerprint, op5_toxicity_chain, op6_minhash_near_dedup, op7_chat_format, op8_vector_search, op9_best_fit_packing, op10_quality_nbsvm)
+    f.__name__: f for f in (op1_substring_dedup, op2_suffix_dedup, op3_canonical_fingerprint, op4_source_mixing, op5_toxicity_chain, op6_minhash_near_dedup, op7_chat_format, op8_vector_search, op9_best_fit_packing, op10_quality_nbsvm)
 }
 
 ORACLES: dict[str, str] = {

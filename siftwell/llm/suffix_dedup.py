@@ -24,7 +24,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from siftwell.llm import superwindows as S
 from siftwell.llm.common import shuffle_partitions
@@ -242,7 +243,7 @@ def _longest_with_older(order: np.ndarray, lcp: np.ndarray, common: np.ndarray,
     return np.array(best)
 
 
-_RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
+_RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string, ord int"
 
 
 def cut_bytes(addressed: DataFrame, length: int, gram: int, buckets: int, texts: bool) -> DataFrame:
@@ -268,7 +269,9 @@ def cut_bytes(addressed: DataFrame, length: int, gram: int, buckets: int, texts:
                     for c, v in zip(cols, (b - a, n, spans, hashlib.sha256(kept).hexdigest(), kept.decode(errors="replace") if texts else None), strict=True):
                         c.append(v)
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-                yield pa.RecordBatch.from_arrays([home.ids(), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
+                ids = home.doc_ids  # ascending; rows of one id are numbered from 1
+                number = np.arange(len(ids)) - np.searchsorted(ids, ids) + 1
+                yield pa.RecordBatch.from_arrays([home.ids(), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True)), pa.array(number, pa.int32())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", "ord"])
 
     return addressed.mapInArrow(run, _RESULT)
 
@@ -285,15 +288,20 @@ def dedup_suffixes(docs: DataFrame, length: int = 100, gram: int | None = None,
     partitions = shuffle_partitions(docs.sparkSession)
     addressed, _ = match(homes, byte_finder(length, gram), decide_bytes(length, gram), BUCKETS_PER_PARTITION * partitions, partitions)
     out = cut_bytes(addressed, length, gram, BUCKETS_PER_PARTITION * partitions, texts)
-    return out if texts else out.drop("kept_text")
+    return out if texts else out.drop("kept_text", "ord")
 
 
 def deduplicated_documents(docs: DataFrame, length: int = 100, home_bytes: int = 8 << 20) -> DataFrame:
-    """docs with their kept texts (n_chars follows if there is such a column); doc_id must name a row."""
-    from pyspark.sql import functions as F
+    """docs with their kept texts (n_chars follows if there is such a column).
 
-    done = dedup_suffixes(docs, length, home_bytes=home_bytes, texts=True).select("doc_id", F.col("kept_text").alias("_kept"))
-    out = docs.drop("text").join(done, "doc_id").withColumnRenamed("_kept", "text")
+    Rows with one doc_id are told apart by the order of their texts; rows with a null doc_id stay
+    as they are, after being seen as the last ones.
+    """
+    done = dedup_suffixes(docs.select("doc_id", "text"), length, home_bytes=home_bytes, texts=True).where("doc_id IS NOT NULL")
+    done = done.select(F.col("doc_id").alias("_id"), F.col("ord").alias("_of"), F.col("kept_text").alias("_kept"))
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.coalesce("text", F.lit(""))))
+    out = docs.where("doc_id IS NOT NULL").withColumn("_ord", number).join(done, (F.col("doc_id") == F.col("_id")) & (F.col("_of") - F.col("_ord") == 0))
+    out = out.withColumn("text", F.col("_kept"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast("long"))
-    return out.select(*docs.columns)
+    return out.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
