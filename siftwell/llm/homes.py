@@ -13,11 +13,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm.common import materialise
-from siftwell.llm.rolling import Batch
+from siftwell.llm.rolling import Batch, cuts
 
 NULL_ID = np.int64(2**63 - 1)
 #: Range bounds held by the driver; a corpus beyond MOST_HOMES * home_bytes gets larger homes.
@@ -65,18 +66,21 @@ def home_table(docs: DataFrame, home_bytes: int) -> tuple[DataFrame, int]:
     bounds = np.unique(np.array(cut, np.float64).astype(np.int64))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = np.asarray(batch.column("doc_id").fill_null(NULL_ID))
-            texts = Batch(batch.column("text"))
-            home = np.searchsorted(bounds, ids, side="right")
-            order = np.argsort(home, kind="stable")
-            edges = np.flatnonzero(np.r_[True, np.diff(home[order]) != 0, True]) if len(order) else [0]
-            data = texts.buf.tobytes()
-            made = []
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                some = order[a:b]
-                made.append(pack_home(int(home[some[0]]), ids[some], [data[texts.offsets[i] : texts.offsets[i + 1]] for i in some]))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*made, strict=True), ARROW, strict=True)] if made else [pa.array([], f.type) for f in ARROW], schema=ARROW)
+        for whole in batches:
+            size = np.asarray(pc.fill_null(pc.binary_length(whole.column("text")), 0))
+            for low, high in cuts(size, 8 << 20):
+                batch = whole.slice(low, high - low)
+                ids = np.asarray(batch.column("doc_id").fill_null(NULL_ID))
+                texts = Batch(batch.column("text"))
+                home = np.searchsorted(bounds, ids, side="right")
+                order = np.argsort(home, kind="stable")
+                edges = np.flatnonzero(np.r_[True, np.diff(home[order]) != 0, True]) if len(order) else [0]
+                data = texts.buf.tobytes()
+                made = []
+                for a, b in zip(edges[:-1], edges[1:], strict=True):
+                    some = order[a:b]
+                    made.append(pack_home(int(home[some[0]]), ids[some], [data[texts.offsets[i] : texts.offsets[i + 1]] for i in some]))
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*made, strict=True), ARROW, strict=True)] if made else [pa.array([], f.type) for f in ARROW], schema=ARROW)
 
     def merge(group: pa.Table) -> pa.Table:
         ids, texts = [], []

@@ -57,6 +57,10 @@ def byte_values(buf: np.ndarray, table: int = 0) -> np.ndarray:
     return _TABLES[table][buf]
 
 
+#: Bytes that are hashed at once.
+BLOCK = 1 << 18
+
+
 class Batch:
     """The UTF-8 bytes of one Arrow string column; nulls count as empty."""
 
@@ -87,10 +91,16 @@ class Batch:
 
     def word_hashes(self, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
         """64-bit word hashes; lower folds A-Z only."""
-        buf = self.buf
-        if lower:
-            buf = np.where((buf >= 65) & (buf <= 90), buf + np.uint8(32), buf)
-        return span_hashes(byte_values(buf), starts, ends, 0)
+        out, at = np.empty(len(starts), np.uint64), 0
+        while at < len(starts):  # a block of text at a time, so temporaries stay small
+            end = max(at + 1, int(np.searchsorted(ends, starts[at] + BLOCK, side="right")))
+            low, high = int(starts[at]), int(ends[end - 1])
+            buf = self.buf[low:high]
+            if lower:
+                buf = np.where((buf >= 65) & (buf <= 90), buf + np.uint8(32), buf)
+            out[at:end] = span_hashes(byte_values(buf), starts[at:end] - low, ends[at:end] - low, 0)
+            at = end
+        return out
 
 
 def sliding_argmin(keys: np.ndarray, width: int) -> np.ndarray:

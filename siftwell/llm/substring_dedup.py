@@ -109,7 +109,7 @@ def cut_words(addressed: DataFrame, window: int, gram: int, buckets: int, texts:
 class FingerprintIndex:
     """Sorted immutable runs of window fingerprints under a path of the shared folder."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None, window: int = 20, gram: int = 10, home_bytes: int = 8 << 20, buckets: int | None = None, fan_in: int = 4):
+    def __init__(self, spark: SparkSession, path: str | None = None, window: int = 20, gram: int = 10, home_bytes: int = 4 << 20, buckets: int | None = None, fan_in: int = 4):
         self.spark, self.path = spark, path or scratch(spark, "fingerprints")
         self.window, self.gram, self.home_bytes, self.fan_in = window, gram, home_bytes, fan_in
         self.partitions = shuffle_partitions(spark)
@@ -165,7 +165,7 @@ class FingerprintIndex:
         return json.dumps({"runs": len(self.runs), "homes": self.next_home, "buckets": self.buckets})
 
 
-def dedup_substrings(docs: DataFrame, batches: int = 2, window: int = 20, gram: int = 10, home_bytes: int = 8 << 20, texts: bool = False, fan_in: int = 4) -> DataFrame:
+def dedup_substrings(docs: DataFrame, batches: int = 2, window: int = 20, gram: int = 10, home_bytes: int = 4 << 20, texts: bool = False, fan_in: int = 4) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and kept_text) of every document.
 
     The table goes through the index in batches of ascending doc_id; a table of more than

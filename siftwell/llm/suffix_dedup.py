@@ -41,8 +41,8 @@ def byte_finder(length: int, gram: int):
         found = S.Found([])
         parts, at = [], 0
         edges = home.offsets
-        # values of a few MB at a time; document edges are kept
-        for a, b in _stretches(edges, 4 << 20):
+        # values of about a MB at a time; document edges are kept
+        for a, b in _stretches(edges, 1 << 20):
             piece = S.find(byte_values(batch.buf[edges[a] : edges[b]]), edges[a : b + 1] - edges[a], length, gram)
             parts.append((piece.anchor, piece.check, piece.place + edges[a], piece.first + edges[a], piece.number))
             at = b
@@ -90,7 +90,7 @@ def _side(group: np.ndarray, cells: np.ndarray, length: np.ndarray) -> np.ndarra
     return parted
 
 
-def decide_bytes(length: int, gram: int, most: int = 40_000):
+def decide_bytes(length: int, gram: int, most: int = 10_000):
     def decide(anchor: np.ndarray, order: np.ndarray, blobs: list[bytes]) -> np.ndarray:
         mask = np.zeros(len(blobs), np.uint64)
         rank = np.lexsort((order, anchor))
@@ -258,7 +258,7 @@ def cut_bytes(addressed: DataFrame, length: int, gram: int, buckets: int, texts:
                 edge[: len(hit)] += np.diff(hit.astype(np.int8), prepend=np.int8(0)) == 1  # a stretch of windows starts
                 fall = np.flatnonzero(np.r_[hit[:-1] & ~hit[1:], hit[-1:]]) if len(hit) else np.zeros(0, int)
                 edge[fall + length] -= 1
-                gone = np.cumsum(edge, dtype=np.int32)[: len(hit)] > 0
+                gone = np.cumsum(edge, dtype=np.int8)[: len(hit)] > 0
                 buf = np.frombuffer(home.data, np.uint8)
                 cols = [[], [], [], [], []]
                 for a, b in zip(home.offsets[:-1].tolist(), home.offsets[1:].tolist(), strict=True):
@@ -276,7 +276,7 @@ def cut_bytes(addressed: DataFrame, length: int, gram: int, buckets: int, texts:
     return addressed.mapInArrow(run, _RESULT)
 
 
-def dedup_suffixes(docs: DataFrame, length: int = 100, gram: int | None = None, home_bytes: int = 8 << 20, texts: bool = False) -> DataFrame:
+def dedup_suffixes(docs: DataFrame, length: int = 100, gram: int | None = None, home_bytes: int = 4 << 20, texts: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept_text) of every document.
 
     gram is the anchor's length; length - gram must stay under 64 (one bit per window).
@@ -291,7 +291,7 @@ def dedup_suffixes(docs: DataFrame, length: int = 100, gram: int | None = None,
     return out if texts else out.drop("kept_text", "ord")
 
 
-def deduplicated_documents(docs: DataFrame, length: int = 100, home_bytes: int = 8 << 20) -> DataFrame:
+def deduplicated_documents(docs: DataFrame, length: int = 100, home_bytes: int = 4 << 20) -> DataFrame:
     """docs with their kept texts (n_chars follows if there is such a column).
 
     Rows with one doc_id are told apart by the order of their texts; rows with a null doc_id stay

@@ -37,16 +37,18 @@ class Found:
         self.copies = order[~new]
 
 
-def find(values: np.ndarray, edges: np.ndarray, length: int, gram: int, chunk: int = 1 << 19) -> Found:
+def find(values: np.ndarray, edges: np.ndarray, length: int, gram: int, chunk: int = 1 << 17) -> Found:
     """Superwindows of the value sequence; windows stay inside the documents given by edges."""
     parts = []
-    last = np.repeat(edges[1:], np.diff(edges)) - length  # of each place the last window start in its document
     for at in range(0, max(0, len(values) - length + 1), chunk):
         v = values[at : at + chunk + length - 1]
         grams = np.arange(len(v) - gram + 1)
         g = span_hashes(v, grams, grams + gram, 1)
         place = sliding_argmin(g, length - gram + 1)
-        start = np.flatnonzero(np.arange(at, at + len(place)) <= last[at : at + len(place)])
+        inside = np.ones(len(place), bool)  # windows over a document's end are none
+        for e in edges[np.searchsorted(edges, at, side="right") : np.searchsorted(edges, at + len(v))].tolist():
+            inside[max(0, e - length + 1 - at) : max(0, e - at)] = False
+        start = np.flatnonzero(inside)
         if not len(start):
             continue
         where = place[start]

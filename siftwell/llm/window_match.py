@@ -173,10 +173,10 @@ def repeated(found: S.Found, answers: list[dict], buckets: int, size: int) -> np
     """For each place of the home whether the window that starts there repeats an earlier one."""
     code = _codes(found, answers, buckets)
     whole = np.concatenate([found.copies, found.heads[code == S.REPEAT]])
-    edge = np.zeros(size + 1, np.int32)
-    np.add.at(edge, found.first[whole], 1)
-    np.add.at(edge, found.first[whole] + found.number[whole], -1)
-    out = np.cumsum(edge[:-1]) > 0
+    edge = np.zeros(size + 1, np.int8)  # superwindows don't overlap
+    edge[found.first[whole]] += 1
+    edge[found.first[whole] + found.number[whole]] -= 1
+    out = np.cumsum(edge[:-1], dtype=np.int8) > 0
     heads = np.flatnonzero(code == S.OPEN)
     edges = np.searchsorted(S.bucket_of(found.anchor[found.heads[heads]], buckets), np.arange(buckets + 1))
     for x in answers:
