@@ -42,13 +42,18 @@ def with_canonical(df: DataFrame, text: str, canonical: str) -> DataFrame:
     return df.withColumn(canonical, normalised(F.col(text))).withColumn(canonical, folded(F.col(canonical)))
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """key and ord name a row: doc_id (null last) and its number among rows with that id."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    order = Window.partitionBy("key").orderBy(F.isnull("doc_id"), F.xxhash64("text"), F.xxhash64(F.lit("x"), F.col("text")))
+def _numbered(rows: DataFrame) -> DataFrame:
+    """ord: a row's number among those of its key, by two hashes of the text."""
+    order = Window.partitionBy("key").orderBy("missing", "h1", "h2")
     return rows.withColumn("ord", F.row_number().over(order))
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """key is doc_id (null last); h1 and h2 are hashes of the text."""
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.isnull("doc_id").alias("missing"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return rows.withColumn("h1", F.xxhash64("text")).withColumn("h2", F.xxhash64(F.lit("x"), F.col("text")))
+
+
 def fingerprint(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, fingerprint and canonical text per row: no shuffle."""
     rows = docs.select(F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -63,8 +68,10 @@ def fingerprint_with_edits(docs: DataFrame) -> DataFrame:
     Texts are shuffled by doc_id once; besides, each next document sends the code points that are
     needed, and each first document of a fingerprint its canonical text to the others.
     """
-    base = _keyed(docs)
-    ids = with_canonical(base, "text", "canonical").select("key", "ord", F.floor(F.char_length("text") / 2).cast("int").alias("half"), digest(F.col("canonical")).alias("fp"))
+    rows = _keyed(docs)
+    base = _numbered(rows).select("key", "doc_id", "text", "ord")
+    ids = with_canonical(rows, "text", "canonical").select("key", "missing", "h1", "h2", F.floor(F.char_length("text") / 2).cast("int").alias("half"), digest(F.col("canonical")).alias("fp"))
+    ids = _numbered(ids).select("key", "ord", "half", "fp")  # no text in this shuffle
     ids = materialise(ids.repartitionByRange("key", "ord").withColumn("part", F.spark_partition_id()), "ids")
     here = Window.partitionBy("part").orderBy("key", "ord")
     mine = F.struct("key", "ord", "fp")
