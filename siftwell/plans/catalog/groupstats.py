@@ -37,9 +37,9 @@ SEQ = """WITH s AS (
 """
 
 
-def flat(df: DataFrame, name: str, column) -> DataFrame:
+def flat(df: DataFrame, name: str, column, digits: int = 6) -> DataFrame:
     """Array results back to one row per event."""
-    return df.withColumn("_x", column).select(F.explode(F.arrays_zip(F.col("ids").alias("event_id"), F.col("_x").alias(name))).alias("z")).select("z.event_id", r6(F.col(f"z.{name}")).alias(name))
+    return df.withColumn("_x", column).select(F.explode(F.arrays_zip(F.col("ids").alias("event_id"), F.col("_x").alias(name))).alias("z")).select("z.event_id", F.round(f"z.{name}", digits).alias(name))
 
 
 @query(
@@ -110,24 +110,24 @@ def _revcum(spark, sf_dir):
 @query(
     "discounted_returns",
     SEQ
-    + """SELECT a.event_id, round(sum(b.v * pow(0.9, b.pos - a.pos)), 6) AS ret FROM s a JOIN s b ON a.user_id = b.user_id AND a.day = b.day AND b.pos >= a.pos
+    + """SELECT a.event_id, round(sum(b.v * pow(0.917, b.pos - a.pos)), 5) AS ret FROM s a JOIN s b ON a.user_id = b.user_id AND a.day = b.day AND b.pos >= a.pos
 WHERE NOT EXISTS (SELECT 1 FROM s c WHERE c.user_id = a.user_id AND c.day = a.day AND c.m = 0 AND c.pos > a.pos AND c.pos <= b.pos) GROUP BY a.event_id""",
 )
 def _discounted(spark, sf_dir):
-    return flat(sequences(spark, sf_dir), "ret", G.discounted_returns("v", "m", 0.9))
+    return flat(sequences(spark, sf_dir), "ret", G.discounted_returns("v", "m", 0.917), 5)
 
 
 @query(
     "generalised_advantage",
     SEQ
     + """, t AS (SELECT *, row_number() OVER (PARTITION BY user_id, day ORDER BY event_id) AS k, coalesce(lead(o) OVER (PARTITION BY user_id, day ORDER BY event_id), 0) AS nxt FROM s WHERE m = 1),
-d AS (SELECT *, v + 0.95 * nxt - o AS delta FROM t)
-SELECT a.event_id, round(sum(b.delta * pow(0.95 * 0.9, b.k - a.k)), 6) AS adv FROM d a JOIN d b ON a.user_id = b.user_id AND a.day = b.day AND b.k >= a.k GROUP BY a.event_id""",
+d AS (SELECT *, v + 0.9537 * nxt - o AS delta FROM t)
+SELECT a.event_id, round(sum(b.delta * pow(0.9537 * 0.917, b.k - a.k)), 5) AS adv FROM d a JOIN d b ON a.user_id = b.user_id AND a.day = b.day AND b.k >= a.k GROUP BY a.event_id""",
 )
 def _gae(spark, sf_dir):
-    df = sequences(spark, sf_dir).withColumn("g", G.generalised_advantage("v", "o", "m", 0.95, 0.9))
+    df = sequences(spark, sf_dir).withColumn("g", G.generalised_advantage("v", "o", "m", 0.9537, 0.917))
     rows = df.select(F.explode(F.arrays_zip("ids", "m", "g")).alias("z")).where("z.m = 1")
-    return rows.select(F.col("z.ids").alias("event_id"), r6(F.col("z.g")).alias("adv"))
+    return rows.select(F.col("z.ids").alias("event_id"), F.round("z.g", 5).alias("adv"))
 
 
 @query(
@@ -225,9 +225,9 @@ def _policy(spark, sf_dir):
     return rows.select("event_id", r6(G.policy_loss(lp, old, adv)).alias("plain"), r6(G.policy_loss(lp, old, adv, mean_difference=F.col("md"))).alias("sequence_level"), r6(G.policy_loss(lp, old, adv, "cispo")).alias("cispo"), r6(G.policy_loss(lp, old, adv, "sapo")).alias("sapo"), high.alias("clip_high"), dual.alias("clip_dual"))
 
 
-@query("value_loss", f"WITH l AS ({LP}) SELECT event_id, round(0.5 * greatest(pow(lp - adv, 2), pow(greatest(least(lp, old + 0.5), old - 0.5) - adv, 2)), 6) AS loss FROM l")
+@query("value_loss", f"WITH l AS ({LP}) SELECT event_id, round(0.5 * greatest(pow(lp - adv, 2), pow(greatest(least(lp, old + 0.5), old - 0.5) - adv, 2)), 10) AS loss FROM l")
 def _vloss(spark, sf_dir):
-    return logps(spark, sf_dir).select("event_id", r6(G.value_loss(F.col("lp"), F.col("adv"), F.col("old"))).alias("loss"))
+    return logps(spark, sf_dir).select("event_id", F.round(G.value_loss(F.col("lp"), F.col("adv"), F.col("old")), 10).alias("loss"))
 
 
 @query(
