@@ -50,7 +50,7 @@ def _numbered(rows: DataFrame) -> DataFrame:
 
 def _keyed(docs: DataFrame) -> DataFrame:
     """key is doc_id (null last); h1 and h2 are hashes of the text."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.isnull("doc_id").alias("missing"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("key"), F.isnull("doc_id").alias("missing"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return rows.withColumn("h1", F.xxhash64("text")).withColumn("h2", F.xxhash64(F.lit("x"), F.col("text")))
 
 
@@ -69,7 +69,7 @@ def fingerprint_with_edits(docs: DataFrame) -> DataFrame:
     needed, and each first document of a fingerprint its canonical text to the others.
     """
     rows = _keyed(docs)
-    base = _numbered(rows).select("key", "doc_id", "text", "ord")
+    base = _numbered(rows).select("key", "missing", "text", "ord")  # all readers need the same columns: one shuffle serves them
     ids = with_canonical(rows, "text", "canonical").select("key", "missing", "h1", "h2", F.floor(F.char_length("text") / 2).cast("int").alias("half"), digest(F.col("canonical")).alias("fp"))
     ids = _numbered(ids).select("key", "ord", "half", "fp")  # no text in this shuffle
     ids = materialise(ids.repartitionByRange("key", "ord").withColumn("part", F.spark_partition_id()), "ids")
@@ -95,7 +95,7 @@ def fingerprint_with_edits(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("edited_fp", digest(F.col("edited_canonical")))
     alike = lambda c: F.when(F.coalesce(c, F.lit(False)), 1.0).otherwise(0.0)
     return rows.select(
-        "doc_id",
+        F.when(~F.col("missing"), F.col("key")).alias("doc_id"),
         n.cast("long").alias("n_chars"),
         F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
         F.col("fp").alias("fingerprint"),
