@@ -22,7 +22,7 @@ from siftwell.llm.rolling import Batch, cuts
 
 NULL_ID = np.int64(2**63 - 1)
 #: Range bounds held by the driver; a corpus beyond MOST_HOMES * home_bytes gets larger homes.
-MOST_HOMES = 1 << 16
+MOST_HOMES = 1 << 20
 SCHEMA = "home int, doc_ids binary, lengths binary, body binary"
 ARROW = pa.schema([("home", pa.int32()), ("doc_ids", pa.binary()), ("lengths", pa.binary()), ("body", pa.binary())])
 
@@ -62,7 +62,7 @@ def home_table(docs: DataFrame, home_bytes: int) -> tuple[DataFrame, int]:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text")), F.count("doc_id")).first()
     number = int(min(MOST_HOMES, max(1, -(-(size[0] or 0) // home_bytes)), max(1, size[1])))
-    cut = rows.where("doc_id IS NOT NULL").approxQuantile("doc_id", [i / number for i in range(1, number)], 1 / (8 * number)) if number > 1 else []
+    cut = rows.where("doc_id IS NOT NULL").approxQuantile("doc_id", [i / number for i in range(1, number)], max(1 / (8 * number), 1e-6)) if number > 1 else []
     bounds = np.unique(np.array(cut, np.float64).astype(np.int64))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
