@@ -124,3 +124,8 @@ def cosine_warmup(step: Column, warmup: int, total: int, least: float = 0.0, cyc
     progress = (step - warmup) / F.greatest(F.lit(1), F.lit(total - warmup))
     wave = F.greatest(F.lit(0.0), F.cos(progress * 3.141592653589793 * cycles * 2) * (1 - least) / 2 + (1 + least) / 2)
     return F.when(step < warmup, least + (1 - least) * step / F.greatest(F.lit(1), F.lit(warmup))).otherwise(wave)
+
+
+def normal_colour(n: Column) -> Column:
+    """A unit normal as colour bytes: (n + 1) * 127.5, clipped and truncated."""
+    return F.transform(n, lambda x: F.greatest(F.lit(0), F.least(F.lit(255), ((x + 1) * 127.5).cast("int"))))

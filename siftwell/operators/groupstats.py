@@ -257,3 +257,30 @@ def scaled_token_loss(loss: Column) -> Column:
 def masked_logps(logps: str, labels: str, ignore: int = -100) -> Column:
     """Sum of next-token log probabilities over labels that count (labels shifted by one)."""
     return F.expr(f"aggregate(zip_with(slice({logps}, 1, greatest(size({logps}) - 1, 0)), slice({labels}, 2, greatest(size({labels}) - 1, 0)), (p, l) -> if(l = {ignore}, 0D, p)), 0D, (a, x) -> a + x)")
+
+
+def moving_baseline_loss(chosen: Column, rejected: Column, baseline: Column, beta: float = 0.1) -> Column:
+    """Binary classifier loss of a pair: both rewards against a running mean of earlier rewards."""
+    return -log_sigmoid(beta * chosen - baseline) - log_sigmoid(baseline - beta * rejected)
+
+
+def running_baseline(rewards: str, start: float = 0.0) -> Column:
+    """The running means before each reward of an array, started at a value."""
+    return F.expr(f"aggregate({rewards}, named_struct('n', 0D, 'mean', {start!r}D, 'out', cast(array() as array<double>)), (a, x) -> named_struct('n', a.n + 1, 'mean', a.mean + (x - a.mean) / (a.n + 1), 'out', array_append(a.out, a.mean)), a -> a.out)")
+
+
+def place_score(score: str, mask: str) -> Column:
+    """A token array that holds the score at the last token that counts, 0 elsewhere."""
+    last = f"array_max(transform({mask}, (_flag, _i) -> if(_flag = 1, _i, -1)))"
+    return F.expr(f"transform({mask}, (_seen, _at) -> if(_at = {last}, cast({score} as double), 0D))")
+
+
+def last_counted(values: str, mask: str) -> Column:
+    """The value at the last token that counts; null if none does."""
+    return F.expr(f"get({values}, array_max(transform({mask}, (_flag, _i) -> if(_flag = 1, _i, -1))))")
+
+
+def nan_skipping(df: DataFrame, kind: str, columns: list[str]) -> DataFrame:
+    """Per kind the sums and counts of what isn't NaN."""
+    clean = {c: F.when(~F.isnan(c), F.col(c)) for c in columns}
+    return df.groupBy(kind).agg(*(F.sum(v).alias(f"{c}_sum") for c, v in clean.items()), *(F.count(v).alias(f"{c}_count") for c, v in clean.items()))

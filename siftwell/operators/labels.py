@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwell.functions.text import normalize_label, parse_labels
+from siftwell.functions.text import json_candidate, normalize_label, parse_labels
 
 
 def tags_from_text(df: DataFrame, image: str, text: str) -> DataFrame:
@@ -74,3 +74,30 @@ def number_instances(masks: DataFrame, classes: DataFrame, image: str, order: st
 def unpack(packed: str):
     """(class id, instance id) of a packed mask value."""
     return F.shiftright(F.col(packed), 16), F.col(packed).bitwiseAND(F.lit(0xFFFF))
+
+
+def annotations(names: str, boxes: str, areas: str, scores: str):
+    """Four parallel arrays as one array of structs; instance ids count from 1."""
+    return F.expr(f"transform(arrays_zip({names}, {boxes}, {areas}, {scores}), (z, i) -> named_struct('instance_id', i + 1, 'class_name', z.{names}, 'bbox', z.{boxes}, 'mask_area', z.{areas}, 'score', z.{scores}))")
+
+
+def vocabulary_json(classes: DataFrame) -> DataFrame:
+    """One row: all labels with their support as a JSON list, for a cleaning prompt.  The vocabulary is small by nature."""
+    return classes.groupBy().agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("support")).alias("s"), "label"))), lambda x: F.struct(x["label"].alias("label"), (-x["s"]).alias("support")))).alias("labels"))
+
+
+def mapping_from_reply(reply: DataFrame, text: str, labels: DataFrame) -> DataFrame:
+    """(label, canonical) for the labels that a model's JSON reply maps.
+
+    Three shapes are read: a map of label to canonical; {"mapping": that map}; a list of
+    {"label", "canonical"}.  drop, remove and discard mean null; labels that weren't asked about
+    are ignored.
+    """
+    body = json_candidate(F.col(text))
+    flat = F.from_json(body, "map<string, string>")
+    nested = F.from_json(F.get_json_object(body, "$.mapping"), "map<string, string>")
+    listed = F.from_json(body, "array<struct<label: string, canonical: string>>")
+    pairs = F.when(F.substring(F.trim(body), 1, 1) == "[", F.transform(listed, lambda x: F.struct(x["label"].alias("key"), x["canonical"].alias("value")))).when(nested.isNotNull(), F.map_entries(nested)).otherwise(F.map_entries(flat))
+    rows = reply.select(F.explode(pairs).alias("p")).select(normalize_label(F.col("p.key")).alias("label"), normalize_label(F.col("p.value")).alias("canonical"))
+    rows = rows.join(labels.select("label").distinct(), "label", "left_semi")
+    return rows.withColumn("canonical", F.when(~F.col("canonical").isin("drop", "remove", "discard", ""), F.col("canonical")))

@@ -51,6 +51,34 @@ def supervised(prompt: str, response: str, cutoff: int, train_on_prompt: bool =
     return F.expr(f"named_struct('input_ids', concat({p}, {r}{tail}), 'attention_mask', transform(concat({p}, {r}{tail}), x -> 1), 'labels', transform(concat({masked}, {r}{tail}), x -> cast(x as bigint)))")
 
 
+def multi_turn(prompts: str, responses: str, cutoff: int, last_only: bool = False) -> Column:
+    """struct(input_ids, labels) of all turns (arrays of id arrays) under one budget.
+
+    Turn after turn takes what is left.  With last_only the newest turns come first for the budget
+    and only the last response is trained on.
+    """
+    p, r = (f"reverse({x})" if last_only else x for x in (prompts, responses))
+    s, t = "cast(size(x.p) as bigint)", "cast(size(x.r) as bigint)"
+    most = f"(case when {t} * 2 < a.left then a.left when {s} * 2 < a.left then a.left - {s} else cast(a.left * {t} / ({s} + {t}) as bigint) end)"
+    keep_t = f"least({most}, {t})"
+    keep_s = f"least(greatest(a.left - {keep_t}, 0L), {s})"
+    part = f"named_struct('p', slice(x.p, 1, cast({keep_s} as int)), 'r', slice(x.r, 1, cast({keep_t} as int)))"
+    kept = f"""aggregate(zip_with({p}, {r}, (p, r) -> named_struct('p', p, 'r', r)), named_struct('left', cast({cutoff} as bigint), 'out', cast(array() as array<struct<p: array<int>, r: array<int>>>)),
+      (a, x) -> if(a.left <= 0, a, named_struct('left', a.left - {keep_s} - {keep_t}, 'out', array_append(a.out, {part}))), a -> {'reverse(a.out)' if last_only else 'a.out'})"""
+    trained = f"if(i = size({kept}) - 1, x.r, transform(x.r, v -> {IGNORE}))" if last_only else "x.r"
+    return F.expr(f"named_struct('input_ids', flatten(transform({kept}, x -> concat(x.p, x.r))), 'labels', flatten(transform({kept}, (x, i) -> concat(transform(x.p, v -> {IGNORE}), {trained}))))")
+
+
+#: Stage names and the operator that encodes for them.
+STAGES = {"pretrain": "pretrain_blocks", "supervised": "supervised", "packed": "knapsack", "ranking": "pairwise", "feedback": "feedback_shift", "generate": "supervised"}
+
+
+def encoder_for(stage: str):
+    if stage not in STAGES:
+        raise ValueError(f"unknown stage {stage}; there are {sorted(STAGES)}")
+    return globals()[STAGES[stage]]
+
+
 def pairwise(prompt: str, chosen: str, rejected: str, cutoff: int) -> Column:
     """struct of chosen and rejected ids and labels: the prompt is cut by the longer response, both responses to one length."""
     s, t = f"cast(size({prompt}) as bigint)", f"cast(greatest(size({chosen}), size({rejected})) as bigint)"

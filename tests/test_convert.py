@@ -86,3 +86,30 @@ def test_packing_and_balancing(spark):
     assert {r.part for r in parts} == {0, 1}
     packed = T.packed_sequences(spark.createDataFrame([(0, 1, [5, 6], [-100, 6]), (0, 2, [7], [7])], "b int, k int, ids array<int>, labels array<int>"), spark.createDataFrame([(0, 1, 0, 0), (0, 2, 0, 1)], "b int, k int, bin int, place int"), "b", "k", "ids", "labels", 4, 0).first()
     assert (packed.input_ids, packed.labels, packed.position_ids, packed.segments) == ([5, 6, 7, 0, 0], [-100, 6, 7, -100, -100], [0, 1, 0, 0, 0], [1, 1, 2, 0, 0])
+
+
+def test_turns_under_one_budget(spark):
+    df = spark.sql("select array(array(1, 2), array(3)) p, array(array(4, 5), array(6, 7)) r")
+    x = df.select(T.multi_turn("p", "r", 100).alias("a"), T.multi_turn("p", "r", 100, last_only=True).alias("b"), T.multi_turn("p", "r", 3, last_only=True).alias("c")).first()
+    assert (x.a.input_ids, x.a.labels) == ([1, 2, 4, 5, 3, 6, 7], [-100, -100, 4, 5, -100, 6, 7])
+    assert x.b.labels == [-100, -100, -100, -100, -100, 6, 7]
+    assert x.c.input_ids == [3, 6, 7]
+    assert T.encoder_for("ranking") is T.pairwise
+
+
+def test_small_operators(spark):
+    from siftwell.functions import vector as V
+    from siftwell.operators import groupstats as G
+    from siftwell.operators import labels as L
+
+    r = spark.sql("select array(1, 1, 0) m, 2.5D s, array(1D, 3D, 5D) v").select(G.place_score("s", "m").alias("p"), G.last_counted("v", "m").alias("l"), G.running_baseline("v").alias("b"), V.normal_colour(F.array(F.lit(-1.0), F.lit(0.0), F.lit(1.0))).alias("c")).first()
+    assert (r.p, r.l, r.b, r.c) == ([0.0, 2.5, 0.0], 3.0, [0.0, 1.0, 2.0], [0, 127, 255])
+    n = G.nan_skipping(spark.createDataFrame([("a", 1.0), ("a", float("nan")), ("b", 2.0)], "k string, x double"), "k", ["x"]).orderBy("k").collect()
+    assert [(x.x_sum, x.x_count) for x in n] == [(1.0, 1), (2.0, 1)]
+    labels = spark.createDataFrame([("car",), ("auto",), ("junk",)], "label string")
+    for reply in ('{"Cars": "car", "auto": "car", "junk": "drop", "new": "x"}', 'so ```json\n{"mapping": {"car": "car", "auto": "car", "junk": "remove"}}\n```', '[{"label": "car", "canonical": "car"}, {"label": "auto", "canonical": "car"}, {"label": "junk", "canonical": "discard"}]'):
+        got = L.mapping_from_reply(spark.createDataFrame([(reply,)], "t string"), "t", labels)
+        assert sorted((x.label, x.canonical) for x in got.collect()) == [("auto", "car"), ("car", "car"), ("junk", None)]
+    a = spark.sql("select array('x', 'y') n, array(array(1D), array(2D)) b, array(3, 4) a, array(0.5D, 0.6D) s").select(L.annotations("n", "b", "a", "s").alias("z")).first().z
+    assert [(x.instance_id, x.class_name, x.mask_area) for x in a] == [(1, "x", 3), (2, "y", 4)]
+    assert L.vocabulary_json(spark.createDataFrame([("a", 2), ("b", 5)], "label string, support int")).first().labels == '[{"label":"b","support":5},{"label":"a","support":2}]'
