@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftwell.llm.common import bounded_batches
+
 START, END = "<|im_start|>", "<|im_end|>"
 _UNESCAPE = re.compile(r"\\(.)", re.S)
 _TURN = re.compile(re.escape(START) + r"([^\n]*)\n(.*?)" + re.escape(END) + r"\n", re.S)
@@ -102,6 +104,7 @@ def format_conversations(conversations: DataFrame, tokenizer_path: str, partitio
     Rows are hash-partitioned by conversation and sorted in the partition, so the Python side
     streams; no group is handed over as a whole frame.
     """
+    bounded_batches(conversations.sparkSession)
     rows = conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"),
         F.col("turn").cast("long").alias("turn"),

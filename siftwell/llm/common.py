@@ -36,6 +36,13 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete written intermediate tables that nothing reads any more."""
+    for t in tables:
+        for path in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
+            remove(t.sparkSession, path)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
@@ -47,3 +54,10 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def rows_to_batch(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist(rows, schema=schema)
+
+
+def bounded_batches(spark: SparkSession, size: str = "16m") -> None:
+    """Arrow batches of at most this size, unless the session has its own bound: long texts then can't fill a worker."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key).lower() in ("67108864b", "67108864", "64m", "64mb"):
+        spark.conf.set(key, size)

@@ -15,6 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftwell.llm.common import bounded_batches
 from siftwell.llm.rolling import Batch, avalanche, cuts
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -79,11 +80,13 @@ class Hasher:
 def score_documents(docs: DataFrame, hasher: Hasher, weights: np.ndarray, finish, columns: list[str], schema: str, keep: list[str]) -> DataFrame:
     """keep columns plus columns computed by finish(sums); weights travel with the function."""
 
+    bounded_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = batch.column("text")
             n = np.asarray(pc.fill_null(pc.binary_length(text), 0))
-            for a, b in cuts(n, 1 << 20):
+            for a, b in cuts(n, 1 << 18):
                 part = batch.slice(a, b - a)
                 values = finish(hasher.presence_sums(Batch(part.column("text")), weights))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *(pa.array(v) for v in values)], names=[*keep, *columns])
@@ -94,18 +97,26 @@ def score_documents(docs: DataFrame, hasher: Hasher, weights: np.ndarray, finish
 def collect_sample(rows: DataFrame, hasher: Hasher, extra: list[str]) -> tuple[list[np.ndarray], dict[str, np.ndarray]]:
     """Feature ids and extra columns of a bounded sample of rows; the bound is the caller's."""
     fields = ", ".join(f"{c} long" for c in extra)
+    bounded_batches(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = np.asarray(pc.fill_null(pc.binary_length(batch.column("text")), 0))
-            for a, b in cuts(n, 1 << 20):
+            for a, b in cuts(n, 1 << 18):
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in hasher.unique_ids(Batch(part.column("text")))], pa.binary()), *(part.column(c) for c in extra)], names=["ids", *extra])
 
     got = rows.select("text", *(F.col(c).cast("long").alias(c) for c in extra)).mapInArrow(run, f"ids binary, {fields}").toArrow()
-    order = np.lexsort([np.asarray(got.column(c)) for c in extra]) if got.num_rows else []
-    ids = [np.frombuffer(got.column("ids")[int(i)].as_py(), np.int32) for i in order]
-    return ids, {c: np.asarray(got.column(c))[order] if got.num_rows else np.zeros(0, np.int64) for c in extra}
+    got = got.combine_chunks()
+    values = {c: np.asarray(got.column(c)) for c in extra}
+    order = np.lexsort(list(values.values())) if got.num_rows else np.zeros(0, np.int64)
+    ids = []
+    if got.num_rows:  # views into the one Arrow buffer, no copies
+        column = got.column("ids").chunk(0)
+        offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].tolist()
+        flat = np.frombuffer(column.buffers()[2], np.uint8)
+        ids = [flat[offsets[i] : offsets[i + 1]].view(np.int32) for i in order.tolist()]
+    return ids, {c: v[order] for c, v in values.items()}
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, most: int, allowed=None, columns: tuple[str, ...] = ("quality",), keep: tuple[str, ...] = ()) -> DataFrame:

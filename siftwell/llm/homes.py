@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import materialise
+from siftwell.llm.common import bounded_batches, materialise
 from siftwell.llm.rolling import Batch, cuts
 
 NULL_ID = np.int64(2**63 - 1)
@@ -59,6 +59,7 @@ def homes_of(batch: pa.RecordBatch) -> Iterator[Home]:
 
 def home_table(docs: DataFrame, home_bytes: int) -> tuple[DataFrame, int]:
     """The written table of homes and their number."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text")), F.count("doc_id")).first()
     number = int(min(MOST_HOMES, max(1, -(-(size[0] or 0) // home_bytes)), max(1, size[1])))

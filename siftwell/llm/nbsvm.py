@@ -15,6 +15,7 @@ Defined cases
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +23,7 @@ from siftwell.llm.features import Hasher, collect_sample, labelled_sample, score
 
 HASHER = Hasher(orders=(1, 2, 3, 4, -1), bits=18, lower=False)
 #: Bound on the labelled rows that a model is fitted on.
-MAX_TRAINING_ROWS = 6000
+MAX_TRAINING_ROWS = 4000
 
 
 def log_count_ratio(ids: list[np.ndarray], y: np.ndarray, size: int, smooth: float = 1.0) -> np.ndarray:
@@ -108,6 +109,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, fo
     sample = labelled_sample(docs, labels, max_rows, allowed=remainder != 0, columns=("quality",))
     ids, got = collect_sample(sample, hasher, ["quality", "doc_id"])
     w, b = fit(ids, got["quality"], hasher.size)
+    del ids, got
+    pa.default_memory_pool().release_unused()
 
     def finish(sums: np.ndarray):
         score = 1 / (1 + np.exp(-np.clip(sums[:, 0] + b, -40, 40)))

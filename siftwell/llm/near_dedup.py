@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import materialise
+from siftwell.llm.common import bounded_batches, discard, materialise
 from siftwell.llm.components import connected_components
 from siftwell.llm.rolling import Batch, avalanche, cuts, span_hashes
 
@@ -193,6 +193,7 @@ def likely(share: tuple[int, int]):
 
 def near_duplicates(docs: DataFrame, share: tuple[int, int] = (80, 100), width: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs."""
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sig = materialise(signature_table(docs, width), "signatures")
     classes = sig.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("size"), *(F.first(c).alias(c) for c in ["n_shingles", *COLUMNS[2:]]))
@@ -228,6 +229,7 @@ def near_duplicates(docs: DataFrame, share: tuple[int, int] = (80, 100), width:
         if more.isEmpty():
             break
         known = materialise(known.unionByName(confirm(more, sets, share)), "confirmed")
+    discard(member, star, sets)
     named = classes.select("k1", "k2", F.col("node")).join(roots, "node", "left").select("k1", "k2", F.coalesce("root", "node").alias("root"))
     out = sig.select("doc_id", "n_shingles", "k1", "k2").join(named, ["k1", "k2"], "left")
     component = F.when(F.col("doc_id").isNull(), None).otherwise(F.when(F.col("n_shingles") > 0, F.col("root")).otherwise(F.col("doc_id")))

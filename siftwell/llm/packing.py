@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import materialise
+from siftwell.llm.common import bounded_batches, materialise
 
 
 def fill(capacity: int, sizes: list[int], demand: list[int]) -> list[int]:
@@ -209,6 +209,7 @@ def token_pieces(docs: DataFrame, capacity: int, end_id: int, tokenizer_path: st
 
 def pack(docs: DataFrame, capacity: int, end_id: int, tokenizer_path: str, ranks_path: str | None = None, pattern: str | None = None, special: dict[str, int] | None = None, groups: int = 800) -> DataFrame:
     """Every piece with its sequence and its offset there.  Text is read once and never shuffled."""
+    bounded_batches(docs.sparkSession)
     pieces = materialise(token_pieces(docs, capacity, end_id, tokenizer_path, ranks_path, pattern, special), "pieces")
     by_task = pieces.groupBy("pid", "length").agg(F.count(F.lit(1)).alias("n"))
     totals = {r["length"]: r["n"] for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows

@@ -130,7 +130,7 @@ class FingerprintIndex:
         before = None
         for t in self.tables:
             before = t if before is None else before.unionByName(t)
-        addressed, run = match(homes, word_finder(self.window, self.gram), decide_windows, self.buckets, self.partitions, old, before)
+        addressed, run = match(homes, word_finder(self.window, self.gram), decide_windows, self.buckets, self.partitions, old, before, keep_run=not last)
         if not last:
             self.tables.append(homes)
             self._keep(run)

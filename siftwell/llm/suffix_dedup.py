@@ -286,7 +286,7 @@ def dedup_suffixes(docs: DataFrame, length: int = 100, gram: int | None = None,
         raise ValueError("length - gram must lie in 0..63")
     homes, _ = home_table(docs, home_bytes)
     partitions = shuffle_partitions(docs.sparkSession)
-    addressed, _ = match(homes, byte_finder(length, gram), decide_bytes(length, gram), BUCKETS_PER_PARTITION * partitions, partitions)
+    addressed, _ = match(homes, byte_finder(length, gram), decide_bytes(length, gram), BUCKETS_PER_PARTITION * partitions, partitions, keep_run=False)
     out = cut_bytes(addressed, length, gram, BUCKETS_PER_PARTITION * partitions, texts)
     return out if texts else out.drop("kept_text", "ord")
 

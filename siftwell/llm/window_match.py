@@ -58,7 +58,7 @@ def entries(homes: DataFrame, finder: Finder, buckets: int) -> DataFrame:
     return homes.mapInArrow(run, _ENTRIES)
 
 
-def merge_entries(rows: DataFrame, partitions: int) -> DataFrame:
+def merge_entries(rows: DataFrame, partitions: int, keep_run: bool = True) -> DataFrame:
     """Bucket by bucket: codes for each home's entries, asks to index homes, and the new run.
 
     Output rows: kind ENTRY holds codes, ASK the (anchor, check) pairs that a home of the index
@@ -83,7 +83,7 @@ def merge_entries(rows: DataFrame, partitions: int) -> DataFrame:
                     out.append((ASK, bucket, int(home[part[0]]), S.pack_entries(anchor[part], check[part])))
             fresh = np.flatnonzero(~old & (code != S.REPEAT))
             fresh = fresh[np.lexsort((check[fresh], anchor[fresh]))]
-            if len(fresh):
+            if keep_run and len(fresh):
                 out.append((RUN, bucket, -1, S.pack_entries(anchor[fresh], check[fresh], home[fresh])))
             yield _batch(out, _SCHEMA)
 
@@ -189,15 +189,16 @@ def repeated(found: S.Found, answers: list[dict], buckets: int, size: int) -> np
     return out
 
 
-def match(homes: DataFrame, finder: Finder, decide: Decider, buckets: int, partitions: int, runs: DataFrame | None = None, index_homes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def match(homes: DataFrame, finder: Finder, decide: Decider, buckets: int, partitions: int, runs: DataFrame | None = None, index_homes: DataFrame | None = None, keep_run: bool = True) -> tuple[DataFrame, DataFrame]:
     """Homes with all their answers, and the new run of the index.
 
-    runs holds earlier runs of the index and index_homes the homes that they name.
+    runs holds earlier runs of the index and index_homes the homes that they name; without
+    keep_run no new run is made.
     """
     rows = entries(homes, finder, buckets)
     if runs is not None:
         rows = rows.unionByName(runs.select("kind", "bucket", "home", "payload"))
-    merged = materialise(merge_entries(rows, partitions), "merged")
+    merged = materialise(merge_entries(rows, partitions, keep_run), "merged")
     first = merged.where(F.col("kind") != RUN).select("home", F.col("kind").alias("round"), "bucket", "payload")
     asked = with_home(homes, first)
     if index_homes is not None:
