@@ -34,7 +34,9 @@ def json_candidate(text: Column) -> Column:
 
 
 def _if_json(text: Column) -> Column:
-    return F.when((text != "") & F.try_parse_json(text).isNotNull(), text)
+    """The text if it is one JSON value; the parser alone would take a first value and ignore the rest."""
+    whole = F.size(F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>")) == 1
+    return F.when((text != "") & F.try_parse_json(text).isNotNull() & whole, text)
 
 
 def normalize_number(text: Column) -> Column:
