@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EPS = 1e-6
@@ -33,10 +33,19 @@ def _with_group(df: DataFrame, group: str, score: str) -> DataFrame:
     return df.join(stats, group)
 
 
-def group_normalised(df: DataFrame, group: str, score: str, eps: float = EPS) -> DataFrame:
-    """(score - group mean) / (group deviation + eps)."""
-    rows = _with_group(df, group, score)
-    return rows.withColumn("advantage", (F.col(score) - F.col("_sum") / F.col("_n")) / (F.col("_std") + eps)).drop("_n", "_sum", "_std")
+def group_normalised(df: DataFrame, group: str, score: str, eps: float = EPS, low: float | None = None, high: float | None = None) -> DataFrame:
+    """(score - group mean) / (group deviation + eps).
+
+    With low or high only groups whose mean lies strictly between them stay: the same statistics
+    filter and normalise, in one aggregation and one join.
+    """
+    mean = F.col("_sum") / F.col("_n")
+    stats = df.groupBy(group).agg(F.count(score).alias("_n"), F.sum(score).alias("_sum"), F.stddev_samp(score).alias("_std"))
+    if low is not None:
+        stats = stats.where(mean > low)
+    if high is not None:
+        stats = stats.where(mean < high)
+    return df.join(stats, group).withColumn("advantage", (F.col(score) - mean) / (F.col("_std") + eps)).drop("_n", "_sum", "_std")
 
 
 def batch_normalised(df: DataFrame, group: str, score: str, eps: float = EPS) -> DataFrame:
@@ -46,10 +55,15 @@ def batch_normalised(df: DataFrame, group: str, score: str, eps: float = EPS) ->
 
 
 def top_two(df: DataFrame, group: str, score: str, key: str) -> DataFrame:
-    """Best and second score per group and the winner's key (ties: smallest key), combined map-side."""
-    best = df.groupBy(group).agg(F.min(F.struct((-F.col(score)).alias("s"), F.col(key).alias("k"))).alias("b"), F.stddev_samp(score).alias("std"), F.count(F.lit(1)).alias("n"))
-    rest = df.join(best.select(group, "b"), group).where(F.col(key) != F.col("b.k")).groupBy(group).agg(F.max(score).alias("second"))
-    return best.join(rest, group, "left").select(group, (-F.col("b.s")).alias("best"), "second", F.col("b.k").alias("winner"), "std", "n")
+    """Best and second score per group and the winner's key (ties: smallest key).
+
+    The rank limit is applied before the shuffle, so two rows a group and task travel.
+    """
+    w = Window.partitionBy(group).orderBy(F.desc(score), F.asc(key))
+    two = df.select(group, score, key).withColumn("_r", F.row_number().over(w)).where("_r <= 2")
+    best = two.groupBy(group).agg(F.max(F.when(F.col("_r") == 1, F.col(score))).alias("best"), F.max(F.when(F.col("_r") == 2, F.col(score))).alias("second"), F.max(F.when(F.col("_r") == 1, F.col(key))).alias("winner"))
+    spread = df.groupBy(group).agg(F.stddev_samp(score).alias("std"), F.count(F.lit(1)).alias("n"))
+    return best.join(spread, group)
 
 
 def best_of_group(df: DataFrame, group: str, score: str, key: str, eps: float = EPS) -> DataFrame:

@@ -48,8 +48,8 @@ def flat(df: DataFrame, name: str, column, digits: int = 6) -> DataFrame:
 SELECT e.event_id, e.user_id, e.event_type, round((e.value - g.mean) / (g.std + 1e-6), 6) AS advantage FROM events e JOIN g USING (user_id)""",
 )
 def _group(spark, sf_dir):
-    kept = G.keep_informative_groups(events(spark, sf_dir), "user_id", "value", 30.0, 60.0)
-    return G.compute_advantage(kept, "group", group="user_id", score="value").select("event_id", "user_id", "event_type", r6(F.col("advantage")).alias("advantage"))
+    rows = G.compute_advantage(events(spark, sf_dir), "group", group="user_id", score="value", low=30.0, high=60.0)
+    return rows.select("event_id", "user_id", "event_type", r6(F.col("advantage")).alias("advantage"))
 
 
 @query(
