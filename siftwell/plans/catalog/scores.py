@@ -31,7 +31,7 @@ def answers(spark, sf_dir):
  CASE event_id % 4 WHEN 1 THEN CASE WHEN event_id % 3 <> 1 THEN 1.0 ELSE 0.0 END
   WHEN 2 THEN CASE WHEN (event_id % 7) * 20 < 40 THEN 1.0 WHEN (event_id % 7) * 20 < 150 THEN 1 - ((event_id % 7) * 20 - 40) / 110.0 ELSE 0.0 END
   ELSE CASE WHEN event_id % 5 = 0 THEN 0.0 ELSE 1.0 END END AS acc FROM events WHERE event_id % 4 <> 0)
-SELECT event_id, round(CASE WHEN form THEN 0.9 * acc + 0.1 ELSE 0 END, 6) AS overall, CASE WHEN form THEN 1.0 ELSE 0.0 END AS format FROM a""",
+SELECT event_id, round(CASE WHEN form THEN 0.9 * acc + 0.1 ELSE 0 END, 6) AS overall, CAST(CASE WHEN form THEN 1 ELSE 0 END AS DOUBLE) AS format FROM a""",
 )
 def _scores(spark, sf_dir):
     a = answers(spark, sf_dir).where("kind <> 'numerical'")
@@ -39,7 +39,7 @@ def _scores(spark, sf_dir):
     return a.withColumn("s", s).select("event_id", r6(F.col("s.overall")).alias("overall"), F.col("s.format").alias("format"))
 
 
-@query("relaxed_scores", "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN CASE WHEN event_id % 9 = 0 THEN 0.0 ELSE 0.1 END WHEN event_id % 9 = 0 THEN 0.9 ELSE 1.0 END AS overall FROM events WHERE event_id % 4 = 3")
+@query("relaxed_scores", "SELECT event_id, CAST(CASE WHEN event_id % 5 = 0 THEN CASE WHEN event_id % 9 = 0 THEN 0.0 ELSE 0.1 END WHEN event_id % 9 = 0 THEN 0.9 ELSE 1.0 END AS DOUBLE) AS overall FROM events WHERE event_id % 4 = 3")
 def _relaxed(spark, sf_dir):
     a = answers(spark, sf_dir).where("kind = 'open-ended'")
     return a.withColumn("s", S.score(F.col("response"), F.col("truth"), F.col("kind"), relaxed=True)).select("event_id", r6(F.col("s.overall")).alias("overall"))
