@@ -34,7 +34,7 @@ from siftwell.llm import superwindows as S
 from siftwell.llm.common import remove, scratch, shuffle_partitions
 from siftwell.llm.homes import MOST_HOMES, Home, home_table, homes_of
 from siftwell.llm.rolling import avalanche, span_hashes
-from siftwell.llm.window_match import BUCKETS_PER_PARTITION, RUN, _grouped, match, repeated
+from siftwell.llm.window_match import BUCKETS_PER_PARTITION, NO_RUNS, RUN, RUNS, _grouped, match, removed_runs, repeated
 
 
 def word_finder(window: int, gram: int):
@@ -76,10 +76,10 @@ def decide_windows(anchor: np.ndarray, order: np.ndarray, blobs: list[bytes]) ->
     return mask
 
 
-_RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
+_RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, removed array<struct<start: long, length: long>>"
 
 
-def cut_words(addressed: DataFrame, window: int, gram: int, buckets: int, texts: bool) -> DataFrame:
+def cut_words(addressed: DataFrame, window: int, gram: int, buckets: int, texts: bool, spans: bool = False) -> DataFrame:
     finder = word_finder(window, gram)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,15 +93,15 @@ def cut_words(addressed: DataFrame, window: int, gram: int, buckets: int, texts:
                 np.add.at(edge, at, 1)
                 np.add.at(edge, at + window, -1)
                 gone = np.cumsum(edge)[: len(hit)] > 0
-                cols = [[], [], [], []]
+                cols = [[], [], [], [], []]
                 for d in range(len(home.doc_ids)):
                     words = home.data[home.offsets[d] : home.offsets[d + 1]].split()
                     mask = gone[edges[d] : edges[d + 1]]
                     n = int(mask.sum())
                     kept = b" ".join(compress(words, (~mask).tolist()) if n else words)
-                    for c, v in zip(cols, (len(words), n, hashlib.sha256(kept).hexdigest(), kept.decode() if texts else None), strict=True):
+                    for c, v in zip(cols, (len(words), n, hashlib.sha256(kept).hexdigest(), kept.decode() if texts else None, [{"start": x, "length": y} for x, y in (removed_runs(mask) if n else NO_RUNS).tolist()] if spans else None), strict=True):
                         c.append(v)
-                yield pa.RecordBatch.from_arrays([home.ids(), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True))], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
+                yield pa.RecordBatch.from_arrays([home.ids(), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string(), RUNS), strict=True))], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", "removed"])
 
     return addressed.mapInArrow(run, _RESULT)
 
@@ -118,7 +118,7 @@ class FingerprintIndex:
         self.tables: list[DataFrame] = []
         self.next_home = 0
 
-    def add(self, docs: DataFrame, texts: bool = False, last: bool = False) -> DataFrame:
+    def add(self, docs: DataFrame, texts: bool = False, spans: bool = False, last: bool = False) -> DataFrame:
         """Deduplicate a batch against the index and within itself, then index it.
 
         With last the batch's own run isn't kept: nothing will be added after it.
@@ -134,7 +134,7 @@ class FingerprintIndex:
         if not last:
             self.tables.append(homes)
             self._keep(run)
-        return cut_words(addressed, self.window, self.gram, self.buckets, texts)
+        return cut_words(addressed, self.window, self.gram, self.buckets, texts, spans)
 
     def _keep(self, run: DataFrame) -> None:
         path = f"{self.path}/run-{len(self.runs)}-{self.next_home}"
@@ -165,8 +165,9 @@ class FingerprintIndex:
         return json.dumps({"runs": len(self.runs), "homes": self.next_home, "buckets": self.buckets})
 
 
-def dedup_substrings(docs: DataFrame, batches: int = 2, window: int = 20, gram: int = 10, home_bytes: int = 4 << 20, texts: bool = False, fan_in: int = 4) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 (and kept_text) of every document.
+def dedup_substrings(docs: DataFrame, batches: int = 2, window: int = 20, gram: int = 10, home_bytes: int = 4 << 20, texts: bool = False, spans: bool = False, fan_in: int = 4) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 of every document; with texts also kept_text, with spans
+    also the removed word spans.
 
     The table goes through the index in batches of ascending doc_id; a table of more than
     MOST_HOMES * home_bytes bytes takes as many batches as that needs.
@@ -181,6 +182,6 @@ def dedup_substrings(docs: DataFrame, batches: int = 2, window: int = 20, gram:
     for i in range(len(edges) + 1):
         low = key > edges[i - 1] if i else F.lit(True)
         part = docs.where(key.isNull() | low) if i == len(edges) else docs.where(low & (key <= edges[i]))
-        done = index.add(part, texts, last=i == len(edges))
+        done = index.add(part, texts, spans, last=i == len(edges))
         out = done if out is None else out.unionByName(done)
-    return out if texts else out.drop("kept_text")
+    return out.drop(*([] if texts else ["kept_text"]), *([] if spans else ["removed"]))

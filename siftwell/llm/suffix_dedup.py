@@ -32,7 +32,7 @@ from siftwell.llm.common import shuffle_partitions
 from siftwell.llm.homes import Home, home_table, homes_of
 from siftwell.llm.lyndon_sort import common_prefixes, suffix_array
 from siftwell.llm.rolling import avalanche, byte_values
-from siftwell.llm.window_match import BUCKETS_PER_PARTITION, match, repeated
+from siftwell.llm.window_match import BUCKETS_PER_PARTITION, NO_RUNS, RUNS, match, removed_runs, repeated
 
 
 def byte_finder(length: int, gram: int):
@@ -243,10 +243,10 @@ def _longest_with_older(order: np.ndarray, lcp: np.ndarray, common: np.ndarray,
     return np.array(best)
 
 
-_RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string, ord int"
+_RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string, removed array<struct<start: long, length: long>>, ord int"
 
 
-def cut_bytes(addressed: DataFrame, length: int, gram: int, buckets: int, texts: bool) -> DataFrame:
+def cut_bytes(addressed: DataFrame, length: int, gram: int, buckets: int, texts: bool, spans: bool = False) -> DataFrame:
     finder = byte_finder(length, gram)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,24 +260,26 @@ def cut_bytes(addressed: DataFrame, length: int, gram: int, buckets: int, texts:
                 edge[fall + length] -= 1
                 gone = np.cumsum(edge, dtype=np.int8)[: len(hit)] > 0
                 buf = np.frombuffer(home.data, np.uint8)
-                cols = [[], [], [], [], []]
+                cols = [[], [], [], [], [], []]
                 for a, b in zip(home.offsets[:-1].tolist(), home.offsets[1:].tolist(), strict=True):
                     mask = gone[a:b]
                     n = int(mask.sum())
-                    spans = int((mask[1:] & ~mask[:-1]).sum()) + int(mask[0]) if n else 0
+                    runs = removed_runs(mask) if n else NO_RUNS
+                    n_spans = len(runs)
                     kept = buf[a:b][~mask].tobytes() if n else home.data[a:b]
-                    for c, v in zip(cols, (b - a, n, spans, hashlib.sha256(kept).hexdigest(), kept.decode(errors="replace") if texts else None), strict=True):
+                    for c, v in zip(cols, (b - a, n, n_spans, hashlib.sha256(kept).hexdigest(), kept.decode(errors="replace") if texts else None, [{"start": x, "length": y} for x, y in runs.tolist()] if spans else None), strict=True):
                         c.append(v)
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), RUNS)
                 ids = home.doc_ids  # ascending; rows of one id are numbered from 1
                 number = np.arange(len(ids)) - np.searchsorted(ids, ids) + 1
-                yield pa.RecordBatch.from_arrays([home.ids(), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True)), pa.array(number, pa.int32())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", "ord"])
+                yield pa.RecordBatch.from_arrays([home.ids(), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True)), pa.array(number, pa.int32())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", "removed", "ord"])
 
     return addressed.mapInArrow(run, _RESULT)
 
 
-def dedup_suffixes(docs: DataFrame, length: int = 100, gram: int | None = None, home_bytes: int = 4 << 20, texts: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept_text) of every document.
+def dedup_suffixes(docs: DataFrame, length: int = 100, gram: int | None = None, home_bytes: int = 4 << 20, texts: bool = False, spans: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document; with texts also kept_text and ord (a
+    row's number among those of its doc_id), with spans the removed byte spans.
 
     gram is the anchor's length; length - gram must stay under 64 (one bit per window).
     """
@@ -287,8 +289,8 @@ def dedup_suffixes(docs: DataFrame, length: int = 100, gram: int | None = None,
     homes, _ = home_table(docs, home_bytes)
     partitions = shuffle_partitions(docs.sparkSession)
     addressed, _ = match(homes, byte_finder(length, gram), decide_bytes(length, gram), BUCKETS_PER_PARTITION * partitions, partitions, keep_run=False)
-    out = cut_bytes(addressed, length, gram, BUCKETS_PER_PARTITION * partitions, texts)
-    return out if texts else out.drop("kept_text", "ord")
+    out = cut_bytes(addressed, length, gram, BUCKETS_PER_PARTITION * partitions, texts, spans)
+    return out.drop(*([] if texts else ["kept_text", "ord"]), *([] if spans else ["removed"]))
 
 
 def deduplicated_documents(docs: DataFrame, length: int = 100, home_bytes: int = 4 << 20) -> DataFrame:

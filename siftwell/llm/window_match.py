@@ -189,6 +189,18 @@ def repeated(found: S.Found, answers: list[dict], buckets: int, size: int) -> np
     return out
 
 
+#: Removed spans as a column.
+RUNS = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
+NO_RUNS = np.zeros((0, 2), np.int64)
+
+
+def removed_runs(mask: np.ndarray) -> np.ndarray:
+    """Start and length of each stretch of a mask."""
+    edge = np.diff(mask.astype(np.int8), prepend=np.int8(0), append=np.int8(0))
+    start = np.flatnonzero(edge == 1)
+    return np.stack([start, np.flatnonzero(edge == -1) - start], 1)
+
+
 def match(homes: DataFrame, finder: Finder, decide: Decider, buckets: int, partitions: int, runs: DataFrame | None = None, index_homes: DataFrame | None = None, keep_run: bool = True) -> tuple[DataFrame, DataFrame]:
     """Homes with all their answers, and the new run of the index.
 

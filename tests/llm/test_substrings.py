@@ -92,3 +92,18 @@ def test_sample_table_matches_brute_force(spark, sf_dir):
     assert got == brute(docs, 100, lambda t: list(t.encode()), bytes)
     got = sorted(map(tuple, dedup_substrings(df, home_bytes=100_000).collect()), key=str)
     assert got == sorted(((a, b, c, e) for a, b, c, _, e in brute(docs, 20, words, b" ".join)), key=str)
+
+
+def test_texts_and_spans_agree(spark):
+    docs = [(i, t) for i, t in made(4, 30) if i is not None and i != 8]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for r in dedup_suffixes(df, 100, home_bytes=3000, texts=True, spans=True).collect():
+        raw = (dict(docs)[r.doc_id] or "").encode()
+        for x in reversed(r.removed):
+            raw = raw[: x.start] + raw[x.start + x.length :]
+        assert hashlib.sha256(raw).hexdigest() == r.kept_sha256 and raw.decode(errors="replace") == r.kept_text and len(r.removed) == r.n_spans
+    for r in dedup_substrings(df, 2, home_bytes=3000, texts=True, spans=True).collect():
+        w = words(dict(docs)[r.doc_id] or "")
+        for x in reversed(r.removed):
+            del w[x.start : x.start + x.length]
+        assert b" ".join(w).decode() == r.kept_text and len(w) == r.n_words - r.n_removed
