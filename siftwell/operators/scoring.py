@@ -51,25 +51,26 @@ def trace_score(answer: Column, truth: Column, limits: tuple[float, float] = TRA
     return F.when(usable, F.greatest(score, F.lit(0.0))).otherwise(0.0)
 
 
+def _depth_error(pa: Column, pt: Column) -> Column:
+    """Mean absolute depth difference after resampling to the truth's length."""
+    da, dt = (F.transform(p, lambda x: F.array(x["depth"], F.lit(0.0))) for p in (pa, pt))
+    gaps = F.zip_with(V.resampled(da, F.size(dt)), dt, lambda x, y: F.abs(x[0] - y[0]))
+    return F.aggregate(gaps, F.lit(0.0), lambda s, x: s + x) / F.size(gaps)
+
+
 def trace_3d_score(answer: Column, truth: Column) -> Column:
     """Half the place's ramp, half the ramp of the mean absolute depth error."""
     pa, pt = _parsed(answer, POINTS), _parsed(truth, POINTS)
     a, t = _points(pa), _points(pt)
-    da, dt = (F.transform(p, lambda x: F.array(x["depth"], F.lit(0.0))) for p in (pa, pt))
     usable = (F.size(a) > 1) & (F.size(t) > 1) & (F.size(a) == F.size(pa)) & (F.size(t) == F.size(pt)) & ~F.exists(pa, lambda x: x["depth"].isNull())
     place = _root_mean_square(V.resampled(a, F.size(t)), t)
-    gaps = F.zip_with(V.resampled(da, F.size(t)), dt, lambda x, y: F.abs(x[0] - y[0]))
-    depth = F.aggregate(gaps, F.lit(0.0), lambda s, x: s + x) / F.size(gaps)
-    score = 0.5 * V.ramp(place, *TRACE_3D) + 0.5 * V.ramp(depth, *DEPTH) - F.when(F.size(a) != F.size(t), LENGTH_PENALTY).otherwise(0.0)
+    score = 0.5 * V.ramp(place, *TRACE_3D) + 0.5 * V.ramp(_depth_error(pa, pt), *DEPTH) - F.when(F.size(a) != F.size(t), LENGTH_PENALTY).otherwise(0.0)
     return F.when(usable, F.greatest(score, F.lit(0.0))).otherwise(0.0)
 
 
-def point_score(answer: Column, truth: Column) -> Column:
-    """Share of points inside any polygon; without polygons inside the first box; else the nearest-distance ramp with a count penalty."""
-    a, regions = _points(_parsed(answer, POINTS)), _parsed(truth, REGIONS)
+def _point(a: Column, regions: Column, t: Column) -> Column:
     polygons = F.transform(F.filter(regions, lambda r: r["polygon"].isNotNull() & (F.size(r["polygon"]) > 2)), lambda r: r["polygon"])
     found = F.filter(regions, lambda r: r["bbox_2d"].isNotNull() & (F.size(r["bbox_2d"]) == 4))
-    t = _points(regions)
     share = lambda inside: F.size(F.filter(a, inside)) / F.size(a)
     in_any = share(lambda p: F.exists(polygons, lambda g: V.in_polygon(p, g)))
     box = F.get(found, F.lit(0))["bbox_2d"]
@@ -77,6 +78,12 @@ def point_score(answer: Column, truth: Column) -> Column:
     return F.when(F.size(a) == 0, 0.0).when(F.size(polygons) > 0, in_any).when(F.size(found) > 0, share(lambda p: V.in_box(p, box))).otherwise(F.greatest(near, F.lit(0.0)))
 
 
+def point_score(answer: Column, truth: Column) -> Column:
+    """Share of points inside any polygon; without polygons inside the first box; else the nearest-distance ramp with a count penalty."""
+    regions = _parsed(truth, REGIONS)
+    return _point(_points(_parsed(answer, POINTS)), regions, _points(regions))
+
+
 def box_score(answer: Column, truth: Column) -> Column:
     """Intersection over union of the first boxes."""
     a, t = (F.get(_parsed(x, REGIONS), F.lit(0))["bbox_2d"] for x in (answer, truth))
@@ -118,6 +125,51 @@ def score(response: Column, truth: Column, kind: Column, format_weight: float =
     return F.struct(overall.alias("overall"), form.cast("double").alias("format"), (right if relaxed else F.when(form, right).otherwise(0.0)).alias("accuracy"))
 
 
+def score_rows(df: DataFrame, response: str, truth: str, kind: str, format_weight: float = 0.1, relaxed: bool = False, out: str = "score") -> DataFrame:
+    """Adds the score struct to every row.
+
+    Says what ``score`` says, with each parse in a column of its own: texts are parsed once, by
+    the rows whose kind needs it, and expressions stay small.
+    """
+    k = F.col(kind)
+    places, tracks = k.isin("point", "trace", "trace_3d"), k.isin("trace", "trace_3d")
+    steps: list[dict[str, Column]] = [
+        {"_form": T.well_formed(F.col(response), k), "_a": F.when(T.has_answer(F.col(response)), T.extract_answer(F.col(response))).otherwise(F.col(response)), "_t": F.when(T.has_answer(F.col(truth)), T.extract_answer(F.col(truth))).otherwise(F.col(truth))},
+        {
+            "_pa": F.when(places, _parsed(F.col("_a"), POINTS)),
+            "_pt": F.when(tracks, _parsed(F.col("_t"), POINTS)),
+            "_ra": F.when(k == "spatial grounding", _parsed(F.col("_a"), REGIONS)),
+            "_rt": F.when(k.isin("spatial grounding", "point"), _parsed(F.col("_t"), REGIONS)),
+        },
+        {"_xa": _points(F.col("_pa")), "_xt": _points(F.col("_pt")), "_xr": _points(F.col("_rt"))},
+        {
+            "_place": F.when(tracks & (F.size("_xa") > 1) & (F.size("_xt") > 1), _root_mean_square(V.resampled(F.col("_xa"), F.size("_xt")), F.col("_xt"))),
+            "_miss": F.when(F.size("_xa") != F.size("_xt"), LENGTH_PENALTY).otherwise(0.0),
+            "_depth": F.when((k == "trace_3d") & (F.size("_xa") > 1) & (F.size("_xt") > 1) & (F.size("_xa") == F.size("_pa")) & (F.size("_xt") == F.size("_pt")) & ~F.exists("_pa", lambda x: x["depth"].isNull()), _depth_error(F.col("_pa"), F.col("_pt"))),
+        },
+    ]
+    for step in steps:
+        df = df.withColumns(step)
+    zero = F.lit(0.0)
+    right = (
+        F.when(k == "trace", F.coalesce(F.greatest(V.ramp(F.col("_place"), *TRACE) - F.col("_miss"), zero), zero))
+        .when(k == "trace_3d", F.coalesce(F.greatest(0.5 * V.ramp(F.col("_place"), *TRACE_3D) + 0.5 * V.ramp(F.col("_depth"), *DEPTH) - F.col("_miss"), zero), zero))
+        .when(k == "point", _point(F.col("_xa"), F.col("_rt"), F.col("_xr")))
+        .when(k == "spatial grounding", F.coalesce(V.iou(F.get("_ra", F.lit(0))["bbox_2d"], F.get("_rt", F.lit(0))["bbox_2d"]), zero))
+        .when(k.isin("numerical", "regression"), numeric_score(F.col("_a"), F.col("_t")))
+        .when(k == "multiple choice", choice_score(F.col("_a"), F.col("_t")))
+        .when(k == "open-ended", exact_score(F.col("_a"), F.col("_t")))
+        .otherwise(zero)
+    )
+    # a null distance means that a track could not be read
+    right = F.when(tracks & (F.col("_place").isNull() | ((k == "trace_3d") & F.col("_depth").isNull())), 0.0).otherwise(right)
+    df = df.withColumn("_right", right)
+    without = (1 - format_weight) * F.col("_right") if relaxed else zero
+    overall = F.when(F.col("_form"), (1 - format_weight) * F.col("_right") + format_weight).otherwise(without)
+    made = F.struct(overall.alias("overall"), F.col("_form").cast("double").alias("format"), (F.col("_right") if relaxed else F.when(F.col("_form"), F.col("_right")).otherwise(0.0)).alias("accuracy"))
+    return df.withColumn(out, made).drop("_right", *(c for step in steps for c in step))
+
+
 def mean_scores(df: DataFrame, columns: list[str], dataset: str) -> DataFrame:
     """Means over all rows and per dataset: two grouping sets in one pass."""
     g = df.rollup(dataset).agg(F.grouping(dataset).alias("_all"), *(F.avg(c).alias(c) for c in columns))

@@ -35,14 +35,13 @@ SELECT event_id, round(CASE WHEN form THEN 0.9 * acc + 0.1 ELSE 0 END, 6) AS ove
 )
 def _scores(spark, sf_dir):
     a = answers(spark, sf_dir).where("kind <> 'numerical'")
-    s = S.score(F.col("response"), F.col("truth"), F.col("kind"))
-    return a.withColumn("s", s).select("event_id", r6(F.col("s.overall")).alias("overall"), F.col("s.format").alias("format"))
+    return S.score_rows(a, "response", "truth", "kind", out="s").select("event_id", r6(F.col("s.overall")).alias("overall"), F.col("s.format").alias("format"))
 
 
 @query("relaxed_scores", "SELECT event_id, CAST(CASE WHEN event_id % 5 = 0 THEN CASE WHEN event_id % 9 = 0 THEN 0.0 ELSE 0.1 END WHEN event_id % 9 = 0 THEN 0.9 ELSE 1.0 END AS DOUBLE) AS overall FROM events WHERE event_id % 4 = 3")
 def _relaxed(spark, sf_dir):
     a = answers(spark, sf_dir).where("kind = 'open-ended'")
-    return a.withColumn("s", S.score(F.col("response"), F.col("truth"), F.col("kind"), relaxed=True)).select("event_id", r6(F.col("s.overall")).alias("overall"))
+    return S.score_rows(a, "response", "truth", "kind", relaxed=True, out="s").select("event_id", r6(F.col("s.overall")).alias("overall"))
 
 
 @query("mean_scores", "SELECT coalesce(event_type, 'all') AS event_type, round(avg(value), 6) AS value FROM events GROUP BY ROLLUP (event_type)")

@@ -59,6 +59,20 @@ def test_task_scores(spark):
     assert [r.s for r in n.select(S.numeric_score(F.col("a"), F.col("t")).alias("s")).collect()] == [1.0, 0.0, 1.0]
 
 
+def test_row_scores_equal_column_scores(spark):
+    track = '[{"point_2d": [%d, %d], "depth": %s}, {"point_2d": [100, 0], "depth": 2.0}]'
+    rows = []
+    for i, kind in enumerate([*S.TASKS, "unknown"] * 3):
+        body, truth = {"trace": (track % (0, 60, 1), track % (0, 0, 1)), "trace_3d": (track % (0, 60, 1.2), track % (0, 0, 1)), "point": ('[{"point_2d": [5, 5]}]', '[{"point_2d": [5, 90]}]'), "spatial grounding": ('[{"bbox_2d": [0, 0, 4, 4]}]', '[{"bbox_2d": [0, 0, 4, 8]}]')}.get(kind, ("1.04", "1.0") if kind in ("numerical", "regression") else ("B) x", "B"))
+        body = body if i % 3 else "bad"
+        rows.append((i, kind, f"<answer>{body}</answer>" if i % 2 else body, truth))
+    df = spark.createDataFrame(rows, "i int, kind string, r string, t string")
+    for relaxed in (False, True):
+        a = {x.i: tuple(x.s) for x in S.score_rows(df, "r", "t", "kind", relaxed=relaxed, out="s").collect()}
+        b = {x.i: tuple(x.s) for x in df.select("i", S.score(F.col("r"), F.col("t"), F.col("kind"), relaxed=relaxed).alias("s")).collect()}
+        assert a.keys() == b.keys() and all(a[i] == pytest.approx(b[i]) for i in a)
+
+
 def test_frames_and_positions(spark):
     r = spark.range(1).select(M.frame_count(F.lit(100), F.lit(25.0)).alias("n"), M.frame_range(F.lit(100), F.lit(25.0), F.lit(1.0), F.lit(2.0)).alias("r"), M.evenly(F.lit(0), F.lit(9), F.lit(4)).alias("e"), M.target_size(F.lit(100), F.lit(50), 14).alias("s"), M.timed_video(F.lit("a<video>b"), F.array(F.lit(2), F.lit(4), F.lit(4)), F.array(F.lit(0.5), F.lit(1.0)), token="#", start="[", stop="]").alias("t")).first()
     assert (r.n, tuple(r.r), r.e, tuple(r.s)) == (8, (25, 50, 26), [0, 3, 6, 9], (112, 56)) and r.t == "a<0.5 seconds>[####]<1.0 seconds>[####]b"
