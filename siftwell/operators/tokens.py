@@ -330,5 +330,6 @@ def tokenize(df: DataFrame, text: str, out: str, encode) -> DataFrame:
 
 
 def byte_ids(text: str) -> Column:
-    """The built-in tokenizer: one id per UTF-8 byte."""
-    return F.expr(f"transform(sequence(1, greatest(octet_length({text}), 1)), i -> cast(conv(hex(substring(encode({text}, 'UTF-8'), i, 1)), 16, 10) as int))")
+    """The built-in tokenizer: one id per UTF-8 byte; the text is turned to hex digits once."""
+    pairs = F.regexp_extract_all(F.hex(F.encode(F.col(text), "UTF-8")), F.lit("[0-9A-F]{2}"), F.lit(0))
+    return F.transform(pairs, lambda h: F.conv(h, 16, 10).cast("int"))
