@@ -12,6 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftwell.operators.batch import with_position
+from siftwell.sources.scratch import materialise
+
 EPS = 1e-6
 
 # ---- group level --------------------------------------------------------------------------
@@ -177,12 +180,26 @@ def position_ids(mask: str) -> Column:
     return F.expr(f"transform({mask}, (x, i) -> greatest(cast(aggregate(slice({mask}, 1, i + 1), 0, (a, y) -> a + cast(y as int)) as int) - 1, 0))")
 
 
-def smooth(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
-    """Exponential moving average per series; the weight follows from the series' length: 1.8 * (sigmoid(0.05 n) - 0.5)."""
-    rows = df.groupBy(key).agg(F.expr(f"array_sort(collect_list(struct({order}, {value})))").alias("s"))
-    w = "(1.8D * (1D / (1D + exp(-0.05D * size(s))) - 0.5D))"
-    folded = F.expr(f"aggregate(s, cast(array() as array<double>), (a, x) -> array_append(a, if(size(a) = 0, x.{value}, element_at(a, -1) * {w} + (1D - {w}) * x.{value})))")
-    return rows.withColumn("e", folded).select(key, F.explode(F.arrays_zip(F.col(f"s.{order}").alias(order), F.col("e").alias("smoothed"))).alias("z")).select(key, F.col(f"z.{order}"), "z.smoothed")
+def smooth(df: DataFrame, key: str, order: str, value: str, block: int = 512) -> DataFrame:
+    """Exponential moving average per series; the weight follows from the series' length: 1.8 * (sigmoid(0.05 n) - 0.5).
+
+    A series is folded in blocks of consecutive rows: each block starts from what the blocks before
+    it come to, so no row of the plan holds a whole series.
+    """
+    rows = with_position(df.select(key, order, value), key, order, value)
+    series = rows.groupBy(F.col(key).alias("_key")).agg(F.min("_pos").alias("_start"), F.count(F.lit(1)).alias("_n"))
+    rows = rows.join(series, F.col(key).eqNullSafe(F.col("_key"))).withColumn("_block", F.floor((F.col("_pos") - F.col("_start")) / block))
+    s = F.array_sort(F.collect_list(F.struct("_pos", F.col(order).alias("o"), F.col(value).cast("double").alias("v"))))
+    rows = rows.groupBy("_key", "_block", "_n").agg(s.alias("s")).withColumn("w", F.expr("1.8D * (1D / (1D + exp(-0.05D * _n)) - 0.5D)"))
+    rows = materialise(rows, "blocks")
+    # a block takes x to x * w ** size + own; the first one starts from its first value
+    own = F.expr("aggregate(s, if(_block = 0, s[0].v, 0D), (a, x) -> a * w + (1D - w) * x.v)")
+    ends = rows.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("_block", F.expr("if(_block = 0, 0D, pow(w, size(s)))").alias("f"), own.alias("own")))).alias("b"))
+    ends = ends.withColumn("e", F.expr("aggregate(b, cast(array() as array<double>), (a, x) -> array_append(a, if(size(a) = 0, 0D, element_at(a, -1)) * x.f + x.own))"))
+    ends = ends.select(F.col("_key").alias("_of"), F.posexplode("e").alias("_at", "_end"))
+    rows = rows.join(ends, F.col("_key").eqNullSafe(F.col("_of")) & (F.col("_block") == F.col("_at") + 1), "left")
+    folded = F.expr("aggregate(s, cast(array() as array<double>), (a, x) -> array_append(a, if(size(a) = 0, if(_block = 0, s[0].v, _end), element_at(a, -1)) * w + (1D - w) * x.v))")
+    return rows.withColumn("e", folded).select(F.col("_key").alias(key), F.explode(F.arrays_zip(F.col("s.o").alias(order), F.col("e").alias("smoothed"))).alias("z")).select(key, F.col(f"z.{order}"), "z.smoothed")
 
 
 # ---- losses -------------------------------------------------------------------------------

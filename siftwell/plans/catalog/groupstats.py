@@ -184,6 +184,12 @@ def _smooth(spark, sf_dir):
     return G.smooth(e, "event_type", "event_id", "value").select("event_type", "event_id", r6(F.col("smoothed")).alias("smoothed"))
 
 
+@query("smoothed_series_whole")
+def _smooth_whole(spark, sf_dir):
+    """smoothed_series over every event; recursive SQL is too slow for it."""
+    return G.smooth(events(spark, sf_dir), "event_type", "event_id", "value").select("event_type", "event_id", r6(F.col("smoothed")).alias("smoothed"))
+
+
 LP = "SELECT event_id, user_id, -value / 100 AS lp, -value / 100 + (event_id % 11 - 5) / 10 AS old, (event_id % 13 - 6.5) / 3 AS adv, CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END AS m FROM events"
 
 
@@ -241,6 +247,13 @@ def _adaptive(spark, sf_dir):
     return e.withColumn("kls", F.col("s.value")).select("event_type", r6(G.adaptive_coefficient("kls", 0.1, 50.0, 100.0, 10)).alias("coefficient"))
 
 
+@query("adaptive_coefficient_whole")
+def _adaptive_whole(spark, sf_dir):
+    """adaptive_coefficient over every event; unrounded, as the product of many steps may be small."""
+    e = events(spark, sf_dir).groupBy("event_type").agg(F.array_sort(F.collect_list(F.struct("event_id", "value"))).alias("s"))
+    return e.withColumn("kls", F.col("s.value")).select("event_type", G.adaptive_coefficient("kls", 0.1, 50.0, 100.0, 10).alias("coefficient"))
+
+
 @query(
     "preference_losses",
     """WITH p AS (SELECT l_orderkey AS k, l_linenumber AS n, l_partkey AS u, l_suppkey AS s, -l_quantity / 50 - 0.01 AS c, -l_discount * 10 - 0.02 AS r, -l_tax * 8 - 0.3 AS rc, -l_quantity / 60 - 0.4 AS rr FROM lineitem)
