@@ -240,3 +240,9 @@ def _products(spark, sf_dir):
 @query("cosine_schedule", "SELECT event_id, round(CASE WHEN event_id < 100 THEN 0.1 + 0.9 * event_id / 100 ELSE greatest(0, cos((event_id - 100) / 900.0 * pi()) * 0.45 + 0.55) END, 6) AS lr FROM events WHERE event_id < 1000")
 def _cosine(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id < 1000").select("event_id", r6(V.cosine_warmup(F.col("event_id"), 100, 1000, 0.1)).alias("lr"))
+
+
+@query("cosine_schedule_whole", "SELECT event_id, round(CASE WHEN event_id < 100 THEN 0.1 + 0.9 * event_id / 100 ELSE greatest(0, cos((event_id - 100) / 900.0 * pi()) * 0.45 + 0.55) END, 6) AS lr FROM events")
+def _cosine_whole(spark, sf_dir):
+    """cosine_schedule over every event; past the last step the wave goes on."""
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", r6(V.cosine_warmup(F.col("event_id"), 100, 1000, 0.1)).alias("lr"))

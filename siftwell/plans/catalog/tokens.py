@@ -88,6 +88,14 @@ def _mask(spark, sf_dir):
     return rows.select("l_suppkey", F.expr("aggregate(flatten(m), 0L, (a, x) -> a + x)").alias("seen"))
 
 
+@query("block_causal_mask_whole", SEG + "SELECT l_suppkey, CAST(coalesce(sum(n * (n + 1) // 2) FILTER (seg <> 0), 0) AS BIGINT) AS seen FROM (SELECT l_suppkey, seg, count(*) AS n FROM s GROUP BY ALL) GROUP BY l_suppkey")
+def _mask_whole(spark, sf_dir):
+    """block_causal_mask over every supplier; a segment of n tokens has n * (n + 1) / 2 ones."""
+    rows = segments(spark, sf_dir)
+    rows = rows.repartition(spark.sparkContext.defaultParallelism * 4, "l_suppkey").withColumn("m", T.block_causal_mask("seg"))
+    return rows.select("l_suppkey", F.expr("aggregate(m, 0L, (a, r) -> a + aggregate(r, 0L, (b, x) -> b + x))").alias("seen"))
+
+
 @query(
     "pretrain_blocks",
     """WITH n AS (SELECT conv_id, turn, greatest(strlen(text), 1) AS n FROM conversations)

@@ -50,3 +50,18 @@ def test_adaptive_coefficient_of_all_events(spark, sf_dir):
             c *= 1 + min(max(v / 50 - 1, -0.2), 0.2) * 10 / 100
         want[t] = c
     assert got == pytest.approx(want, rel=1e-9)
+
+
+def test_masks_of_all_suppliers(spark, sf_dir):
+    want = {}
+    for r in spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr("l_suppkey AS s", "l_partkey % 4 AS seg").collect():
+        want.setdefault(r.s, []).append(r.seg)
+    want = {s: sum(a == b != 0 for i, a in enumerate(v) for b in v[: i + 1]) for s, v in ((s, sorted(v)) for s, v in want.items())}
+    assert {r.l_suppkey: r.seen for r in QUERIES["block_causal_mask_whole"](spark, sf_dir).collect()} == want
+
+
+def test_schedule_of_all_events(spark, tmp_path):
+    spark.range(0, 3000, 7).withColumnRenamed("id", "event_id").write.parquet(str(tmp_path / "events.parquet"))
+    got = {r.event_id: r.lr for r in QUERIES["cosine_schedule_whole"](spark, str(tmp_path)).collect()}
+    want = {s: 0.1 + 0.9 * s / 100 if s < 100 else math.cos(math.pi * (s - 100) / 900) * 0.45 + 0.55 for s in range(0, 3000, 7)}
+    assert got == pytest.approx(want, abs=2e-6)
