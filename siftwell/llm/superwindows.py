@@ -77,9 +77,9 @@ def bucket_of(anchor: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def pack_entries(anchor: np.ndarray, check: np.ndarray, home: np.ndarray | None = None) -> bytes:
-    """Sorted entries as bytes: key planes, 32 check bits each, and for runs the home numbers."""
+    """Sorted entries as bytes: key planes, the 64 check bits of each, and for runs the home numbers."""
     keys = squeeze(anchor)
-    tail = check.astype(np.uint32).tobytes()
+    tail = check.astype("<u8").tobytes()
     more = b"" if home is None else zstandard.ZstdCompressor(level=1).compress(home.astype("<i4").tobytes())
     return np.array([len(anchor), len(keys)], "<i8").tobytes() + keys + tail + more
 
@@ -87,8 +87,8 @@ def pack_entries(anchor: np.ndarray, check: np.ndarray, home: np.ndarray | None
 def unpack_entries(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
     n, k = np.frombuffer(raw, "<i8", 2)
     anchor = unsqueeze(raw[16 : 16 + k], int(n))
-    check = np.frombuffer(raw, np.uint32, int(n), 16 + int(k))
-    rest = raw[16 + k + 4 * n :]
+    check = np.frombuffer(raw, "<u8", int(n), 16 + int(k))
+    rest = raw[16 + k + 8 * n :]
     home = np.frombuffer(zstandard.ZstdDecompressor().decompress(rest, max_output_size=max(4 * int(n), 1)), "<i4") if rest else None
     return anchor, check, home
 

@@ -5,6 +5,7 @@ import re
 import numpy as np
 import pytest
 
+from siftwell.llm import superwindows as S
 from siftwell.llm.lyndon_sort import common_prefixes, suffix_array
 from siftwell.llm.substring_dedup import dedup_substrings
 from siftwell.llm.suffix_dedup import dedup_suffixes
@@ -107,3 +108,15 @@ def test_texts_and_spans_agree(spark):
         for x in reversed(r.removed):
             del w[x.start : x.start + x.length]
         assert b" ".join(w).decode() == r.kept_text and len(w) == r.n_words - r.n_removed
+
+
+def test_contents_that_share_half_their_check_are_no_repeats():
+    anchor = np.array([7, 7, 9], np.uint64)
+    check = np.array([5, 5 + (1 << 32), 1 << 63], np.uint64)
+    first, second = (S.unpack_entries(S.pack_entries(anchor[[i, 2]], check[[i, 2]])) for i in (0, 1))
+    assert second[0].tolist() == [7, 9] and second[1].tolist() == check[1:].tolist()
+    home = np.array([0, 0, 1, 1], np.int32)
+    code, _ = S.judge(np.r_[first[0], second[0]], np.r_[first[1], second[1]], home, np.zeros(4, bool))
+    assert code.tolist() == [S.OPEN, S.UNIQUE, S.OPEN, S.REPEAT]
+    run = S.unpack_entries(S.pack_entries(anchor, check, np.array([3, 4, 5], np.int32)))
+    assert [c.tolist() for c in run] == [anchor.tolist(), check.tolist(), [3, 4, 5]]
