@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from siftwell.llm.common import bounded_batches, discard, materialise
 from siftwell.llm.components import connected_components
 from siftwell.llm.rolling import Batch, avalanche, cuts, span_hashes
+from siftwell.operators.batch import with_position
 
 BANDS, ROWS = 24, 4
 SAMPLE_WORDS, SET_WORDS = 8, 16  # 64-bit words of the two parity bitmaps
@@ -230,12 +231,33 @@ def near_duplicates(docs: DataFrame, share: tuple[int, int] = (80, 100), width:
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs (no null doc_id) with _id, which no two rows share: doc_id, or for further texts of a doc_id a number that is free.
+
+    Rows that share doc_id and text (null is the empty text) are one; their first stays.
+    """
+    docs = docs.withColumn("_id", F.col("doc_id").cast("long"))
+    repeated = materialise(docs.groupBy("_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_id"), "repeated")
+    if repeated.isEmpty():
+        return docs
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.join(repeated, "_id", "left_semi").withColumn("_same", F.row_number().over(Window.partitionBy("_id", text).orderBy("text"))).where("_same = 1")
+    rows = materialise(rows.withColumn("_row", F.row_number().over(Window.partitionBy("_id").orderBy(text))).drop("_same"), "rows")
+    low, high = docs.agg(F.min("_id"), F.max("_id")).first()
+    more = rows.where("_row > 1").count()
+    start = high + 1 if high + more < 2**63 - 1 else low - more
+    if start < -(2**63):
+        raise ValueError("doc_id leaves no free numbers for repeated rows")
+    further = with_position(rows.where("_row > 1"), "_id", "_row").withColumn("_id", F.col("_pos") + F.lit(start)).drop("_pos", "_row")
+    return docs.join(repeated, "_id", "left_anti").select(*docs.columns).unionByName(rows.where("_row = 1").select(*docs.columns)).unionByName(further.select(*docs.columns))
+
+
 def distinct_documents(docs: DataFrame, share: tuple[int, int] = (80, 100), width: int = 5) -> DataFrame:
-    """The rows of docs that stay: per component its smallest doc_id, all with a null doc_id.
+    """The rows of docs that stay: one per component, all with a null doc_id.
 
-    Of rows that share a doc_id the one with the smallest text stays.
+    That is its smallest doc_id.  Rows that share a doc_id are documents of their own, unless their
+    texts are equal; all but the first by text count as larger than every doc_id.
     """
-    kept = near_duplicates(docs.select("doc_id", "text"), share, width).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id")).distinct()
-    rows = docs.where("doc_id IS NOT NULL").join(kept, F.col("doc_id") == F.col("_id"), "left_semi")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    return rows.withColumn("_row", first).where("_row = 1").select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    rows = _numbered(docs.where("doc_id IS NOT NULL"))
+    kept = near_duplicates(rows.select(F.col("_id").alias("doc_id"), "text"), share, width).where("kept").select(F.col("doc_id").alias("_id")).distinct()
+    return rows.join(kept, "_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))

@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from siftwell.llm.near_dedup import near_duplicates
+from siftwell.llm.near_dedup import distinct_documents, near_duplicates
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -63,3 +63,10 @@ def test_odd_rows(spark, rows):
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, node string, size int")
     got = sorted(map(tuple, near_duplicates(df).collect()), key=str)
     assert got == ([] if not rows else sorted([(None, 2, None, True), (1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False)], key=str))
+
+
+def test_different_texts_of_one_id_stay(spark):
+    a, b, c = ("one two three four five six seven", "red green blue black white brown", "north east south west up down")
+    docs = [(1, a), (1, b), (1, None), (1, ""), (2, b), (3, c), (3, c), (4, c), (None, a), (None, a)]
+    got = distinct_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.text or "") for r in got) == sorted([("1", a), ("1", ""), ("2", b), ("3", c), ("None", a), ("None", a)])
