@@ -66,3 +66,10 @@ def test_odd_rows(spark):
     assert resample(df, got).where("doc_id IS NULL").count() == 1
     only = spark.createDataFrame([(1, None, "en", 1.0)], schema)
     assert mixing_rates(only, labels, {"en": 1.0}).first().tokens == 0
+
+
+def test_registered_rates_keep_all_tokens(spark, sf_dir):
+    from siftwell.llm.queries import op4_source_mixing
+
+    rows = op4_source_mixing(spark, sf_dir).collect()
+    assert math.isclose(sum(r.rate * r.tokens for r in rows), sum(r.tokens for r in rows), rel_tol=1e-3)
