@@ -230,14 +230,16 @@ def rouge_l(reference: list[str], candidate: list[str]) -> float:
 
 
 def overlap_scores(df: DataFrame, reference: str, candidate: str) -> DataFrame:
-    """bleu (words), bleu_char (characters, four-grams), rouge_1, rouge_2, rouge_l of every row, times 100."""
+    """bleu (words), bleu_char (characters, four-grams), rouge_1, rouge_2, rouge_l of every row, times 100; and in 0..1 bleu_mean of BLEU-1 to BLEU-3 and rouge_mean of the three ROUGE values."""
     schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
-    names = ["bleu", "bleu_char", "rouge_1", "rouge_2", "rouge_l"]
+    names = ["bleu", "bleu_char", "rouge_1", "rouge_2", "rouge_l", "bleu_mean", "rouge_mean"]
 
     def one(r: str | None, c: str | None) -> tuple[float, ...]:
         r, c = r or "", c or ""
         rw, cw = r.split(), c.split()
-        return tuple(round(100 * x, 4) for x in (bleu(rw, cw), bleu(list(r), list(c)), rouge_n(rw, cw, 1), rouge_n(rw, cw, 2), rouge_l(rw, cw)))
+        rouge = (rouge_n(rw, cw, 1), rouge_n(rw, cw, 2), rouge_l(rw, cw))
+        means = (sum(bleu(rw, cw, n) for n in (1, 2, 3)) / 3, sum(rouge) / 3)
+        return *(round(100 * x, 4) for x in (bleu(rw, cw), bleu(list(r), list(c)), *rouge)), *(round(x, 6) for x in means)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
