@@ -114,3 +114,24 @@ def test_bounds_never_lose_a_result():
         q, x = np.floor(rng.normal(size=(9, dim)) * 20), np.floor(rng.normal(size=(500, dim)) * 20)
         for i, scores, _ in search_block(q, np.arange(9) - 100, x, np.arange(500), 10, step=37):
             assert scores.tolist() == sorted((x @ q[i]).tolist(), reverse=True)[:10]
+
+
+def test_bounds_drop_most_pairs():
+    rng = np.random.default_rng(2)
+    x = np.floor(64 * rng.normal(size=(8192, 64)) / 8)
+    floors = np.array([s[-1] for _, s, _ in search_block(x[:64], np.arange(64), x[4096:], np.arange(4096, 8192), 20)])  # as of a sample
+    seen = []
+    list(search_block(x[:64], np.arange(64), x, np.arange(8192), 20, floors=floors, seen=seen))
+    assert seen[0] == 64 * 8191 and seen == sorted(seen, reverse=True)
+    assert seen[-1] < 0.05 * seen[0]
+
+
+@pytest.mark.parametrize("size", [10**6, 10**9, 10**12])
+def test_large_scores_are_exact(spark, size):
+    rng = random.Random(size)
+    rows = [(i, [float(rng.randrange(-size, size)) for _ in range(8)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, vector array<double>")
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in top_k(df, df.where("vec_id = 0"), 5, block=16).collect())
+    score = lambda v: max(-(2**63), min(2**63 - 1, sum(int(a) * int(b) for a, b in zip(rows[0][1], v))))
+    best = sorted((-score(v), i) for i, v in rows[1:])[:5]
+    assert got == [(0, k + 1, i, -v) for k, (v, i) in enumerate(best)]
