@@ -8,7 +8,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from siftwell.llm import chat_format as C
-from siftwell.llm.packing import encoder, pack, plan
+from siftwell.llm.packing import best_pattern, configurations, encoder, pack, plan
 from siftwell.llm.queries import tokenizer_files
 from siftwell.llm.vector_search import search_block, top_k
 
@@ -23,6 +23,12 @@ def test_fast_ids_equal_the_tokenizer():
     assert all(list(fast(t)) == slow.encode(t, add_special_tokens=False).ids for t in texts)
 
 
+def test_fast_ids_of_a_whole_table(spark, sf_dir):
+    slow, fast = Tokenizer.from_file(FILES["tokenizer_path"]), encoder(**FILES)
+    texts = [r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
+    assert all(list(fast(t)) == e.ids for t, e in zip(texts, slow.encode_batch(texts, add_special_tokens=False), strict=True))
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_plans_place_everything_once(seed):
     rng = np.random.default_rng(seed)
@@ -37,7 +43,24 @@ def test_plans_place_everything_once(seed):
         filled[first : first + number] += n
     assert filled.max() <= cap and filled.min() > 0
     if len(lengths) > 1000:
-        assert len(filled) <= 1.02 * -(-lengths.sum() // cap)
+        assert len(filled) <= 1.002 * -(-lengths.sum() // cap)
+
+
+@pytest.mark.parametrize("small", [0.25, 0.4, 0.5])
+def test_configurations_meet_the_program(small):
+    rng = np.random.default_rng(int(small * 100))
+    sizes = np.sort(rng.choice(np.arange(int(100 * small) + 1, 100), 12, replace=False))[::-1]
+    demand = rng.integers(200, 900, 12).astype(float)
+    made = configurations(sizes, demand, 100)
+    assert all((uses * sizes).sum() <= 100 for uses, _ in made) and len(made) <= len(sizes)
+    used = sum(uses * times for uses, times in made)
+    left = demand - used
+    assert (left >= -1).all() and left.sum() <= 4 * len(sizes)
+    # no pattern is worth more than a sequence: best_pattern against all patterns of up to three pieces
+    value = rng.random(12)
+    every = [(a, b, c) for a in range(13) for b in range(a, 13) for c in range(b, 13)]
+    s, v = np.r_[sizes, 0], np.r_[value, 0]
+    assert np.isclose(max(v[list(p)].sum() for p in every if s[list(p)].sum() <= 100), best_pattern(value, sizes, 100) @ value)
 
 
 def test_packed_pieces(spark):
