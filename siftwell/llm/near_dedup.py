@@ -1,6 +1,6 @@
 """MinHash near-duplicate detection with odd sketches.
 
-Per document, on distinct word shingles (48-bit hashes):
+Per document, on distinct word shingles (64-bit hashes):
 
 * BANDS x ROWS MinHash samples; each band's hash is a bucket key;
 * the samples folded into a parity bitmap (odd sketch): the population count of two bitmaps' XOR
@@ -11,8 +11,11 @@ Per document, on distinct word shingles (48-bit hashes):
 Documents with equal sets form one class and travel as one representative.  In every bucket the
 representatives first meet the bucket's centre only (a star, no pairs).  Pairs that the bitmaps
 leave open are confirmed on full sets.  What remains in a bucket are pairs across components;
-those that the bitmaps allow are confirmed too, all at once.  A link between two documents
-of similarity s is lost only if no band agrees: (1 - s**ROWS)**BANDS, under 2e-8 at 0.85.
+those that the bitmaps allow are confirmed too, all at once.  Mixed buckets are cut into cells by
+set size (linked sets differ by less than one step) and large cells by a salt, so no task holds a
+large bucket.  A link between two documents of similarity s is lost only if no band agrees,
+(1 - s**ROWS)**BANDS, under 2e-8 at 0.85, or if its odd sketches differ beyond the limit, under
+1e-9 (see sketch_limit).
 
 Defined cases
     null or empty text, or text without words: empty set, linked with nothing (not even with
@@ -24,6 +27,7 @@ Defined cases
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,7 +47,7 @@ _FACTORS = np.random.default_rng(77).integers(1, 2**63, BANDS * ROWS, dtype=np.u
 
 
 def shingle_sets(batch: Batch, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct 48-bit shingle hashes of all documents, and each document's edges."""
+    """Sorted distinct 64-bit shingle hashes of all documents, and each document's edges."""
     starts, ends, first = batch.words()
     words = batch.word_hashes(starts, ends, lower=True)
     n = np.diff(first)
@@ -51,11 +55,11 @@ def shingle_sets(batch: Batch, width: int) -> tuple[np.ndarray, np.ndarray]:
     edges = np.r_[0, np.cumsum(per)]
     doc = np.repeat(np.arange(len(n)), per)
     at = first[:-1][doc] + np.arange(edges[-1]) - edges[:-1][doc]
-    value = span_hashes(words, at, at + np.minimum(n, width)[doc], 1) >> np.uint64(16)
-    key = np.sort(doc.astype(np.uint64) << np.uint64(48) | value)
-    if len(key):
-        key = key[np.r_[True, key[1:] != key[:-1]]]
-    return key & np.uint64((1 << 48) - 1), np.searchsorted(key >> np.uint64(48), np.arange(len(n) + 1).astype(np.uint64))
+    value = span_hashes(words, at, at + np.minimum(n, width)[doc], 1)
+    order = np.lexsort((value, doc))
+    value, doc = value[order], doc[order]
+    new = np.r_[True, (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])] if len(doc) else np.zeros(0, bool)
+    return value[new], np.searchsorted(doc[new], np.arange(len(n) + 1))
 
 
 def signatures(values: np.ndarray, edges: np.ndarray) -> dict[str, np.ndarray]:
@@ -128,7 +132,7 @@ def wanted_bitmap(nodes: DataFrame) -> np.ndarray:
 
 
 def set_table(docs: DataFrame, wanted: np.ndarray, width: int) -> DataFrame:
-    """node and its full sorted set, 6 bytes an element, of documents that the bitmap lets through."""
+    """node and its full sorted set, 8 bytes an element, of documents that the bitmap lets through."""
     bits = len(wanted) * 64
     docs = docs.where("doc_id IS NOT NULL").withColumn("place", F.pmod(F.xxhash64("doc_id"), F.lit(bits)))
 
@@ -138,18 +142,11 @@ def set_table(docs: DataFrame, wanted: np.ndarray, width: int) -> DataFrame:
             hit = (wanted[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1)
             for part in _parts(batch.filter(pa.array(hit.astype(bool)))):
                 values, edges = shingle_sets(Batch(part.column("text")), width)
-                raw = values.view(np.uint8).reshape(-1, 8)[:, :6]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([raw[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())], names=["node", "items"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([values[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())], names=["node", "items"])
 
     return docs.mapInArrow(run, "node long, items binary")
 
 
-def _unpack(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return out.view(np.uint64).ravel()
-
-
 def confirm(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
     """(a, b, linked): whether share[1] * |A and B| >= share[0] * |A or B| on the full sets."""
 
@@ -157,7 +154,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFr
         for batch in batches:
             linked = []
             for x, y in zip(batch.column("items_a"), batch.column("items_b"), strict=True):
-                p, q = _unpack(x.as_py()), _unpack(y.as_py())
+                p, q = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
                 both = len(np.intersect1d(p, q, assume_unique=True))
                 linked.append(share[1] * both >= share[0] * (len(p) + len(q) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
@@ -166,28 +163,48 @@ def confirm(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFr
     return joined.select("a", "b", "items_a", "items_b").mapInArrow(run, "a long, b long, linked boolean")
 
 
+#: Rows of a mixed bucket's size level that meet in one task.
+CELL = 256
+
+
 def _differ(prefix: str, words: int):
     return sum((F.bit_count(F.col(f"x.{prefix}{i}").bitwiseXOR(F.col(f"y.{prefix}{i}"))) for i in range(words)), F.lit(0))
 
 
+def sketch_limit(share: tuple[int, int], loss: float = 1e-9) -> int:
+    """The least XOR count that a pair at the threshold exceeds with probability under loss.
+
+    The number of differing samples is binomial; each of them turns one random bit in either
+    sketch, and the number of odd bits moves up or down by one a turn.  That distribution is
+    computed exactly.
+    """
+    k, bits, p = BANDS * ROWS, 64 * SAMPLE_WORDS, 1 - share[0] / share[1]
+    down = np.arange(bits + 1) / bits
+    odd, total = np.zeros(bits + 1), np.zeros(bits + 1)
+    odd[0] = 1.0
+    for d in range(k + 1):
+        total += math.comb(k, d) * p**d * (1 - p) ** (k - d) * odd
+        for _ in range(2):
+            odd = np.r_[0.0, (odd * (1 - down))[:-1]] + np.r_[(odd * down)[1:], 0.0]
+    beyond = np.r_[np.cumsum(total[::-1])[::-1][1:], 0.0]
+    return int(np.argmax(beyond < loss))
+
+
 def possible(share: tuple[int, int]):
-    """On nodes x and y: the set bitmaps don't exclude a link, and the sample estimate is near it.
+    """On nodes x and y: the set bitmaps don't exclude a link, nor do the odd sketches.
 
     |A xor B| is at least the XOR count c of the set bitmaps, so a link needs
-    share[1] * (a + b - c) >= share[0] * (a + b + c).  The sample bitmap's estimate may fall short
-    of the threshold by five standard deviations.
+    share[1] * (a + b - c) >= share[0] * (a + b + c).  That never fails; the odd sketches' estimate
+    fails a linked pair with probability under 1e-9 (see sketch_limit).
     """
     total, c = F.col("x.n_shingles") + F.col("y.n_shingles"), _differ("f", SET_WORDS)
-    k, bits = BANDS * ROWS, 64 * SAMPLE_WORDS
-    j = share[0] / share[1]
-    most = 2 * (k * (1 - j) + 5 * (k * j * (1 - j)) ** 0.5)
-    limit = bits * (1 - (1 - 2 / bits) ** most) / 2 + 5 * bits**0.5 * 0.25
-    return (F.lit(share[1]) * (total - c) >= F.lit(share[0]) * (total + c)) & (_differ("s", SAMPLE_WORDS) <= F.lit(limit))
+    return (F.lit(share[1]) * (total - c) >= F.lit(share[0]) * (total + c)) & (_differ("s", SAMPLE_WORDS) <= F.lit(sketch_limit(share)))
 
 
 def near_duplicates(docs: DataFrame, share: tuple[int, int] = (80, 100), width: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs."""
     bounded_batches(docs.sparkSession)
+    step = math.log(share[1] / share[0]) * (1 + 1e-9) if share[0] < share[1] else 1e-6
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sig = materialise(signature_table(docs, width), "signatures")
     classes = sig.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("size"), *(F.first(c).alias(c) for c in ["n_shingles", *COLUMNS[2:]]))
@@ -210,9 +227,15 @@ def near_duplicates(docs: DataFrame, share: tuple[int, int] = (80, 100), width:
         """Pairs of one bucket but different components that the bitmaps leave open."""
         m = member.select("bucket", "node").join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
         mixed = m.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
-        m = m.join(mixed, "bucket").join(node, "node")
-        p, q = m.alias("x"), m.alias("y")
-        on = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & possible(share)
+        m = materialise(m.join(mixed, "bucket").join(node, "node").withColumn("level", F.floor(F.log("n_shingles") / F.lit(step)).cast("int")), "mixed")
+        # linked sets lie in one size level or in neighbouring ones; a cell's rows meet in parts of CELL rows
+        cells = m.groupBy("bucket", "level").agg(F.ceil(F.count(F.lit(1)) / F.lit(CELL)).cast("int").alias("parts"))
+        p = m.join(cells, ["bucket", "level"]).withColumn("part", F.pmod(F.xxhash64(F.lit("cell"), "node"), F.col("parts")).cast("int")).drop("parts")
+        q = m.withColumn("own", F.col("level")).withColumn("level", F.explode(F.array(F.col("own") - 1, F.col("own"), F.col("own") + 1)))
+        q = q.join(cells, ["bucket", "level"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+        p, q = p.alias("x"), q.alias("y")
+        on = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.level") == F.col("y.level")) & (F.col("x.part") == F.col("y.part"))
+        on = on & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & possible(share)
         return p.join(q, on).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
     linked = materialise(confirm(star.select("a", "b"), sets, share).where("linked").select("a", "b"), "links")

@@ -1,9 +1,11 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
-from siftwell.llm.near_dedup import distinct_documents, near_duplicates
+from siftwell.llm import near_dedup
+from siftwell.llm.near_dedup import distinct_documents, near_duplicates, sketch_limit
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -70,3 +72,41 @@ def test_different_texts_of_one_id_stay(spark):
     docs = [(1, a), (1, b), (1, None), (1, ""), (2, b), (3, c), (3, c), (4, c), (None, a), (None, a)]
     got = distinct_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert sorted((str(r.doc_id), r.text or "") for r in got) == sorted([("1", a), ("1", ""), ("2", b), ("3", c), ("None", a), ("None", a)])
+
+
+def test_sketch_limit_holds_for_pairs_at_the_threshold():
+    rng = np.random.default_rng(5)
+    limit, counts = sketch_limit((85, 100)), []
+    for _ in range(4000):
+        parity = np.zeros(512, bool)
+        for _ in range(rng.binomial(96, 0.15)):
+            for bit in rng.integers(0, 512, 2):
+                parity[bit] ^= True
+        counts.append(int(parity.sum()))
+    assert max(counts) <= limit and sketch_limit((85, 100), 0.02) == pytest.approx(np.quantile(counts, 0.98), abs=3)
+
+
+def test_mixed_buckets_are_compared_whole(spark):
+    """Many documents that share most of their words, some of them linked, meet in cells of few rows."""
+    rng = random.Random(8)
+    common = [f"c{i}" for i in range(60)]
+    docs = []
+    for i in range(300):
+        own = [f"o{i // 2}x{j}" for j in range(rng.choice([6, 14, 30]))] if i % 2 == 0 else docs[-1][1].split()[60:]
+        docs.append((i, " ".join([*common, *own[: len(own) - (i % 4 == 1)]])))
+    old, near_dedup.CELL = near_dedup.CELL, 16
+    try:
+        got = near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), (85, 100))
+        assert sorted(map(tuple, got.collect())) == brute(docs)
+    finally:
+        near_dedup.CELL = old
+
+
+def test_very_long_and_short_texts_together(spark):
+    rng = random.Random(9)
+    long = [f"w{rng.randrange(10**6)}" for _ in range(60_000)]
+    other = [*long[:58_000], *(f"v{i}" for i in range(2000))]
+    docs = [(1, " ".join(long)), (2, " ".join(other)), *((10 + i, f"a{i % 50} b c") for i in range(3000))]
+    got = {r.doc_id: r for r in near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), (85, 100)).collect()}
+    assert got[1].n_shingles == len({tuple(long[i : i + 5]) for i in range(len(long) - 4)})
+    assert got[2].component_id == 1 and len({got[10 + i].component_id for i in range(3000)}) == 50
