@@ -15,16 +15,38 @@ from pyspark.sql import functions as F
 from siftwell.sources.scratch import materialise
 
 
+def _ranged(df: DataFrame, cols: Sequence[Column]) -> DataFrame:
+    """df in sorted range partitions, written once: _part numbers them and _local their rows.
+
+    Numbers are made while the sorted rows are written, so nothing is shuffled or sorted again.
+    """
+    rows = materialise(df.repartitionByRange(*cols).sortWithinPartitions(*cols).withColumn("_rid", F.monotonically_increasing_id()), "ranged")
+    return rows.withColumn("_part", F.shiftright("_rid", 33).cast("int")).withColumn("_local", F.col("_rid").bitwiseAND(F.lit((1 << 33) - 1))).drop("_rid")
+
+
 def with_position(df: DataFrame, *order: str | Column, name: str = "_pos") -> DataFrame:
     """Global row numbers in the given order, computed by range partitions."""
-    cols = [F.col(c) if isinstance(c, str) else c for c in order]
-    ranged = df.repartitionByRange(*cols).withColumn("_part", F.spark_partition_id())
-    ranged = materialise(ranged, "ranged")  # partition ids must not be computed twice
+    ranged = _ranged(df, [F.col(c) if isinstance(c, str) else c for c in order])
     counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select("_part", before.alias("_before"))  # one row per partition
-    number = F.row_number().over(Window.partitionBy("_part").orderBy(*cols)) - 1
-    return ranged.withColumn("_local", number).join(offsets, "_part").withColumn(name, (F.col("_local") + F.col("_before")).cast("long")).drop("_part", "_local", "_before")
+    offsets = F.broadcast(counts.select("_part", before.alias("_before")))  # one row per partition
+    return ranged.join(offsets, "_part").withColumn(name, (F.col("_local") + F.col("_before")).cast("long")).drop("_part", "_local", "_before")
+
+
+def running_before(df: DataFrame, group: str, order: str, value: Column, name: str) -> DataFrame:
+    """The sum of value over the rows of a group that come before in order; no task sees a whole group.
+
+    Inside a range partition a window sums a group's rows; what the partitions before hold of the
+    group is one row per group and partition.
+    """
+    rows = _ranged(df.withColumn("_value", value), [F.col(group), F.col(order)])
+    here = Window.partitionBy("_part", group).orderBy("_local").rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy("_part", F.col(group).alias("_group")).agg(F.sum("_value").alias("_sum"))
+    carried = F.coalesce(F.sum("_sum").over(Window.partitionBy("_group").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select(F.col("_part").alias("_of"), "_group", carried.alias("_carried"))
+    rows = rows.withColumn("_here", F.coalesce(F.sum("_value").over(here), F.lit(0)))
+    rows = rows.join(parts, (F.col("_part") == F.col("_of")) & F.col(group).eqNullSafe(F.col("_group")))
+    return rows.withColumn(name, F.col("_here") + F.col("_carried")).drop("_part", "_local", "_value", "_here", "_of", "_group", "_carried")
 
 
 def select(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

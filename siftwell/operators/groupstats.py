@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftwell.functions import scans as S
 from siftwell.operators.batch import with_position
 from siftwell.sources.scratch import materialise
 
@@ -111,26 +112,17 @@ def compute_advantage(df: DataFrame, estimator: str, **columns) -> DataFrame:
 
 def reverse_cumsum(values: str) -> Column:
     """Suffix sums in one backward pass."""
-    return F.expr(f"aggregate(reverse({values}), cast(array() as array<double>), (a, x) -> array_prepend(a, x + coalesce(try_element_at(a, 1), 0D)))")
+    return S.over(S.reversed_sums, "array<double>", values)
 
 
 def discounted_returns(rewards: str, mask: str, gamma: float) -> Column:
     """G_t = r_t + gamma * G_{t+1}; what is carried on is multiplied by the mask after use."""
-    return F.expr(
-        f"""aggregate(reverse(zip_with({rewards}, {mask}, (r, m) -> named_struct('r', r, 'm', m))), named_struct('out', cast(array() as array<double>), 'run', 0D),
-        (a, x) -> named_struct('out', array_prepend(a.out, x.r + {gamma!r}D * a.run), 'run', (x.r + {gamma!r}D * a.run) * x.m), a -> a.out)"""
-    )
+    return S.over(S.discounted(gamma), "array<double>", rewards, mask)
 
 
 def generalised_advantage(rewards: str, values: str, mask: str, gamma: float, lam: float) -> Column:
     """Backward recurrence; masked steps carry the state on."""
-    return F.expr(
-        f"""aggregate(reverse(zip_with(zip_with({rewards}, {values}, (r, v) -> named_struct('r', r, 'v', v)), {mask}, (p, m) -> named_struct('r', p.r, 'v', p.v, 'm', m))), named_struct('out', cast(array() as array<double>), 'adv', 0D, 'next', 0D),
-        (a, x) -> named_struct(
-          'out', array_prepend(a.out, if(x.m = 1, x.r + {gamma!r}D * a.next - x.v + {gamma * lam!r}D * a.adv, a.adv)),
-          'adv', if(x.m = 1, x.r + {gamma!r}D * a.next - x.v + {gamma * lam!r}D * a.adv, a.adv),
-          'next', if(x.m = 1, x.v, a.next)), a -> a.out)"""
-    )
+    return S.over(S.advantages(gamma, lam), "array<double>", rewards, values, mask)
 
 
 def masked_sum(values: str, mask: str) -> Column:
@@ -171,13 +163,15 @@ def average_loss(df: DataFrame, values: str, mask: str, mode: str = "token", eps
 
 def response_mask(ids: str, eos: int | list[int]) -> Column:
     """1 up to and including the first end token, 0 behind it."""
-    stop = ", ".join(str(e) for e in ([eos] if isinstance(eos, int) else eos))
-    return F.expr(f"transform({ids}, (x, i) -> if(exists(slice({ids}, 1, i), y -> y in ({stop})), 0, 1))")
+    stops = [eos] if isinstance(eos, int) else eos
+    found = [F.array_position(ids, e) for e in stops]
+    first = F.least(*(F.when(p > 0, p) for p in found), F.size(ids).cast("long"), F.size(ids).cast("long")).cast("int")
+    return F.concat(F.array_repeat(F.lit(1), first), F.array_repeat(F.lit(0), F.size(ids) - first))
 
 
 def position_ids(mask: str) -> Column:
     """max(running count of the mask - 1, 0)."""
-    return F.expr(f"transform({mask}, (x, i) -> greatest(cast(aggregate(slice({mask}, 1, i + 1), 0, (a, y) -> a + cast(y as int)) as int) - 1, 0))")
+    return S.over(S.counted_places, "array<int>", mask)
 
 
 def smooth(df: DataFrame, key: str, order: str, value: str, block: int = 512) -> DataFrame:
@@ -195,10 +189,10 @@ def smooth(df: DataFrame, key: str, order: str, value: str, block: int = 512) ->
     # a block takes x to x * w ** size + own; the first one starts from its first value
     own = F.expr("aggregate(s, if(_block = 0, s[0].v, 0D), (a, x) -> a * w + (1D - w) * x.v)")
     ends = rows.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("_block", F.expr("if(_block = 0, 0D, pow(w, size(s)))").alias("f"), own.alias("own")))).alias("b"))
-    ends = ends.withColumn("e", F.expr("aggregate(b, cast(array() as array<double>), (a, x) -> array_append(a, if(size(a) = 0, 0D, element_at(a, -1)) * x.f + x.own))"))
+    ends = ends.withColumn("e", S.over(S.affine, "array<double>", F.col("b.f"), F.col("b.own")))
     ends = ends.select(F.col("_key").alias("_of"), F.posexplode("e").alias("_at", "_end"))
     rows = rows.join(ends, F.col("_key").eqNullSafe(F.col("_of")) & (F.col("_block") == F.col("_at") + 1), "left")
-    folded = F.expr("aggregate(s, cast(array() as array<double>), (a, x) -> array_append(a, if(size(a) = 0, if(_block = 0, s[0].v, _end), element_at(a, -1)) * w + (1D - w) * x.v))")
+    folded = S.over(S.moving_averages, "array<double>", F.col("s.v"), F.col("w"), F.col("_end"))
     return rows.withColumn("e", folded).select(F.col("_key").alias(key), F.explode(F.arrays_zip(F.col("s.o").alias(order), F.col("e").alias("smoothed"))).alias("z")).select(key, F.col(f"z.{order}"), "z.smoothed")
 
 
@@ -261,6 +255,14 @@ def value_loss(prediction: Column, returns: Column, value: Column, clip: float =
     return 0.5 * F.greatest(a, b)
 
 
+def adaptive_coefficients(df: DataFrame, key: str, kl: str, start: float, target: float, horizon: float, steps: int) -> DataFrame:
+    """adaptive_coefficient of every key's rows.  Its steps are factors, so their order doesn't matter and
+    logarithms are summed map-side; ln_coefficient stays finite where the product of many steps wouldn't."""
+    factor = 1 + clamp(F.col(kl) / target - 1, -0.2, 0.2) * (steps / horizon)
+    rows = df.groupBy(key).agg((F.lit(math.log(start)) + F.sum(F.log(factor))).alias("ln_coefficient"))
+    return rows.select(key, F.exp("ln_coefficient").alias("coefficient"), "ln_coefficient")
+
+
 def adaptive_coefficient(kls: str, start: float, target: float, horizon: float, steps: int) -> Column:
     """A fold over the divergences seen: coef *= 1 + clip(kl / target - 1, +-0.2) * steps / horizon."""
     return F.expr(f"aggregate({kls}, {start!r}D, (c, k) -> c * (1D + least(greatest(k / {target!r}D - 1D, -0.2D), 0.2D) * {steps / horizon!r}D))")
@@ -290,6 +292,25 @@ def masked_logps(logps: str, labels: str, ignore: int = -100) -> Column:
     return F.expr(f"aggregate(zip_with(slice({logps}, 1, greatest(size({logps}) - 1, 0)), slice({labels}, 2, greatest(size({labels}) - 1, 0)), (p, l) -> if(l = {ignore}, 0D, p)), 0D, (a, x) -> a + x)")
 
 
+def counted_labels(labels: str, ignore: int = -100) -> Column:
+    """How many next-token labels count."""
+    return F.size(F.filter(F.slice(labels, F.lit(2), F.greatest(F.size(labels) - 1, F.lit(0))), lambda x: x != ignore))
+
+
+def discounted_logps(logps: str, labels: str, public: Column, alpha: float, ignore: int = -100) -> Column:
+    """masked_logps in which tokens beyond the first ``public`` places after the first counted label weigh alpha.
+
+    public is the smaller number of counted labels of a pair's two answers.
+    """
+    n = F.greatest(F.size(labels) - 1, F.lit(0))
+    counts = F.transform(F.slice(labels, F.lit(2), n), lambda x: (x != ignore).cast("int"))
+    weighed = F.transform(F.arrays_zip(F.slice(logps, F.lit(1), n).alias("p"), counts.alias("c")), lambda z, i: F.struct(z["p"].alias("p"), z["c"].alias("c"), i.alias("i")))
+    first = F.greatest(F.array_position(counts, 1) - 1, F.lit(0))
+    state = F.struct((first + public).cast("long").alias("edge"), F.lit(0.0).alias("sum"))
+    step = lambda a, z: F.struct(a["edge"].alias("edge"), (a["sum"] + F.when(z["c"] == 0, 0.0).when(z["i"] < a["edge"], z["p"]).otherwise(alpha * z["p"])).alias("sum"))
+    return F.aggregate(weighed, state, step, lambda a: a["sum"])
+
+
 def moving_baseline_loss(chosen: Column, rejected: Column, baseline: Column, beta: float = 0.1) -> Column:
     """Binary classifier loss of a pair: both rewards against a running mean of earlier rewards."""
     return -log_sigmoid(beta * chosen - baseline) - log_sigmoid(baseline - beta * rejected)
@@ -297,7 +318,7 @@ def moving_baseline_loss(chosen: Column, rejected: Column, baseline: Column, bet
 
 def running_baseline(rewards: str, start: float = 0.0) -> Column:
     """The running means before each reward of an array, started at a value."""
-    return F.expr(f"aggregate({rewards}, named_struct('n', 0D, 'mean', {start!r}D, 'out', cast(array() as array<double>)), (a, x) -> named_struct('n', a.n + 1, 'mean', a.mean + (x - a.mean) / (a.n + 1), 'out', array_append(a.out, a.mean)), a -> a.out)")
+    return S.over(S.means_before(start), "array<double>", rewards)
 
 
 def place_score(score: str, mask: str) -> Column:

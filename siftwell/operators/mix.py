@@ -24,9 +24,15 @@ def uniform(seed: int | str, key: str | Column) -> Column:
     return F.conv(F.substring(draw(seed, key), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
+#: Heads of at most so many rows are a top-k, whose rows meet in one task; larger ones are numbered by ranges.
+TOP_ROWS = 10_000
+
+
 def shuffled_head(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """n rows drawn without replacement (all, if there are fewer): a distributed top-k."""
-    return df.orderBy(draw(seed, key), key).limit(n)
+    """n rows drawn without replacement (all, if there are fewer)."""
+    if n <= TOP_ROWS:
+        return df.orderBy(draw(seed, key), key).limit(n)
+    return with_position(df, draw(seed, key), key, name="_drawn").where(F.col("_drawn") < n).drop("_drawn")
 
 
 def resample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
@@ -49,10 +55,13 @@ def page(df: DataFrame, order: str, index: int, size: int = 2) -> DataFrame:
 
 
 def by_rank(df: DataFrame, group: str, order: str, rank: int) -> DataFrame:
-    """Per group the row of a rank from 1, clamped to the group's size."""
+    """Per group the row of a rank from 1, clamped to the group's size.
+
+    The rank limits what each task keeps of a group, before the shuffle and behind it.
+    """
     w = Window.partitionBy(group)
-    rows = df.withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_r", F.row_number().over(w.orderBy(order)))
-    return rows.where(F.col("_r") == F.greatest(F.lit(1), F.least(F.lit(rank), F.col("_n")))).drop("_n", "_r")
+    rows = df.withColumn("_r", F.row_number().over(w.orderBy(order))).where(F.col("_r") <= max(rank, 1))
+    return rows.withColumn("_last", F.max("_r").over(w)).where(F.col("_r") == F.col("_last")).drop("_last", "_r")
 
 
 def split(df: DataFrame, key: str, validation: float, seed: int = 42) -> tuple[DataFrame, DataFrame]:
@@ -111,25 +120,21 @@ def interleave_by_probability(frames: Sequence[DataFrame], order: str, probabili
 
 def capped_sample(df: DataFrame, source: str, key: str, caps: dict[str, int], seed: int = 42) -> DataFrame:
     """Per source at most its cap of rows, drawn; sources without a cap stay whole."""
-    cap = F.lit(None).cast("int")
-    for name, n in caps.items():
-        cap = F.when(F.col(source) == name, n).otherwise(cap)
-    capped = df.where(F.col(source).isin(list(caps)))
-    rank = F.row_number().over(Window.partitionBy(source).orderBy(draw(seed, key), F.col(key)))
-    kept = capped.withColumn("_r", rank).where(F.col("_r") <= cap).drop("_r")
-    return kept.unionByName(df.where(~F.col(source).isin(list(caps)) | F.col(source).isNull()))
+    parts = [shuffled_head(df.where(F.col(source) == name), key, n, seed) for name, n in caps.items()]
+    return union_all([*parts, df.where(~F.col(source).isin(list(caps)) | F.col(source).isNull())])
 
 
 def modality_batches(df: DataFrame, modality: str, key: str, size: int, seed: int = 42, epoch: int = 0) -> DataFrame:
-    """Full batches of one modality each (the rest of a modality is dropped); plan is a batch's place in the shuffled plan."""
+    """Full batches of one modality each (the rest of a modality is dropped); plan is a batch's place in the shuffled plan.
+
+    One numbering by (modality, draw) serves all modalities; each one's first number and count are an aggregation.
+    """
     s = seed + epoch
-    parts = []
-    for m in [r[0] for r in df.select(modality).distinct().orderBy(modality).collect()]:  # as many as there are modalities
-        rows = with_position(df.where(F.col(modality) == m), draw(s, key), key)
-        full = rows.count() // size * size
-        parts.append(rows.where(F.col("_pos") < full).withColumn("batch", F.floor(F.col("_pos") / size).cast("int")).drop("_pos"))
-    rows = union_all(parts)
-    plan = rows.select(modality, "batch").distinct()
+    rows = with_position(df.where(F.col(modality).isNotNull()), modality, draw(s, key), key)
+    spans = rows.groupBy(modality).agg(F.min("_pos").alias("_first"), (F.floor(F.count(F.lit(1)) / size) * size).alias("_full"))
+    rows = rows.join(spans, modality).withColumn("_pos", F.col("_pos") - F.col("_first"))
+    rows = rows.where(F.col("_pos") < F.col("_full")).withColumn("batch", F.floor(F.col("_pos") / size).cast("int")).drop("_pos", "_first", "_full")
+    plan = spans.where("_full > 0").select(modality, F.explode(F.sequence(F.lit(0), (F.col("_full") / size - 1).cast("int"))).alias("batch"))
     plan = with_position(plan, draw(f"{s}plan", F.concat(F.col(modality), F.lit("#"), F.col("batch").cast("string"))), name="plan")
     return rows.join(plan, [modality, "batch"])
 

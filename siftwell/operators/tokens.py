@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftwell.operators.batch import running_before
+
 IGNORE = -100
 
 
@@ -131,32 +133,65 @@ def block_causal_mask(segments: str) -> Column:
 
 
 def segment_lengths(segments: str) -> Column:
-    """Lengths of segments 1.. in order; absent ones and padding don't count."""
-    return F.expr(f"filter(transform(sequence(1, greatest(array_max({segments}), 1)), k -> size(filter({segments}, s -> s = k))), n -> n > 0)")
+    """Lengths of segments 1.. in order; absent ones and padding don't count.
+
+    The sorted numbers change where a segment ends, so each length is the distance of two changes.
+    """
+    own = F.array_sort(F.filter(segments, lambda s: s > 0))
+    shifted = F.concat(F.slice(own, F.lit(2), F.greatest(F.size(own) - 1, F.lit(0))), F.array(F.lit(None).cast("int")))
+    ends = F.filter(F.transform(F.arrays_zip(own.alias("a"), shifted.alias("b")), lambda z, i: F.when(z["b"].isNull() | (z["a"] != z["b"]), i + 1)), lambda e: e.isNotNull())
+    before = F.concat(F.array(F.lit(0)), ends)
+    return F.when(F.size(own) == 0, F.array().cast("array<int>")).otherwise(F.zip_with(ends, F.slice(before, F.lit(1), F.size(ends)), lambda e, b: e - b))
 
 
 def unpadded(df: DataFrame, order: str, segments: str) -> DataFrame:
-    """One row: flat indices of tokens that aren't padding in row-major order, cumulative segment lengths, and the longest."""
-    rows = df.groupBy().agg(F.array_sort(F.collect_list(F.struct(order, segments))).alias("s"))  # one micro-batch
-    flat = f"flatten(transform(s, r -> r.{segments}))"
-    lengths = f"flatten(transform(s, r -> filter(transform(sequence(1, greatest(array_max(r.{segments}), 1)), k -> size(filter(r.{segments}, x -> x = k))), n -> n > 0)))"
-    return rows.select(F.expr(f"filter(transform({flat}, (x, i) -> if(x != 0, i, -1)), i -> i >= 0)").alias("indices"), F.expr(f"aggregate({lengths}, array(0), (a, x) -> array_append(a, element_at(a, -1) + x))").alias("cumulative"), F.expr(f"array_max({lengths})").alias("longest"))
+    """One row for one micro-batch: flat indices of tokens that aren't padding in row-major order, cumulative segment lengths, and the longest.
+
+    token_places and cumulative_lengths give the same as rows, for batches of any size.
+    """
+    kept = token_places(df, order, segments).agg(F.array_sort(F.collect_list("index")).alias("indices"))
+    parts = cumulative_lengths(df, order, segments).agg(F.concat(F.array(F.lit(0).cast("long")), F.array_sort(F.collect_list("end"))).alias("cumulative"), F.max("length").alias("longest"))
+    return kept.crossJoin(F.broadcast(parts))  # one row each
+
+
+def token_places(df: DataFrame, order: str, segments: str) -> DataFrame:
+    """index and place per token that isn't padding: its row-major index in the batch of rows, in order.
+
+    A row's first index follows from the lengths before it, so no task holds the batch.
+    """
+    rows = running_before(df.select(F.lit(0).alias("_all"), order, segments), "_all", order, F.size(segments).cast("long"), "_at")
+    rows = running_before(rows, "_all", order, F.size(F.filter(segments, lambda s: s != 0)).cast("long"), "_kept")
+    own = F.filter(F.transform(segments, lambda s, i: F.when(s != 0, i)), lambda i: i.isNotNull())
+    return rows.select("_at", "_kept", F.posexplode(own).alias("_k", "_i")).select((F.col("_at") + F.col("_i")).alias("index"), (F.col("_kept") + F.col("_k")).alias("place"))
+
+
+def cumulative_lengths(df: DataFrame, order: str, segments: str) -> DataFrame:
+    """length and end of every segment of a batch of rows in row-major order (end: tokens up to and with it)."""
+    rows = df.select(F.lit(0).alias("_all"), order, segment_lengths(segments).alias("_n"))
+    rows = running_before(rows, "_all", order, F.aggregate("_n", F.lit(0).cast("long"), lambda a, x: a + x), "_at")
+    ends = F.transform("_n", lambda n, i: F.struct(n.alias("n"), F.aggregate(F.slice("_n", F.lit(1), i + 1), F.lit(0), lambda a, x: a + x).alias("end")))
+    return rows.select("_at", F.explode(ends).alias("z")).select(F.col("z.n").alias("length"), (F.col("_at") + F.col("z.end")).alias("end"))
 
 
 def pretrain_blocks(df: DataFrame, batch: str, order: str, ids: str, size: int, begin_id: int | None = None) -> DataFrame:
     """All tokens of a batch of rows in order, cut to blocks; the rest is dropped, a block's first token may be overwritten.
 
-    Tokens get their place from running lengths, so no task joins a batch's rows.
+    A row's place follows from the lengths before it.  It is cut into one slice per block that it
+    reaches, and only slices are shuffled.
     """
-    w = Window.partitionBy(batch).orderBy(order)
-    before = F.coalesce(F.sum(F.size(ids)).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum(F.size(ids)).over(Window.partitionBy(batch))
-    rows = df.withColumn("_at", before).withColumn("_total", total).select(batch, "_at", "_total", F.posexplode(ids).alias("_i", "token"))
-    rows = rows.withColumn("_place", F.col("_at") + F.col("_i")).where(F.col("_place") < F.floor(F.col("_total") / size) * size)
-    rows = rows.withColumn("block", F.floor(F.col("_place") / size).cast("int")).withColumn("_in", (F.col("_place") % size).cast("int"))
+    rows = running_before(df.select(batch, order, ids), batch, order, F.size(ids).cast("long"), "_at")
+    total = rows.groupBy(F.col(batch).alias("_batch")).agg((F.floor(F.sum(F.size(ids)) / size) * size).alias("_total"))
+    rows = rows.join(total, F.col(batch).eqNullSafe(F.col("_batch"))).where((F.size(ids) > 0) & (F.col("_at") < F.col("_total")))
+    last = F.floor((F.least(F.col("_at") + F.size(ids), F.col("_total")) - 1) / size)
+    rows = rows.withColumn("block", F.explode(F.sequence(F.floor(F.col("_at") / size), last)))
+    start = F.greatest(F.col("block") * size - F.col("_at"), F.lit(0))  # the slice's first token in the row
+    end = F.least((F.col("block") + 1) * size - F.col("_at"), F.size(ids))
+    rows = rows.select(batch, F.col("block").cast("int").alias("block"), F.struct((F.col("_at") + start).alias("at"), F.slice(ids, (start + 1).cast("int"), (end - start).cast("int")).alias("t")).alias("s"))
+    made = F.flatten(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["t"]))
+    out = rows.groupBy(batch, "block").agg(made.alias("input_ids"))
     if begin_id is not None:
-        rows = rows.withColumn("token", F.when(F.col("_in") == 0, begin_id).otherwise(F.col("token")))
-    return rows.groupBy(batch, "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("_in", "token"))), lambda s: s["token"]).alias("input_ids"))
+        out = out.withColumn("input_ids", F.concat(F.array(F.lit(begin_id)), F.slice("input_ids", 2, max(size - 1, 1)) if size > 1 else F.array().cast("array<int>")))
+    return out
 
 
 def knapsack(df: DataFrame, batch: str, key: str, length: str, capacity: int) -> DataFrame:
@@ -169,13 +204,18 @@ def knapsack(df: DataFrame, batch: str, key: str, length: str, capacity: int) ->
         import bisect
 
         pdf = pdf[pdf[length] <= capacity].sort_values([length, key])
-        lengths, keys = pdf[length].tolist(), pdf[key].tolist()
+        held: dict[int, list] = {}  # by length, the largest key last
+        for n, k in zip(pdf[length].tolist(), pdf[key].tolist(), strict=True):
+            held.setdefault(n, []).append(k)
+        lengths = sorted(held)  # at most as many as the capacity, whatever the number of rows
         out, b = [], 0
         while lengths:
             left, place, start = capacity, 0, 0
             while (i := bisect.bisect_right(lengths, left) - 1) >= 0:
-                n = lengths.pop(i)
-                out.append((keys.pop(i), b, place, start))
+                n = lengths[i]
+                out.append((held[n].pop(), b, place, start))
+                if not held[n]:
+                    lengths.pop(i)
                 left, place, start = left - n, place + 1, start + n
             b += 1
         made = pd.DataFrame(out, columns=[key, "bin", "place", "start"])

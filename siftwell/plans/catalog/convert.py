@@ -72,10 +72,10 @@ def _feedback(spark, sf_dir):
     return df.select("id.conv_id", "id.turn", F.col("_response")[0]["content"].alias("first"), F.col("_response")[1]["content"].alias("second"))
 
 
-@query("alpaca_v1_messages", PAIRS + "SELECT conv_id, turn, q || x AS prompt FROM p WHERE q || x <> ''")
+@query("alpaca_v1_messages", PAIRS + "SELECT conv_id, turn, CASE WHEN q || x <> '' THEN 'user=' || q || x || chr(10) ELSE '' END || CASE WHEN o <> '' THEN 'assistant=' || o || chr(10) ELSE '' END AS messages FROM p")
 def _alpaca_v1(spark, sf_dir):
-    df = C.alpaca_v1(pairs(spark, sf_dir), "id").where("messages[0].role = 'user'")
-    return df.select("id.conv_id", "id.turn", F.expr("messages[0].content[0].value").alias("prompt"))
+    df = C.alpaca_v1(pairs(spark, sf_dir), "id")
+    return df.select("id.conv_id", "id.turn", F.expr("array_join(transform(messages, m -> concat(m.role, '=', m.content[0].value, '\n')), '')").alias("messages"))
 
 
 @query("placeholder_check", "SELECT conv_id, turn, (length(text) - length(replace(text, 'en', ''))) // 2 = 3 AS ok FROM conversations")

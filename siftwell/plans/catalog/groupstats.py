@@ -171,22 +171,14 @@ def _positions(spark, sf_dir):
     return df.select(F.explode(F.arrays_zip("ids", "x")).alias("z")).select(F.col("z.ids").alias("event_id"), F.col("z.x").alias("position"))
 
 
+# x_k = w^(k-1) v_1 + (1-w) sum w^(k-j) v_j; w is under 0.9, so terms 600 steps back don't show
 @query(
     "smoothed_series",
-    """WITH RECURSIVE d AS (SELECT event_type, event_id, avg(value) AS value FROM events WHERE event_id % 50 = 0 GROUP BY ALL),
-o AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k, 1.8 * (1 / (1 + exp(-0.05 * count(*) OVER (PARTITION BY event_type))) - 0.5) AS w FROM d),
-e AS (SELECT event_type, event_id, k, value AS x FROM o WHERE k = 1 UNION ALL SELECT o.event_type, o.event_id, o.k, e.x * o.w + (1 - o.w) * o.value FROM e JOIN o ON o.event_type = e.event_type AND o.k = e.k + 1)
-SELECT event_type, event_id, round(x, 6) AS smoothed FROM e""",
+    """WITH d AS (SELECT event_type, event_id, avg(value) AS value FROM events GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k, 1.8 * (1 / (1 + exp(-0.05 * count(*) OVER (PARTITION BY event_type))) - 0.5) AS w FROM d)
+SELECT a.event_type, a.event_id, round(sum(pow(a.w, a.k - b.k) * b.value * CASE WHEN b.k = 1 THEN 1 ELSE 1 - a.w END), 6) AS smoothed FROM o a JOIN o b ON a.event_type = b.event_type AND b.k BETWEEN a.k - 600 AND a.k GROUP BY a.event_type, a.event_id""",
 )
 def _smooth(spark, sf_dir):
-    # the logged steps are every fiftieth event
-    e = events(spark, sf_dir).where("event_id % 50 = 0")
-    return G.smooth(e, "event_type", "event_id", "value").select("event_type", "event_id", r6(F.col("smoothed")).alias("smoothed"))
-
-
-@query("smoothed_series_whole")
-def _smooth_whole(spark, sf_dir):
-    """smoothed_series over every event; recursive SQL is too slow for it."""
     return G.smooth(events(spark, sf_dir), "event_type", "event_id", "value").select("event_type", "event_id", r6(F.col("smoothed")).alias("smoothed"))
 
 
@@ -236,22 +228,19 @@ def _vloss(spark, sf_dir):
     return logps(spark, sf_dir).select("event_id", F.round(G.value_loss(F.col("lp"), F.col("adv"), F.col("old")), 10).alias("loss"))
 
 
-@query(
-    "adaptive_coefficient",
-    """WITH RECURSIVE s AS (SELECT event_type, event_id, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k FROM events WHERE event_id % 100 = 0),
-f AS (SELECT event_type, 0 AS k, CAST(0.1 AS DOUBLE) AS c UNION ALL SELECT s.event_type, s.k, f.c * (1 + least(greatest(s.value / 50.0 - 1, -0.2), 0.2) * 0.1) FROM f JOIN s ON s.event_type = f.event_type AND s.k = f.k + 1)
-SELECT event_type, round(arg_max(c, k), 6) AS coefficient FROM f GROUP BY event_type""".replace("(SELECT event_type, 0 AS k,", "(SELECT DISTINCT event_type, CAST(0 AS BIGINT) AS k,").replace("AS c UNION", "AS c FROM s UNION"),
-)
+@query("adaptive_coefficient", "SELECT event_type, round(ln(0.1) + sum(ln(1 + least(greatest(value / 50.0 - 1, -0.2), 0.2) * 0.1)), 6) AS ln_coefficient FROM events GROUP BY event_type")
 def _adaptive(spark, sf_dir):
-    e = events(spark, sf_dir).where("event_id % 100 = 0").groupBy("event_type").agg(F.array_sort(F.collect_list(F.struct("event_id", "value"))).alias("s"))
-    return e.withColumn("kls", F.col("s.value")).select("event_type", r6(G.adaptive_coefficient("kls", 0.1, 50.0, 100.0, 10)).alias("coefficient"))
+    return G.adaptive_coefficients(events(spark, sf_dir), "event_type", "value", 0.1, 50.0, 100.0, 10).select("event_type", r6(F.col("ln_coefficient")).alias("ln_coefficient"))
 
 
-@query("adaptive_coefficient_whole")
-def _adaptive_whole(spark, sf_dir):
-    """adaptive_coefficient over every event; unrounded, as the product of many steps may be small."""
-    e = events(spark, sf_dir).groupBy("event_type").agg(F.array_sort(F.collect_list(F.struct("event_id", "value"))).alias("s"))
-    return e.withColumn("kls", F.col("s.value")).select("event_type", G.adaptive_coefficient("kls", 0.1, 50.0, 100.0, 10).alias("coefficient"))
+@query(
+    "adaptive_coefficient_of_users",
+    "SELECT user_id, round(0.1 * product(1 + least(greatest(value / 50.0 - 1, -0.2), 0.2) * 0.1), 6) AS coefficient FROM events GROUP BY user_id",
+)
+def _adaptive_users(spark, sf_dir):
+    """The same fold inside each user's array."""
+    e = events(spark, sf_dir).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "value"))).alias("s"))
+    return e.withColumn("kls", F.col("s.value")).select("user_id", r6(G.adaptive_coefficient("kls", 0.1, 50.0, 100.0, 10)).alias("coefficient"))
 
 
 @query(

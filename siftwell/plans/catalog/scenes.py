@@ -196,10 +196,10 @@ def _iou(spark, sf_dir):
     return x.select(F.col("l_orderkey").alias("k"), F.col("l_partkey").alias("u"), F.col("l_suppkey").alias("s"), F.col("l_linenumber").alias("n"), r6(V.iou(box, F.array(*(F.lit(float(v)) for v in (10, 5, 40, 25))))).alias("iou"))
 
 
-@query("smart_sizes", "WITH p AS (SELECT p_partkey, p_size * 40 + 3 AS h, CAST(p_retailprice AS INTEGER) AS w FROM part) SELECT p_partkey, CAST(CASE WHEN hr * wr > 200000 THEN greatest(28, floor(h / sqrt(h * w / 200000.0) / 28) * 28) WHEN hr * wr < 100000 THEN ceil(h * sqrt(100000.0 / (h * w)) / 28) * 28 ELSE hr END AS BIGINT) AS height FROM (SELECT *, greatest(28, round_even(h / 28, 0) * 28) AS hr, greatest(28, round_even(w / 28, 0) * 28) AS wr FROM p)")
+@query("smart_sizes", "WITH p AS (SELECT p_partkey, p_size * 40 + 3 AS h, CAST(trunc(p_retailprice) AS INTEGER) AS w FROM part) SELECT p_partkey, CAST(CASE WHEN hr * wr > 200000 THEN greatest(28, floor(h / sqrt(h * w / 200000.0) / 28) * 28) WHEN hr * wr < 100000 THEN ceil(h * sqrt(100000.0 / (h * w)) / 28) * 28 ELSE hr END AS BIGINT) AS height, CAST(CASE WHEN hr * wr > 200000 THEN greatest(28, floor(w / sqrt(h * w / 200000.0) / 28) * 28) WHEN hr * wr < 100000 THEN ceil(w * sqrt(100000.0 / (h * w)) / 28) * 28 ELSE wr END AS BIGINT) AS width FROM (SELECT *, greatest(28, round_even(h / 28, 0) * 28) AS hr, greatest(28, round_even(w / 28, 0) * 28) AS wr FROM p)")
 def _sizes(spark, sf_dir):
     p = spark.read.parquet(f"{sf_dir}/part.parquet").withColumn("s", V.smart_size(F.col("p_size") * 40 + 3, F.col("p_retailprice").cast("int"), 28, 100000, 200000))
-    return p.select("p_partkey", "s.height")
+    return p.select("p_partkey", "s.height", "s.width")
 
 
 @query("extracted_titles", "SELECT page_id, trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)) AS title FROM pages")
@@ -237,12 +237,7 @@ def _products(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", T.pixel_product(F.concat(F.col("p_size").cast("string"), F.lit("*32"))).alias("pixels"))
 
 
-@query("cosine_schedule", "SELECT event_id, round(CASE WHEN event_id < 100 THEN 0.1 + 0.9 * event_id / 100 ELSE greatest(0, cos((event_id - 100) / 900.0 * pi()) * 0.45 + 0.55) END, 6) AS lr FROM events WHERE event_id < 1000")
+@query("cosine_schedule", "SELECT event_id, round(CASE WHEN event_id < 100 THEN 0.1 + 0.9 * event_id / 100 ELSE greatest(0, cos((event_id - 100) / 900.0 * pi()) * 0.45 + 0.55) END, 6) AS lr FROM events")
 def _cosine(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id < 1000").select("event_id", r6(V.cosine_warmup(F.col("event_id"), 100, 1000, 0.1)).alias("lr"))
-
-
-@query("cosine_schedule_whole", "SELECT event_id, round(CASE WHEN event_id < 100 THEN 0.1 + 0.9 * event_id / 100 ELSE greatest(0, cos((event_id - 100) / 900.0 * pi()) * 0.45 + 0.55) END, 6) AS lr FROM events")
-def _cosine_whole(spark, sf_dir):
-    """cosine_schedule over every event; past the last step the wave goes on."""
+    """Past the last step the wave goes on."""
     return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", r6(V.cosine_warmup(F.col("event_id"), 100, 1000, 0.1)).alias("lr"))

@@ -25,23 +25,24 @@ def answers(spark, sf_dir):
     return e.select("event_id", "event_type", kind.alias("kind"), response.alias("response"), truth.alias("truth"))
 
 
-@query(
-    "answer_scores",
-    """WITH a AS (SELECT event_id, event_type, event_id % 4 AS k, event_id % 9 <> 0 AS form,
- CASE event_id % 4 WHEN 1 THEN CASE WHEN event_id % 3 <> 1 THEN 1.0 ELSE 0.0 END
+SCORED = """WITH a AS (SELECT event_id, event_type, event_id % 9 <> 0 AS form,
+ CASE event_id % 4 WHEN 0 THEN CASE WHEN round_even(round(value + (event_id % 3) * 0.01, 2), 1) = round_even(round(value, 1), 1) THEN 1.0 ELSE 0.0 END
+  WHEN 1 THEN CASE WHEN event_id % 3 <> 1 THEN 1.0 ELSE 0.0 END
   WHEN 2 THEN CASE WHEN (event_id % 7) * 20 < 40 THEN 1.0 WHEN (event_id % 7) * 20 < 150 THEN 1 - ((event_id % 7) * 20 - 40) / 110.0 ELSE 0.0 END
-  ELSE CASE WHEN event_id % 5 = 0 THEN 0.0 ELSE 1.0 END END AS acc FROM events WHERE event_id % 4 <> 0)
-SELECT event_id, round(CASE WHEN form THEN 0.9 * acc + 0.1 ELSE 0 END, 6) AS overall, CAST(CASE WHEN form THEN 1 ELSE 0 END AS DOUBLE) AS format FROM a""",
-)
+  ELSE CASE WHEN event_id % 5 = 0 THEN 0.0 ELSE 1.0 END END AS acc FROM events)
+"""
+
+
+@query("answer_scores", SCORED + "SELECT event_id, round(CASE WHEN form THEN 0.9 * acc + 0.1 ELSE 0 END, 6) AS overall, CAST(CASE WHEN form THEN 1 ELSE 0 END AS DOUBLE) AS format, round(CASE WHEN form THEN acc ELSE 0 END, 6) AS accuracy FROM a")
 def _scores(spark, sf_dir):
-    a = answers(spark, sf_dir).where("kind <> 'numerical'")
-    return S.score_rows(a, "response", "truth", "kind", out="s").select("event_id", r6(F.col("s.overall")).alias("overall"), F.col("s.format").alias("format"))
+    a = answers(spark, sf_dir)
+    return S.score_rows(a, "response", "truth", "kind", out="s").select("event_id", r6(F.col("s.overall")).alias("overall"), F.col("s.format").alias("format"), r6(F.col("s.accuracy")).alias("accuracy"))
 
 
-@query("relaxed_scores", "SELECT event_id, CAST(CASE WHEN event_id % 5 = 0 THEN CASE WHEN event_id % 9 = 0 THEN 0.0 ELSE 0.1 END WHEN event_id % 9 = 0 THEN 0.9 ELSE 1.0 END AS DOUBLE) AS overall FROM events WHERE event_id % 4 = 3")
+@query("relaxed_scores", SCORED + "SELECT event_id, round(0.9 * acc + CASE WHEN form THEN 0.1 ELSE 0 END, 6) AS overall, round(acc, 6) AS accuracy FROM a")
 def _relaxed(spark, sf_dir):
-    a = answers(spark, sf_dir).where("kind = 'open-ended'")
-    return S.score_rows(a, "response", "truth", "kind", relaxed=True, out="s").select("event_id", r6(F.col("s.overall")).alias("overall"))
+    a = answers(spark, sf_dir)
+    return S.score_rows(a, "response", "truth", "kind", relaxed=True, out="s").select("event_id", r6(F.col("s.overall")).alias("overall"), r6(F.col("s.accuracy")).alias("accuracy"))
 
 
 @query("mean_scores", "SELECT coalesce(event_type, 'all') AS event_type, round(avg(value), 6) AS value FROM events GROUP BY ROLLUP (event_type)")

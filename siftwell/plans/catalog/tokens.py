@@ -16,34 +16,48 @@ def turns(spark, sf_dir):
     return u.join(a, ["conv_id", "turn"]).select("conv_id", "turn", T.byte_ids("prompt").alias("p"), T.byte_ids("response").alias("r"))
 
 
-TURNS = """WITH t AS (SELECT a.conv_id, a.turn, greatest(strlen(u.text), 1) AS s, greatest(strlen(a.text), 1) AS t FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant'),
+def shown(ids):
+    """Ids as one string: two hex digits or more each, -- for an ignored one."""
+    return F.array_join(F.transform(ids, lambda x: F.when(x == T.IGNORE, "--").when(x > 255, F.hex(x)).otherwise(F.lpad(F.hex(x), 2, "0"))), "")
+
+
+BUDGET = """WITH t AS (SELECT a.conv_id, a.turn, hex(u.text) AS uh, hex(a.text) AS ah, greatest(strlen(u.text), 1) AS s, {t} AS t FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant'),
 b AS (SELECT *, CASE WHEN t * 2 < {c} THEN {c} WHEN s * 2 < {c} THEN {c} - s ELSE CAST(trunc({c} * t / (s + t)) AS BIGINT) END AS most FROM t),
-k AS (SELECT *, least(most, t) AS kt, least(greatest({c} - least(most, t), 0), s) AS ks FROM b)
+c AS (SELECT *, least(most, t) AS kt, least(greatest({c} - least(most, t), 0), s) AS ks FROM b),
+k AS (SELECT *, substr(uh, 1, 2 * ks) AS prompt, substr(ah, 1, 2 * kt) AS reply, repeat('--', ks) AS ignored FROM c)
 """
+ANSWER, LONGER = "greatest(strlen(a.text), 1)", "greatest(strlen(a.text), strlen(u.text), 1)"
 
 
-@query("truncation_budget", TURNS.format(c=500) + "SELECT conv_id, turn, CAST(ks AS BIGINT) AS source, CAST(kt AS BIGINT) AS target FROM k")
+@query("truncation_budget", BUDGET.format(c=500, t=ANSWER) + "SELECT conv_id, turn, CAST(ks AS BIGINT) AS source, CAST(kt AS BIGINT) AS target FROM k")
 def _budget(spark, sf_dir):
     s, t = T.truncation(F.size("p"), F.size("r"), 500)
     return turns(spark, sf_dir).select("conv_id", "turn", s.alias("source"), t.alias("target"))
 
 
-@query("supervised_encoding", TURNS.format(c=499) + "SELECT conv_id, turn, CAST(ks + kt + 1 AS INTEGER) AS length, CAST(ks AS INTEGER) AS ignored FROM k")
+@query("supervised_encoding", BUDGET.format(c=499, t=ANSWER) + "SELECT conv_id, turn, prompt || reply || '100' AS ids, ignored || reply || '100' AS labels, CAST(ks + kt + 1 AS INTEGER) AS attended FROM k")
 def _supervised(spark, sf_dir):
     rows = turns(spark, sf_dir).withColumn("e", T.supervised("p", "r", 500, end_id=256))
-    return rows.select("conv_id", "turn", F.size("e.input_ids").alias("length"), F.size(F.filter("e.labels", lambda x: x == -100)).alias("ignored"))
+    return rows.select("conv_id", "turn", shown("e.input_ids").alias("ids"), shown("e.labels").alias("labels"), F.aggregate("e.attention_mask", F.lit(0), lambda a, x: a + x).alias("attended"))
 
 
-@query("pairwise_encoding", TURNS.format(c=300) + "SELECT conv_id, turn, CAST(ks + least(kt, t) AS INTEGER) AS chosen, CAST(ks + least(kt, s) AS INTEGER) AS rejected FROM k WHERE t >= s")
+# the prompt itself stands for the rejected answer; the longer answer decides the budget
+@query(
+    "pairwise_encoding",
+    BUDGET.format(c=300, t=LONGER) + "SELECT conv_id, turn, prompt || reply AS chosen, ignored || reply AS chosen_labels, prompt || substr(uh, 1, 2 * kt) AS rejected, ignored || substr(uh, 1, 2 * kt) AS rejected_labels FROM k",
+)
 def _pairwise(spark, sf_dir):
-    rows = turns(spark, sf_dir).where("size(r) >= size(p)").withColumn("e", T.pairwise("p", "r", "p", 300))
-    return rows.select("conv_id", "turn", F.size("e.chosen_input_ids").alias("chosen"), F.size("e.rejected_labels").alias("rejected"))
+    rows = turns(spark, sf_dir).withColumn("e", T.pairwise("p", "r", "p", 300))
+    return rows.select("conv_id", "turn", shown("e.chosen_input_ids").alias("chosen"), shown("e.chosen_labels").alias("chosen_labels"), shown("e.rejected_input_ids").alias("rejected"), shown("e.rejected_labels").alias("rejected_labels"))
 
 
-@query("unpivot_pairs", TURNS.format(c=300) + "SELECT conv_id, turn, 0 AS part, CAST(ks + least(kt, t) AS INTEGER) AS n FROM k WHERE t >= s UNION ALL SELECT conv_id, turn, 1, CAST(ks + least(kt, s) AS INTEGER) FROM k WHERE t >= s")
+@query(
+    "unpivot_pairs",
+    BUDGET.format(c=300, t=LONGER) + "SELECT conv_id, turn, 0 AS part, prompt || reply AS ids, ignored || reply AS labels FROM k UNION ALL SELECT conv_id, turn, 1, prompt || substr(uh, 1, 2 * kt), ignored || substr(uh, 1, 2 * kt) FROM k",
+)
 def _unpivot(spark, sf_dir):
-    rows = turns(spark, sf_dir).where("size(r) >= size(p)").withColumn("e", T.pairwise("p", "r", "p", 300)).select(F.struct("conv_id", "turn").alias("key"), "e.*")
-    return T.unpivot_pairs(rows, "key").select("key.conv_id", "key.turn", "part", F.size("input_ids").alias("n"))
+    rows = turns(spark, sf_dir).withColumn("e", T.pairwise("p", "r", "p", 300)).select(F.struct("conv_id", "turn").alias("key"), "e.*")
+    return T.unpivot_pairs(rows, "key").select("key.conv_id", "key.turn", "part", shown("input_ids").alias("ids"), shown("labels").alias("labels"))
 
 
 @query(
@@ -82,15 +96,9 @@ def _seglen(spark, sf_dir):
     return segments(spark, sf_dir).select("l_suppkey", F.array_join(T.segment_lengths("seg").cast("array<string>"), ",").alias("lengths"))
 
 
-@query("block_causal_mask", SEG + "SELECT a.l_suppkey, count(*) AS seen FROM s a JOIN s b ON a.l_suppkey = b.l_suppkey AND a.seg = b.seg AND b.i <= a.i WHERE a.seg <> 0 AND a.l_suppkey < 3 GROUP BY a.l_suppkey")
+@query("block_causal_mask", SEG + "SELECT l_suppkey, CAST(coalesce(sum(n * (n + 1) // 2) FILTER (seg <> 0), 0) AS BIGINT) AS seen FROM (SELECT l_suppkey, seg, count(*) AS n FROM s GROUP BY ALL) GROUP BY l_suppkey")
 def _mask(spark, sf_dir):
-    rows = segments(spark, sf_dir).where("l_suppkey < 3").withColumn("m", T.block_causal_mask("seg"))
-    return rows.select("l_suppkey", F.expr("aggregate(flatten(m), 0L, (a, x) -> a + x)").alias("seen"))
-
-
-@query("block_causal_mask_whole", SEG + "SELECT l_suppkey, CAST(coalesce(sum(n * (n + 1) // 2) FILTER (seg <> 0), 0) AS BIGINT) AS seen FROM (SELECT l_suppkey, seg, count(*) AS n FROM s GROUP BY ALL) GROUP BY l_suppkey")
-def _mask_whole(spark, sf_dir):
-    """block_causal_mask over every supplier; a segment of n tokens has n * (n + 1) / 2 ones."""
+    """A segment of n tokens has n * (n + 1) / 2 ones."""
     rows = segments(spark, sf_dir)
     rows = rows.repartition(spark.sparkContext.defaultParallelism * 4, "l_suppkey").withColumn("m", T.block_causal_mask("seg"))
     return rows.select("l_suppkey", F.expr("aggregate(m, 0L, (a, r) -> a + aggregate(r, 0L, (b, x) -> b + x))").alias("seen"))
@@ -98,12 +106,12 @@ def _mask_whole(spark, sf_dir):
 
 @query(
     "pretrain_blocks",
-    """WITH n AS (SELECT conv_id, turn, greatest(strlen(text), 1) AS n FROM conversations)
-SELECT conv_id, CAST(b AS INTEGER) AS block, 64 AS size FROM (SELECT conv_id, sum(n) // 64 AS k FROM n GROUP BY conv_id), range(100000) r(b) WHERE b < k""",
+    """WITH c AS (SELECT conv_id, string_agg(hex(text), '' ORDER BY turn) AS h FROM conversations GROUP BY conv_id)
+SELECT conv_id, CAST(b AS INTEGER) AS block, '100' || substr(h, 128 * b + 3, 126) AS ids FROM c, range(100000) r(b) WHERE b < strlen(h) // 128""",
 )
 def _blocks(spark, sf_dir):
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet").withColumn("i", T.byte_ids("text"))
-    return T.pretrain_blocks(c, "conv_id", "turn", "i", 64, begin_id=256).select("conv_id", "block", F.size("input_ids").alias("size"))
+    return T.pretrain_blocks(c, "conv_id", "turn", "i", 64, begin_id=256).select("conv_id", "block", shown("input_ids").alias("ids"))
 
 
 @query("rotate_leading_pads", "SELECT l_suppkey, CAST(count(*) FILTER (l_partkey % 4 = 0) AS INTEGER) AS pads, CAST(count(*) AS INTEGER) AS n FROM lineitem GROUP BY l_suppkey")
@@ -114,10 +122,14 @@ def _rotate(spark, sf_dir):
     return rows.select("l_suppkey", tail.cast("int").alias("pads"), F.size("x").alias("n"))
 
 
-@query("frame_indices", "SELECT p_partkey, CAST(least(p_size * 10, 64, greatest(1, floor(p_size / 3.0 * 2))) AS INTEGER) AS n, CAST(CASE WHEN least(p_size * 10, 64, greatest(1, floor(p_size / 3.0 * 2))) > 1 THEN p_size * 10 - 1 ELSE 0 END AS INTEGER) AS last FROM part")
+@query(
+    "frame_indices",
+    """WITH n AS (SELECT p_partkey, p_size * 10 AS total, CAST(least(p_size * 10, 64, greatest(1, floor(p_size / 3.0 * 2))) AS INTEGER) AS n FROM part)
+SELECT p_partkey, array_to_string([CAST(floor(i * CASE WHEN n > 1 THEN (total - 1) / (n - 1) ELSE 0 END + 1e-9) AS INTEGER) FOR i IN range(n)], ',') AS frames FROM n""",
+)
 def _frames(spark, sf_dir):
     p = spark.read.parquet(f"{sf_dir}/part.parquet").withColumn("f", T.frame_indices(F.col("p_size") * 10, F.col("p_size") / 3, 2.0, 64))
-    return p.select("p_partkey", F.size("f").alias("n"), F.element_at("f", -1).alias("last"))
+    return p.select("p_partkey", F.array_join(F.col("f").cast("array<string>"), ",").alias("frames"))
 
 
 def lengths(spark, sf_dir):

@@ -27,7 +27,7 @@ def smoothed(values):
 
 
 def test_smoothed_series_of_all_events(spark, sf_dir):
-    got = {(r.event_type, r.event_id): r.smoothed for r in QUERIES["smoothed_series_whole"](spark, sf_dir).collect()}
+    got = {(r.event_type, r.event_id): r.smoothed for r in QUERIES["smoothed_series"](spark, sf_dir).collect()}
     want = {(t, i): x for t, s in series(spark, sf_dir).items() for (i, _), x in zip(s, smoothed([v for _, v in s]), strict=True)}
     assert len(got) == spark.read.parquet(f"{sf_dir}/events.parquet").count()
     assert got == pytest.approx(want, abs=2e-6)
@@ -42,7 +42,8 @@ def test_smooth_in_blocks(spark, block):
 
 
 def test_adaptive_coefficient_of_all_events(spark, sf_dir):
-    got = {r.event_type: r.coefficient for r in QUERIES["adaptive_coefficient_whole"](spark, sf_dir).collect()}
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    got = {r.event_type: r.coefficient for r in G.adaptive_coefficients(e, "event_type", "value", 0.1, 50.0, 100.0, 10).collect()}
     want = {}
     for t, s in series(spark, sf_dir).items():
         c = 0.1
@@ -57,11 +58,11 @@ def test_masks_of_all_suppliers(spark, sf_dir):
     for r in spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr("l_suppkey AS s", "l_partkey % 4 AS seg").collect():
         want.setdefault(r.s, []).append(r.seg)
     want = {s: sum(a == b != 0 for i, a in enumerate(v) for b in v[: i + 1]) for s, v in ((s, sorted(v)) for s, v in want.items())}
-    assert {r.l_suppkey: r.seen for r in QUERIES["block_causal_mask_whole"](spark, sf_dir).collect()} == want
+    assert {r.l_suppkey: r.seen for r in QUERIES["block_causal_mask"](spark, sf_dir).collect()} == want
 
 
 def test_schedule_of_all_events(spark, tmp_path):
     spark.range(0, 3000, 7).withColumnRenamed("id", "event_id").write.parquet(str(tmp_path / "events.parquet"))
-    got = {r.event_id: r.lr for r in QUERIES["cosine_schedule_whole"](spark, str(tmp_path)).collect()}
+    got = {r.event_id: r.lr for r in QUERIES["cosine_schedule"](spark, str(tmp_path)).collect()}
     want = {s: 0.1 + 0.9 * s / 100 if s < 100 else math.cos(math.pi * (s - 100) / 900) * 0.45 + 0.55 for s in range(0, 3000, 7)}
     assert got == pytest.approx(want, abs=2e-6)
