@@ -1,50 +1,21 @@
-"""Chat templates as data: slots per role, rendered by column expressions.
+"""Rendering of conversations by chat templates, as column expressions.
 
-A template's slots hold {{content}} (and {{idx}} for round numbers).  ``render`` gives one string
-per turn; ``prompt_and_response`` and ``turn_pairs`` cut a conversation for training.
+``render`` gives one string per turn of a conversation; ``prompt_and_response`` and ``turn_pairs``
+cut it for training, with the empty thoughts that reasoning templates ask for.  The templates
+themselves are data in ``chat_formats``.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+import re
+from dataclasses import replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from siftwell.functions.chat_formats import TEMPLATES, Template
 
-@dataclass(frozen=True)
-class Template:
-    user: str = "{{content}}"
-    assistant: str = "{{content}}"
-    system: str = "{{content}}"
-    observation: str | None = None
-    prefix: str = ""
-    default_system: str = ""
-    stop_words: tuple[str, ...] = ()
-    thought: tuple[str, str] = ("<think>\n", "\n</think>\n\n")
-    tool_format: str = "default"
-    system_in_first_user: bool = False
-    append_end: bool = True  # the end-of-sequence token follows an assistant text
-
-
-# The public prompt formats of chat models.
-TEMPLATES: dict[str, Template] = {
-    "alpaca": Template("### Instruction:\n{{content}}\n\n### Response:\n", "{{content}}", default_system="Below is an instruction that describes a task. Write a response that appropriately completes the request.\n\n"),
-    "aquila": Template("Human: {{content}}###Assistant:", "{{content}}###", "System: {{content}}###", default_system="A chat between a curious human and an artificial intelligence assistant. The assistant gives helpful, detailed, and polite answers to the human's questions.", stop_words=("</s>",)),
-    "belle": Template("Human: {{content}}\n\nBelle: "),
-    "breeze": Template("[INST] {{content}} [/INST] ", append_end=False),
-    "chatml": Template("<|im_start|>user\n{{content}}<|im_end|>\n<|im_start|>assistant\n", "{{content}}<|im_end|>\n", "<|im_start|>system\n{{content}}<|im_end|>\n", "<|im_start|>tool\n{{content}}<|im_end|>\n<|im_start|>assistant\n", stop_words=("<|im_end|>", "<|im_start|>"), append_end=False),
-    "default": Template("Human: {{content}}", "{{content}}", "System: {{content}}\n"),
-    "empty": Template(),
-    "gemma": Template("<start_of_turn>user\n{{content}}<end_of_turn>\n<start_of_turn>model\n", "{{content}}<end_of_turn>\n", "{{content}}\n\n", "<start_of_turn>tool\n{{content}}<end_of_turn>\n<start_of_turn>model\n", prefix="<bos>", stop_words=("<end_of_turn>",), system_in_first_user=True, append_end=False),
-    "llama2": Template("<s>[INST] {{content}} [/INST]", "{{content}}</s>", "<<SYS>>\n{{content}}\n<</SYS>>\n\n", system_in_first_user=True, append_end=False),
-    "llama3": Template("<|start_header_id|>user<|end_header_id|>\n\n{{content}}<|eot_id|><|start_header_id|>assistant<|end_header_id|>\n\n", "{{content}}<|eot_id|>", "<|start_header_id|>system<|end_header_id|>\n\n{{content}}<|eot_id|>", "<|start_header_id|>ipython<|end_header_id|>\n\n{{content}}<|eot_id|><|start_header_id|>assistant<|end_header_id|>\n\n", prefix="<|begin_of_text|>", stop_words=("<|eot_id|>", "<|eom_id|>"), tool_format="llama3", append_end=False),
-    "mistral": Template("[INST] {{content}}[/INST]", " {{content}}", "{{content}}\n\n", '[TOOL_RESULTS] {"content": {{content}}}[/TOOL_RESULTS]', prefix="<s>", tool_format="mistral", system_in_first_user=True),
-    "phi": Template("<|user|>\n{{content}}<|end|>\n<|assistant|>\n", "{{content}}<|end|>\n", "<|system|>\n{{content}}<|end|>\n", stop_words=("<|end|>",), append_end=False),
-    "qwen": Template("<|im_start|>user\n{{content}}<|im_end|>\n<|im_start|>assistant\n", "{{content}}<|im_end|>\n", "<|im_start|>system\n{{content}}<|im_end|>\n", "<|im_start|>user\n<tool_response>\n{{content}}\n</tool_response><|im_end|>\n<|im_start|>assistant\n", default_system="You are a helpful assistant.", stop_words=("<|im_end|>",), tool_format="qwen", append_end=False),
-    "vicuna": Template("USER: {{content}} ASSISTANT:", default_system="A chat between a curious user and an artificial intelligence assistant. The assistant gives helpful, detailed, and polite answers to the user's questions."),
-    "zephyr": Template("<|user|>\n{{content}}</s>\n<|assistant|>\n", "{{content}}</s>\n", "<|system|>\n{{content}}</s>\n", default_system="You are Zephyr, a helpful assistant.", append_end=False),
-}
+__all__ = ["TEMPLATES", "Template", "end_of", "prompt_and_response", "register_template", "render", "resolve", "stop_words", "turn_pairs", "with_thoughts"]
 
 
 def register_template(name: str, template: Template) -> None:
@@ -54,49 +25,96 @@ def register_template(name: str, template: Template) -> None:
 
 
 def resolve(name: str, system: str | None = None, tool_format: str | None = None) -> Template:
-    """A registered template with some parts overridden."""
+    """A registered template with some parts overridden.  Another tool format brings a plain function slot."""
     if name not in TEMPLATES:
         raise ValueError(f"unknown template {name}; there are {sorted(TEMPLATES)}")
     t = TEMPLATES[name]
     t = replace(t, default_system=system) if system is not None else t
-    return replace(t, tool_format=tool_format) if tool_format is not None else t
+    return replace(t, tool_format=tool_format, function="{{content}}" if t.efficient_eos else "{{content}}{{eos}}") if tool_format is not None else t
 
 
-def _fill(slot: str, content: str, idx: str) -> str:
-    quoted = slot.replace("\\", "\\\\").replace("'", "\\'")
-    parts = [f"'{p}'" for p in quoted.split("{{content}}")]
-    joined = f", {content}, ".join(parts)
-    return f"replace(concat({joined}), '{{{{idx}}}}', cast({idx} as string))" if "{{idx}}" in slot else f"concat({joined})"
+def end_of(template: Template, end_token: str) -> str:
+    """The end token that slots mean: the first stop word, if the template replaces the tokenizer's."""
+    return template.stop_words[0] if template.replace_eos else end_token
 
 
-def render(messages: str, template: Template, system: Column | str | None = None, end_token: str = "") -> Column:
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _fill(slot: str, values: dict[str, str]) -> str:
+    """A slot as a SQL concatenation: literal parts, and an expression for each placeholder."""
+    parts = re.split(r"\{\{(\w+)\}\}", slot)
+    items = [values[p] if i % 2 else _quoted(p) for i, p in enumerate(parts) if p]
+    return f"concat({', '.join(items)})" if items else "''"
+
+
+def render(messages: str, template: Template, system: str | None = None, end_token: str = "", begin_token: str = "<s>", tools: str | None = None) -> Column:
     """One string per turn of an array<struct<role, content>>; the first carries prefix and system text.
 
-    system is a column name or expression; empty and null mean the template's own.
+    system and tools are column names or expressions (a system text, a tool description); an empty
+    or null system means the template's own.  Roles are user, assistant, observation and function
+    (a call as the template's tool format writes it); any other role fails while running.
+    """
+    fixed = {"bos": _quoted(begin_token), "eos": _quoted(end_of(template, end_token)), "idx": "cast(floor(_at / 2) as string)"}
+    slot = lambda s, content: _fill(s, {**fixed, "content": content})
+    own = _quoted(template.default_system)
+    text = f"if(coalesce({system}, '') = '', {own}, {system})" if system else own
+    text = f"concat({text}, coalesce({tools}, ''))" if tools else text
+    system_slot = f"if({text} = '', '', {slot(template.system, text)})"
+    first = lambda x: f"if(_at = 0, {x}, '')"
+    asked = f"concat({first(system_slot)}, _turn.content)" if template.system_in_first_user else "_turn.content"
+    head = _fill(template.prefix, fixed) if template.system_in_first_user else f"concat({_fill(template.prefix, fixed)}, {system_slot})"
+    roles = {"user": slot(template.user, asked), "assistant": slot(template.reply, "_turn.content"), "observation": slot(template.observation or template.user, "_turn.content"), "function": slot(template.call, "_turn.content")}
+    cases = " ".join(f"when _turn.role = '{role}' then {made}" for role, made in roles.items())
+    return F.expr(f"transform({messages}, (_turn, _at) -> concat({first(head)}, case {cases} else raise_error(concat('unknown role ', _turn.role)) end))")
+
+
+def with_thoughts(messages: str, template: Template, thinking: bool | None = True, whole: bool = False) -> Column:
+    """Messages as a reasoning template trains on them.
+
+    Earlier replies lose their thoughts (whole: they keep them, as every reply is trained on);
+    without thinking all replies do.
     """
-    end = end_token.replace("'", "\\'") if template.append_end else ""
-    lit = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    sys_text = f"if(coalesce({system}, '') = '', {lit(template.default_system)}, {system})" if isinstance(system, str) else lit(template.default_system)
-    sys_slot = f"if({sys_text} = '', '', {_fill(template.system, sys_text, '0')})"
-    first = "if(i = 0, {x}, '')"
-    inner = f"concat({first.format(x=sys_slot)}, m.content)" if template.system_in_first_user else "m.content"
-    head = lit(template.prefix) if template.system_in_first_user else f"concat({lit(template.prefix)}, {sys_slot})"
-    user = f"concat({first.format(x=head)}, {_fill(template.user, inner, 'cast(floor(i / 2) as int)')})"
-    observed = _fill(template.observation or template.user, "m.content", "cast(floor(i / 2) as int)")
-    reply = f"concat({_fill(template.assistant, 'm.content', '0')}, '{end}')"
-    return F.expr(f"transform({messages}, (m, i) -> case when m.role in ('assistant', 'function', 'gpt') then {reply} when m.role = 'observation' then {observed} else {user} end)")
+    if not template.reasoning:
+        return F.col(messages)
+    pattern = _quoted(f"(?s)\\Q{template.thought[0]}\\E(.*?)\\Q{template.thought[1]}\\E")
+    bare = f"regexp_replace(regexp_replace(_turn.content, {pattern}, ''), '^\\\\n+', '')"
+    all_of_them, earlier = "_at % 2 = 1", f"_at % 2 = 1 and _at < size({messages}) - 2"
+    when = all_of_them if thinking is False else None if whole else earlier
+    if when is None:
+        return F.col(messages)
+    last = f" or (_at = size({messages}) - 1)" if thinking is False and not whole else ""
+    return F.expr(f"transform({messages}, (_turn, _at) -> if({when}{last}, named_struct('role', _turn.role, 'content', {bare}), _turn))")
 
 
-def prompt_and_response(turns: str) -> Column:
-    """struct(prompt, response): everything but the last turn, and the last turn."""
-    return F.expr(f"named_struct('prompt', array_join(slice({turns}, 1, greatest(size({turns}) - 1, 0)), ''), 'response', coalesce(try_element_at({turns}, -1), ''))")
+def _unthought(reply: str, template: Template) -> str:
+    """Whether a reply's text holds neither thought word."""
+    return " and ".join(f"not contains({reply}, {_quoted(w.strip())})" for w in template.thought)
+
+
+def prompt_and_response(turns: str, messages: str | None = None, template: Template | None = None, thinking: bool | None = True) -> Column:
+    """struct(prompt, response): everything but the last turn, and the last turn.
+
+    With a reasoning template and its messages a reply without a thought gets an empty one: before
+    the response, or without thinking at the prompt's end.
+    """
+    prompt, response = f"array_join(slice({turns}, 1, greatest(size({turns}) - 1, 0)), '')", f"coalesce(try_element_at({turns}, -1), '')"
+    if template is not None and template.reasoning:
+        empty = f"if({_unthought(f'element_at({messages}, -1).content', template)}, {_quoted(''.join(template.thought))}, '')"
+        prompt, response = (f"concat({prompt}, {empty})", response) if not thinking else (prompt, f"concat({empty}, {response})")
+    return F.expr(f"named_struct('prompt', {prompt}, 'response', {response})")
 
 
-def turn_pairs(turns: str) -> Column:
-    """array of struct(prompt, response) for training on every reply."""
-    return F.expr(f"transform(sequence(0, cast(size({turns}) / 2 as int) - 1), k -> named_struct('prompt', {turns}[2 * k], 'response', {turns}[2 * k + 1]))")
+def turn_pairs(turns: str, messages: str | None = None, template: Template | None = None, thinking: bool | None = True) -> Column:
+    """array of struct(prompt, response) for training on every reply, with empty thoughts as in prompt_and_response."""
+    prompt, response = f"{turns}[2 * _k]", f"{turns}[2 * _k + 1]"
+    if template is not None and template.reasoning:
+        empty = f"if({_unthought(f'{messages}[2 * _k + 1].content', template)}, {_quoted(''.join(template.thought))}, '')"
+        prompt, response = (f"concat({prompt}, {empty})", response) if not thinking else (prompt, f"concat({empty}, {response})")
+    return F.expr(f"transform(filter(sequence(0, greatest(cast(size({turns}) / 2 as int) - 1, 0)), _k -> 2 * _k + 1 < size({turns})), _k -> named_struct('prompt', {prompt}, 'response', {response}))")
 
 
 def stop_words(template: Template, end_token: str) -> list[str]:
     """The end token and the template's stop words, each once."""
-    return list(dict.fromkeys([end_token, *template.stop_words]))
+    return list(dict.fromkeys([end_of(template, end_token), *template.stop_words]))

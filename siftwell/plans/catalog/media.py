@@ -56,20 +56,54 @@ def _once(spark, sf_dir):
 
 
 def chats(spark, sf_dir):
-    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("role <> 'system'")
-    return c.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda s: F.struct(s["role"].alias("role"), s["text"].alias("content"))).alias("m"))
+    """Conversations with their system text apart; turns in order."""
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    turns = F.array_sort(F.collect_list(F.when(F.col("role") != "system", F.struct("turn", "role", "text"))))
+    return c.groupBy("conv_id").agg(F.transform(turns, lambda s: F.struct(s["role"].alias("role"), s["text"].alias("content"))).alias("m"), F.min(F.when(F.col("role") == "system", F.col("text"))).alias("system"))
+
+
+CHATS = """WITH r AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS i FROM conversations WHERE role <> 'system'),
+y AS (SELECT conv_id, min(text) AS system FROM conversations WHERE role = 'system' GROUP BY conv_id)
+"""
 
 
 @query(
     "rendered_chats",
-    """WITH r AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k FROM conversations WHERE role <> 'system')
-SELECT conv_id, string_agg(CASE WHEN k = 1 THEN '<|im_start|>system' || chr(10) || 'You are a helpful assistant.<|im_end|>' || chr(10) ELSE '' END ||
- CASE WHEN role = 'user' THEN '<|im_start|>user' || chr(10) || text || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) ELSE text || '<|im_end|>' || chr(10) END, '' ORDER BY k) AS text
-FROM r WHERE conv_id NOT IN (SELECT conv_id FROM r WHERE k = 1 AND role <> 'user') GROUP BY conv_id""",
+    CHATS
+    + """SELECT conv_id, string_agg(CASE WHEN i = 0 THEN '<|im_start|>system' || chr(10) || CASE WHEN coalesce(system, '') = '' THEN 'You are Qwen, created by Alibaba Cloud. You are a helpful assistant.' ELSE system END || '<|im_end|>' || chr(10) ELSE '' END ||
+ CASE WHEN role = 'user' THEN '<|im_start|>user' || chr(10) || text || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) ELSE text || '<|im_end|>' || chr(10) END, '' ORDER BY i) AS text
+FROM r LEFT JOIN y USING (conv_id) GROUP BY conv_id""",
 )
 def _render(spark, sf_dir):
-    c = chats(spark, sf_dir).where("m[0].role = 'user'")
-    return c.select("conv_id", F.array_join(M.render("m", M.resolve("qwen")), "").alias("text"))
+    c = chats(spark, sf_dir).where("size(m) > 0")
+    return c.select("conv_id", F.array_join(M.render("m", M.resolve("qwen"), "system"), "").alias("text"))
+
+
+def _slots() -> str:
+    """All templates as SQL rows: name and slots, tokens filled in."""
+    q = lambda s: "'" + s.replace("'", "''") + "'"
+    rows = []
+    for name, t in M.TEMPLATES.items():
+        tokens = lambda s, t=t: s.replace("{{bos}}", "<s>").replace("{{eos}}", M.end_of(t, "</s>"))
+        rows.append(f"({', '.join(q(x) for x in (name, tokens(t.prefix), tokens(t.system), tokens(t.user), tokens(t.reply), t.default_system))}, {t.system_in_first_user})")
+    return "t(template, prefix, sys, usr, rep, own, inside) AS (VALUES " + ",\n".join(rows) + ")"
+
+
+@query(
+    "rendered_by_all_templates",
+    CHATS
+    + ", "
+    + _slots()
+    + """, s AS (SELECT *, CASE WHEN i > 0 THEN '' ELSE CASE WHEN coalesce(system, '') = '' THEN own ELSE system END END AS asked FROM r LEFT JOIN y USING (conv_id), t),
+h AS (SELECT *, CASE WHEN asked = '' THEN '' ELSE replace(sys, '{{content}}', asked) END AS head, replace(CASE WHEN role = 'user' THEN usr ELSE rep END, '{{idx}}', CAST(i // 2 AS VARCHAR)) AS slot FROM s)
+SELECT conv_id, template, md5(string_agg(CASE WHEN i = 0 THEN prefix ELSE '' END || CASE WHEN inside AND role = 'user' THEN replace(slot, '{{content}}', head || text) WHEN inside THEN replace(slot, '{{content}}', text) ELSE head || replace(slot, '{{content}}', text) END, '' ORDER BY i)) AS digest
+FROM h GROUP BY conv_id, template""",
+)
+def _render_all(spark, sf_dir):
+    """Every conversation by each of the templates."""
+    c = chats(spark, sf_dir).where("size(m) > 0")
+    made = [F.struct(F.lit(name).alias("template"), F.md5(F.array_join(M.render("m", t, "system", "</s>"), "")).alias("digest")) for name, t in M.TEMPLATES.items()]
+    return c.select("conv_id", F.inline(F.array(*made)))
 
 
 @query("read_tool_calls", "SELECT event_id, event_type AS name FROM events")

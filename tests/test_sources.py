@@ -61,10 +61,10 @@ def test_sinks(spark, tmp_path):
 def test_templates(spark):
     df = spark.createDataFrame([([("user", "How are you"), ("assistant", "I am fine"), ("user", "Bye"), ("assistant", "Ok")],)], "m array<struct<role: string, content: string>>")
     turns = df.select(M.render("m", M.resolve("qwen")).alias("t")).first().t
-    assert turns[0] == "<|im_start|>system\nYou are a helpful assistant.<|im_end|>\n<|im_start|>user\nHow are you<|im_end|>\n<|im_start|>assistant\n" and turns[1] == "I am fine<|im_end|>\n"
-    assert df.select(M.render("m", M.resolve("llama2", system="Be.")).alias("t")).first().t[0] == "<s>[INST] <<SYS>>\nBe.\n<</SYS>>\n\nHow are you [/INST]"
+    assert turns[0] == "<|im_start|>system\nYou are Qwen, created by Alibaba Cloud. You are a helpful assistant.<|im_end|>\n<|im_start|>user\nHow are you<|im_end|>\n<|im_start|>assistant\n" and turns[1] == "I am fine<|im_end|>\n"
+    assert df.select(M.render("m", M.resolve("llama2", system="Be."), begin_token="<b>").alias("t")).first().t[0] == "<b>[INST] <<SYS>>\nBe.\n<</SYS>>\n\nHow are you [/INST]"
     got = df.withColumn("t", M.render("m", M.resolve("default"), end_token="</s>")).select(M.turn_pairs("t").alias("p"), M.prompt_and_response("t").alias("r")).first()
-    assert [tuple(x) for x in got.p] == [("Human: How are you", "I am fine</s>"), ("Human: Bye", "Ok</s>")] and got.r.response == "Ok</s>"
+    assert [tuple(x) for x in got.p] == [("Human: How are you</s>\nAssistant:", "I am fine</s>\n"), ("Human: Bye</s>\nAssistant:", "Ok</s>\n")] and got.r.response == "Ok</s>\n"
     with pytest.raises(ValueError):
         M.register_template("qwen", M.Template())
 
