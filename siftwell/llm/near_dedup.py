@@ -163,8 +163,8 @@ def confirm(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFr
     return joined.select("a", "b", "items_a", "items_b").mapInArrow(run, "a long, b long, linked boolean")
 
 
-#: Rows of a mixed bucket's size level that meet in one task.
-CELL = 256
+#: Rows of a mixed bucket's size level that meet in one task, and parts in which a bucket's rows are looked up.
+CELL, SALTS = 256, 32
 
 
 def _differ(prefix: str, words: int):
@@ -227,12 +227,15 @@ def near_duplicates(docs: DataFrame, share: tuple[int, int] = (80, 100), width:
         """Pairs of one bucket but different components that the bitmaps leave open."""
         m = member.select("bucket", "node").join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
         mixed = m.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
-        m = materialise(m.join(mixed, "bucket").join(node, "node").withColumn("level", F.floor(F.log("n_shingles") / F.lit(step)).cast("int")), "mixed")
+        salt = F.pmod(F.xxhash64(F.lit("salt"), "node"), F.lit(SALTS)).cast("int")
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+        m = m.withColumn("salt", salt).join(mixed.select("*", salts), ["bucket", "salt"])
+        m = materialise(m.join(node, "node").withColumn("level", F.floor(F.log("n_shingles") / F.lit(step)).cast("int")), "mixed")
         # linked sets lie in one size level or in neighbouring ones; a cell's rows meet in parts of CELL rows
-        cells = m.groupBy("bucket", "level").agg(F.ceil(F.count(F.lit(1)) / F.lit(CELL)).cast("int").alias("parts"))
-        p = m.join(cells, ["bucket", "level"]).withColumn("part", F.pmod(F.xxhash64(F.lit("cell"), "node"), F.col("parts")).cast("int")).drop("parts")
+        cells = m.groupBy("bucket", "level").agg(F.ceil(F.count(F.lit(1)) / F.lit(CELL)).cast("int").alias("parts")).select("*", salts)
+        p = m.join(cells, ["bucket", "level", "salt"]).withColumn("part", F.pmod(F.xxhash64(F.lit("cell"), "node"), F.col("parts")).cast("int")).drop("parts")
         q = m.withColumn("own", F.col("level")).withColumn("level", F.explode(F.array(F.col("own") - 1, F.col("own"), F.col("own") + 1)))
-        q = q.join(cells, ["bucket", "level"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+        q = q.join(cells, ["bucket", "level", "salt"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
         p, q = p.alias("x"), q.alias("y")
         on = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.level") == F.col("y.level")) & (F.col("x.part") == F.col("y.part"))
         on = on & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & possible(share)
