@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from siftwell.sources.scratch import discard, materialise, remove, scratch, shared_dir
+
+__all__ = ["bounded_batches", "discard", "materialise", "remove", "scratch", "shared_dir", "shuffle_partitions", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -14,48 +14,10 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder executors and driver share; a local default only where none is configured (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if where is None:
-        existing = spark.sparkContext._jsc.sc().getCheckpointDir()
-        where = existing.get() if existing.isDefined() else "/tmp/checkpoints"
-    return where
-
-
-def scratch(spark: SparkSession, what: str) -> str:
-    """A new path under the shared folder for a written intermediate table."""
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, what: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage is cut, readers see one result."""
-    spark = df.sparkSession
-    path = scratch(spark, what)
-    df.write.mode("errorifexists").option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete written intermediate tables that nothing reads any more."""
-    for t in tables:
-        for path in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
-            remove(t.sparkSession, path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def rows_to_batch(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pylist(rows, schema=schema)
-
-
 def bounded_batches(spark: SparkSession, size: str = "16m") -> None:
     """Arrow batches of at most this size, unless the session has its own bound: long texts then can't fill a worker."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"

@@ -1,8 +1,10 @@
 """Mixing sources to target weights by soft membership, with DataFrame functions only.
 
-A naive Bayes classifier over letter counts, fitted on labelled documents, gives every document a
-posterior over domains.  A document of t tokens counts t * posterior towards each domain.
-Projected gradient descent finds nonnegative rates x minimising
+A multinomial naive Bayes classifier over hashed words, fitted on all labelled documents of a
+domain but one fold, gives every document a posterior over domains.  Its log-odds are divided by
+a temperature that makes the left-out fold's labels most likely, so memberships stay as soft as
+they are uncertain.  A document of t tokens counts t * posterior towards each domain.  Projected
+gradient descent finds nonnegative rates x minimising
 
     sum over domains of weight_d * (sum_i x_i t_i p_id - target_d)^2 + ridge * sum_i t_i (x_i - base)^2
 
@@ -10,11 +12,15 @@ Each step is one distributed aggregation to as many sums as there are domains, a
 rates move at once.  A document's rate after k steps is a fold over the k gradients so far, so no
 state is written between steps; only the table of tokens and posteriors is.
 
+Texts are exploded to words inside the scan; a word meets the table of log shares (at most
+2**BITS rows, so it is broadcast) and the sums of a row are put together before the shuffle.
+
 Defined cases
     null or empty text: no tokens; the posterior is the prior.  null doc_id: kept, never learned
     from.  null domain: not learned from.  Repeated rows: rows of their own.  A target for a domain
-    that no document belongs to is met by nothing and changes no rate.  No labelled rows: uniform
-    posteriors.  Empty table: no rows.  Extra columns: kept by resample, ignored by mixing_rates.
+    that no document belongs to cannot be met: its gap is 1, and the other targets are fitted.  No
+    labelled rows: uniform posteriors.  Empty table: no rows.  Extra columns: kept by resample,
+    ignored by mixing_rates.
 """
 
 from __future__ import annotations
@@ -24,48 +30,77 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import materialise
+from siftwell.llm.common import discard, materialise
+
+#: Words are hashed to 2**BITS features.
+BITS = 14
+#: Labelled rows whose hash modulo FOLDS is 0 set the temperature, the others the word shares.
+FOLDS = 5
+TEMPERATURES = tuple(2.0 ** (i / 2) for i in range(0, 21))
+
+
+def words_of(text: str) -> Column:
+    return F.split(F.lower(F.coalesce(F.col(text).cast("string"), F.lit(""))), r"[\x20\x09-\x0D]+")
+
 
-#: Letters whose counts the classifier looks at.
-LETTERS = tuple("aeiouwhkyqzjcdt" + "äöüßéèêàçñíóáú")
+def feature(word: str) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(1 << BITS)).cast("int")
 
 
-def letter_counts(text: Column) -> list[Column]:
-    """Occurrences of each letter, from the bytes that go when it is removed."""
-    return [((F.octet_length(text) - F.octet_length(F.replace(text, F.lit(c), F.lit("")))) / len(c.encode())).cast("long") for c in LETTERS]
+def named(labels: DataFrame) -> DataFrame:
+    """The doc_ids that labels name, each with its fold."""
+    ids = labels.select(F.col("doc_id").cast("long").alias("_id")).where("_id IS NOT NULL").distinct()
+    return ids.withColumn("_fold", F.pmod(F.xxhash64(F.lit("fold"), "_id"), F.lit(FOLDS)).cast("int"))
 
 
-def count_table(docs: DataFrame, domain: str) -> DataFrame:
-    """doc_id, domain, tokens and one count per letter; whole texts are read once."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(domain).cast("string").alias("domain"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("low", F.lower("text"))
-    return rows.select("doc_id", "domain", F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("tokens"), *(c.alias(f"c{i}") for i, c in enumerate(letter_counts(F.col("low")))))
+def place(domain: str, domains: list[str]) -> Column:
+    """A domain's number; null for others."""
+    return F.coalesce(*(F.when(F.col(domain).cast("string") == d, i) for i, d in enumerate(domains)))
+
+
+def fit_words(docs: DataFrame, labels: DataFrame, domain: str, domains: list[str], smooth: float = 1.0) -> tuple[DataFrame, list[float]]:
+    """(table, log priors): per feature its log share in each domain against the mean of all domains.
+
+    Features that no labelled row has are left out; only sums per domain reach the driver.
+    """
+    own = docs.join(named(labels), F.col("doc_id").cast("long") == F.col("_id")).select(place(domain, domains).alias("d"), "_fold", "text").where("d IS NOT NULL")
+    k = range(len(domains))
+    words = own.where("_fold <> 0").select("d", F.explode(words_of("text")).alias("word")).where("word <> ''").select("d", feature("word").alias("h"))
+    counts = materialise(words.groupBy("h").agg(*(F.count(F.when(F.col("d") == i, 1)).alias(f"c{i}") for i in k)), "words")
+    sums = counts.agg(*(F.sum(f"c{i}").alias(f"s{i}") for i in k)).first()
+    rows = {r["d"]: r["n"] for r in own.groupBy("d").agg(F.count(F.lit(1)).alias("n")).collect()}
+    priors = [math.log((rows.get(i, 0) + 1) / (sum(rows.values()) + len(domains))) for i in k]
+    logs = [F.log((F.col(f"c{i}") + smooth) / F.lit((sums[i] or 0) + smooth * (1 << BITS))) for i in k]
+    mean = sum(logs, F.lit(0.0)) / len(domains)
+    return counts.select("h", *((x - mean).alias(f"w{i}") for i, x in enumerate(logs))), priors
+
 
+def evidence(docs: DataFrame, table: DataFrame, domain: str, domains: list[str]) -> DataFrame:
+    """Per row of docs doc_id, d (its domain's number), tokens, and per domain the sum of its words' log shares."""
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), place(domain, domains).alias("d"), words_of("text").alias("words"))
+    words = rows.select("_row", "doc_id", "d", F.explode("words").alias("word")).withColumn("h", feature("word"))
+    words = words.join(F.broadcast(table), "h", "left")  # at most 2**BITS rows
+    real = F.col("word") != ""
+    sums = [F.sum(F.when(real, F.coalesce(f"w{i}", F.lit(0.0))).otherwise(0.0)).alias(f"e{i}") for i in range(len(domains))]
+    return words.groupBy("_row").agg(F.first("doc_id").alias("doc_id"), F.first("d").alias("d"), F.count(F.when(real, 1)).alias("tokens"), *sums).drop("_row")
 
-def fit_letters(counts: DataFrame, labels: DataFrame, domains: list[str]) -> list[tuple[float, list[float]]]:
-    """Per domain its log prior and log letter shares, over all labelled rows (sums only reach the driver)."""
-    n = len(LETTERS)
-    named = labels.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
-    sums = counts.where(F.col("domain").isin(domains)).join(named, "doc_id", "left_semi").groupBy("domain").agg(F.count(F.lit(1)).alias("n"), *(F.sum(f"c{i}").alias(f"c{i}") for i in range(n))).collect()
-    by = {r["domain"]: r for r in sums}
-    total = sum(r["n"] for r in sums)
-    out = []
-    for d in domains:
-        r = by.get(d)
-        c = [1.0 + (r[f"c{i}"] if r else 0) for i in range(n)] if sums else [1.0] * n
-        s = sum(c)
-        out.append((math.log(((r["n"] if r else 0) + 1) / (total + len(domains))), [math.log(x / s) for x in c]))
-    return out
 
+def with_posteriors(rows: DataFrame, priors: list[float], temperature: float) -> DataFrame:
+    logits = F.array(*(F.lit(p) + F.col(f"e{i}") / temperature for i, p in enumerate(priors)))
+    scored = rows.withColumn("logits", logits).withColumn("top", F.array_max("logits")).withColumn("e", F.expr("transform(logits, x -> exp(x - top))")).withColumn("z", F.expr("aggregate(e, 0D, (a, x) -> a + x)"))
+    return scored.withColumn("p", F.expr("transform(e, x -> x / z)")).drop("logits", "top", "e", "z", *(f"e{i}" for i in range(len(priors))))
 
-def posteriors(counts: DataFrame, model: list[tuple[float, list[float]]], evidence: float = 20.0) -> DataFrame:
-    """doc_id, domain, tokens, p (array of posteriors).  Long texts count as ``evidence`` letters, so memberships stay soft."""
-    n = len(LETTERS)
-    seen = sum((F.col(f"c{i}") for i in range(n)), F.lit(0))
-    scale = F.when(seen > evidence, evidence / seen).otherwise(1.0)
-    scored = counts.select("doc_id", "domain", "tokens", F.array(*(F.lit(prior) + scale * sum((F.col(f"c{i}") * w for i, w in enumerate(logs)), F.lit(0.0)) for prior, logs in model)).alias("logits"))
-    scored = scored.withColumn("top", F.array_max("logits")).withColumn("e", F.expr("transform(logits, x -> exp(x - top))")).withColumn("z", F.expr("aggregate(e, 0D, (a, x) -> a + x)"))
-    return scored.select("doc_id", "domain", "tokens", F.expr("transform(e, x -> x / z)").alias("p"))
+
+def fit_temperature(held: DataFrame, priors: list[float]) -> float:
+    """The temperature under which the held rows' domains are most likely: one aggregation over all trials."""
+
+    def loss(t: float) -> Column:
+        logits = F.array(*(F.lit(p) + F.col(f"e{i}") / t for i, p in enumerate(priors)))
+        top = F.array_max(logits)
+        return top + F.log(F.aggregate(F.transform(logits, lambda x: F.exp(x - top)), F.lit(0.0), lambda a, x: a + x)) - F.element_at(logits, F.col("d") + 1)
+
+    got = held.where("d IS NOT NULL").agg(*(F.sum(loss(t)).alias(f"t{i}") for i, t in enumerate(TEMPERATURES))).first()
+    return 1.0 if got[0] is None else min(zip(got, TEMPERATURES, strict=True))[1]
 
 
 def _rate(history: list[list[float]], base: float, step: float, ridge: float) -> Column:
@@ -77,48 +112,58 @@ def _rate(history: list[list[float]], base: float, step: float, ridge: float) ->
     return F.expr(f"aggregate(array({steps}), {base!r}D, (x, g) -> greatest(0D, x - {step!r}D * ({dot} + {ridge!r}D * (x - {base!r}D))))")
 
 
-def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float], keep: float = 0.6, ridge: float = 1e-4, most_steps: int = 40, tolerance: float = 1e-4) -> Column:
-    """A column expression over p that gives each document's rate.
+def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float], keep: float = 1.0, ridge: float = 1e-4, most_steps: int = 100, tolerance: float = 5e-4) -> tuple[Column, list[float]]:
+    """(rate, gaps): a column expression over p that gives each document's rate, and per domain how far its
+    token total lies from its target, as a share of the target.
 
-    targets are weights (scaled to sum 1); together the domains get ``keep`` of all tokens.
+    targets are weights (scaled to sum 1); together the domains get ``keep`` of all tokens.  Steps
+    end once every reachable target is met within the tolerance; gaps say what was reached.
     """
     k = len(domains)
     goal = sum(targets.values())
     history: list[list[float]] = []
+    step = 1.0
 
     def totals() -> list[float]:
         x = _rate(history, keep, step, ridge)
         row = members.select(x.alias("x"), "tokens", "p").agg(*(F.sum(F.col("x") * F.col("tokens") * F.col("p")[i]).alias(f"s{i}") for i in range(k))).first()
         return [float(v or 0.0) for v in row]
 
-    step = 1.0
     held = [v / keep for v in totals()]  # with no step done every rate is the base rate
     everything = sum(held)
     if not everything:
-        return F.lit(keep)
+        return F.lit(keep), [1.0 if targets.get(d, 0.0) else 0.0 for d in domains]
     live = [h > 1e-9 * everything for h in held]
     wanted = [targets.get(d, 0.0) / goal * keep * everything for d in domains]
     step = 0.9 / (1 + ridge)
     now = [h * keep for h in held]
+    gaps = lambda: [abs(s - w) / max(w, 1e-6 * everything) for s, w in zip(now, wanted, strict=True)]
     for _ in range(most_steps):
+        if max((g for g, alive in zip(gaps(), live, strict=True) if alive), default=0.0) < tolerance:
+            break
         # residues in units of what the domain holds: the curvature is then near 1 in every direction
         history.append([(s - w) / h if alive else 0.0 for s, w, h, alive in zip(now, wanted, held, live, strict=True)])
         now = totals()
-        if max((abs(s - w) / max(w, 1e-6 * everything) for s, w, alive in zip(now, wanted, live, strict=True) if alive), default=0.0) < tolerance:
-            break
-    return _rate(history, keep, step, ridge)
+    return _rate(history, keep, step, ridge), gaps()
 
 
-def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float], domain: str = "lang", keep: float = 0.6, **options) -> DataFrame:
-    """doc_id, tokens, one posterior per domain, rate, and copies (the rate rounded by a hash of doc_id)."""
+def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float], domain: str = "lang", keep: float = 1.0, **options) -> DataFrame:
+    """doc_id, tokens, one posterior per domain, rate, copies (the rate rounded by a hash of doc_id), and gap.
+
+    gap is the largest distance of a domain's token total from its target, as a share of the
+    target: 0 where the fit reached them all.
+    """
     domains = sorted(targets)
-    counts = materialise(count_table(docs, domain), "counts")
-    members = materialise(posteriors(counts, fit_letters(counts, labels, domains)), "members")
-    rate = fit_rates(members, domains, targets, keep, **options)
-    rows = members.withColumn("rate", rate)
+    table, priors = fit_words(docs, labels, domain, domains)
+    rows = materialise(evidence(docs, table, domain, domains), "evidence")
+    held = rows.join(named(labels).where("_fold = 0"), F.col("doc_id") == F.col("_id"), "left_semi")
+    members = materialise(with_posteriors(rows, priors, fit_temperature(held, priors)).select("doc_id", "tokens", "p"), "members")
+    discard(rows)
+    rate, gaps = fit_rates(members, domains, targets, keep, **options)
+    out = members.withColumn("rate", rate)
     chance = F.pmod(F.xxhash64(F.lit("mix"), F.col("doc_id")), F.lit(1 << 40)) / float(1 << 40)
     copies = F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("long")
-    return rows.select("doc_id", "tokens", *(F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(domains)), "rate", copies.cast("int").alias("copies"))
+    return out.select("doc_id", "tokens", *(F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(domains)), "rate", copies.cast("int").alias("copies"), F.lit(max(gaps, default=0.0)).alias("gap"))
 
 
 def resample(docs: DataFrame, rates: DataFrame) -> DataFrame:

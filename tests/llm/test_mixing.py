@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 
-from siftwell.llm.mixing import LETTERS, mixing_rates, resample
+from siftwell.llm.mixing import BITS, TEMPERATURES, mixing_rates, named, resample
 
 
 def made(n=200, seed=1):
@@ -16,44 +16,75 @@ def made(n=200, seed=1):
     return docs
 
 
-def brute(docs, labelled, targets, keep):
+def brute(docs, labelled, folds, targets, keep):
+    """Posteriors and wanted totals, word by word."""
     domains = sorted(targets)
-    counts = np.array([[d[1].lower().count(c) if d[1] else 0 for c in LETTERS] for d in docs], float)
-    tokens = np.array([len((d[1] or "").split()) for d in docs], float)
-    own = [i for i, d in enumerate(docs) if d[0] in labelled]
-    logit = np.zeros((len(docs), len(domains)))
-    scale = np.minimum(1, 20 / np.maximum(counts.sum(1), 1e-9))
-    n_all = sum(docs[i][2] in domains for i in own)
+    words = [(d[1] or "").lower().split() for d in docs]
+    tokens = np.array([len(w) for w in words], float)
+    own = [i for i, d in enumerate(docs) if d[0] in labelled and d[2] in domains]
+    fitted = [i for i in own if folds[docs[i][0]] != 0]
+    vocabulary = sorted({w for i in fitted for w in words[i]})
+    share = np.zeros((len(domains), len(vocabulary)))
     for k, d in enumerate(domains):
-        rows = [i for i in own if docs[i][2] == d]
-        c = 1 + counts[rows].sum(0)
-        logit[:, k] = math.log((len(rows) + 1) / (n_all + len(domains))) + scale * (counts @ np.log(c / c.sum()))
-    p = np.exp(logit - logit.max(1, keepdims=True))
-    p /= p.sum(1, keepdims=True)
-    total = tokens.sum()
-    want = np.array([targets[d] for d in domains]) / sum(targets.values()) * keep * total
-    return tokens, p, want
+        c = np.array([1 + sum(words[i].count(w) for i in fitted if docs[i][2] == d) for w in vocabulary], float)
+        share[k] = np.log(c / (c.sum() - len(vocabulary) + (1 << BITS)))
+    share -= share.mean(0)
+    prior = np.array([math.log((sum(docs[i][2] == d for i in own) + 1) / (len(own) + len(domains))) for d in domains])
+    e = np.array([[sum(share[k, vocabulary.index(w)] for w in ws if w in vocabulary) for k in range(len(domains))] for ws in words])
+    held = [i for i in own if folds[docs[i][0]] == 0]
+
+    def p_at(t):
+        z = prior + e / t
+        p = np.exp(z - z.max(1, keepdims=True))
+        return p / p.sum(1, keepdims=True)
+
+    t = min(TEMPERATURES, key=lambda t: -sum(math.log(p_at(t)[i, domains.index(docs[i][2])]) for i in held))
+    return tokens, p_at(t), np.array([targets[d] for d in domains]) / sum(targets.values()) * keep * tokens.sum()
 
 
 def test_targets_are_met_and_posteriors_match(spark):
     docs = made()
     df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, tokens long")
     labels = spark.createDataFrame([(i,) for i in range(0, 200, 2)], "doc_id long")
+    folds = {r._id: r._fold for r in named(labels).collect()}
     targets = {"en": 0.4, "de": 0.3, "fr": 0.3}
     got = sorted(mixing_rates(df, labels, targets, keep=0.3).collect(), key=lambda r: r.doc_id)
-    tokens, p, want = brute(docs, set(range(0, 200, 2)), targets, 0.3)
+    tokens, p, want = brute(docs, set(range(0, 200, 2)), folds, targets, 0.3)
     assert [r.tokens for r in got] == tokens.tolist()
     mine = np.array([[r.p_de, r.p_en, r.p_fr] for r in got])
     assert np.allclose(mine, p, atol=1e-9)
     x = np.array([r.rate for r in got])
     assert (x >= 0).all()
-    assert np.allclose((x * tokens) @ p, want, rtol=1e-3)
+    assert np.allclose((x * tokens) @ p, want, rtol=1e-3) and {r.gap < 1e-3 for r in got} == {True}
     assert all(r.copies in (math.floor(r.rate), math.floor(r.rate) + 1) for r in got)
     rows = resample(df, spark.createDataFrame(got))
     assert rows.columns == df.columns
     assert rows.count() == sum(r.copies for r in got)
 
 
+def test_posteriors_of_unlabelled_rows_are_right(spark):
+    """Held-out accuracy and calibration on a thousand documents."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = docs.where("doc_id % 2 = 0").select("doc_id")
+    domains = sorted(r[0] for r in docs.select("lang").distinct().collect())
+    rows = mixing_rates(docs, labels, dict.fromkeys(domains, 1.0)).join(docs.select("doc_id", "lang"), "doc_id").where("doc_id % 2 = 1").collect()
+    sure = [max(domains, key=lambda d: r[f"p_{d}"]) == r.lang for r in rows]
+    confidence = [max(r[f"p_{d}"] for d in domains) for r in rows]
+    assert np.mean(sure) > 0.95 and abs(np.mean(sure) - np.mean(confidence)) < 0.05
+
+
+def test_targets_out_of_reach_are_reported(spark):
+    df = spark.createDataFrame([(i, "a b c", "en") for i in range(20)], "doc_id long, text string, lang string")
+    got = mixing_rates(df, df.select("doc_id"), {"en": 1.0, "zz": 1.0}).collect()
+    assert {round(r.gap, 3) for r in got} != {0.0} and all(r.rate >= 0 for r in got)
+
+
+def test_very_long_texts(spark):
+    df = spark.createDataFrame([(i, ("the " if i % 2 else "für ") * (200_000 if i < 2 else 50), "en" if i % 2 else "de") for i in range(40)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in mixing_rates(df, df.select("doc_id"), {"en": 1.0, "de": 1.0}).collect()}
+    assert got[0].tokens == 200_000 and got[0].p_de > 0.9 and got[1].p_en > 0.9
+
+
 def test_odd_rows(spark):
     schema = "doc_id long, text string, lang string, p double"
     labels = spark.createDataFrame([(1,), (None,)], "doc_id long")
