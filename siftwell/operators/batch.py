@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from siftwell.sources.scratch import materialise
 
 
-def _ranged(df: DataFrame, cols: Sequence[Column]) -> DataFrame:
+def ranged_rows(df: DataFrame, cols: Sequence[Column]) -> DataFrame:
     """df in sorted range partitions, written once: _part numbers them and _local their rows.
 
     Numbers are made while the sorted rows are written, so nothing is shuffled or sorted again.
@@ -26,7 +26,7 @@ def _ranged(df: DataFrame, cols: Sequence[Column]) -> DataFrame:
 
 def with_position(df: DataFrame, *order: str | Column, name: str = "_pos") -> DataFrame:
     """Global row numbers in the given order, computed by range partitions."""
-    ranged = _ranged(df, [F.col(c) if isinstance(c, str) else c for c in order])
+    ranged = ranged_rows(df, [F.col(c) if isinstance(c, str) else c for c in order])
     counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = F.broadcast(counts.select("_part", before.alias("_before")))  # one row per partition
@@ -39,7 +39,7 @@ def running_before(df: DataFrame, group: str, order: str, value: Column, name: s
     Inside a range partition a window sums a group's rows; what the partitions before hold of the
     group is one row per group and partition.
     """
-    rows = _ranged(df.withColumn("_value", value), [F.col(group), F.col(order)])
+    rows = ranged_rows(df.withColumn("_value", value), [F.col(group), F.col(order)])
     here = Window.partitionBy("_part", group).orderBy("_local").rowsBetween(Window.unboundedPreceding, -1)
     parts = rows.groupBy("_part", F.col(group).alias("_group")).agg(F.sum("_value").alias("_sum"))
     carried = F.coalesce(F.sum("_sum").over(Window.partitionBy("_group").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
