@@ -1,10 +1,10 @@
 """Mixing sources to target weights by soft membership, with DataFrame functions only.
 
-A multinomial naive Bayes classifier over hashed words, fitted on all labelled documents of a
-domain but one fold, gives every document a posterior over domains.  Its log-odds are divided by
-a temperature that makes the left-out fold's labels most likely, so memberships stay as soft as
-they are uncertain.  A document of t tokens counts t * posterior towards each domain.  Projected
-gradient descent finds nonnegative rates x minimising
+A multinomial naive Bayes classifier over hashed words, fitted on the documents that labels name (at
+most MAX_TRAINING_ROWS doc_ids, one fold left out), gives every document a posterior over domains.
+Its log-odds are divided by a temperature that makes the left-out fold's domains most likely, so
+memberships stay as soft as they are uncertain.  A document of t tokens counts t * posterior towards
+each domain.  Projected gradient descent finds nonnegative rates x minimising
 
     sum over domains of weight_d * (sum_i x_i t_i p_id - target_d)^2 + ridge * sum_i t_i (x_i - base)^2
 
@@ -34,6 +34,8 @@ from siftwell.llm.common import discard, materialise
 
 #: Words are hashed to 2**BITS features.
 BITS = 14
+#: Bound on the doc_ids that a model is fitted on; they are broadcast, so texts are never shuffled.
+MAX_TRAINING_ROWS = 20_000
 #: Labelled rows whose hash modulo FOLDS is 0 set the temperature, the others the word shares.
 FOLDS = 5
 TEMPERATURES = tuple(2.0 ** (i / 2) for i in range(0, 21))
@@ -47,9 +49,10 @@ def feature(word: str) -> Column:
     return F.pmod(F.xxhash64(word), F.lit(1 << BITS)).cast("int")
 
 
-def named(labels: DataFrame) -> DataFrame:
-    """The doc_ids that labels name, each with its fold."""
+def named(labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> DataFrame:
+    """The doc_ids that labels name, each with its fold: the max_rows of them with the smallest hashes."""
     ids = labels.select(F.col("doc_id").cast("long").alias("_id")).where("_id IS NOT NULL").distinct()
+    ids = ids.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
     return ids.withColumn("_fold", F.pmod(F.xxhash64(F.lit("fold"), "_id"), F.lit(FOLDS)).cast("int"))
 
 
@@ -63,7 +66,7 @@ def fit_words(docs: DataFrame, labels: DataFrame, domain: str, domains: list[str
 
     Features that no labelled row has are left out; only sums per domain reach the driver.
     """
-    own = docs.join(named(labels), F.col("doc_id").cast("long") == F.col("_id")).select(place(domain, domains).alias("d"), "_fold", "text").where("d IS NOT NULL")
+    own = docs.join(F.broadcast(named(labels)), F.col("doc_id").cast("long") == F.col("_id")).select(place(domain, domains).alias("d"), "_fold", "text").where("d IS NOT NULL")
     k = range(len(domains))
     words = own.where("_fold <> 0").select("d", F.explode(words_of("text")).alias("word")).where("word <> ''").select("d", feature("word").alias("h"))
     counts = materialise(words.groupBy("h").agg(*(F.count(F.when(F.col("d") == i, 1)).alias(f"c{i}") for i in k)), "words")
@@ -156,7 +159,7 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float],
     domains = sorted(targets)
     table, priors = fit_words(docs, labels, domain, domains)
     rows = materialise(evidence(docs, table, domain, domains), "evidence")
-    held = rows.join(named(labels).where("_fold = 0"), F.col("doc_id") == F.col("_id"), "left_semi")
+    held = rows.join(F.broadcast(named(labels).where("_fold = 0")), F.col("doc_id") == F.col("_id"), "left_semi")
     members = materialise(with_posteriors(rows, priors, fit_temperature(held, priors)).select("doc_id", "tokens", "p"), "members")
     discard(rows)
     rate, gaps = fit_rates(members, domains, targets, keep, **options)
