@@ -12,10 +12,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import bounded_batches
+from siftwell.llm.common import bounded_batches, discard, materialise
 from siftwell.llm.rolling import Batch, avalanche, cuts
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -94,8 +94,16 @@ def score_documents(docs: DataFrame, hasher: Hasher, weights: np.ndarray, finish
     return docs.mapInArrow(run, schema)
 
 
-def collect_sample(rows: DataFrame, hasher: Hasher, extra: list[str]) -> tuple[list[np.ndarray], dict[str, np.ndarray]]:
-    """Feature ids and extra columns of a bounded sample of rows; the bound is the caller's."""
+#: Bytes of feature ids that reach the driver; further rows of a sample are left out.
+SAMPLE_BYTES = 256 << 20
+
+
+def collect_sample(rows: DataFrame, hasher: Hasher, extra: list[str], most_bytes: int = SAMPLE_BYTES) -> tuple[list[np.ndarray], dict[str, np.ndarray]]:
+    """Feature ids and extra columns of a sample, one row a doc_id (which extra holds): at most most_bytes of ids.
+
+    The number of rows is the caller's bound.  Rows are taken in order of a hash of doc_id; a row
+    whose ids go beyond the bound, and those behind it, are left out.
+    """
     fields = ", ".join(f"{c} long" for c in extra)
     bounded_batches(rows.sparkSession)
 
@@ -106,12 +114,15 @@ def collect_sample(rows: DataFrame, hasher: Hasher, extra: list[str]) -> tuple[l
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in hasher.unique_ids(Batch(part.column("text")))], pa.binary()), *(part.column(c) for c in extra)], names=["ids", *extra])
 
-    got = rows.select("text", *(F.col(c).cast("long").alias(c) for c in extra)).mapInArrow(run, f"ids binary, {fields}").toArrow()
-    got = got.combine_chunks()
+    made = materialise(rows.select("text", *(F.col(c).cast("long").alias(c) for c in extra)).mapInArrow(run, f"ids binary, {fields}"), "sample")
+    one = made.groupBy("doc_id").agg(F.min(F.struct(*(c for c in extra if c != "doc_id"), "ids")).alias("s")).select("doc_id", "s.*")
+    sizes = one.select("doc_id", F.sum(F.octet_length("ids")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id")).alias("_sum"))  # as many rows as the caller's bound
+    got = one.join(F.broadcast(sizes.where(F.col("_sum") <= most_bytes).select("doc_id")), "doc_id").select("ids", *extra).toArrow().combine_chunks()
+    discard(made)
     values = {c: np.asarray(got.column(c)) for c in extra}
     order = np.lexsort(list(values.values())) if got.num_rows else np.zeros(0, np.int64)
     ids = []
-    if got.num_rows:  # views into the one Arrow buffer, no copies
+    if got.num_rows:  # views into the one Arrow buffer (under 2 GB), no copies
         column = got.column("ids").chunk(0)
         offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].tolist()
         flat = np.frombuffer(column.buffers()[2], np.uint8)

@@ -1,9 +1,11 @@
 """Toxicity by classifier chains.
 
 Categories are predicted one after the other by linear (logistic) models over hashed words and
-byte n-grams.  Each model also sees the log-odds of all earlier categories; in training these
+byte n-grams.  Each model also sees the probabilities of all earlier categories; in training these
 come from out-of-fold predictions, so a later model learns from what an earlier one gives on
-texts that it has not seen.
+texts that it has not seen.  A link uses the features whose presence differs significantly between
+its classes (LEAST_Z, LEAST_COUNT), however many they are.  It is fitted on the driver, on at most
+max_rows labelled rows and features.SAMPLE_BYTES of their ids.
 
 Defined cases
     null or empty text: scored by the intercepts.  null doc_id: kept.  Repeated rows: each scored;
@@ -23,6 +25,12 @@ from siftwell.llm.features import Hasher, collect_sample, labelled_sample, score
 HASHER = Hasher(orders=(0, 5), bits=19, lower=True)
 #: Bound on the labelled rows that the chain is fitted on.
 MAX_TRAINING_ROWS = 6000
+#: A feature counts from this two-proportion z score and this number of rows on.
+LEAST_Z, LEAST_COUNT = 4.0, 3
+
+
+def probability(odds: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
 
 
 class Sparse:
@@ -50,16 +58,15 @@ def logistic(data: Sparse, y: np.ndarray, size: int, steps: int = 150, rate: flo
     return w[:size], w[size : size + k], float(w[-1])
 
 
-def informative(ids: list[np.ndarray], y: np.ndarray, size: int, most: int = 4096, least: int = 3) -> np.ndarray:
-    """Features whose presence differs most between the classes (two-proportion z score)."""
+def informative(ids: list[np.ndarray], y: np.ndarray, size: int) -> np.ndarray:
+    """Features whose presence differs significantly between the classes."""
     ones = max(int(y.sum()), 1)
     zeros = max(len(y) - ones, 1)
     a = np.bincount(np.concatenate([x for x, t in zip(ids, y, strict=True) if t] or [np.zeros(0, np.int64)]), minlength=size)
     total = np.bincount(np.concatenate(ids), minlength=size)
     p = total / len(y)
     z = (a / ones - (total - a) / zeros) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / ones + 1 / zeros))
-    z[(total < least) | (np.abs(z) < 4)] = 0
-    return np.sort(np.argsort(-np.abs(z), kind="stable")[: min(most, int((z != 0).sum()))])
+    return np.flatnonzero((total >= LEAST_COUNT) & (np.abs(z) >= LEAST_Z))
 
 
 def train_link(ids: list[np.ndarray], earlier: np.ndarray, y: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, float]:
@@ -75,7 +82,7 @@ def train_link(ids: list[np.ndarray], earlier: np.ndarray, y: np.ndarray, size:
 
 
 def fit_chain(ids: list[np.ndarray], labels: list[np.ndarray], size: int, folds: int = 3) -> list[tuple[np.ndarray, np.ndarray, float]]:
-    """One (weights, weights of earlier log-odds, intercept) per category, in order."""
+    """One (weights, weights of earlier probabilities, intercept) per category, in order."""
     n = len(ids)
     fold, earlier, chain = np.arange(n) % folds, np.zeros((n, 0)), []
     for y in labels:
@@ -92,17 +99,18 @@ def fit_chain(ids: list[np.ndarray], labels: list[np.ndarray], size: int, folds:
                     odds[i] = w[ids[i]].sum() + earlier[i] @ d + b
             w, d, b = train_link(ids, earlier, y, size)
         chain.append((w, d, b))
-        earlier = np.concatenate([earlier, np.clip(odds, -10, 10)[:, None] / 10], 1)
+        earlier = np.concatenate([earlier, probability(odds)[:, None]], 1)
     return chain
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], threshold: float = 0.5, max_rows: int = MAX_TRAINING_ROWS, hasher: Hasher = HASHER, label: str = "toxic", keep: tuple[str, ...] = ("lang",)) -> DataFrame:
-    """doc_id, one probability per category in chain order, and predicted for the last.
+def score_toxicity(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], threshold: float = 0.5, max_rows: int = MAX_TRAINING_ROWS, hasher: Hasher = HASHER, label: str = "toxic", keep: tuple[str, ...] = ("lang",), main: str | None = None) -> DataFrame:
+    """doc_id, one probability per category in chain order, and predicted for the main one (the last, if none is named).
 
     categories maps each name to a 0/1 expression over the labelled rows (label column and the
     keep columns); it is evaluated on the training sample only.
     """
     names = list(categories)
+    chosen = names.index(main) if main else len(names) - 1
     sample = labelled_sample(docs, labels, max_rows, columns=(label,), keep=keep)
     sample = sample.select("doc_id", "text", *(F.coalesce(c.cast("int"), F.lit(0)).alias(f"category_{i}") for i, c in enumerate(categories.values())))
     ids, got = collect_sample(sample, hasher, [*(f"category_{i}" for i in range(len(names))), "doc_id"])
@@ -111,11 +119,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, categories: dict[str, Col
     later = [(d, b) for _, d, b in chain]
 
     def finish(sums: np.ndarray):
-        odds: list[np.ndarray] = []
+        p: list[np.ndarray] = []
         for i, (d, b) in enumerate(later):
-            odds.append(sums[:, i] + b + sum((np.clip(o, -10, 10) / 10 * x for o, x in zip(odds, d, strict=True)), np.zeros(len(sums))))
-        p = [1 / (1 + np.exp(-np.clip(o, -40, 40))) for o in odds]
-        return [*p, (p[-1] >= threshold).astype(np.int32)]
+            p.append(probability(sums[:, i] + b + sum((q * x for q, x in zip(p, d, strict=True)), np.zeros(len(sums)))))
+        return [*p, (p[chosen] >= threshold).astype(np.int32)]
 
     kind = {f.name: f.dataType.simpleString() for f in docs.schema.fields}["doc_id"]
     columns = [*names, "predicted"]

@@ -5,10 +5,10 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from siftwell.llm.features import Hasher
+from siftwell.llm.features import Hasher, collect_sample
 from siftwell.llm.nbsvm import score_quality
 from siftwell.llm.rolling import Batch
-from siftwell.llm.toxicity import score_toxicity
+from siftwell.llm.toxicity import fit_chain, probability, score_toxicity
 
 
 def corpus(n=240, seed=2):
@@ -77,3 +77,51 @@ def test_odd_labels_and_rows(spark, labels):
     t = score_toxicity(d, lab, {"any": F.col("toxic")}).collect()
     assert len(t) == 3 and all(0 < r["any"] < 1 for r in t)
     assert score_quality(d.limit(0), lab).count() == 0 and score_toxicity(d.limit(0), lab, {"any": F.col("toxic")}).count() == 0
+
+
+def test_the_chain_beats_models_on_their_own():
+    """A rare category inside a common one: its link learns from the earlier category's probabilities."""
+    rng = np.random.default_rng(6)
+    n, size = 900, 1 << 12
+    toxic, english = rng.random(n) < 0.4, rng.random(n) < 0.15
+    ids = []
+    for t, e in zip(toxic, english, strict=True):
+        x = [rng.integers(100, size, 30)]
+        x.append(rng.integers(0, 12, 2) if t else x[0][:0])
+        x.append(rng.integers(40, 44, 2) if e else rng.integers(60, 64, 2))
+        ids.append(np.unique(np.concatenate(x)).astype(np.int32))
+    y = (toxic & english).astype(int)
+    fit, rest = slice(0, 450), range(450, n)
+
+    def loss(chain):
+        out = []
+        for i in rest:
+            p = []
+            for w, d, b in chain:
+                p.append(float(probability(np.array(w[ids[i]].sum() + b + np.dot(p, d)))))
+            out.append(-np.log(max(p[-1] if y[i] else 1 - p[-1], 1e-12)))
+        return np.mean(out)
+
+    chain = fit_chain(ids[fit], [toxic[fit].astype(int), y[fit]], size)
+    alone = fit_chain(ids[fit], [y[fit]], size)
+    assert chain[1][1][0] > 0 and loss(chain) < loss(alone)
+
+
+def test_samples_stay_within_their_bytes(spark):
+    rows = spark.createDataFrame([(i, "word " * 20 + f"x{i}") for i in range(50)] + [(3, "twice")], "doc_id long, text string")
+    h = Hasher(orders=(0,), bits=12, lower=True)
+    ids, got = collect_sample(rows, h, ["doc_id"], most_bytes=8 * 10)
+    assert 0 < len(ids) <= 10 and sum(len(x) * 4 for x in ids) <= 80
+    ids, got = collect_sample(rows, h, ["doc_id"])
+    assert len(ids) == 50 == len(set(got["doc_id"].tolist()))
+
+
+def test_several_label_rows_count_as_the_largest(spark):
+    docs, labels = corpus(200)
+    d = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    once = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    more = once.unionByName(once.selectExpr("doc_id", "0 AS quality", "0 AS toxic"))
+    a, b = ({r.doc_id: r.score for r in score_quality(d, x).collect()} for x in (once, more))
+    assert a == b
+    a, b = ({r.doc_id: r["any"] for r in score_toxicity(d, x, {"any": F.col("toxic")}).collect()} for x in (once, more))
+    assert a == b
