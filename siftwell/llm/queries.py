@@ -20,7 +20,8 @@ def tokenizer_files() -> dict:
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftwell.llm.substring_dedup import dedup_substrings
 
-    return dedup_substrings(table(spark, sf_dir, "documents", "doc_id", "text"), batches=2, window=20)
+    # three runs are one more than the index keeps apart, so the query compacts once before its last batch
+    return dedup_substrings(table(spark, sf_dir, "documents", "doc_id", "text"), batches=4, window=20, fan_in=2)
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,9 +50,10 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftwell.llm.toxicity import score_toxicity
 
+    # whether a text is toxic is learned from all languages first; the narrower categories build on it
     english = F.col("lang") == "en"
-    categories = {"toxic_english": F.col("toxic") * english.cast("int"), "toxic_other": F.col("toxic") * (~english).cast("int"), "toxic": F.col("toxic")}
-    return score_toxicity(table(spark, sf_dir, "documents", "doc_id", "text", "lang"), table(spark, sf_dir, "labels", "doc_id", "toxic"), categories, threshold=0.3)
+    categories = {"toxic": F.col("toxic"), "toxic_english": F.col("toxic") * english.cast("int"), "toxic_other": F.col("toxic") * (~english).cast("int")}
+    return score_toxicity(table(spark, sf_dir, "documents", "doc_id", "text", "lang"), table(spark, sf_dir, "labels", "doc_id", "toxic"), categories, threshold=0.3, main="toxic")
 
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

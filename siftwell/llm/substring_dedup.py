@@ -2,10 +2,10 @@
 
 The index holds immutable runs of window fingerprints (anchor hash, content check, home), each
 sorted by fingerprint and cut into buckets.  A new batch of documents is cut into homes; its
-sorted fingerprints are merge-joined with all runs bucket by bucket.  Whatever the fingerprints
-leave open is verified window by window, with fresh hashes of the contents that new and indexed
-homes show.  Then the batch's new fingerprints become a further run, and runs are compacted once
-there are more than ``fan_in``.
+sorted fingerprints are merge-joined with all runs bucket by bucket.  A content whose 128 bits of
+anchor and check were seen before repeats; whatever the fingerprints leave open is verified window
+by window, with fresh hashes of the contents that new and indexed homes show.  Then the batch's
+new fingerprints become a further run, and runs are compacted once there are more than ``fan_in``.
 
 A window is ``window`` consecutive words ``[^\\x20\\x09-\\x0D]+`` of one document.  Words covered
 by a window whose word sequence starts earlier (in an earlier batch, at a smaller doc_id, or
@@ -34,7 +34,7 @@ from siftwell.llm import superwindows as S
 from siftwell.llm.common import remove, scratch, shuffle_partitions
 from siftwell.llm.homes import MOST_HOMES, Home, home_table, homes_of
 from siftwell.llm.rolling import avalanche, span_hashes
-from siftwell.llm.window_match import BUCKETS_PER_PARTITION, NO_RUNS, RUN, RUNS, _grouped, match, removed_runs, repeated
+from siftwell.llm.window_match import BUCKETS_PER_PARTITION, NO_RUNS, RUN, RUNS, _grouped, bucket_count, match, removed_runs, repeated
 
 
 def word_finder(window: int, gram: int):
@@ -113,7 +113,7 @@ class FingerprintIndex:
         self.spark, self.path = spark, path or scratch(spark, "fingerprints")
         self.window, self.gram, self.home_bytes, self.fan_in = window, gram, home_bytes, fan_in
         self.partitions = shuffle_partitions(spark)
-        self.buckets = buckets or BUCKETS_PER_PARTITION * self.partitions
+        self.buckets = buckets or bucket_count(self.partitions, 0)
         self.runs: list[str] = []
         self.tables: list[DataFrame] = []
         self.next_home = 0
@@ -150,13 +150,13 @@ class FingerprintIndex:
             for bucket, held in _grouped(batches, "bucket"):
                 parts = [S.unpack_entries(r["payload"]) for r in held]
                 anchor, check, home = (np.concatenate(c) for c in zip(*parts, strict=True))
-                order = np.lexsort((home, check, anchor))
+                order = S.merged_order(anchor, check, home)
                 yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((RUN, bucket, -1, S.pack_entries(anchor[order], check[order], home[order])), (pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["kind", "bucket", "home", "payload"])
 
         schema = "kind int, bucket int, home int, payload binary"
         rows = self.spark.read.schema(schema).parquet(*self.runs)
         path = f"{self.path}/compacted-{self.next_home}"
-        rows.repartition(self.partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema).write.parquet(path)
+        rows.repartition(max(self.partitions, -(-self.buckets // BUCKETS_PER_PARTITION)), "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema).write.parquet(path)
         for old in self.runs:
             remove(self.spark, old)
         self.runs = [path]
@@ -176,7 +176,7 @@ def dedup_substrings(docs: DataFrame, batches: int = 2, window: int = 20, gram:
     batches = max(batches, -(-size // (MOST_HOMES * home_bytes)))
     cut = docs.where("doc_id IS NOT NULL").approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01) if batches > 1 else []
     edges = sorted({int(c) for c in cut})
-    index = FingerprintIndex(docs.sparkSession, window=window, gram=gram, home_bytes=home_bytes, fan_in=fan_in)
+    index = FingerprintIndex(docs.sparkSession, window=window, gram=gram, home_bytes=home_bytes, fan_in=fan_in, buckets=bucket_count(shuffle_partitions(docs.sparkSession), size))
     out = None
     key = F.col("doc_id").cast("long")
     for i in range(len(edges) + 1):

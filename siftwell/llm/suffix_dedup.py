@@ -1,7 +1,8 @@
 """Byte-exact deduplication of repeated substrings with suffix arrays built by linear grouping.
 
-Candidates come from superwindows (see superwindows.py).  Contents that share an anchor but are
-not equal are compared by a suffix array: contents stand aligned at the anchor, their columns are
+Candidates come from superwindows (see superwindows.py): a content whose 128 bits of anchor and
+check were seen before repeats whole.  Contents that share an anchor but are not equal are
+compared by a suffix array: contents stand aligned at the anchor, their columns are
 cut wherever any two of them part, and each piece becomes one symbol.  The symbol strings of a
 whole bucket are sorted as one text by lyndon_sort; the longest common prefix (in bytes) of a
 suffix with any earlier content's suffix tells which of its windows repeat an earlier one.
@@ -14,7 +15,8 @@ Defined cases
     null text: empty.  Documents shorter than ``length``: nothing is removed.  Repeated rows with
     one doc_id: ordered by text; the second is removed as any copy.  null doc_id: ordered after
     all others, returned as null.  Empty table: no rows.  Extra columns: ignored by the query,
-    kept by deduplicated_documents.  Cuts may split a character; kept texts replace such bytes.
+    kept by deduplicated_documents.  Cuts may split a character: byte counts and digests follow the
+    bytes, kept texts keep such a character whole.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from siftwell.llm.common import shuffle_partitions
 from siftwell.llm.homes import Home, home_table, homes_of
 from siftwell.llm.lyndon_sort import common_prefixes, suffix_array
 from siftwell.llm.rolling import avalanche, byte_values
-from siftwell.llm.window_match import BUCKETS_PER_PARTITION, NO_RUNS, RUNS, match, removed_runs, repeated
+from siftwell.llm.window_match import NO_RUNS, RUNS, bucket_count, match, removed_runs, repeated
 
 
 def byte_finder(length: int, gram: int):
@@ -141,7 +143,7 @@ def _decide_groups(group: np.ndarray, blobs: list[bytes], length: int, gram: int
 
     # pieces: left ones from far to near, the anchor, right ones from near to far
     lrun, rrun = hashes(lcells), hashes(rcells)
-    content, kind, key, width, start = [], [], [], [], []
+    content, kind, key, width, start, reach_of = [], [], [], [], [], []
     owner = np.arange(n)
     for side, parted, have, running in ((0, lparted, left, lrun), (2, rparted, right, rrun)):
         cut = parted[group]  # row per content: place p is an edge if contexts part there
@@ -154,31 +156,39 @@ def _decide_groups(group: np.ndarray, blobs: list[bytes], length: int, gram: int
         end = np.minimum(nxt[rows, at + 1], have[rows])
         content.append(rows)
         kind.append(np.full(len(rows), side))
-        # up to its far end the contexts agree or not; equal pieces have equal cells there
-        key.append(np.stack([at, running[rows, end].astype(np.int64) if side == 2 else running[rows, end].astype(np.int64)], 1))
+        # up to a piece's far end the contexts agree or not: the running hash there proposes equal ones
+        key.append(np.stack([at, running[rows, end].astype(np.int64)], 1))
         width.append(end - at)
+        reach_of.append(end)
         start.append(left[rows] - end if side == 0 else left[rows] + gram + at)
     content.append(owner)
     kind.append(np.full(n, 1))
     key.append(np.zeros((n, 2), np.int64))
     width.append(np.full(n, gram))
+    reach_of.append(np.zeros(n, np.int64))
     start.append(left)
-    content, kind, width, start, key = (np.concatenate(x) for x in (content, kind, width, start, key))
+    content, kind, width, start, key, reach_of = (np.concatenate(x) for x in (content, kind, width, start, key, reach_of))
     place = np.lexsort((start, content))
-    content, kind, width, start, key = content[place], kind[place], width[place], start[place], key[place]
-    # symbols: equal exactly for equal pieces of one group, side and place
+    content, kind, width, start, key, reach_of = content[place], kind[place], width[place], start[place], key[place], reach_of[place]
+    # symbols: one per piece of one group, side and place; hashes bring equal pieces together, bytes decide
     by = np.lexsort((key[:, 1], key[:, 0], kind, group[content]))
     g, k0, k1, kk = group[content][by], key[by, 0], key[by, 1], kind[by]
     step = np.r_[True, (g[1:] != g[:-1]) | (k0[1:] != k0[:-1]) | (k1[1:] != k1[:-1]) | (kk[1:] != kk[:-1])] if len(by) else np.zeros(0, bool)
+    for side, table in ((0, lcells), (2, rcells)):
+        for a in range(0, len(by) - 1, 1 << 16):
+            one, two = by[a : a + (1 << 16)], by[a + 1 : a + (1 << 16) + 1]
+            one = one[: len(two)]
+            ours = (kind[two] == side) & ~step[a + 1 : a + 1 + len(two)]
+            one, two = one[ours], two[ours]
+            differ = ((table[content[one]] != table[content[two]]) & (np.arange(wide + 1)[None, :] < reach_of[two][:, None])).any(1)
+            step[a + 1 + np.flatnonzero(ours)[differ]] = True
     symbol = np.empty(len(by), np.int64)
     symbol[by] = np.cumsum(step) + 1
     # one text: each content's symbols and a 1 behind; a 0 ends it all
-    ends = np.flatnonzero(np.r_[content[1:] != content[:-1], True]) if len(content) else np.zeros(0, int)
     spot = np.arange(len(content)) + content
     text = np.ones(len(content) + n + 1, np.int64)
     text[spot] = symbol
     text[-1] = 0
-    del ends
     order = suffix_array(text)
     listed = text.tolist()
     lcp = common_prefixes(listed, order, 1)
@@ -243,6 +253,15 @@ def _longest_with_older(order: np.ndarray, lcp: np.ndarray, common: np.ndarray,
     return np.array(best)
 
 
+def _whole_characters(buf: np.ndarray, gone: np.ndarray) -> str:
+    """The kept text: a character goes if all its bytes go, so cuts never split one."""
+    if not gone.any():
+        return buf.tobytes().decode()
+    first = np.flatnonzero((buf & 0xC0) != 0x80)
+    whole = np.repeat(np.logical_and.reduceat(gone, first), np.diff(np.r_[first, len(buf)]))
+    return buf[~whole].tobytes().decode()
+
+
 _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string, removed array<struct<start: long, length: long>>, ord int"
 
 
@@ -254,11 +273,11 @@ def cut_bytes(addressed: DataFrame, length: int, gram: int, buckets: int, texts:
             for home, answers in zip(homes_of(batch), batch.column("answers").to_pylist(), strict=True):
                 found = finder(home)[0]
                 hit = repeated(found, answers or [], buckets, len(home.data))
-                edge = np.zeros(len(hit) + length + 1, np.int8)
+                edge = np.zeros(len(hit) + length + 1, np.int32)  # as many stretches as a window is long may overlap
                 edge[: len(hit)] += np.diff(hit.astype(np.int8), prepend=np.int8(0)) == 1  # a stretch of windows starts
                 fall = np.flatnonzero(np.r_[hit[:-1] & ~hit[1:], hit[-1:]]) if len(hit) else np.zeros(0, int)
                 edge[fall + length] -= 1
-                gone = np.cumsum(edge, dtype=np.int8)[: len(hit)] > 0
+                gone = np.cumsum(edge)[: len(hit)] > 0
                 buf = np.frombuffer(home.data, np.uint8)
                 cols = [[], [], [], [], [], []]
                 for a, b in zip(home.offsets[:-1].tolist(), home.offsets[1:].tolist(), strict=True):
@@ -267,7 +286,7 @@ def cut_bytes(addressed: DataFrame, length: int, gram: int, buckets: int, texts:
                     runs = removed_runs(mask) if n else NO_RUNS
                     n_spans = len(runs)
                     kept = buf[a:b][~mask].tobytes() if n else home.data[a:b]
-                    for c, v in zip(cols, (b - a, n, n_spans, hashlib.sha256(kept).hexdigest(), kept.decode(errors="replace") if texts else None, [{"start": x, "length": y} for x, y in runs.tolist()] if spans else None), strict=True):
+                    for c, v in zip(cols, (b - a, n, n_spans, hashlib.sha256(kept).hexdigest(), _whole_characters(buf[a:b], mask) if texts else None, [{"start": x, "length": y} for x, y in runs.tolist()] if spans else None), strict=True):
                         c.append(v)
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), RUNS)
                 ids = home.doc_ids  # ascending; rows of one id are numbered from 1
@@ -286,10 +305,11 @@ def dedup_suffixes(docs: DataFrame, length: int = 100, gram: int | None = None,
     gram = gram or max(length - 36, -(-length // 2))
     if not 0 <= length - gram < 64:
         raise ValueError("length - gram must lie in 0..63")
-    homes, _ = home_table(docs, home_bytes)
+    homes, number = home_table(docs, home_bytes)
     partitions = shuffle_partitions(docs.sparkSession)
-    addressed, _ = match(homes, byte_finder(length, gram), decide_bytes(length, gram), BUCKETS_PER_PARTITION * partitions, partitions, keep_run=False)
-    out = cut_bytes(addressed, length, gram, BUCKETS_PER_PARTITION * partitions, texts, spans)
+    buckets = bucket_count(partitions, number * home_bytes)
+    addressed, _ = match(homes, byte_finder(length, gram), decide_bytes(length, gram), buckets, partitions, keep_run=False)
+    out = cut_bytes(addressed, length, gram, buckets, texts, spans)
     return out.drop(*([] if texts else ["kept_text", "ord"]), *([] if spans else ["removed"]))
 
 

@@ -96,13 +96,28 @@ def unpack_entries(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray | Non
 UNIQUE, REPEAT, OPEN = 0, 1, 2
 
 
+def merged_order(anchor: np.ndarray, check: np.ndarray, home: np.ndarray) -> np.ndarray:
+    """The order by (anchor, check, home) of sorted runs that lie one behind the other.
+
+    The stable sort is a merge of the ascending stretches that it finds, so the runs are merged,
+    not sorted again; only entries that share an anchor are then put in order of their contents.
+    """
+    order = np.argsort(anchor, kind="stable")
+    a = anchor[order]
+    same = np.r_[False, a[1:] == a[:-1]] if len(a) else np.zeros(0, bool)
+    tied = np.flatnonzero(same | np.r_[same[1:], False]) if len(a) else np.zeros(0, np.int64)
+    some = order[tied]
+    order[tied] = some[np.lexsort((home[some], check[some], a[tied]))]
+    return order
+
+
 def judge(anchor: np.ndarray, check: np.ndarray, home: np.ndarray, old: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A code per entry, and which old entries must show their content.
 
     Entries of one home are distinct; old marks entries of the index, whose homes are smaller
     than all others.
     """
-    order = np.lexsort((home, check, anchor))
+    order = merged_order(anchor, check, home)
     a, c = anchor[order], check[order]
     new_a = np.r_[True, a[1:] != a[:-1]] if len(a) else np.zeros(0, bool)
     new_v = new_a | np.r_[True, c[1:] != c[:-1]] if len(a) else new_a

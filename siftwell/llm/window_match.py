@@ -14,8 +14,15 @@ from siftwell.llm.common import materialise
 from siftwell.llm.homes import Home, homes_of
 
 ENTRY, RUN, ASK = 0, 1, 2
-#: Buckets are hashed to partitions; several to each even out.
-BUCKETS_PER_PARTITION = 4
+#: Buckets are hashed to partitions; several to each even out.  A bucket takes the entries of at most about
+#: BUCKET_BYTES of text (a third of that), so a larger corpus has more of them.
+BUCKETS_PER_PARTITION, BUCKET_BYTES = 4, 256 << 20
+
+
+def bucket_count(partitions: int, text_bytes: int) -> int:
+    return max(BUCKETS_PER_PARTITION * partitions, -(-text_bytes // BUCKET_BYTES))
+
+
 _ENTRIES = "kind int, bucket int, home int, payload binary"
 _SCHEMA = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("home", pa.int32()), ("payload", pa.binary())])
 _ANSWERS = "home int, round int, bucket int, payload binary"
@@ -207,6 +214,7 @@ def match(homes: DataFrame, finder: Finder, decide: Decider, buckets: int, parti
     runs holds earlier runs of the index and index_homes the homes that they name; without
     keep_run no new run is made.
     """
+    partitions = max(partitions, -(-buckets // BUCKETS_PER_PARTITION))
     rows = entries(homes, finder, buckets)
     if runs is not None:
         rows = rows.unionByName(runs.select("kind", "bucket", "home", "payload"))

@@ -102,7 +102,14 @@ def test_texts_and_spans_agree(spark):
         raw = (dict(docs)[r.doc_id] or "").encode()
         for x in reversed(r.removed):
             raw = raw[: x.start] + raw[x.start + x.length :]
-        assert hashlib.sha256(raw).hexdigest() == r.kept_sha256 and raw.decode(errors="replace") == r.kept_text and len(r.removed) == r.n_spans
+        assert hashlib.sha256(raw).hexdigest() == r.kept_sha256 and len(r.removed) == r.n_spans
+        gone = {i for x in r.removed for i in range(x.start, x.start + x.length)}
+        at, kept = 0, []
+        for c in dict(docs)[r.doc_id] or "":
+            n = len(c.encode())
+            kept += [c] if not gone.issuperset(range(at, at + n)) else []
+            at += n
+        assert "".join(kept) == r.kept_text
     for r in dedup_substrings(df, 2, home_bytes=3000, texts=True, spans=True).collect():
         w = words(dict(docs)[r.doc_id] or "")
         for x in reversed(r.removed):
@@ -120,3 +127,63 @@ def test_contents_that_share_half_their_check_are_no_repeats():
     assert code.tolist() == [S.OPEN, S.UNIQUE, S.OPEN, S.REPEAT]
     run = S.unpack_entries(S.pack_entries(anchor, check, np.array([3, 4, 5], np.int32)))
     assert [c.tolist() for c in run] == [anchor.tolist(), check.tolist(), [3, 4, 5]]
+
+
+def test_runs_are_merged_in_order():
+    rng = np.random.default_rng(3)
+    parts = []
+    for h in range(9):
+        a, c = rng.integers(0, 40, 30).astype(np.uint64), rng.integers(0, 5, 30).astype(np.uint64)
+        o = np.lexsort((c, a))
+        parts.append((a[o], c[o], np.full(30, h, np.int32)))
+    a, c, h = (np.concatenate(x) for x in zip(*parts))
+    got, want = S.merged_order(a, c, h), np.lexsort((h, c, a))
+    assert (a[got] == a[want]).all() and (c[got] == c[want]).all() and (h[got] == h[want]).all()
+    assert len(S.merged_order(a[:0], c[:0], h[:0])) == 0
+
+
+def test_the_registered_query_compacts(spark, sf_dir, monkeypatch):
+    from siftwell.llm import substring_dedup
+    from siftwell.llm.queries import op1_substring_dedup
+
+    seen = []
+    whole = substring_dedup.FingerprintIndex.compact
+    monkeypatch.setattr(substring_dedup.FingerprintIndex, "compact", lambda self: (seen.append(len(self.runs)), whole(self)))
+    docs = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    got = sorted(map(tuple, op1_substring_dedup(spark, sf_dir).collect()), key=str)
+    assert got == sorted(((a, b, c, e) for a, b, c, _, e in brute(docs, 20, words, b" ".join)), key=str) and seen == [3]
+
+
+def quick(docs, length, symbols, join):
+    """brute for long texts: windows are kept by hash, as the texts are made of few values."""
+    seen, out = set(), []
+    for doc_id, text in docs:
+        s = symbols(text)
+        gone = np.zeros(len(s) + 1, np.int64)
+        for i in range(len(s) - length + 1):
+            w = hash(tuple(s[i : i + length]) if isinstance(s, list) else s[i : i + length])
+            if w in seen:
+                gone[i] += 1
+                gone[min(i + length, len(s))] -= 1
+            seen.add(w)
+        gone = np.cumsum(gone)[:-1] > 0
+        out.append((doc_id, len(s), int(gone.sum()), hashlib.sha256(join([x for x, g in zip(s, gone.tolist(), strict=True) if not g])).hexdigest()))
+    return out
+
+
+def test_texts_longer_than_the_chunks(spark):
+    rng = random.Random(11)
+    text = " ".join(f"w{rng.randrange(10**7)}" for _ in range(140_000))  # over 2**17 words and 2**20 bytes
+    docs = [(1, text), (2, text[900_000:1_150_000] + " z " + text[:700]), (3, "x " + text[-400_000:])]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.kept_sha256) for r in dedup_suffixes(df).collect())
+    assert got == quick(docs, 100, str.encode, bytes)
+    got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in dedup_substrings(df, 2).collect())
+    assert got == quick(docs, 20, words, b" ".join)
+
+
+def test_windows_longer_than_a_byte_counts(spark):
+    text = "".join(random.Random(2).choice("abcdefgh") for _ in range(3000))
+    docs = [(1, text), (2, text[:2000]), (3, "-" + text[5:1900])]
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.kept_sha256) for r in dedup_suffixes(spark.createDataFrame(docs, "doc_id long, text string"), 300, gram=260).collect())
+    assert got == quick(docs, 300, str.encode, bytes)
