@@ -10,9 +10,11 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftwell.operators.batch import with_position
+
 AXES = ("x", "y", "z")
 
 
@@ -112,10 +114,9 @@ def extents(points: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 def instance_colours(instances: DataFrame, instance: str) -> DataFrame:
     """Colours of non-zero instances: hue by rank, full saturation and value, components truncated."""
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    rows = instances.where(F.col(instance) != 0).select(instance).distinct()
-    rank = F.row_number().over(Window.orderBy(instance)) - 1
-    h = (rank / n) * 6.0
+    rows = with_position(instances.where(F.col(instance) != 0).select(instance).distinct(), instance, name="_rank")
+    rows = rows.crossJoin(F.broadcast(rows.agg(F.count(F.lit(1)).alias("_n"))))  # one row
+    h = (F.col("_rank") / F.col("_n")) * 6.0
     sector, f = F.floor(F.col("_h")).cast("int"), F.col("_h") - F.floor("_h")
     rows = rows.withColumn("_h", h)
     pick = lambda values: F.when(sector == 0, values[0]).when(sector == 1, values[1]).when(sector == 2, values[2]).when(sector == 3, values[3]).when(sector == 4, values[4]).otherwise(values[5])

@@ -129,7 +129,7 @@ def pad_to_batch(df: DataFrame, batch: str, ids: str, fill: int, multiple: int =
 
 def block_causal_mask(segments: str) -> Column:
     """Rows of 1 where token i sees token j: same segment, j <= i, no padding (segment 0)."""
-    return F.expr(f"transform({segments}, (a, i) -> transform({segments}, (b, j) -> if(a = b and a != 0 and j <= i, 1, 0)))")
+    return F.expr(f"transform({segments}, (_a, _i) -> transform({segments}, (_b, _j) -> if(_a = _b and _a != 0 and _j <= _i, 1, 0)))")
 
 
 def segment_lengths(segments: str) -> Column:
@@ -347,7 +347,7 @@ def rotate_leading_pads(ids: str, pad_id: int) -> Column:
 
 def rechunk(column: str, lengths: str) -> Column:
     """A flat list split by lengths."""
-    return F.expr(f"transform({lengths}, (n, i) -> slice({column}, 1 + aggregate(slice({lengths}, 1, i), 0, (a, x) -> a + x), n))")
+    return F.expr(f"transform({lengths}, (_len, _at) -> slice({column}, 1 + aggregate(slice({lengths}, 1, _at), 0, (_sum, _x) -> _sum + _x), _len))")
 
 
 def frame_indices(total: Column, seconds: Column, fps: float, most: int) -> Column:

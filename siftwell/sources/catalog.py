@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftwell.operators.convert import alpaca, sharegpt
+from siftwell.operators.mix import resample
 
 #: Extensions and their readers.
 READERS = {"parquet": "parquet", "csv": "csv", "json": "json", "jsonl": "jsonl", "txt": "text", "orc": "orc", "arrow": "arrow", "ply": "ply"}
@@ -35,11 +36,23 @@ class Entry:
     tags: Mapping[str, str] = field(default_factory=dict)
 
 
-def reader_of(path: str) -> str:
-    """The reader of a file, or of a directory whose files all map to one."""
-    names = [path]
-    if os.path.isdir(path):
-        names = [n for n in sorted(os.listdir(path)) if not n.startswith((".", "_"))]
+def listed(spark: SparkSession, path: str) -> list[str] | None:
+    """File names under a path of any Hadoop file system; None if it is no directory."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p) or not fs.getFileStatus(p).isDirectory():
+        return None
+    return sorted(f.getPath().getName() for f in fs.listStatus(p))
+
+
+def reader_of(path: str, spark: SparkSession | None = None) -> str:
+    """The reader that a path's own extension names, else the one that all files of a directory map to."""
+    own = READERS.get(path.rstrip("/").rsplit(".", 1)[-1].lower()) if "." in path.rstrip("/").rsplit("/", 1)[-1] else None
+    if own is not None:
+        return own
+    spark = spark or SparkSession.getActiveSession()
+    inside = listed(spark, path) if spark is not None else None
+    names = [path] if inside is None else [n for n in inside if not n.startswith((".", "_"))]
     kinds = {READERS.get(n.rsplit(".", 1)[-1].lower()) if "." in n else None for n in names}
     if len(kinds) != 1 or None in kinds:
         raise ValueError(f"no single reader for {path}: {sorted(map(str, kinds))}")
@@ -49,7 +62,7 @@ def reader_of(path: str) -> str:
 def read(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | str | None = None, kind: str | None = None) -> DataFrame:
     """Files of one kind; any Hadoop path. JSON files hold one document (a list), JSON lines one a line."""
     paths = [path] if isinstance(path, str) else list(path)
-    kind = kind or reader_of(paths[0])
+    kind = kind or reader_of(paths[0], spark)
     if kind in ("ply", "arrow"):
         register_sources(spark)
         frames = [spark.read.format(kind).load(p) for p in paths]
@@ -71,10 +84,13 @@ def load_catalog(source: Mapping | str) -> dict[str, Entry]:
     """Entries by name.  A columns or tags block replaces all defaults of its kind."""
     raw = source
     if isinstance(source, str):
-        if not os.path.exists(source):
+        spark = SparkSession.getActiveSession()
+        if spark is None:
+            raise ValueError("reading a catalog file needs a session")
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(source)
+        if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
             return {}
-        with open(source, encoding="utf-8") as f:
-            raw = json.load(f)
+        raw = json.loads(spark.read.text(source, wholetext=True).first()[0])
     out = {}
     for name, e in raw.items():
         path = e.get("cloud_file_name") or e.get("file_name") or e.get("path")
@@ -118,6 +134,25 @@ def load_datasets(spark: SparkSession, catalog: Mapping[str, Entry], names: Sequ
     return out
 
 
+def merged_datasets(spark: SparkSession, catalog: Mapping[str, Entry], names: Sequence[str], base: str = "", ranking: bool = False, kind: str = "sft", seed: int = 42) -> DataFrame:
+    """The named datasets in canonical form as one frame: _dataset names each row's, _row tells its rows apart.
+
+    Each entry's number of samples takes effect: fewer are drawn without replacement, more repeat
+    drawn rows (_draw numbers them).
+    """
+    out = None
+    for name, df in load_datasets(spark, catalog, names, base, ranking).items():
+        entry = catalog[name]
+        rows = df.withColumn("_row", F.concat_ws("#", F.lit(name), F.monotonically_increasing_id().cast("string")))
+        rows = canonical(rows, entry, "_row", kind)
+        rows = resample(rows, "_row", entry.num_samples, seed) if entry.num_samples else rows.withColumn("_draw", F.lit(0).cast("long"))
+        rows = rows.withColumn("_dataset", F.lit(name))
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    if out is None:
+        raise ValueError("no datasets are named")
+    return out
+
+
 def with_common_columns(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Missing columns added (arrays empty, others null), all cast, in the schema's order."""
     cols = []
