@@ -9,6 +9,7 @@ from siftwell.functions import templates as M
 from siftwell.functions import tools as K
 from siftwell.operators import dispatch as D
 from siftwell.operators import media as A
+from siftwell.operators import media_tokens as Z
 from siftwell.plans.registry import query
 
 
@@ -110,3 +111,18 @@ def _render_all(spark, sf_dir):
 def _calls(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.format_string("Action: %s\nAction Input: %s", "event_type", "props").alias("text"))
     return K.with_calls(e, "text").select("event_id", F.col("calls")[0]["name"].alias("name"))
+
+
+@query(
+    "media_placeholders",
+    """WITH p AS (SELECT p_partkey, 2 + 2 * (p_size % 4) AS h, 4 + 2 * (p_partkey % 3) AS w, 1 + p_size % 3 AS n FROM part)
+SELECT p_partkey, 'a<|vision_start|>' || repeat('<|image_pad|>', h * w // 4) || '<|vision_end|>b' AS grid, 'a<img>' || repeat('<IMG_CONTEXT>', n * 16) || '</img>b' AS tiles,
+ 'a' || repeat(repeat('[IMG]', w) || '[IMG_BREAK]', h - 1) || repeat('[IMG]', w) || '[IMG_END]b' AS rows, 'a' || repeat('<image>', h * w) || 'b' AS patches, 'aPicture 1:<|IMAGE_START|><|image@placeholder|><|IMAGE_END|>b' AS numbered FROM p""",
+)
+def _media(spark, sf_dir):
+    """One image in a text, by the rules of five models."""
+    h, w = (2 + 2 * (F.col("p_size") % 4)).cast("long"), (4 + 2 * (F.col("p_partkey") % 3)).cast("long")
+    medium = F.struct(F.array(F.lit(1).cast("long"), h, w).alias("grid"), (h * 14).alias("height"), (w * 14).alias("width"), F.array((1 + F.col("p_size") % 3).cast("long")).alias("patches"))
+    p = parts(spark, sf_dir).withColumn("images", F.array(medium))
+    text = lambda name, **t: Z.media_text(F.lit("a<image>b"), "image", F.col("images"), Z.plugin(name, **t))
+    return p.select("p_partkey", text("qwen2_vl").alias("grid"), text("intern_vl", image_length=16).alias("tiles"), text("pixtral", patch=14).alias("rows"), text("llava").alias("patches"), text("ernie_vl").alias("numbered"))
