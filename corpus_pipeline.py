@@ -25,12 +25,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
+    """One document of each group of near duplicates (five words, similarity of 0.8 or more) stays."""
     return distinct_documents(docs, share=(80, 100), width=5)
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that occurred before are cut out of the texts."""
+    """Passages that occurred before are cut out of the texts; no character is split."""
     return deduplicated_documents(docs, length=100)
 
 
