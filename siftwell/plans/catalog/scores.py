@@ -142,19 +142,15 @@ def _ppl(spark, sf_dir):
     "task_scores",
     """WITH d AS (SELECT p_partkey, p_size * 3.0 AS d, (p_partkey % 5) * 0.125 AS e, p_size % 11 AS k FROM part),
 s AS (SELECT *, CASE WHEN d < 50 THEN 1 WHEN d < 120 THEN 1 - (d - 50) / 70 ELSE 0 END AS flat, CASE WHEN d < 50 THEN 1 WHEN d < 130 THEN 1 - (d - 50) / 80 ELSE 0 END AS deep, CASE WHEN e < 0.1 THEN 1 WHEN e < 0.4 THEN 1 - (e - 0.1) / 0.3 ELSE 0 END AS depth FROM d)
-SELECT p_partkey, round(flat, 6) AS trace, round(0.5 * deep + 0.5 * depth, 6) AS trace_3d, round((10 - k) / CAST(10 + k AS DOUBLE), 6) AS box, CAST(CASE WHEN k <= 5 THEN 1 ELSE 0.5 END AS DOUBLE) AS point, round(0.9 * flat + 0.1, 6) AS overall FROM s""",
+SELECT p_partkey, 'trace' AS kind, round(CAST(flat AS DOUBLE), 6) AS accuracy FROM s UNION ALL SELECT p_partkey, 'trace_3d', round(CAST(0.5 * deep + 0.5 * depth AS DOUBLE), 6) FROM s
+UNION ALL SELECT p_partkey, 'spatial grounding', round((10 - k) / CAST(10 + k AS DOUBLE), 6) FROM s UNION ALL SELECT p_partkey, 'point', CAST(CASE WHEN k <= 5 THEN 1 ELSE 0.5 END AS DOUBLE) FROM s""",
 )
 def _tasks(spark, sf_dir):
     """Tracks, boxes and points at known distances from the truth, by each task's scorer."""
     d, e, k = F.col("p_size") * 3, (F.col("p_partkey") % 5) * 0.125, F.col("p_size") % 11
-    p = spark.read.parquet(f"{sf_dir}/part.parquet").select(
-        "p_partkey",
-        F.format_string('[{"point_2d": [%d, 5], "depth": %.3f}, {"point_2d": [%d, 9], "depth": %.3f}]', 100 + d, 1 + e, 200 + d, 1 + e).alias("track"),
-        F.lit('[{"point_2d": [100, 5], "depth": 1.0}, {"point_2d": [200, 9], "depth": 1.0}]').alias("line"),
-        F.format_string('[{"bbox_2d": [%d, 0, %d, 10]}]', k, 10 + k).alias("box"),
-        F.lit('[{"bbox_2d": [0, 0, 10, 10]}]').alias("truth"),
-        F.format_string('[{"point_2d": [1, 1]}, {"point_2d": [%d, 2]}]', k * 2).alias("points"),
-    )
-    p = p.withColumn("whole", S.score(F.concat(F.lit("<answer>"), F.col("track"), F.lit("</answer>")), F.col("line"), F.lit("trace")))
-    scored = {"trace": S.trace_score(F.col("track"), F.col("line")), "trace_3d": S.trace_3d_score(F.col("track"), F.col("line")), "box": S.box_score(F.col("box"), F.col("truth")), "overall": F.col("whole.overall")}
-    return p.select("p_partkey", *(r6(c).alias(n) for n, c in scored.items()), S.point_score(F.col("points"), F.col("truth")).alias("point"))
+    track = F.format_string('[{"point_2d": [%d, 5], "depth": %.3f}, {"point_2d": [%d, 9], "depth": %.3f}]', 100 + d, 1 + e, 200 + d, 1 + e)
+    line, box = '[{"point_2d": [100, 5], "depth": 1.0}, {"point_2d": [200, 9], "depth": 1.0}]', '[{"bbox_2d": [0, 0, 10, 10]}]'
+    tasks = {"trace": (track, line), "trace_3d": (track, line), "spatial grounding": (F.format_string('[{"bbox_2d": [%d, 0, %d, 10]}]', k, 10 + k), box), "point": (F.format_string('[{"point_2d": [1, 1]}, {"point_2d": [%d, 2]}]', k * 2), box)}
+    rows = F.array(*(F.struct(F.lit(name).alias("kind"), F.concat(F.lit("<answer>"), a, F.lit("</answer>")).alias("response"), F.lit(t).alias("truth")) for name, (a, t) in tasks.items()))
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.inline(rows))
+    return S.score_rows(p, "response", "truth", "kind", relaxed=True, out="s").select("p_partkey", "kind", r6(F.col("s.accuracy")).alias("accuracy"))
