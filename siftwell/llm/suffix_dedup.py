@@ -1,8 +1,8 @@
 """Byte-exact deduplication of repeated substrings with suffix arrays built by linear grouping.
 
-Candidates come from superwindows (see superwindows.py): a content whose 128 bits of anchor and
-check were seen before repeats whole.  Contents that share an anchor but are not equal are
-compared by a suffix array: contents stand aligned at the anchor, their columns are
+Candidates come from superwindows (see superwindows.py); hashes choose them, bytes decide.  Contents
+that share an anchor are brought together: one that equals an older one repeats whole, and the
+different ones are compared by a suffix array: contents stand aligned at the anchor, their columns are
 cut wherever any two of them part, and each piece becomes one symbol.  The symbol strings of a
 whole bucket are sorted as one text by lyndon_sort; the longest common prefix (in bytes) of a
 suffix with any earlier content's suffix tells which of its windows repeat an earlier one.
@@ -93,17 +93,34 @@ def _side(group: np.ndarray, cells: np.ndarray, length: np.ndarray) -> np.ndarra
 
 
 def decide_bytes(length: int, gram: int, most: int = 10_000):
+    """Contents that equal an older one byte by byte repeat whole; the different ones of an anchor meet in a suffix array."""
+
     def decide(anchor: np.ndarray, order: np.ndarray, blobs: list[bytes]) -> np.ndarray:
         mask = np.zeros(len(blobs), np.uint64)
-        rank = np.lexsort((order, anchor))
-        edges = np.flatnonzero(np.r_[True, anchor[rank][1:] != anchor[rank][:-1], True]) if len(rank) else np.zeros(1, int)
-        first = 0
-        for e in range(1, len(edges)):  # whole groups, some ten thousand contents at a time
-            if e == len(edges) - 1 or edges[e] - edges[first] >= most:
-                rows = rank[edges[first] : edges[e]]
-                group = np.repeat(np.arange(e - first), np.diff(edges[first : e + 1]))
-                mask[rows] = _decide_groups(group, [blobs[i] for i in rows.tolist()], length, gram)
-                first = e
+        rank = np.lexsort((order, anchor)).tolist()
+        keys = anchor[rank].tolist()
+        groups: list[list[int]] = []  # per anchor its different contents, oldest first
+        seen: set[bytes] = set()
+        for r, (i, key) in enumerate(zip(rank, keys, strict=True)):
+            if not r or key != keys[r - 1]:
+                groups.append([])
+                seen = set()
+            blob = blobs[i]
+            if blob in seen:
+                mask[i] = (1 << (len(blob) - 2 - length + 1)) - 1
+            else:
+                seen.add(blob)
+                groups[-1].append(i)
+        rows: list[int] = []
+        group: list[int] = []
+        for g in (g for g in groups if len(g) > 1):  # whole groups, some ten thousand contents at a time
+            group += [group[-1] + 1 if group else 0] * len(g)
+            rows += g
+            if len(rows) >= most:
+                mask[rows] = _decide_groups(np.array(group), [blobs[i] for i in rows], length, gram)
+                rows, group = [], []
+        if rows:
+            mask[rows] = _decide_groups(np.array(group), [blobs[i] for i in rows], length, gram)
         return mask
 
     return decide
@@ -253,6 +270,16 @@ def _longest_with_older(order: np.ndarray, lcp: np.ndarray, common: np.ndarray,
     return np.array(best)
 
 
+def _same_bytes(data: bytes, found: S.Found, length: int):
+    """Whether superwindows of a home hold the same bytes as others of it."""
+
+    def equal(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        spans = zip(found.first[one].tolist(), found.first[two].tolist(), (found.number[one] + length - 1).tolist(), strict=True)
+        return np.array([data[a : a + n] == data[b : b + n] for a, b, n in spans], bool)
+
+    return equal
+
+
 def _whole_characters(buf: np.ndarray, gone: np.ndarray) -> str:
     """The kept text: a character goes if all its bytes go, so cuts never split one."""
     if not gone.any():
@@ -272,7 +299,7 @@ def cut_bytes(addressed: DataFrame, length: int, gram: int, buckets: int, texts:
         for batch in batches:
             for home, answers in zip(homes_of(batch), batch.column("answers").to_pylist(), strict=True):
                 found = finder(home)[0]
-                hit = repeated(found, answers or [], buckets, len(home.data))
+                hit = repeated(found, answers or [], buckets, len(home.data), _same_bytes(home.data, found, length))
                 edge = np.zeros(len(hit) + length + 1, np.int32)  # as many stretches as a window is long may overlap
                 edge[: len(hit)] += np.diff(hit.astype(np.int8), prepend=np.int8(0)) == 1  # a stretch of windows starts
                 fall = np.flatnonzero(np.r_[hit[:-1] & ~hit[1:], hit[-1:]]) if len(hit) else np.zeros(0, int)
@@ -308,7 +335,7 @@ def dedup_suffixes(docs: DataFrame, length: int = 100, gram: int | None = None,
     homes, number = home_table(docs, home_bytes)
     partitions = shuffle_partitions(docs.sparkSession)
     buckets = bucket_count(partitions, number * home_bytes)
-    addressed, _ = match(homes, byte_finder(length, gram), decide_bytes(length, gram), buckets, partitions, keep_run=False)
+    addressed, _ = match(homes, byte_finder(length, gram), decide_bytes(length, gram), buckets, partitions, keep_run=False, verify=True)
     out = cut_bytes(addressed, length, gram, buckets, texts, spans)
     return out.drop(*([] if texts else ["kept_text", "ord"]), *([] if spans else ["removed"]))
 

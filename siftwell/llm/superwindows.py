@@ -6,9 +6,10 @@ share one: a maximal run of windows with the same anchor place is a *superwindow
 
 Round 1 ships, per home and bucket of anchor values, the sorted distinct (anchor, check) pairs of
 its superwindows - about two per hundred bytes - where check hashes the whole content.  The bucket
-merges all homes in order: a pair seen before makes every window of its superwindow a repeat; an
-anchor with one content only has none; the first carriers of several contents of one anchor are
-left open.  Round 2 ships just those, with content, and decides each of their windows exactly.
+merges all homes in order: a pair seen before makes every window of its superwindow a repeat (or,
+with verify, a candidate); an anchor with one content only has none; the first carriers of several
+contents of one anchor are left open.  Round 2 ships just the open ones (and, with verify, the
+candidates and what they may repeat), with content, and decides each of their windows exactly.
 
 A frequent window costs a home one entry, however often it occurs there, so no bucket grows with
 the number of copies.  Answers travel back as codes in the order in which entries were sent.
@@ -33,8 +34,9 @@ class Found:
         new = np.r_[True, (a[1:] != a[:-1]) | (c[1:] != c[:-1])] if len(a) else np.zeros(0, bool)
         #: superwindows that are the first of their content in the home, by (anchor, check)
         self.heads = order[new]
-        #: superwindows whose content occurs earlier in the home
+        #: superwindows whose content occurs earlier in the home, and the head that holds it
         self.copies = order[~new]
+        self.copied = self.heads[(np.cumsum(new) - 1)[~new]] if len(a) else self.heads
 
 
 def find(values: np.ndarray, edges: np.ndarray, length: int, gram: int, chunk: int = 1 << 17) -> Found:
@@ -111,12 +113,20 @@ def merged_order(anchor: np.ndarray, check: np.ndarray, home: np.ndarray) -> np.
     return order
 
 
-def judge(anchor: np.ndarray, check: np.ndarray, home: np.ndarray, old: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def judge(anchor: np.ndarray, check: np.ndarray, home: np.ndarray, old: np.ndarray, verify: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """A code per entry, and which old entries must show their content.
 
     Entries of one home are distinct; old marks entries of the index, whose homes are smaller
-    than all others.
+    than all others.  With verify hashes only choose candidates: every entry whose anchor another
+    one has too is open.
     """
+    if verify:
+        order = np.argsort(anchor, kind="stable")
+        a = anchor[order]
+        twin = np.r_[False, a[1:] == a[:-1]] if len(a) else np.zeros(0, bool)
+        code = np.empty(len(a), np.uint8)
+        code[order] = np.where(twin | np.r_[twin[1:], False], OPEN, UNIQUE) if len(a) else UNIQUE
+        return code, old & (code == OPEN)
     order = merged_order(anchor, check, home)
     a, c = anchor[order], check[order]
     new_a = np.r_[True, a[1:] != a[:-1]] if len(a) else np.zeros(0, bool)

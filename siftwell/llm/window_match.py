@@ -16,7 +16,7 @@ from siftwell.llm.homes import Home, homes_of
 ENTRY, RUN, ASK = 0, 1, 2
 #: Buckets are hashed to partitions; several to each even out.  A bucket takes the entries of at most about
 #: BUCKET_BYTES of text (a third of that), so a larger corpus has more of them.
-BUCKETS_PER_PARTITION, BUCKET_BYTES = 4, 256 << 20
+BUCKETS_PER_PARTITION, BUCKET_BYTES = 4, 64 << 20
 
 
 def bucket_count(partitions: int, text_bytes: int) -> int:
@@ -65,7 +65,7 @@ def entries(homes: DataFrame, finder: Finder, buckets: int) -> DataFrame:
     return homes.mapInArrow(run, _ENTRIES)
 
 
-def merge_entries(rows: DataFrame, partitions: int, keep_run: bool = True) -> DataFrame:
+def merge_entries(rows: DataFrame, partitions: int, keep_run: bool = True, verify: bool = False) -> DataFrame:
     """Bucket by bucket: codes for each home's entries, asks to index homes, and the new run.
 
     Output rows: kind ENTRY holds codes, ASK the (anchor, check) pairs that a home of the index
@@ -81,7 +81,7 @@ def merge_entries(rows: DataFrame, partitions: int, keep_run: bool = True) -> Da
                 spans.append((row["kind"], row["home"], at, at + len(anchor)))
                 at += len(anchor)
             anchor, check, home, old = (np.concatenate(c) for c in zip(*parts, strict=True))
-            code, ask = S.judge(anchor, check, home, old)
+            code, ask = S.judge(anchor, check, home, old, verify)
             out = [(ENTRY, bucket, h, code[a:b].tobytes()) for kind, h, a, b in spans if kind == ENTRY]
             some = np.flatnonzero(ask)
             some = some[np.lexsort((check[some], anchor[some], home[some]))]
@@ -146,7 +146,7 @@ def open_contents(addressed: DataFrame, finder: Finder, buckets: int) -> DataFra
                         which = found.heads[heads[edges[b] : edges[b + 1]]]
                         blobs = content(which)
                         packed = [np.array([len(which)], "<i8"), found.anchor[which], found.first[which].astype("<i8"), np.array([len(x) for x in blobs], "<i4")]
-                        rows.append((kind, b, home.home, zstandard.ZstdCompressor(level=3).compress(b"".join([*(p.tobytes() for p in packed), *blobs]))))
+                        rows.append((kind, b, home.home, zstandard.ZstdCompressor(level=1).compress(b"".join([*(p.tobytes() for p in packed), *blobs]))))
                 yield _batch(rows, _SCHEMA)
 
     return addressed.mapInArrow(run, _ENTRIES)
@@ -176,10 +176,14 @@ def decide_contents(contents: DataFrame, decide: Decider, partitions: int) -> Da
     return contents.repartition(partitions, "bucket").sortWithinPartitions("bucket", "home", "kind").mapInArrow(run, _ANSWERS)
 
 
-def repeated(found: S.Found, answers: list[dict], buckets: int, size: int) -> np.ndarray:
-    """For each place of the home whether the window that starts there repeats an earlier one."""
+def repeated(found: S.Found, answers: list[dict], buckets: int, size: int, equal: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> np.ndarray:
+    """For each place of the home whether the window that starts there repeats an earlier one.
+
+    equal compares the home's own copies with their heads; without it their hashes count.
+    """
     code = _codes(found, answers, buckets)
-    whole = np.concatenate([found.copies, found.heads[code == S.REPEAT]])
+    copies = found.copies if equal is None else found.copies[equal(found.copies, found.copied)]
+    whole = np.concatenate([copies, found.heads[code == S.REPEAT]])
     edge = np.zeros(size + 1, np.int8)  # superwindows don't overlap
     edge[found.first[whole]] += 1
     edge[found.first[whole] + found.number[whole]] -= 1
@@ -208,17 +212,17 @@ def removed_runs(mask: np.ndarray) -> np.ndarray:
     return np.stack([start, np.flatnonzero(edge == -1) - start], 1)
 
 
-def match(homes: DataFrame, finder: Finder, decide: Decider, buckets: int, partitions: int, runs: DataFrame | None = None, index_homes: DataFrame | None = None, keep_run: bool = True) -> tuple[DataFrame, DataFrame]:
+def match(homes: DataFrame, finder: Finder, decide: Decider, buckets: int, partitions: int, runs: DataFrame | None = None, index_homes: DataFrame | None = None, keep_run: bool = True, verify: bool = False) -> tuple[DataFrame, DataFrame]:
     """Homes with all their answers, and the new run of the index.
 
     runs holds earlier runs of the index and index_homes the homes that they name; without
-    keep_run no new run is made.
+    keep_run no new run is made.  With verify every candidate's content is shipped and decided.
     """
     partitions = max(partitions, -(-buckets // BUCKETS_PER_PARTITION))
     rows = entries(homes, finder, buckets)
     if runs is not None:
         rows = rows.unionByName(runs.select("kind", "bucket", "home", "payload"))
-    merged = materialise(merge_entries(rows, partitions, keep_run), "merged")
+    merged = materialise(merge_entries(rows, partitions, keep_run, verify), "merged")
     first = merged.where(F.col("kind") != RUN).select("home", F.col("kind").alias("round"), "bucket", "payload")
     asked = with_home(homes, first)
     if index_homes is not None:
