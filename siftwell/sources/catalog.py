@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from siftwell.operators.convert import alpaca, sharegpt
 from siftwell.operators.mix import resample
+from siftwell.sources.files import read_arrow, read_ply
 
 #: Extensions and their readers.
 READERS = {"parquet": "parquet", "csv": "csv", "json": "json", "jsonl": "jsonl", "txt": "text", "orc": "orc", "arrow": "arrow", "ply": "ply"}
@@ -64,12 +65,7 @@ def read(spark: SparkSession, path: str | Sequence[str], schema: T.StructType |
     paths = [path] if isinstance(path, str) else list(path)
     kind = kind or reader_of(paths[0], spark)
     if kind in ("ply", "arrow"):
-        register_sources(spark)
-        frames = [spark.read.format(kind).load(p) for p in paths]
-        out = frames[0]
-        for f in frames[1:]:
-            out = out.unionByName(f)
-        return out
+        return (read_ply if kind == "ply" else read_arrow)(spark, paths)
     r = spark.read.schema(schema) if schema is not None else spark.read
     if kind == "json":
         return r.option("multiLine", True).json(paths)
@@ -186,12 +182,5 @@ def leaf_folders(media: DataFrame) -> DataFrame:
     return folders.join(parents, "folder", "left_anti")
 
 
-def register_sources(spark: SparkSession) -> None:
-    from siftwell.sources.files import ArrowSource, PlySource
-
-    spark.dataSource.register(ArrowSource)
-    spark.dataSource.register(PlySource)
-
-
 def override(entry: Entry, **changes) -> Entry:
     return replace(entry, **changes)

@@ -1,163 +1,167 @@
-"""Python data sources for files without a built-in reader: Arrow IPC and ASCII PLY."""
+"""Arrow IPC files and ASCII PLY points on any Hadoop file system.
+
+Files come through Spark's own ``binaryFile`` source, one row a file (under 2 GB), and are decoded
+in Arrow batches; points are written by its text source, so a task's output counts once it is
+committed.  Nothing is opened by a local path.
+"""
 
 from __future__ import annotations
 
-import glob
-import os
-from collections.abc import Iterator
+import bisect
+import io
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from siftwell.sources.scratch import discard, materialise
+
 #: The property types of the points that are written.
 PLY_TYPES = {"x": "float", "y": "float", "z": "float", "red": "uchar", "green": "uchar", "blue": "uchar", "nx": "float", "ny": "float", "nz": "float", "class_id": "int", "instance_id": "int"}
+#: Points that are decoded at once.
+POINTS = 1 << 16
 
 
-def _files(path: str, suffix: str) -> list[str]:
-    path = path.removeprefix("file://")
-    return sorted(glob.glob(os.path.join(path, "**", f"*{suffix}"), recursive=True)) if os.path.isdir(path) else [path]
-
-
-class FilePartition(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
-
+def _contents(spark: SparkSession, paths: Sequence[str], suffix: str) -> DataFrame:
+    """path and content of files, and of those with the suffix below directories."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths)).select("path", "content")
+    return files.where(F.lower("path").endswith(suffix)) if suffix else files
 
-class ArrowSource(DataSource):
-    """Arrow IPC files and streams; one partition a file, batches go to the JVM as they are."""
 
-    @classmethod
-    def name(cls) -> str:
-        return "arrow"
+def _open_arrow(content: bytes):
+    try:
+        return pa.ipc.open_file(pa.BufferReader(content))
+    except pa.ArrowInvalid:
+        return pa.ipc.open_stream(pa.BufferReader(content))
 
-    def schema(self) -> StructType:
-        with _open_arrow(_files(self.options["path"], ".arrow")[0]) as r:
-            return from_arrow_schema(r.schema)
 
-    def reader(self, schema: StructType) -> DataSourceReader:
-        return _ArrowReader(_files(self.options["path"], ".arrow"))
+def _arrow_batches(content: bytes) -> Iterator[pa.RecordBatch]:
+    with _open_arrow(content) as r:
+        if hasattr(r, "num_record_batches"):
+            for i in range(r.num_record_batches):
+                yield r.get_batch(i)
+        else:
+            yield from r
 
 
-def _open_arrow(path: str):
-    source = pa.memory_map(path)
-    try:
-        return pa.ipc.open_file(source)
-    except pa.ArrowInvalid:
-        return pa.ipc.open_stream(pa.memory_map(path))
+def read_arrow(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """Arrow IPC files and streams with one schema, that of the first file."""
+    files = _contents(spark, paths, ".arrow")
 
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column("content"):
+                with _open_arrow(content.as_py()) as r:
+                    yield pa.RecordBatch.from_arrays([pa.array([r.schema.serialize().to_pybytes()], pa.binary())], names=["schema"])
 
-class _ArrowReader(DataSourceReader):
-    def __init__(self, paths: list[str]):
-        self.paths = paths
+    first = files.orderBy("path").limit(1).mapInArrow(heads, "schema binary").first()
+    if first is None:
+        raise ValueError(f"no Arrow files under {list(paths)}")
+    schema = pa.ipc.read_schema(pa.BufferReader(bytes(first["schema"])))
 
-    def partitions(self) -> list[InputPartition]:
-        return [FilePartition(p) for p in self.paths]
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column("content"):
+                yield from _arrow_batches(content.as_py())
 
-    def read(self, partition: FilePartition) -> Iterator[pa.RecordBatch]:
-        with _open_arrow(partition.path) as r:
-            if hasattr(r, "num_record_batches"):
-                for i in range(r.num_record_batches):
-                    yield r.get_batch(i)
-            else:
-                yield from r
+    return files.mapInArrow(decode, from_arrow_schema(schema))
 
 
-def ply_header(path: str) -> tuple[int, list[str], int]:
-    """Vertex count, property names and the number of header lines of an ASCII PLY file."""
+def ply_header(content: bytes, name: str = "file") -> tuple[int, list[str], int]:
+    """Vertex count, property names and the number of bytes of the header of an ASCII PLY file."""
     names, count, inside = [], 0, False
-    with open(path, encoding="ascii") as f:
-        if f.readline().strip() != "ply":
-            raise ValueError(f"{path} is no PLY file")
-        for n, line in enumerate(f, 2):
-            words = line.split()
-            if not words:
-                continue
-            if words[0] == "format" and words[1] != "ascii":
-                raise ValueError(f"{path} is not ASCII")
-            if words[0] == "element":
-                inside = words[1] == "vertex"
-                count = int(words[2]) if inside else count
-            elif words[0] == "property" and inside:
-                names.append(words[-1])
-            elif words[0] == "end_header":
-                return count, names, n
-    raise ValueError(f"{path} has no end of header")
-
-
-class PlySource(DataSource):
-    """ASCII PLY points: one row per vertex with the file's name, all properties as doubles.  Writing makes one file a partition."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "ply"
-
-    def schema(self) -> StructType:
-        _, names, _ = ply_header(_files(self.options["path"], ".ply")[0])
-        return StructType([StructField("file", StringType()), *(StructField(n, DoubleType()) for n in names)])
-
-    def reader(self, schema: StructType) -> DataSourceReader:
-        return _PlyReader(_files(self.options["path"], ".ply"), [f.name for f in schema.fields if f.name != "file"])
-
-    def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
-        return _PlyWriter(self.options["path"].removeprefix("file://"), [f.name for f in schema.fields], overwrite)
-
-
-class _PlyReader(DataSourceReader):
-    def __init__(self, paths: list[str], names: list[str]):
-        self.paths, self.names = paths, names
-
-    def partitions(self) -> list[InputPartition]:
-        return [FilePartition(p) for p in self.paths]
-
-    def read(self, partition: FilePartition) -> Iterator[tuple]:
-        count, names, lines = ply_header(partition.path)
-        at = [names.index(n) if n in names else None for n in self.names]
-        with open(partition.path, encoding="ascii") as f:
-            for _ in range(lines):
-                next(f)
-            for _, line in zip(range(count), f, strict=False):
-                words = line.split()
-                yield (os.path.basename(partition.path), *(None if i is None else float(words[i]) for i in at))
-
-
-class _Written(WriterCommitMessage):
-    def __init__(self, path: str):
-        self.path = path
-
-
-class _PlyWriter(DataSourceWriter):
-    """Each task writes a hidden file; they get their names once all tasks are done."""
-
-    def __init__(self, path: str, names: list[str], overwrite: bool):
-        self.path, self.names, self.overwrite = path, names, overwrite
-
-    def write(self, iterator: Iterator) -> WriterCommitMessage:
-        from pyspark import TaskContext
-
-        os.makedirs(self.path, exist_ok=True)
-        c = TaskContext.get()
-        target = os.path.join(self.path, f".points-{c.partitionId()}-{c.taskAttemptId()}.ply")
-        rows = [tuple(r) for r in iterator]
-        with open(target, "w", encoding="ascii") as f:
-            f.write(f"ply\nformat ascii 1.0\nelement vertex {len(rows)}\n")
-            f.writelines(f"property {PLY_TYPES.get(n, 'float')} {n}\n" for n in self.names)
-            f.write("end_header\n")
-            for r in rows:
-                f.write(" ".join(f"{v:.6f}" if PLY_TYPES.get(n, "float") == "float" else str(int(v)) for n, v in zip(self.names, r, strict=True)) + "\n")
-        return _Written(target)
-
-    def commit(self, messages: list[WriterCommitMessage]) -> None:
-        if self.overwrite:
-            for old in glob.glob(os.path.join(self.path, "points-*.ply")):
-                os.remove(old)
-        for m in messages:
-            if m is not None:
-                name = os.path.basename(m.path).lstrip(".").rsplit("-", 1)[0]
-                os.replace(m.path, os.path.join(self.path, f"{name}.ply"))
-
-    def abort(self, messages: list[WriterCommitMessage]) -> None:
-        for m in messages:
-            if m is not None and os.path.exists(m.path):
-                os.remove(m.path)
+    stream = io.BytesIO(content)
+    if stream.readline().strip() != b"ply":
+        raise ValueError(f"{name} is no PLY file")
+    for line in stream:
+        words = line.decode("ascii").split()
+        match words:
+            case ["format", kind, *_] if kind != "ascii":
+                raise ValueError(f"{name} is not ASCII")
+            case ["element", element, n]:
+                inside = element == "vertex"
+                count = int(n) if inside else count
+            case ["property", *_, prop] if inside:
+                names.append(prop)
+            case ["end_header"]:
+                return count, names, stream.tell()
+    raise ValueError(f"{name} has no end of header")
+
+
+def read_ply(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """One row per vertex with the file's name, all properties as doubles; the first file names the properties."""
+    files = _contents(spark, paths, ".ply")
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array([ply_header(content.as_py(), path)[1]], pa.list_(pa.string()))], names=["names"])
+
+    first = files.orderBy("path").limit(1).mapInArrow(heads, "names array<string>").first()
+    if first is None:
+        raise ValueError(f"no PLY files under {list(paths)}")
+    wanted = list(first["names"])
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                raw = content.as_py()
+                count, names, start = ply_header(raw, path)
+                at = [names.index(n) if n in names else None for n in wanted]
+                stream = io.BytesIO(raw)
+                stream.seek(start)
+                for done in range(0, count, POINTS):
+                    rows = [line.split() for _, line in zip(range(min(POINTS, count - done)), stream, strict=False)]
+                    cols = [pa.nulls(len(rows), pa.float64()) if i is None else pa.array([float(r[i]) for r in rows], pa.float64()) for i in at]
+                    yield pa.RecordBatch.from_arrays([pa.array([path.rsplit("/", 1)[-1]] * len(rows), pa.string()), *cols], names=["file", *wanted])
+
+    return files.mapInArrow(decode, StructType([StructField("file", StringType()), *(StructField(n, DoubleType()) for n in wanted)]))
+
+
+def write_ply(points: DataFrame, path: str) -> None:
+    """ASCII PLY files points-*.ply, one a partition that holds points; what stood under the path goes."""
+    spark, names = points.sparkSession, points.columns
+    rows = materialise(points.withColumn("_part", F.spark_partition_id()), "points")
+    counts = {r["_part"]: r["n"] for r in rows.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a partition
+
+    def block(part: int, at: int, text: list[str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([part] * len(text), pa.int32()), pa.array(range(at, at + len(text)), pa.int64()), pa.array(text, pa.string())], names=["part", "at", "value"])
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, at = None, 0
+        for batch in batches:
+            parts = batch.column("_part").to_pylist()
+            cols = [[f"{v:.6f}" if PLY_TYPES.get(n, "float") == "float" else str(int(v)) for v in batch.column(n).to_pylist()] for n in names]
+            text = [" ".join(r) for r in zip(*cols, strict=True)]
+            first = 0
+            while first < len(text):
+                part = parts[first]
+                last = bisect.bisect_right(parts, part)
+                if part != current:
+                    head = ["ply", "format ascii 1.0", f"element vertex {counts[part]}", *(f"property {PLY_TYPES.get(n, 'float')} {n}" for n in names), "end_header"]
+                    yield block(part, 0, head)
+                    current, at = part, len(head)
+                yield block(part, at, text[first:last])
+                at, first = at + last - first, last
+
+    made = rows.repartitionByRange(max(len(counts), 1), "_part").sortWithinPartitions("_part").mapInArrow(lines, "part int, at long, value string")
+    made.sortWithinPartitions("part", "at").select("part", "value").write.mode("overwrite").partitionBy("part").text(path)
+    discard(rows)
+    _name_files(spark, path)
+
+
+def _name_files(spark: SparkSession, path: str) -> None:
+    """part=N/part-*.txt becomes points-N.ply: one rename a file, by any file system."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    base = hadoop(path)
+    fs = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for folder in fs.listStatus(base):
+        name = folder.getPath().getName()
+        if name.startswith("part="):
+            for file in fs.listStatus(folder.getPath()):
+                if file.getPath().getName().startswith("part-"):
+                    fs.rename(file.getPath(), hadoop(f"{path}/points-{name.removeprefix('part=')}.ply"))
+            fs.delete(folder.getPath(), True)

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftwell.sources.files import write_ply
+
 
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path of any Hadoop file system holds something."""
@@ -46,10 +48,7 @@ def write_matrix(spark: SparkSession, matrix: list[list[float]], path: str) -> N
 
 def write_points(points: DataFrame, path: str) -> None:
     """ASCII PLY files, one a partition."""
-    from siftwell.sources.catalog import register_sources
-
-    register_sources(points.sparkSession)
-    points.write.format("ply").mode("overwrite").save(path)
+    write_ply(points, path)
 
 
 def record_step(spark: SparkSession, path: str, step: int, score: float) -> None:
