@@ -2,10 +2,10 @@
 
 The index holds immutable runs of window fingerprints (anchor hash, content check, home), each
 sorted by fingerprint and cut into buckets.  A new batch of documents is cut into homes; its
-sorted fingerprints are merge-joined with all runs bucket by bucket.  A content whose 128 bits of
-anchor and check were seen before repeats; whatever the fingerprints leave open is verified window
-by window, with fresh hashes of the contents that new and indexed homes show.  Then the batch's
-new fingerprints become a further run, and runs are compacted once there are more than ``fan_in``.
+sorted fingerprints are merge-joined with all runs bucket by bucket.  That chooses candidates only:
+new and indexed homes show the contents of every anchor that occurs twice, and their words are
+compared.  Then the batch's new fingerprints become a further run, and runs are compacted once
+there are more than ``fan_in``.
 
 A window is ``window`` consecutive words ``[^\\x20\\x09-\\x0D]+`` of one document.  Words covered
 by a window whose word sequence starts earlier (in an earlier batch, at a smaller doc_id, or
@@ -33,7 +33,6 @@ from pyspark.sql import functions as F
 from siftwell.llm import superwindows as S
 from siftwell.llm.common import remove, scratch, shuffle_partitions
 from siftwell.llm.homes import MOST_HOMES, Home, home_table, homes_of
-from siftwell.llm.rolling import avalanche, span_hashes
 from siftwell.llm.window_match import BUCKETS_PER_PARTITION, NO_RUNS, RUN, RUNS, _grouped, bucket_count, match, removed_runs, repeated
 
 
@@ -45,35 +44,56 @@ def word_finder(window: int, gram: int):
         found = S.find(values, edges, window, gram)
 
         def content(which: np.ndarray) -> list[bytes]:
-            """Per superwindow its first window's offset to the anchor and a 64-bit hash per window."""
-            out = []
-            for first, number, place in zip(found.first[which].tolist(), found.number[which].tolist(), found.place[which].tolist(), strict=True):
-                at = np.arange(number)
-                v = avalanche(values[first : first + number + window - 1] ^ np.uint64(0xC2B2AE3D27D4EB4F))
-                out.append(np.int64(place - first).tobytes() + span_hashes(v, at, at + window, 0).tobytes())
-            return out
+            """Per superwindow its first window's offset to the anchor (a byte pair) and its words, a space between two."""
+            spans = zip((found.place[which] - found.first[which]).tolist(), starts[found.first[which]].tolist(), ends[found.first[which] + found.number[which] + window - 2].tolist(), strict=True)
+            return [p.to_bytes(2, "little") + b" ".join(home.data[a:b].split()) for p, a, b in spans]
 
         return found, content
 
     return finder
 
 
-def decide_windows(anchor: np.ndarray, order: np.ndarray, blobs: list[bytes]) -> np.ndarray:
-    """Bit i of a mask: the i-th window's hash occurs under the same anchor and offset earlier."""
-    number = np.array([len(b) // 8 - 1 for b in blobs])
-    owner = np.repeat(np.arange(len(blobs)), number)
-    raw = np.frombuffer(b"".join(blobs), np.uint64)
-    head = np.r_[0, np.cumsum(number + 1)][:-1]
-    within = np.arange(len(owner)) - np.repeat(np.cumsum(number) - number, number)
-    value = raw[head[owner] + 1 + within]
-    offset = raw[head].astype(np.int64)[owner] - within
-    rank = np.lexsort((order[owner], offset, value, anchor[owner]))
-    a, v, o = anchor[owner][rank], value[rank], offset[rank]
-    again = np.zeros(len(rank), bool)
-    again[1:] = (a[1:] == a[:-1]) & (v[1:] == v[:-1]) & (o[1:] == o[:-1])
-    mask = np.zeros(len(blobs), np.uint64)
-    np.bitwise_or.at(mask, owner[rank][again], np.uint64(1) << within[rank][again].astype(np.uint64))
-    return mask
+def decide_windows(window: int):
+    def decide(anchor: np.ndarray, order: np.ndarray, blobs: list[bytes]) -> np.ndarray:
+        """Bit i of a mask: the i-th window's words occur under the same anchor and offset earlier."""
+        mask = np.zeros(len(blobs), np.uint64)
+        rank = np.lexsort((order, anchor)).tolist()
+        keys = anchor[rank].tolist()
+        whole: dict[bytes, int] = {}  # of the anchor: contents and their numbers of windows
+        seen: set[tuple[int, bytes]] = set()  # and windows with their offsets, once contents differ
+        for r, (i, key) in enumerate(zip(rank, keys, strict=True)):
+            if not r or key != keys[r - 1]:
+                whole, seen = {}, set()
+            blob = blobs[i]
+            if blob in whole:
+                mask[i] = (1 << whole[blob]) - 1
+                continue
+            if len(whole) == 1:
+                seen.update(_windows(next(iter(whole)), window))
+            own = list(_windows(blob, window)) if whole else []
+            mask[i] = sum(1 << k for k, w in enumerate(own) if w in seen)
+            seen.update(own)
+            whole[blob] = blob.count(b" ", 2) + 2 - window
+        return mask
+
+    return decide
+
+
+def _windows(blob: bytes, window: int) -> Iterator[tuple[int, bytes]]:
+    """The windows of a content, each with its offset to the anchor."""
+    words, offset = blob[2:].split(b" "), int.from_bytes(blob[:2], "little")
+    for k in range(len(words) - window + 1):
+        yield offset - k, b" ".join(words[k : k + window])
+
+
+def _same_words(home: Home, starts: np.ndarray, ends: np.ndarray, found: S.Found, window: int):
+    """Whether superwindows of a home hold the same words as others of it."""
+
+    def equal(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        text = lambda w: zip(starts[found.first[w]].tolist(), ends[found.first[w] + found.number[w] + window - 2].tolist(), strict=True)
+        return np.array([home.data[a:b].split() == home.data[c:d].split() for (a, b), (c, d) in zip(text(one), text(two), strict=True)], bool)
+
+    return equal
 
 
 _RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, removed array<struct<start: long, length: long>>"
@@ -86,8 +106,8 @@ def cut_words(addressed: DataFrame, window: int, gram: int, buckets: int, texts:
         for batch in batches:
             for home, answers in zip(homes_of(batch), batch.column("answers").to_pylist(), strict=True):
                 found = finder(home)[0]
-                edges = home.batch().words()[2]
-                hit = repeated(found, answers or [], buckets, int(edges[-1]))
+                starts, ends, edges = home.batch().words()
+                hit = repeated(found, answers or [], buckets, int(edges[-1]), _same_words(home, starts, ends, found, window))
                 edge = np.zeros(len(hit) + window + 1, np.int32)
                 at = np.flatnonzero(hit)
                 np.add.at(edge, at, 1)
@@ -110,6 +130,8 @@ class FingerprintIndex:
     """Sorted immutable runs of window fingerprints under a path of the shared folder."""
 
     def __init__(self, spark: SparkSession, path: str | None = None, window: int = 20, gram: int = 10, home_bytes: int = 4 << 20, buckets: int | None = None, fan_in: int = 4):
+        if not 0 <= window - gram < 64:
+            raise ValueError("window - gram must lie in 0..63")
         self.spark, self.path = spark, path or scratch(spark, "fingerprints")
         self.window, self.gram, self.home_bytes, self.fan_in = window, gram, home_bytes, fan_in
         self.partitions = shuffle_partitions(spark)
@@ -130,7 +152,7 @@ class FingerprintIndex:
         before = None
         for t in self.tables:
             before = t if before is None else before.unionByName(t)
-        addressed, run = match(homes, word_finder(self.window, self.gram), decide_windows, self.buckets, self.partitions, old, before, keep_run=not last)
+        addressed, run = match(homes, word_finder(self.window, self.gram), decide_windows(self.window), self.buckets, self.partitions, old, before, keep_run=not last, verify=True)
         if not last:
             self.tables.append(homes)
             self._keep(run)

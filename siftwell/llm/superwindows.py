@@ -113,28 +113,23 @@ def merged_order(anchor: np.ndarray, check: np.ndarray, home: np.ndarray) -> np.
     return order
 
 
-def judge(anchor: np.ndarray, check: np.ndarray, home: np.ndarray, old: np.ndarray, verify: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """A code per entry, and which old entries must show their content.
+def judge(anchor: np.ndarray, check: np.ndarray, home: np.ndarray, old: np.ndarray, verify: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A code per entry, which old entries must show their content, and which entries are their content's first.
 
     Entries of one home are distinct; old marks entries of the index, whose homes are smaller
-    than all others.  With verify hashes only choose candidates: every entry whose anchor another
-    one has too is open.
+    than all others.  With verify hashes only choose candidates: where an anchor has a new entry
+    and any other one, all its entries are open.
     """
-    if verify:
-        order = np.argsort(anchor, kind="stable")
-        a = anchor[order]
-        twin = np.r_[False, a[1:] == a[:-1]] if len(a) else np.zeros(0, bool)
-        code = np.empty(len(a), np.uint8)
-        code[order] = np.where(twin | np.r_[twin[1:], False], OPEN, UNIQUE) if len(a) else UNIQUE
-        return code, old & (code == OPEN)
     order = merged_order(anchor, check, home)
     a, c = anchor[order], check[order]
     new_a = np.r_[True, a[1:] != a[:-1]] if len(a) else np.zeros(0, bool)
     new_v = new_a | np.r_[True, c[1:] != c[:-1]] if len(a) else new_a
     group = np.cumsum(new_a) - 1
-    several = (np.bincount(group, weights=new_v) > 1)[group] if len(a) else new_a
-    fresh = (np.bincount(group, weights=new_v & ~old[order]) > 0)[group] if len(a) else new_a
-    code = np.where(~new_v, REPEAT, np.where(several & fresh, OPEN, UNIQUE)).astype(np.uint8)
-    out = np.empty(len(a), np.uint8)
-    out[order] = code
-    return out, old & (out == OPEN)
+    several = (np.bincount(group, weights=np.ones(len(a)) if verify else new_v) > 1)[group] if len(a) else new_a
+    fresh = (np.bincount(group, weights=(np.ones(len(a), bool) if verify else new_v) & ~old[order]) > 0)[group] if len(a) else new_a
+    code = np.where(several & fresh, OPEN, UNIQUE).astype(np.uint8)
+    if not verify:
+        code[~new_v] = REPEAT
+    out, first = np.empty(len(a), np.uint8), np.empty(len(a), bool)
+    out[order], first[order] = code, new_v
+    return out, old & (out == OPEN), first

@@ -81,14 +81,14 @@ def merge_entries(rows: DataFrame, partitions: int, keep_run: bool = True, verif
                 spans.append((row["kind"], row["home"], at, at + len(anchor)))
                 at += len(anchor)
             anchor, check, home, old = (np.concatenate(c) for c in zip(*parts, strict=True))
-            code, ask = S.judge(anchor, check, home, old, verify)
+            code, ask, first = S.judge(anchor, check, home, old, verify)
             out = [(ENTRY, bucket, h, code[a:b].tobytes()) for kind, h, a, b in spans if kind == ENTRY]
             some = np.flatnonzero(ask)
             some = some[np.lexsort((check[some], anchor[some], home[some]))]
             for part in np.split(some, np.flatnonzero(np.diff(home[some])) + 1):
                 if len(part):
                     out.append((ASK, bucket, int(home[part[0]]), S.pack_entries(anchor[part], check[part])))
-            fresh = np.flatnonzero(~old & (code != S.REPEAT))
+            fresh = np.flatnonzero(~old & first)
             fresh = fresh[np.lexsort((check[fresh], anchor[fresh]))]
             if keep_run and len(fresh):
                 out.append((RUN, bucket, -1, S.pack_entries(anchor[fresh], check[fresh], home[fresh])))

@@ -123,8 +123,12 @@ def test_contents_that_share_half_their_check_are_no_repeats():
     first, second = (S.unpack_entries(S.pack_entries(anchor[[i, 2]], check[[i, 2]])) for i in (0, 1))
     assert second[0].tolist() == [7, 9] and second[1].tolist() == check[1:].tolist()
     home = np.array([0, 0, 1, 1], np.int32)
-    code, _ = S.judge(np.r_[first[0], second[0]], np.r_[first[1], second[1]], home, np.zeros(4, bool))
-    assert code.tolist() == [S.OPEN, S.UNIQUE, S.OPEN, S.REPEAT]
+    both = np.r_[first[0], second[0]], np.r_[first[1], second[1]]
+    code, _, lead = S.judge(*both, home, np.zeros(4, bool))
+    assert code.tolist() == [S.OPEN, S.UNIQUE, S.OPEN, S.REPEAT] and lead.tolist() == [True, True, True, False]
+    code, ask, lead = S.judge(*both, home, np.array([True, True, False, False]), verify=True)
+    assert code.tolist() == [S.OPEN] * 4 and ask.tolist() == [True, True, False, False] and lead.tolist() == [True, True, True, False]
+    assert S.judge(*both, home, np.ones(4, bool), verify=True)[0].tolist() == [S.UNIQUE] * 4
     run = S.unpack_entries(S.pack_entries(anchor, check, np.array([3, 4, 5], np.int32)))
     assert [c.tolist() for c in run] == [anchor.tolist(), check.tolist(), [3, 4, 5]]
 
