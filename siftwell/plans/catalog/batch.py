@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from siftwell.operators import batch as B
@@ -96,9 +95,9 @@ def _unpad(spark, sf_dir):
 @query("reorder_and_back", "SELECT c_custkey, CAST(row_number() OVER (ORDER BY c_custkey) - 1 AS BIGINT) AS pos FROM customer")
 def _reorder(spark, sf_dir):
     rows = B.with_position(spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey"), "c_custkey")
-    shift = rows.select(F.col("_pos").alias("old"), F.row_number().over(Window.orderBy(F.desc("_pos"))).cast("long").alias("new"))
-    moved = B.reorder(rows, shift.withColumn("new", F.col("new") - 1))
-    return B.reorder(moved, B.inverse_permutation(shift.withColumn("new", F.col("new") - 1))).select("c_custkey", F.col("_pos").alias("pos"))
+    most = F.broadcast(rows.agg(F.max("_pos").alias("_most")))  # one row
+    shift = rows.crossJoin(most).select(F.col("_pos").alias("old"), (F.col("_most") - F.col("_pos")).alias("new"))
+    return B.reorder(B.reorder(rows, shift), B.inverse_permutation(shift)).select("c_custkey", F.col("_pos").alias("pos"))
 
 
 @query("fold_batch", f"SELECT CAST(floor(pos / 4) AS INTEGER) AS chunk, sum(o_custkey)::BIGINT AS total, count(*) AS n FROM {NUM} GROUP BY 1")
