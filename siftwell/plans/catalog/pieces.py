@@ -19,7 +19,7 @@ from siftwell.operators import scoring as S
 from siftwell.operators import tokens as T
 from siftwell.plans.catalog.convert import PAIRS, pairs
 from siftwell.plans.catalog.groupstats import SEQ, sequences
-from siftwell.plans.catalog.tokens import lengths, shown
+from siftwell.plans.catalog.tokens import shown
 from siftwell.plans.registry import query
 
 
@@ -257,36 +257,6 @@ def _score_with(spark, sf_dir):
 
 # ---- tokens and packing -------------------------------------------------------------------
 
-LENGTHS = "d AS (SELECT doc_id, CAST(floor(doc_id / 1000) AS BIGINT) AS batch, len(string_split(text, ' ')) AS n FROM documents)"
-
-
-@query(
-    "least_loaded_sums",
-    f"""WITH RECURSIVE {LENGTHS}, o AS (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY doc_id) AS k FROM d),
-f AS (SELECT DISTINCT batch, CAST(0 AS BIGINT) AS k, [CAST(0 AS BIGINT) FOR i IN range(8)] AS sums FROM d
- UNION ALL SELECT f.batch, o.k, [sums[i] + CASE WHEN i = list_position(sums, list_min(sums)) THEN o.n ELSE 0 END FOR i IN range(1, 9)] FROM f JOIN o ON o.batch = f.batch AND o.k = f.k + 1)
-SELECT batch, array_to_string(arg_max(sums, k), ',') AS sums FROM f GROUP BY batch""",
-)
-def _least_sums(spark, sf_dir):
-    """Token sums of the parts that the greedy partition makes."""
-    rows = lengths(spark, sf_dir)
-    made = T.balanced_partitions(rows, "batch", "doc_id", "n", 8, method="greedy").join(rows.select("doc_id", "n"), "doc_id")
-    sums = made.groupBy("batch", "part").agg(F.sum("n").alias("s")).groupBy("batch").agg(F.map_from_entries(F.collect_list(F.struct("part", "s"))).alias("m"))
-    return sums.select("batch", F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda p: F.coalesce(F.try_element_at("m", p), F.lit(0))).cast("array<string>"), ",").alias("sums"))
-
-
-@query(
-    "knapsack_bins",
-    f"""WITH RECURSIVE {LENGTHS}, s AS (SELECT batch, list({{'n': n, 'k': doc_id}} ORDER BY n, doc_id) AS rest FROM d WHERE n <= 2048 GROUP BY batch),
-f AS (SELECT batch, rest, 0 AS bin, CAST(2048 AS BIGINT) AS room, 0 AS place, CAST(NULL AS BIGINT) AS doc_id FROM s
- UNION ALL SELECT batch, [x FOR x IN rest IF x.k <> pick.k], bin + fresh, CASE WHEN fresh = 1 THEN 2048 ELSE room END - pick.n, CASE WHEN fresh = 1 THEN 0 ELSE place END + 1, pick.k
- FROM (SELECT *, CASE WHEN len(fits) = 0 THEN 1 ELSE 0 END AS fresh, CASE WHEN len(fits) = 0 THEN rest[-1] ELSE fits[-1] END AS pick FROM (SELECT *, [x FOR x IN rest IF x.n <= room] AS fits FROM f WHERE len(rest) > 0)))
-SELECT batch, doc_id, CAST(bin AS INTEGER) AS bin, CAST(place - 1 AS INTEGER) AS place FROM f WHERE doc_id IS NOT NULL""",
-)
-def _bins(spark, sf_dir):
-    return T.knapsack(lengths(spark, sf_dir), "batch", "doc_id", "n", 2048).select("batch", "doc_id", "bin", "place")
-
-
 @query(
     "multi_turn_encoding",
     """WITH RECURSIVE p AS (SELECT a.conv_id, hex(u.text) AS uh, hex(a.text) AS ah, strlen(u.text) AS s, strlen(a.text) AS t, row_number() OVER (PARTITION BY a.conv_id ORDER BY a.turn) AS k

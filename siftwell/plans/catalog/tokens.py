@@ -138,7 +138,17 @@ def lengths(spark, sf_dir):
     return d.select("doc_id", F.floor(F.col("doc_id") / 1000).alias("batch"), F.size(F.split("text", " ")).alias("n"))
 
 
-@query("knapsack_packing")
+LENGTHS = "d AS (SELECT doc_id, CAST(floor(doc_id / 1000) AS BIGINT) AS batch, len(string_split(text, ' ')) AS n FROM documents)"
+
+
+@query(
+    "knapsack_packing",
+    f"""WITH RECURSIVE {LENGTHS}, s AS (SELECT batch, list({{'n': n, 'k': doc_id}} ORDER BY n, doc_id) AS rest FROM d WHERE n <= 2048 GROUP BY batch),
+f AS (SELECT batch, rest, 0 AS bin, CAST(2048 AS BIGINT) AS room, 0 AS place, CAST(NULL AS BIGINT) AS doc_id, CAST(0 AS BIGINT) AS n FROM s
+ UNION ALL SELECT batch, [x FOR x IN rest IF x.k <> pick.k], bin + fresh, CASE WHEN fresh = 1 THEN 2048 ELSE room END - pick.n, CASE WHEN fresh = 1 THEN 0 ELSE place END + 1, pick.k, pick.n
+ FROM (SELECT *, CASE WHEN len(fits) = 0 THEN 1 ELSE 0 END AS fresh, CASE WHEN len(fits) = 0 THEN rest[-1] ELSE fits[-1] END AS pick FROM (SELECT *, [x FOR x IN rest IF x.n <= room] AS fits FROM f WHERE len(rest) > 0)))
+SELECT batch, doc_id, CAST(bin AS INTEGER) AS bin, CAST(place - 1 AS INTEGER) AS place, CAST(2048 - room - n AS INTEGER) AS start FROM f WHERE doc_id IS NOT NULL""",
+)
 def _knapsack(spark, sf_dir):
     return T.knapsack(lengths(spark, sf_dir), "batch", "doc_id", "n", 2048)
 
@@ -148,7 +158,13 @@ def _differencing(spark, sf_dir):
     return T.balanced_partitions(lengths(spark, sf_dir), "batch", "doc_id", "n", 8)
 
 
-@query("least_loaded_partitions")
+@query(
+    "least_loaded_partitions",
+    f"""WITH RECURSIVE {LENGTHS}, o AS (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY doc_id) AS k FROM d),
+f AS (SELECT DISTINCT batch, CAST(0 AS BIGINT) AS k, [CAST(0 AS BIGINT) FOR i IN range(8)] AS sums, CAST(NULL AS BIGINT) AS doc_id, 0 AS part FROM d
+ UNION ALL SELECT f.batch, o.k, [sums[i] + CASE WHEN i = list_position(sums, list_min(sums)) THEN o.n ELSE 0 END FOR i IN range(1, 9)], o.doc_id, list_position(sums, list_min(sums)) - 1 FROM f JOIN o ON o.batch = f.batch AND o.k = f.k + 1)
+SELECT batch, doc_id, CAST(part AS INTEGER) AS part FROM f WHERE doc_id IS NOT NULL""",
+)
 def _least_loaded(spark, sf_dir):
     return T.balanced_partitions(lengths(spark, sf_dir), "batch", "doc_id", "n", 8, method="greedy")
 
