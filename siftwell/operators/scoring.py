@@ -42,15 +42,6 @@ def _root_mean_square(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, x: s + x) / F.size(squares))
 
 
-def trace_score(answer: Column, truth: Column, limits: tuple[float, float] = TRACE) -> Column:
-    """Ramp of the root mean square distance after resampling to the truth's length; another length costs a penalty."""
-    a, t = _points(_parsed(answer, POINTS)), _points(_parsed(truth, POINTS))
-    usable = (F.size(a) > 1) & (F.size(t) > 1)
-    error = _root_mean_square(V.resampled(a, F.size(t)), t)
-    score = V.ramp(error, *limits) - F.when(F.size(a) != F.size(t), LENGTH_PENALTY).otherwise(0.0)
-    return F.when(usable, F.greatest(score, F.lit(0.0))).otherwise(0.0)
-
-
 def _depth_error(pa: Column, pt: Column) -> Column:
     """Mean absolute depth difference after resampling to the truth's length."""
     da, dt = (F.transform(p, lambda x: F.array(x["depth"], F.lit(0.0))) for p in (pa, pt))
@@ -58,16 +49,6 @@ def _depth_error(pa: Column, pt: Column) -> Column:
     return F.aggregate(gaps, F.lit(0.0), lambda s, x: s + x) / F.size(gaps)
 
 
-def trace_3d_score(answer: Column, truth: Column) -> Column:
-    """Half the place's ramp, half the ramp of the mean absolute depth error."""
-    pa, pt = _parsed(answer, POINTS), _parsed(truth, POINTS)
-    a, t = _points(pa), _points(pt)
-    usable = (F.size(a) > 1) & (F.size(t) > 1) & (F.size(a) == F.size(pa)) & (F.size(t) == F.size(pt)) & ~F.exists(pa, lambda x: x["depth"].isNull())
-    place = _root_mean_square(V.resampled(a, F.size(t)), t)
-    score = 0.5 * V.ramp(place, *TRACE_3D) + 0.5 * V.ramp(_depth_error(pa, pt), *DEPTH) - F.when(F.size(a) != F.size(t), LENGTH_PENALTY).otherwise(0.0)
-    return F.when(usable, F.greatest(score, F.lit(0.0))).otherwise(0.0)
-
-
 def _point(a: Column, regions: Column, t: Column) -> Column:
     polygons = F.transform(F.filter(regions, lambda r: r["polygon"].isNotNull() & (F.size(r["polygon"]) > 2)), lambda r: r["polygon"])
     found = F.filter(regions, lambda r: r["bbox_2d"].isNotNull() & (F.size(r["bbox_2d"]) == 4))
@@ -78,18 +59,6 @@ def _point(a: Column, regions: Column, t: Column) -> Column:
     return F.when(F.size(a) == 0, 0.0).when(F.size(polygons) > 0, in_any).when(F.size(found) > 0, share(lambda p: V.in_box(p, box))).otherwise(F.greatest(near, F.lit(0.0)))
 
 
-def point_score(answer: Column, truth: Column) -> Column:
-    """Share of points inside any polygon; without polygons inside the first box; else the nearest-distance ramp with a count penalty."""
-    regions = _parsed(truth, REGIONS)
-    return _point(_points(_parsed(answer, POINTS)), regions, _points(regions))
-
-
-def box_score(answer: Column, truth: Column) -> Column:
-    """Intersection over union of the first boxes."""
-    a, t = (F.get(_parsed(x, REGIONS), F.lit(0))["bbox_2d"] for x in (answer, truth))
-    return F.coalesce(V.iou(a, t), F.lit(0.0))
-
-
 def numeric_score(answer: Column, truth: Column) -> Column:
     """1 if both numbers agree after rounding to one decimal."""
     a, t = T.normalize_number(answer), T.normalize_number(truth)
@@ -104,34 +73,40 @@ def exact_score(answer: Column, truth: Column) -> Column:
     return F.coalesce((F.lower(F.trim(answer)) == F.lower(F.trim(truth))).cast("double"), F.lit(0.0))
 
 
-TASKS: dict[str, Callable[[Column, Column], Column]] = {"trace": trace_score, "trace_3d": trace_3d_score, "point": point_score, "spatial grounding": box_score, "numerical": numeric_score, "regression": numeric_score, "multiple choice": choice_score, "open-ended": exact_score}
+#: The kinds of problems that score_rows knows; any other scores 0.
+TASKS = ("trace", "trace_3d", "point", "spatial grounding", "numerical", "regression", "multiple choice", "open-ended", "math")
+
+
+def same_answers(df: DataFrame, truth: str, answer: str, out: str = "same") -> DataFrame:
+    """Adds whether two mathematical answers are equivalent (functions.maths); each distinct pair is judged once.
 
+    Rows with a null answer or truth count as not equivalent and are not shuffled to one place.
+    """
+    from siftwell.functions.maths import same_answer
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(_judged=[same_answer(t, a) for t, a in zip(pdf["_truth"], pdf["_answer"], strict=True)])
 
-def accuracy(response: Column, truth: Column, kind: Column) -> Column:
-    """The scorer of the problem type on both sides' <answer> texts (whole texts where there is none)."""
-    a = F.when(T.has_answer(response), T.extract_answer(response)).otherwise(response)
-    t = F.when(T.has_answer(truth), T.extract_answer(truth)).otherwise(truth)
-    out = F.lit(0.0)
-    for name, fn in TASKS.items():
-        out = F.when(kind == name, fn(a, t)).otherwise(out)
-    return out
+    given = df.where(F.col(truth).isNotNull() & F.col(answer).isNotNull())
+    pairs = given.select(F.col(truth).alias("_truth"), F.col(answer).alias("_answer")).distinct()
+    judged = pairs.mapInPandas(judge, "_truth string, _answer string, _judged boolean")
+    met = given.join(judged, (F.col(truth) == F.col("_truth")) & (F.col(answer) == F.col("_answer"))).withColumn(out, F.col("_judged")).drop("_truth", "_answer", "_judged")
+    return met.unionByName(df.where(F.col(truth).isNull() | F.col(answer).isNull()).withColumn(out, F.lit(False)))
 
 
-def score(response: Column, truth: Column, kind: Column, format_weight: float = 0.1, relaxed: bool = False) -> Column:
-    form = T.well_formed(response, kind)
-    right = accuracy(response, truth, kind)
-    without = (1 - format_weight) * right if relaxed else F.lit(0.0)
-    overall = F.when(form, (1 - format_weight) * right + format_weight).otherwise(without)
-    return F.struct(overall.alias("overall"), form.cast("double").alias("format"), (right if relaxed else F.when(form, right).otherwise(0.0)).alias("accuracy"))
+def score_rows(df: DataFrame, response: str, truth: str, kind: str, format_weight: float = 0.1, relaxed: bool = False, out: str = "score", kinds: tuple[str, ...] = TASKS) -> DataFrame:
+    """Adds the score struct to every row, by the scorer of its kind (TASKS) on both sides' <answer> texts (whole texts without one).
 
+    trace: ramp of the root mean square distance after resampling to the truth's length; another length costs a penalty.
+    trace_3d: half that, half the ramp of the mean absolute depth error.  point: share inside any polygon, else inside the first
+    box, else the nearest-distance ramp with a count penalty.  spatial grounding: overlap of the first boxes.  math: equivalence.
 
-def score_rows(df: DataFrame, response: str, truth: str, kind: str, format_weight: float = 0.1, relaxed: bool = False, out: str = "score") -> DataFrame:
-    """Adds the score struct to every row.
+    kinds: those that may occur; without math, whose distinct pairs are judged apart, rows are never shuffled.
 
-    Says what ``score`` says, with each parse in a column of its own: texts are parsed once, by
-    the rows whose kind needs it, and expressions stay small.
+    Each parse is a column of its own: texts are parsed once, by the rows whose kind needs it, and expressions stay small.
     """
-    k = F.col(kind)
+    k = F.lower(F.col(kind))
     places, tracks = k.isin("point", "trace", "trace_3d"), k.isin("trace", "trace_3d")
     steps: list[dict[str, Column]] = [
         {"_form": T.well_formed(F.col(response), k), "_a": F.when(T.has_answer(F.col(response)), T.extract_answer(F.col(response))).otherwise(F.col(response)), "_t": F.when(T.has_answer(F.col(truth)), T.extract_answer(F.col(truth))).otherwise(F.col(truth))},
@@ -148,7 +123,12 @@ def score_rows(df: DataFrame, response: str, truth: str, kind: str, format_weigh
             "_depth": F.when((k == "trace_3d") & (F.size("_xa") > 1) & (F.size("_xt") > 1) & (F.size("_xa") == F.size("_pa")) & (F.size("_xt") == F.size("_pt")) & ~F.exists("_pa", lambda x: x["depth"].isNull()), _depth_error(F.col("_pa"), F.col("_pt"))),
         },
     ]
-    for step in steps:
+    df = df.withColumns(steps[0])
+    if "math" not in kinds:
+        df = df.withColumn("_same", F.lit(False))
+    else:
+        df = df.where((k != "math") | k.isNull()).withColumn("_same", F.lit(False)).unionByName(same_answers(df.where(k == "math"), "_t", "_a", "_same"))
+    for step in steps[1:]:
         df = df.withColumns(step)
     zero = F.lit(0.0)
     right = (
@@ -159,6 +139,7 @@ def score_rows(df: DataFrame, response: str, truth: str, kind: str, format_weigh
         .when(k.isin("numerical", "regression"), numeric_score(F.col("_a"), F.col("_t")))
         .when(k == "multiple choice", choice_score(F.col("_a"), F.col("_t")))
         .when(k == "open-ended", exact_score(F.col("_a"), F.col("_t")))
+        .when(k == "math", F.col("_same").cast("double"))
         .otherwise(zero)
     )
     # a null distance means that a track could not be read
@@ -167,7 +148,7 @@ def score_rows(df: DataFrame, response: str, truth: str, kind: str, format_weigh
     without = (1 - format_weight) * F.col("_right") if relaxed else zero
     overall = F.when(F.col("_form"), (1 - format_weight) * F.col("_right") + format_weight).otherwise(without)
     made = F.struct(overall.alias("overall"), F.col("_form").cast("double").alias("format"), (F.col("_right") if relaxed else F.when(F.col("_form"), F.col("_right")).otherwise(0.0)).alias("accuracy"))
-    return df.withColumn(out, made).drop("_right", *(c for step in steps for c in step))
+    return df.withColumn(out, made).drop("_right", "_same", *(c for step in steps for c in step))
 
 
 def mean_scores(df: DataFrame, columns: list[str], dataset: str) -> DataFrame:

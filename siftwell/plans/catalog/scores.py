@@ -9,6 +9,10 @@ from siftwell.operators import scoring as S
 from siftwell.plans.registry import query
 
 
+#: The kinds of the queries below that hold no mathematical answers.
+KINDS = tuple(k for k in S.TASKS if k != "math")
+
+
 def r6(c):
     return F.round(c, 6)
 
@@ -36,13 +40,13 @@ SCORED = """WITH a AS (SELECT event_id, event_type, event_id % 9 <> 0 AS form,
 @query("answer_scores", SCORED + "SELECT event_id, round(CASE WHEN form THEN 0.9 * acc + 0.1 ELSE 0 END, 6) AS overall, CAST(CASE WHEN form THEN 1 ELSE 0 END AS DOUBLE) AS format, round(CASE WHEN form THEN acc ELSE 0 END, 6) AS accuracy FROM a")
 def _scores(spark, sf_dir):
     a = answers(spark, sf_dir)
-    return S.score_rows(a, "response", "truth", "kind", out="s").select("event_id", r6(F.col("s.overall")).alias("overall"), F.col("s.format").alias("format"), r6(F.col("s.accuracy")).alias("accuracy"))
+    return S.score_rows(a, "response", "truth", "kind", out="s", kinds=KINDS).select("event_id", r6(F.col("s.overall")).alias("overall"), F.col("s.format").alias("format"), r6(F.col("s.accuracy")).alias("accuracy"))
 
 
 @query("relaxed_scores", SCORED + "SELECT event_id, round(0.9 * acc + CASE WHEN form THEN 0.1 ELSE 0 END, 6) AS overall, round(acc, 6) AS accuracy FROM a")
 def _relaxed(spark, sf_dir):
     a = answers(spark, sf_dir)
-    return S.score_rows(a, "response", "truth", "kind", relaxed=True, out="s").select("event_id", r6(F.col("s.overall")).alias("overall"), r6(F.col("s.accuracy")).alias("accuracy"))
+    return S.score_rows(a, "response", "truth", "kind", relaxed=True, out="s", kinds=KINDS).select("event_id", r6(F.col("s.overall")).alias("overall"), r6(F.col("s.accuracy")).alias("accuracy"))
 
 
 @query("mean_scores", "SELECT coalesce(event_type, 'all') AS event_type, round(avg(value), 6) AS value FROM events GROUP BY ROLLUP (event_type)")
@@ -153,4 +157,30 @@ def _tasks(spark, sf_dir):
     tasks = {"trace": (track, line), "trace_3d": (track, line), "spatial grounding": (F.format_string('[{"bbox_2d": [%d, 0, %d, 10]}]', k, 10 + k), box), "point": (F.format_string('[{"point_2d": [1, 1]}, {"point_2d": [%d, 2]}]', k * 2), box)}
     rows = F.array(*(F.struct(F.lit(name).alias("kind"), F.concat(F.lit("<answer>"), a, F.lit("</answer>")).alias("response"), F.lit(t).alias("truth")) for name, (a, t) in tasks.items()))
     p = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.inline(rows))
-    return S.score_rows(p, "response", "truth", "kind", relaxed=True, out="s").select("p_partkey", "kind", r6(F.col("s.accuracy")).alias("accuracy"))
+    return S.score_rows(p, "response", "truth", "kind", relaxed=True, out="s", kinds=KINDS).select("p_partkey", "kind", r6(F.col("s.accuracy")).alias("accuracy"))
+
+
+@query(
+    "math_scores",
+    """WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey % 90 + 10 AS a, l_suppkey % 7 + 2 AS b, (l_orderkey + l_linenumber) % 8 AS form, l_orderkey % 3 AS off FROM lineitem)
+SELECT l_orderkey, l_linenumber, CASE WHEN off = 0 OR (form = 4 AND off = 2) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS accuracy FROM l""",
+)
+def _maths(spark, sf_dir):
+    """Answers in eight notations: right ones, wrong ones, and in one notation right but for their order."""
+    i = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 90 + 10).alias("a"), (F.col("l_suppkey") % 7 + 2).alias("b"), ((F.col("l_orderkey") + F.col("l_linenumber")) % 8).alias("form"), (F.col("l_orderkey") % 3).alias("off"))
+    i = i.withColumn("w", F.when(F.col("off") == 0, F.col("a")).otherwise(F.col("a") + F.col("off")))
+    f = F.format_string
+    a, b, w = F.col("a"), F.col("b"), F.col("w")
+    forms = [
+        (f(r"\frac{%d}{%d}", a * 6, b * 6), f("%d/%d", w, b)),
+        (f("(x+%d)^2", a), f("x^2+%dx+%d", w * 2, a * a)),
+        (f(r"\sqrt{%d}", a * a * 2), f(r"%d\sqrt{2}", w)),
+        (f("%d.5", a), f(r"\frac{%d}{2}", w * 2 + 1)),
+        (f(r"\{%d, %d\}", a, a + 2), F.when(F.col("off") == 1, f("%d, %d", a, a)).otherwise(f("%d, %d", a + 2, a))),
+        (f("x=%d", a), f(r"\boxed{%d}", w)),
+        (f("[%d, %d)", b, a + 100), f(r"\left[%d,%d\right)", b, w + 100)),
+        (f("2x+%dy=%d", b * 2, a * 2), f("x = %d - %dy", w, b)),
+    ]
+    truth, answer = (F.element_at(F.array(*(x[side] for x in forms)), (F.col("form") + 1).cast("int")) for side in (0, 1))
+    rows = i.select("l_orderkey", "l_linenumber", F.lit("math").alias("kind"), truth.alias("truth"), F.concat(F.lit("<answer>"), answer, F.lit("</answer>")).alias("response"))
+    return S.score_rows(rows, "response", "truth", "kind", out="s").select("l_orderkey", "l_linenumber", F.col("s.accuracy").alias("accuracy"))
