@@ -27,6 +27,19 @@ def test_point_goldens(spark):
     assert got == {**cases, None: []}
 
 
+def test_written_points():
+    """A value alone counts by its keys; in running text each bracketed pair does, else each two numbers."""
+    cases = {
+        "[[1,2],[3,4]]": [[1, 2], [3, 4]], "[(1.5, 2), (3, -4)]": [[1.5, 2], [3, -4]], '{"bbox": [9, 9], "point": [1, 2]}': [[1, 2]], '{"points": [[5,6]], "point_2d": [1,2]}': [[1, 2]],
+        '{"bbox": [9, 9]}': [[9, 9]], "Answer: [3, 4]": [[3, 4]], "1, 2, 3, 4": [[1, 2], [3, 4]], "[1,2,3]": [[1, 2]], 'see (10, 20) and {"point": [3, 4]}': [[10, 20], [3, 4]],
+        "<points>[1,2],[3,4]</points>": [[1, 2], [3, 4]], "x <point>[1,2]</point> [5,6]": [[1, 2]], '[{"point_2d": [1, 2], "label": "a, [3, 4]"}]': [[1, 2]],
+        "[{'point_2d': [1, 2]}, {'coordinates': [3, 4]}]": [[1, 2], [3, 4]], "[1, 2": [[1, 2]], "[[[1, 2]], [3, 4]]": [[1, 2], [3, 4]], "1,2,3": [[1, 2]], '["a", 1, 2]': [[1, 2]], "a1,2": [[1, 2]],
+        "[" * 5000: [], "]": [], '{"point": {"point": [1, 2]}}': [[1, 2]],
+    }
+    for text, points in cases.items():
+        assert P.written_points(text) == points, text
+
+
 def test_points_in_masks_and_boxes(spark):
     mask = np.zeros((4, 5), np.uint8)
     mask[1, 2] = 9
