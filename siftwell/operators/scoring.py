@@ -7,9 +7,7 @@ and boxes with from_json; failed parses score 0.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterator
-from math import exp, log
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -167,66 +165,3 @@ def score_with(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame]) -> Dat
             yield pd.concat([pdf.reset_index(drop=True), made.reset_index(drop=True)], axis=1)
 
     return df.mapInPandas(run, f"{schema}, overall double, format double, accuracy double")
-
-
-# ---- text overlap -------------------------------------------------------------------------
-
-
-def _grams(words: list[str], n: int) -> Counter:
-    return Counter(tuple(words[i : i + n]) for i in range(len(words) - n + 1))
-
-
-def bleu(reference: list[str], candidate: list[str], most: int = 4) -> float:
-    """Geometric mean of clipped n-gram precisions with exponential smoothing and brevity penalty."""
-    if not candidate or not reference:
-        return 0.0
-    total, smooth = 0.0, 1.0
-    for n in range(1, most + 1):
-        c, r = _grams(candidate, n), _grams(reference, n)
-        hit, all_ = sum(min(k, r[g]) for g, k in c.items()), max(sum(c.values()), 0)
-        if not all_:
-            return 0.0
-        if not hit:
-            smooth *= 2
-            p = 1 / (smooth * all_)
-        else:
-            p = hit / all_
-        total += log(p) / most
-    return exp(total) * (1.0 if len(candidate) >= len(reference) else exp(1 - len(reference) / len(candidate)))
-
-
-def rouge_n(reference: list[str], candidate: list[str], n: int) -> float:
-    r, c = _grams(reference, n), _grams(candidate, n)
-    hit = sum(min(k, c[g]) for g, k in r.items())
-    return 2 * hit / (sum(r.values()) + sum(c.values())) if hit else 0.0
-
-
-def rouge_l(reference: list[str], candidate: list[str]) -> float:
-    row = [0] * (len(candidate) + 1)
-    for x in reference:
-        last = 0
-        for j, y in enumerate(candidate, 1):
-            row[j], last = (last + 1 if x == y else max(row[j], row[j - 1])), row[j]
-    return 2 * row[-1] / (len(reference) + len(candidate)) if row[-1] else 0.0
-
-
-def overlap_scores(df: DataFrame, reference: str, candidate: str) -> DataFrame:
-    """bleu (words), bleu_char (characters, four-grams), rouge_1, rouge_2, rouge_l of every row, times 100; and in 0..1 bleu_mean of BLEU-1 to BLEU-3 and rouge_mean of the three ROUGE values."""
-    schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
-    names = ["bleu", "bleu_char", "rouge_1", "rouge_2", "rouge_l", "bleu_mean", "rouge_mean"]
-
-    def one(r: str | None, c: str | None) -> tuple[float, ...]:
-        r, c = r or "", c or ""
-        rw, cw = r.split(), c.split()
-        rouge = (rouge_n(rw, cw, 1), rouge_n(rw, cw, 2), rouge_l(rw, cw))
-        means = (sum(bleu(rw, cw, n) for n in (1, 2, 3)) / 3, sum(rouge) / 3)
-        return *(round(100 * x, 4) for x in (bleu(rw, cw), bleu(list(r), list(c)), *rouge)), *(round(x, 6) for x in means)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            made = [one(r, c) for r, c in zip(pdf[reference], pdf[candidate], strict=True)]
-            for i, n in enumerate(names):
-                pdf[n] = [m[i] for m in made]
-            yield pdf
-
-    return df.mapInPandas(run, schema + ", " + ", ".join(f"{n} double" for n in names))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siftwell.operators import metrics as M
+from siftwell.operators import overlap as O
 from siftwell.operators import scoring as S
 from siftwell.plans.registry import query
 
@@ -55,12 +56,47 @@ def _means(spark, sf_dir):
     return m.select("event_type", r6(F.col("value")).alias("value"))
 
 
-@query("overlap_scores")
-def _overlap(spark, sf_dir):
+def replies(spark, sf_dir):
+    """Every user turn as a reference with the reply to it."""
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     a = c.where("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("candidate"))
     u = c.where("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("reference"))
-    return S.overlap_scores(u.join(a, ["conv_id", "turn"]), "reference", "candidate").drop("reference", "candidate")
+    return u.join(a, ["conv_id", "turn"])
+
+
+@query("overlap_scores")
+def _overlap(spark, sf_dir):
+    return O.overlap_scores(replies(spark, sf_dir), "reference", "candidate").drop("reference", "candidate")
+
+
+#: A made script without spaces: letters as Han characters, everything else left out.
+LETTERS, HAN = "abcdefghijklmnopqrstuvwxyz", "天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往秋收冬藏闰余"
+
+
+def han(text):
+    return F.translate(F.regexp_replace(F.lower(text), "[^a-z]", ""), LETTERS, HAN)
+
+
+@query(
+    "han_lexicon",
+    f"""WITH runs AS (SELECT translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), '{LETTERS}', '{HAN}') AS run FROM conversations),
+grams AS (SELECT size, substr(run, i, size) AS word FROM (SELECT run, size, unnest(range(1, length(run) - size + 2)) AS i FROM runs, (SELECT unnest([1, 2, 3, 4]) AS size) WHERE length(run) >= size)),
+counts AS (SELECT word, size, count(*) AS n FROM grams GROUP BY ALL HAVING count(*) >= 5 OR size = 1),
+total AS (SELECT sum(n) AS total FROM counts WHERE size = 1),
+bonds AS (SELECT c.word, c.n, min(c.n * CAST(total AS DOUBLE) / (CAST(x.n AS DOUBLE) * y.n)) AS bond FROM (SELECT word, n, unnest(range(1, size)) AS k FROM counts WHERE size > 1) c, total, counts x, counts y WHERE x.word = substr(c.word, 1, k) AND y.word = substr(c.word, k + 1) GROUP BY ALL),
+held AS (SELECT word, n FROM bonds WHERE bond >= 8 UNION ALL SELECT word, n FROM counts WHERE size = 1)
+SELECT word, n FROM held ORDER BY n DESC, encode(word) LIMIT 200000""",
+)
+def _lexicon(spark, sf_dir):
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return O.count_lexicon(c.select(han(F.col("text")).alias("t")), "t")
+
+
+@query("segmented_overlap_scores")
+def _segmented(spark, sf_dir):
+    r = replies(spark, sf_dir).select("conv_id", "turn", *(han(F.col(c)).alias(c) for c in ("reference", "candidate")))
+    texts = r.select(F.explode(F.array("reference", "candidate")).alias("t"))
+    return O.overlap_scores(r, "reference", "candidate", O.count_lexicon(texts, "t")).drop("reference", "candidate")
 
 
 @query("length_cdf", "WITH b AS (SELECT CAST(floor(length(text) / 500) * 500 AS BIGINT) AS bucket, count(*) AS n FROM documents GROUP BY 1) SELECT bucket, n, CAST(sum(n) OVER (ORDER BY bucket) AS BIGINT) AS running, round(sum(n) OVER (ORDER BY bucket) * 100.0 / sum(n) OVER (), 6) AS percent FROM b")

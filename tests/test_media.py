@@ -7,6 +7,7 @@ from siftwell.functions import vector as V
 from siftwell.operators import dispatch as D
 from siftwell.operators import geometry as G
 from siftwell.operators import media as M
+from siftwell.operators import overlap as O
 from siftwell.operators import scoring as S
 
 
@@ -67,8 +68,8 @@ def test_task_scores(spark):
     assert one(reg, "point", "a", "b") == one(reg, "point", "a", "p") == [0.5]
     three = spark.createDataFrame([('[{"point_2d": [0, 0], "depth": 1.0}, {"point_2d": [9, 0], "depth": 2.0}]', '[{"point_2d": [0, 0], "depth": 1.25}, {"point_2d": [9, 0], "depth": 2.25}]')], "a string, t string")
     assert one(three, "trace_3d") == [pytest.approx(0.75)]
-    assert S.bleu("a b c d".split(), "a b c d".split()) == pytest.approx(1.0)
-    assert S.rouge_l("a b c".split(), "a c".split()) == pytest.approx(0.8)
+    assert O.bleu("a b c d".split(), "a b c d".split()) == pytest.approx(1.0)
+    assert O.rouge_l("a b c".split(), "a c".split()) == pytest.approx(0.8)
     n = spark.createDataFrame([("1,000.04", "1000"), ("x", "1"), ("2.25", "2.2")], "a string, t string")
     assert [r.s for r in n.select(S.numeric_score(F.col("a"), F.col("t")).alias("s")).collect()] == [1.0, 0.0, 1.0]
 
