@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from siftwell.llm.common import bounded_batches, discard, materialise, shuffle_partitions
 from siftwell.llm.rolling import avalanche, cuts
 
-#: Text of one block, and of the blocks whose phrases one bucket takes.
-BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 16 << 20
+#: Text of one block (its lists stay well under half a megabyte), and of the blocks whose phrases one bucket takes.
+BLOCK_BYTES, BUCKET_BYTES = 2 << 20, 16 << 20
 STATE, ENTRY, ANSWER, FREQUENT = 0, 1, 2, 3
 _FIELDS = [("kind", pa.int32()), ("lang", pa.string()), ("block", pa.int64()), ("bucket", pa.int32()), ("payload", pa.binary()), ("id", pa.int64()), ("left", pa.int64()), ("word", pa.int64()), ("n", pa.int64()), ("text", pa.string())]
 _ROWS = "kind int, lang string, block long, bucket int, payload binary, id long, left long, word long, n long, text string"
@@ -121,7 +121,7 @@ def _ranges(bucket: np.ndarray) -> Iterator[tuple[int, int, int]]:
         yield int(bucket[i]), i, j
 
 
-def _sum_level(rows: DataFrame, least: int, level: int, last: bool, partitions: int) -> DataFrame:
+def _sum_level(rows: DataFrame, least: int, level: int, last: bool, partitions: int | None) -> DataFrame:
     """Per language and bucket: frequent phrases with their exact counts, and to each block the numbers of its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +160,10 @@ def _sum_level(rows: DataFrame, least: int, level: int, last: bool, partitions:
                 made += [{"kind": ANSWER, "lang": lang, "block": block, "bucket": bucket, "payload": _pack(code[which[i:j]])} for block, i, j in spans]
             yield _batch(made)
 
-    return rows.where(F.col("kind") == ENTRY).select("lang", "bucket", "block", "payload").repartition(partitions, "lang", "bucket").sortWithinPartitions("lang", "bucket", "block").mapInArrow(run, _ROWS)
+    entries = rows.where(F.col("kind") == ENTRY).select("lang", "bucket", "block", "payload")
+    # small levels go to few tasks by their size, unless the corpus has more buckets than the session has partitions
+    dealt = entries.repartition(partitions, "lang", "bucket") if partitions else entries.repartition("lang", "bucket")
+    return dealt.sortWithinPartitions("lang", "bucket", "block").mapInArrow(run, _ROWS)
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], list[tuple[int, bytes]]]]:
@@ -243,7 +246,7 @@ def frequent_phrases(docs: DataFrame, least: int, longest: int, block_bytes: int
     volume = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     partitions = shuffle_partitions(spark)
     buckets = max(2 * partitions, -(-volume // bucket_bytes))
-    partitions = max(partitions, buckets // 4)
+    partitions = buckets // 4 if buckets // 4 > partitions else None
     rows = materialise(_first_level(docs, buckets, block_bytes), "postings-1")
     totals = rows.where(F.col("kind") == STATE).groupBy("lang").agg(F.sum("n").alias("n"))
     totals = materialise(totals, "totals")
