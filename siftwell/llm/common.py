@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from siftwell.sources.scratch import discard, materialise, remove, scratch, shared_dir
 
-__all__ = ["bounded_batches", "discard", "materialise", "remove", "scratch", "shared_dir", "shuffle_partitions", "table"]
+__all__ = ["bounded_batches", "carried", "discard", "materialise", "remove", "restored", "scratch", "shared_dir", "shuffle_partitions", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -23,3 +24,16 @@ def bounded_batches(spark: SparkSession, size: str = "16m") -> None:
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(key).lower() in ("67108864b", "67108864", "64m", "64mb"):
         spark.conf.set(key, size)
+
+
+def carried(docs: DataFrame, *needed: str) -> DataFrame:
+    """The needed columns, and all others in one column ``row``, so that no name of theirs meets a name of the operator's."""
+    rest = [c for c in docs.columns if c not in needed]
+    packed = [F.struct(*(F.col("`" + c.replace("`", "``") + "`").alias(f"c{i}") for i, c in enumerate(rest))).alias("row")] if rest else []
+    return docs.select(*needed, *packed)
+
+
+def restored(rows: DataFrame, docs: DataFrame, *needed: str, **changed: Column) -> DataFrame:
+    """The columns of docs again, in their order; changed ones are computed from the columns of rows."""
+    place = {c: f"c{i}" for i, c in enumerate(c for c in docs.columns if c not in needed)}
+    return rows.select(*(changed.get(c, F.col("row")[place[c]] if c in place else F.col(c)).alias(c) for c in docs.columns))

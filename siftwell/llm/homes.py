@@ -4,11 +4,13 @@ Window matching needs the order of documents and several passes over texts.  Hom
 home numbers ascend with doc_id, a home's documents lie in one row (ids, lengths, zstd text of
 about ``home_bytes``), and every later pass reads that table without a shuffle of its own.
 
-Rows with a null doc_id come last; rows with equal doc_id stay together, ordered by text.
+Rows with a null doc_id come last, in homes of their own by a hash of their text; rows with equal doc_id
+stay together, ordered by text.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -61,10 +63,11 @@ def home_table(docs: DataFrame, home_bytes: int) -> tuple[DataFrame, int]:
     """The written table of homes and their number."""
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text")), F.count("doc_id")).first()
+    size = rows.agg(F.sum(F.octet_length("text")), F.count("doc_id"), F.sum(F.when(F.col("doc_id").isNull(), F.octet_length("text"))), F.count(F.lit(1))).first()
     number = int(min(MOST_HOMES, max(1, -(-(size[0] or 0) // home_bytes)), max(1, size[1])))
     cut = rows.where("doc_id IS NOT NULL").approxQuantile("doc_id", [i / number for i in range(1, number)], max(1 / (8 * number), 1e-6)) if number > 1 else []
     bounds = np.unique(np.array(cut, np.float64).astype(np.int64))
+    nameless = -(-(size[2] or 0) // home_bytes) or int(size[3] > size[1])  # homes of rows without doc_id
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -74,6 +77,8 @@ def home_table(docs: DataFrame, home_bytes: int) -> tuple[DataFrame, int]:
                 ids = np.asarray(batch.column("doc_id").fill_null(NULL_ID))
                 texts = Batch(batch.column("text"))
                 home = np.searchsorted(bounds, ids, side="right")
+                for i in np.flatnonzero(np.asarray(batch.column("doc_id").is_null())).tolist():
+                    home[i] = len(bounds) + 1 + zlib.crc32(texts.buf[texts.offsets[i] : texts.offsets[i + 1]]) % nameless
                 order = np.argsort(home, kind="stable")
                 edges = np.flatnonzero(np.r_[True, np.diff(home[order]) != 0, True]) if len(order) else [0]
                 data = texts.buf.tobytes()
@@ -95,4 +100,4 @@ def home_table(docs: DataFrame, home_bytes: int) -> tuple[DataFrame, int]:
         return pa.Table.from_arrays([pa.array([v], f.type) for v, f in zip(row, ARROW, strict=True)], schema=ARROW)
 
     packed = rows.mapInArrow(spread, SCHEMA).groupBy("home").applyInArrow(merge, SCHEMA)
-    return materialise(packed, "homes"), len(bounds) + 1
+    return materialise(packed, "homes"), len(bounds) + 1 + nameless

@@ -30,7 +30,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import discard, materialise
+from siftwell.llm.common import carried, discard, materialise, restored
 
 #: Words are hashed to 2**BITS features.
 BITS = 14
@@ -156,7 +156,7 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float],
     gap is the largest distance of a domain's token total from its target, as a share of the
     target: 0 where the fit reached them all.
     """
-    domains = sorted(targets)
+    docs, domains = docs.select("doc_id", "text", domain), sorted(targets)
     table, priors = fit_words(docs, labels, domain, domains)
     rows = materialise(evidence(docs, table, domain, domains), "evidence")
     held = rows.join(F.broadcast(named(labels).where("_fold = 0")), F.col("doc_id") == F.col("_id"), "left_semi")
@@ -172,6 +172,6 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float],
 def resample(docs: DataFrame, rates: DataFrame) -> DataFrame:
     """Every document as often as its copies say.  Rows that share a doc_id share its largest number; null ids stay once."""
     often = rates.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("copies").alias("_copies")).withColumnRenamed("doc_id", "_id")
-    rows = docs.join(often, F.col("doc_id") == F.col("_id"), "left")
+    rows = carried(docs, "doc_id").join(often, F.col("doc_id") == F.col("_id"), "left")
     rows = rows.withColumn("_n", F.explode(F.sequence(F.lit(1), F.greatest(F.coalesce("_copies", F.lit(1)), F.lit(1))))).where((F.col("_n") <= F.coalesce("_copies", F.lit(1))))
-    return rows.select(*docs.columns)
+    return restored(rows, docs, "doc_id")

@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import bounded_batches, discard, materialise
+from siftwell.llm.common import bounded_batches, carried, discard, materialise, restored
 from siftwell.llm.components import connected_components
 from siftwell.llm.rolling import Batch, avalanche, cuts, span_hashes
 from siftwell.operators.batch import with_position
@@ -284,6 +284,8 @@ def distinct_documents(docs: DataFrame, share: tuple[int, int] = (80, 100), widt
     That is its smallest doc_id.  Rows that share a doc_id are documents of their own, unless their
     texts are equal; all but the first by text count as larger than every doc_id.
     """
-    rows = _numbered(docs.where("doc_id IS NOT NULL"))
+    given = carried(docs, "doc_id", "text")
+    rows = _numbered(given.where("doc_id IS NOT NULL"))
     kept = near_duplicates(rows.select(F.col("_id").alias("doc_id"), "text"), share, width).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return rows.join(kept, "_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    out = rows.join(kept, "_id", "left_semi").select(*given.columns).unionByName(given.where("doc_id IS NULL"))
+    return restored(out, docs, "doc_id", "text")

@@ -50,9 +50,10 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftwell.llm.toxicity import score_toxicity
 
-    # whether a text is toxic is learned from all languages first; the narrower categories build on it
+    # the labels hold one category; the narrower ones by language come first, and the last link, which sees their
+    # probabilities, decides
     english = F.col("lang") == "en"
-    categories = {"toxic": F.col("toxic"), "toxic_english": F.col("toxic") * english.cast("int"), "toxic_other": F.col("toxic") * (~english).cast("int")}
+    categories = {"toxic_english": F.col("toxic") * english.cast("int"), "toxic_other": F.col("toxic") * (~english).cast("int"), "toxic": F.col("toxic")}
     return score_toxicity(table(spark, sf_dir, "documents", "doc_id", "text", "lang"), table(spark, sf_dir, "labels", "doc_id", "toxic"), categories, threshold=0.3, main="toxic")
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.llm import superwindows as S
-from siftwell.llm.common import shuffle_partitions
+from siftwell.llm.common import carried, restored, shuffle_partitions
 from siftwell.llm.homes import Home, home_table, homes_of
 from siftwell.llm.lyndon_sort import common_prefixes, suffix_array
 from siftwell.llm.rolling import avalanche, byte_values
@@ -348,9 +348,8 @@ def deduplicated_documents(docs: DataFrame, length: int = 100, home_bytes: int =
     """
     done = dedup_suffixes(docs.select("doc_id", "text"), length, home_bytes=home_bytes, texts=True).where("doc_id IS NOT NULL")
     done = done.select(F.col("doc_id").alias("_id"), F.col("ord").alias("_of"), F.col("kept_text").alias("_kept"))
+    given = carried(docs, "doc_id", "text")
     number = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.coalesce("text", F.lit(""))))
-    out = docs.where("doc_id IS NOT NULL").withColumn("_ord", number).join(done, (F.col("doc_id") == F.col("_id")) & (F.col("_of") - F.col("_ord") == 0))
-    out = out.withColumn("text", F.col("_kept"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.char_length("text").cast("long"))
-    return out.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    out = given.where("doc_id IS NOT NULL").withColumn("_ord", number).join(done, (F.col("doc_id") == F.col("_id")) & (F.col("_of") - F.col("_ord") == 0))
+    changed = {"text": F.col("_kept")} | ({"n_chars": F.char_length("_kept").cast("long")} if "n_chars" in docs.columns else {})
+    return restored(out, docs, "doc_id", "text", **changed).unionByName(docs.where("doc_id IS NULL"))

@@ -97,10 +97,10 @@ def merge_entries(rows: DataFrame, partitions: int, keep_run: bool = True, verif
     return rows.repartition(partitions, "bucket").sortWithinPartitions("bucket", "home").mapInArrow(run, _ENTRIES)
 
 
-def with_home(homes: DataFrame, answers: DataFrame) -> DataFrame:
-    """Each home row once, with all rows that are addressed to it."""
+def with_home(homes: DataFrame, answers: DataFrame, how: str = "left") -> DataFrame:
+    """Each home row once, with all rows that are addressed to it; joined inner, only homes that something is addressed to."""
     own = answers.groupBy("home").agg(F.collect_list(F.struct("round", "bucket", "payload")).alias("answers"))
-    return homes.join(own, "home", "left")
+    return homes.join(own, "home", how)
 
 
 def _codes(found: S.Found, answers: list[dict], buckets: int) -> np.ndarray:
@@ -226,6 +226,6 @@ def match(homes: DataFrame, finder: Finder, decide: Decider, buckets: int, parti
     first = merged.where(F.col("kind") != RUN).select("home", F.col("kind").alias("round"), "bucket", "payload")
     asked = with_home(homes, first)
     if index_homes is not None:
-        asked = asked.unionByName(with_home(index_homes, first.where(F.col("round") == ASK)))
+        asked = asked.unionByName(with_home(index_homes, first.where(F.col("round") == ASK), "inner"))
     second = materialise(decide_contents(open_contents(asked, finder, buckets), decide, partitions), "decided")
     return with_home(homes, first.where(F.col("round") == ENTRY).unionByName(second)), merged.where(F.col("kind") == RUN)

@@ -151,3 +151,18 @@ def test_run_and_clashing_columns(spark, sf_dir):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, clash, sf_dir).columns == clash.columns
         assert stage(spark, clash.limit(0), sf_dir).count() == 0
+
+
+def test_columns_of_every_inner_name_are_kept(spark, sf_dir):
+    """A column named as anything that a stage uses inside, or oddly, comes out with its own values."""
+    names = ["_id", "_ord", "_of", "_kept", "_n", "_copies", "_same", "_row", "_pos", "_part", "_local", "_rid", "row", "root", "node", "home", "ids", "quality_score", "quality_predicted", "held_out", "copies", "tokens", "rate", "k1", "a b.c"]
+    values = {d: tuple(100 * d + i for i in range(len(names))) for d in (1, 2, 3)}
+    texts = {1: "one two three four five six", 2: "another text with quite different words in it", 3: "a third one that is not like those before"}
+    schema = "doc_id long, text string, lang string, " + ", ".join(f"`{n}` int" for n in names)
+    docs = spark.createDataFrame([(d, t, "en", *values[d]) for d, t in texts.items()], schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, sf_dir)
+        assert got.columns == docs.columns, name
+        rows = got.collect()
+        assert all(tuple(r)[3:] == values[r.doc_id] and r.text == texts[r.doc_id] for r in rows), name
+        assert name in ("quality", "mixing") or len(rows) == 3
