@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import materialise, table
+from siftwell.llm.common import carried, materialise, restored, table
 from siftwell.llm.mixing import mixing_rates, resample
 from siftwell.llm.nbsvm import score_quality
 from siftwell.llm.near_dedup import distinct_documents
@@ -20,8 +20,10 @@ from siftwell.llm.suffix_dedup import deduplicated_documents
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
-    scored = score_quality(docs, table(spark, sf_dir, "labels", "doc_id", "quality"), threshold=0.3, extra=tuple(c for c in docs.columns if c != "doc_id"), prefix="_quality_")
-    return scored.where(F.col("_quality_predicted") == 1).select(*docs.columns)
+    rows = carried(docs, "doc_id", "text")
+    extra = tuple(c for c in rows.columns if c != "doc_id")
+    scored = score_quality(rows, table(spark, sf_dir, "labels", "doc_id", "quality"), threshold=0.3, extra=extra, prefix="quality_")
+    return restored(scored.where(F.col("quality_predicted") == 1), docs, "doc_id", "text")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
