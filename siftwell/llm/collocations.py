@@ -97,17 +97,18 @@ def _first_level(docs: DataFrame, buckets: int, block_bytes: int) -> DataFrame:
                 for lang in sorted(set(langs)):
                     some = part.column("text").filter(pa.array([x == lang for x in langs]))
                     code, words = _words_of(some.cast(pa.binary()).to_pylist())
+                    count = np.bincount(code[code >= 0], minlength=len(words))
+                    often = np.argsort(-count, kind="stable")  # frequent words get small numbers, which pack well
+                    place = np.empty(len(words) + 1, np.int32)
+                    place[often], place[-1] = np.arange(len(words)), -1
+                    code, count, words = place[code] + 1, count[often], [words[i] for i in often]
                     bucket = np.array([zlib.crc32(w) % buckets for w in words], np.int64)
                     order = np.argsort(bucket, kind="stable")
-                    place = np.empty(len(words) + 1, np.int32)
-                    place[order], place[-1] = np.arange(len(words)), -1
-                    code = place[code]
-                    count = np.bincount(code[code >= 0], minlength=len(words))
-                    rows = [{"kind": STATE, "lang": lang, "block": block, "payload": _pack(code, bucket[order].astype(np.int32)), "n": int((code >= 0).sum())}]
+                    rows = [{"kind": STATE, "lang": lang, "block": block, "payload": _pack(code.astype("<i4"), bucket.astype("<i4")), "n": int(count.sum())}]
                     for b, i, j in _ranges(bucket[order]):
                         own = [words[k] for k in order[i:j]]
                         sizes = np.array([len(w) for w in own], "<i4")
-                        rows.append({"kind": ENTRY, "lang": lang, "block": block, "bucket": b, "payload": _pack(sizes, np.frombuffer(b"".join(own), np.uint8), count[i:j].astype("<i8"))})
+                        rows.append({"kind": ENTRY, "lang": lang, "block": block, "bucket": b, "payload": _pack(sizes, np.frombuffer(b"".join(own), np.uint8), count[order[i:j]].astype("<i8"))})
                     block += 1
                     yield _batch(rows)
 
@@ -180,49 +181,71 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int]
         yield now, held
 
 
+def _extended(at: np.ndarray, phrase: np.ndarray, word: np.ndarray, level: int, buckets: int) -> tuple[np.ndarray, ...]:
+    """A merge join of the phrases' positions, moved on by their length, with the adjacent words' postings.
+
+    at (ascending), phrase, word: where phrases of ``level`` words start, their numbers and last words.  Returns the
+    starts of the longer phrases, list by list, and of each list its length, bucket, phrase and further word.
+    """
+    postings = at + level - 1
+    where = np.searchsorted(postings, at + level)
+    met = np.flatnonzero(where < len(postings))
+    met = met[postings[where[met]] == at[met] + level]
+    start, left, right = at[met], phrase[met], word[where[met]]
+    bucket = (avalanche(left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + right.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((start, right, left, bucket))
+    start, left, right, bucket = start[order], left[order], right[order], bucket[order]
+    new = np.flatnonzero(np.r_[True, (np.diff(left) != 0) | (np.diff(right) != 0) | (np.diff(bucket) != 0)]) if len(start) else np.zeros(0, np.int64)
+    return start, np.diff(np.r_[new, len(start)]), bucket[new], left[new], right[new]
+
+
+def _pack_lists(at: np.ndarray, phrase: np.ndarray, word: np.ndarray) -> bytes:
+    """Inverted lists: each phrase's number, last word and list length, and the steps from position to position."""
+    order = np.lexsort((at, phrase))
+    at, phrase, word = at[order], phrase[order], word[order]
+    new = np.flatnonzero(np.diff(phrase, prepend=-1))
+    step = np.diff(at, prepend=0)
+    step[new] = at[new]
+    return _pack(phrase[new].astype("<i8"), word[new].astype("<i8"), np.diff(np.r_[new, len(at)]).astype("<i4"), step.astype("<i4"))
+
+
+def _unpack_lists(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions in order, with each one's phrase and its last word."""
+    phrase, word, length, step = _unpack(payload, "<i8", "<i8", "<i4", "<i4")
+    at = np.cumsum(step, dtype=np.int64)
+    if len(length):
+        starts = np.cumsum(length) - length
+        at -= np.repeat(at[starts] - step[starts], length)
+    order = np.argsort(at)
+    return at[order], np.repeat(phrase, length)[order], np.repeat(word, length)[order]
+
+
 def _next_level(addressed: DataFrame, level: int, buckets: int, last: bool) -> DataFrame:
-    """Blocks of inverted lists one word longer, and each block's phrases with their list lengths by bucket."""
+    """Blocks with the lists of their frequent phrases of ``level`` words, and by bucket the phrases one word longer.
+
+    From the second level on a block holds the lists of the level before; they are extended again, and what the
+    answers call frequent stays.  So no list of a phrase that is not frequent is written.
+    """
 
     def lists(payload: bytes, answers: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Positions in order, with each one's frequent phrase and the last word of it."""
         if level == 1:
             code, bucket = _unpack(payload, "<i4", "<i4")
-            number = _numbers(bucket, answers)
-            at = np.flatnonzero(code >= 0)
-            phrase = number[code[at]]
-            at, phrase = at[phrase >= 0], phrase[phrase >= 0]
-            return at, phrase, phrase
-        bucket, word, length, step = _unpack(payload, "<i4", "<i8", "<i4", "<i4")
-        number = _numbers(bucket, answers)
-        of = np.repeat(np.arange(len(length)), length)
-        starts = np.cumsum(length) - length
-        at = np.cumsum(step, dtype=np.int64)
-        at -= np.repeat(at[starts] - step[starts], length) if len(length) else 0
-        keep = number[of] >= 0
-        at, of = at[keep], of[keep]
-        order = np.argsort(at)
-        return at[order], number[of[order]], word[of[order]]
+            number = np.r_[-1, _numbers(bucket, answers)]
+            at = np.flatnonzero(number[code] >= 0)
+            return at, number[code[at]], number[code[at]]
+        start, length, bucket, _, word = _extended(*_unpack_lists(payload), level - 1, buckets)
+        number = np.repeat(_numbers(bucket, answers), length)
+        keep = np.flatnonzero(number >= 0)
+        keep = keep[np.argsort(start[keep])]
+        return start[keep], number[keep], np.repeat(word, length)[keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 lang, block, payload, got = (batch.column(c)[i].as_py() for c in ("lang", "block", "payload", "answers"))
                 at, phrase, word = lists(payload, {x["bucket"]: _unpack(x["payload"], "<i4")[0] for x in got or []})
-                # merge join of the phrases' positions, moved on by their length, with the adjacent words' postings
-                postings = at + level - 1
-                where = np.searchsorted(postings, at + level)
-                met = np.flatnonzero(where < len(postings))
-                met = met[postings[where[met]] == at[met] + level]
-                start, left, right = at[met], phrase[met], word[where[met]]
-                bucket = (avalanche(left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + right.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-                order = np.lexsort((start, right, left, bucket))
-                start, left, right, bucket = start[order], left[order], right[order], bucket[order]
-                new = np.flatnonzero(np.r_[True, (np.diff(left) != 0) | (np.diff(right) != 0) | (np.diff(bucket) != 0)]) if len(start) else np.zeros(0, np.int64)
-                length = np.diff(np.r_[new, len(start)])
-                bucket, left, right = bucket[new], left[new], right[new]
-                step = np.diff(start, prepend=0)
-                step[new] = start[new]
-                rows = [] if last else [{"kind": STATE, "lang": lang, "block": block, "payload": _pack(bucket.astype("<i4"), right, length.astype("<i4"), step.astype("<i4"))}]
+                _, length, bucket, left, right = _extended(at, phrase, word, level, buckets)
+                rows = [] if last else [{"kind": STATE, "lang": lang, "block": block, "payload": _pack_lists(at, phrase, word)}]
                 rows += [{"kind": ENTRY, "lang": lang, "block": block, "bucket": b, "payload": _pack(left[i:j], right[i:j], length[i:j].astype("<i8"))} for b, i, j in _ranges(bucket)]
                 yield _batch(rows)
 
@@ -232,9 +255,10 @@ def _next_level(addressed: DataFrame, level: int, buckets: int, last: bool) -> D
 def _numbers(bucket: np.ndarray, answers: dict[int, np.ndarray]) -> np.ndarray:
     """The language-wide number of each of a block's entries; -1 if it is not frequent."""
     out = np.full(len(bucket), -1, np.int64)
-    for b, i, j in _ranges(bucket):
+    order = np.argsort(bucket, kind="stable")
+    for b, i, j in _ranges(bucket[order]):
         code = answers[b].astype(np.int64)
-        out[i:j] = np.where(code >= 0, (b << 32) + code, -1)
+        out[order[i:j]] = np.where(code >= 0, (b << 32) + code, -1)
     return out
 
 
@@ -256,7 +280,7 @@ def frequent_phrases(docs: DataFrame, least: int, longest: int, block_bytes: int
         sums = materialise(_sum_level(rows, least, level, last, partitions), f"sums-{level}")
         frequent = sums.where(F.col("kind") == FREQUENT)
         if level == 1:
-            before = words = frequent.select("lang", "id", "text", "n")
+            before = words = materialise(frequent.select("lang", "id", "text", "n"), "words")
         else:
             left, word = before.select("lang", F.col("id").alias("left"), F.col("text").alias("head")), words.select("lang", F.col("id").alias("word"), F.col("text").alias("tail"))
             before = materialise(frequent.select("lang", "id", "left", "word", "n").join(left, ["lang", "left"]).join(word, ["lang", "word"]).select("lang", "id", F.concat_ws(" ", "head", "tail").alias("text"), "n"), f"phrases-{level}")
@@ -266,7 +290,7 @@ def frequent_phrases(docs: DataFrame, least: int, longest: int, block_bytes: int
             answers = sums.where(F.col("kind") == ANSWER).groupBy("block").agg(F.collect_list(F.struct("bucket", "payload")).alias("answers"))
             addressed = rows.where(F.col("kind") == STATE).select("block", "lang", "payload").join(answers, "block", "left")
             after = materialise(_next_level(addressed, level, buckets, level + 1 == longest), f"postings-{level + 1}")
-            discard(rows)
+            discard(rows, sums)
             rows = after
     return materialise(found, "frequent"), totals
 
