@@ -12,6 +12,7 @@ from siftwell.sources import catalog as K
 from siftwell.sources import sinks as W
 from siftwell.sources.scratch import scratch
 from siftwell.streaming import intake as I
+from siftwell.streaming import stateful as S
 
 
 def events(spark, sf_dir):
@@ -151,14 +152,40 @@ def _dead(spark, sf_dir):
     return I.good_rows(got).withColumn("row", F.lit(None).cast("string")).unionByName(I.bad_rows(got).select(F.lit(None).cast("long").alias("event_id"), F.lit(None).cast("long").alias("doubled"), F.col("_row").alias("row")))
 
 
-@query("accumulated_groups", "SELECT event_id // 50 AS uid, count(*) AS n, round(avg(value), 4) AS mean FROM events GROUP BY 1 HAVING count(*) = 50 AND avg(value) > 45 AND avg(value) < 55")
+@query("accumulated_groups", "SELECT event_id // 50 AS uid, CASE WHEN avg(value) > 45 AND avg(value) < 55 THEN 'kept' ELSE 'dropped' END AS status, count(*) AS n, round(avg(value), 4) AS mean FROM events GROUP BY 1 HAVING count(*) = 50")
 def _accumulated(spark, sf_dir):
-    """Groups of fifty responses that arrive over several triggers, each given out once it is complete and informative."""
-    e = events(spark, sf_dir).select(F.floor(F.col("event_id") / 50).alias("uid"), "value")
+    """Groups of fifty responses that arrive over several triggers, each given out once it is complete."""
+    S.with_state_store(spark)
+    e = events(spark, sf_dir).select(F.floor(F.col("event_id") / 50).alias("uid"), "event_id", "value", F.col("ts").cast("timestamp").alias("ts"))
     stream = I.read_stream(spark, _source(spark, sf_dir, e), e.schema, files_per_trigger=2)
     path, log = scratch(spark, "groups"), scratch(spark, "log")
-    I.append_json(I.accumulate_groups(stream, "uid", "value", 50, 45.0, 55.0), path, log).awaitTermination()
-    return spark.read.schema("uid long, n long, mean double").json(path).withColumn("mean", F.round("mean", 4))
+    I.append_json(S.complete_groups(stream, "uid", "event_id", "value", "ts", 50, 45.0, 55.0, patience="36500 days", late="36500 days"), path, log).awaitTermination()
+    return spark.read.schema("uid long, status string, n long, mean double").json(path).withColumn("mean", F.round("mean", 4))
+
+
+@query("batches_of_groups", "SELECT batch, 16 AS n FROM (SELECT unnest(range(CAST(count(DISTINCT user_id) // 16 AS BIGINT))) AS batch FROM events)")
+def _filled(spark, sf_dir):
+    """Users as groups, gathered over several fetches until sixteen make a batch."""
+    S.with_state_store(spark)
+    e = events(spark, sf_dir).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    stream = I.read_stream(spark, _source(spark, sf_dir, e), e.schema, files_per_trigger=1)
+    path, log = scratch(spark, "groups"), scratch(spark, "log")
+    I.append_json(S.filled_batches(stream, "user_id", 16), path, log).awaitTermination()
+    return spark.read.schema("batch long, place int, user_id string").json(path).groupBy("batch").agg(F.count_distinct("user_id", "place").cast("int").alias("n"))
+
+
+@query("shuffled_stream", "SELECT CAST(event_id % 4 AS INTEGER) AS shard, count(*) AS n, count(*) AS places, CAST(sum(event_id) AS BIGINT) AS ids FROM events GROUP BY 1")
+def _streamed(spark, sf_dir):
+    """Every event once, through buffers of 512 rows that last over the triggers."""
+    S.with_state_store(spark)
+    e = events(spark, sf_dir).select("event_id", "value", (F.col("event_id") % 4).cast("int").alias("shard"), F.lit(False).alias("over"))
+    folder = _source(spark, sf_dir, e)
+    spark.range(4).select(F.lit(None).cast("long").alias("event_id"), F.lit(None).cast("double").alias("value"), F.col("id").cast("int").alias("shard"), F.lit(True).alias("over")).coalesce(1).write.mode("append").parquet(folder)
+    stream = I.read_stream(spark, folder, e.schema, files_per_trigger=2)
+    path, log = scratch(spark, "shuffled"), scratch(spark, "log")
+    I.append_json(S.shuffled_stream(stream, "shard", "event_id", "over", buffer=512), path, log).awaitTermination()
+    got = spark.read.schema("event_id long, _shard int, _at long").json(path)
+    return got.groupBy(F.col("_shard").alias("shard")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("_at").alias("places"), F.sum("event_id").alias("ids"))
 
 
 @query("batches_seen", "SELECT count(*) AS n, round(sum(value), 2) AS total FROM events")

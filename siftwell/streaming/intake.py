@@ -1,4 +1,4 @@
-"""Streams of training records: shuffled intake, dead letters, group accumulation, metrics."""
+"""Streams of training records: intake, dead letters, event-time windows, sinks."""
 
 from __future__ import annotations
 
@@ -8,7 +8,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 
@@ -52,27 +51,6 @@ def bad_rows(df: DataFrame) -> DataFrame:
     return df.where("_error IS NOT NULL").select("_error", "_row")
 
 
-def accumulate_groups(stream: DataFrame, group: str, score: str, size: int, low: float, high: float) -> DataFrame:
-    """Groups that are complete (size responses) and informative (low < mean < high), as they fill up.
-
-    State per open group is a count and a sum; groups never grow beyond size.
-    """
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, total = state.get if state.exists else (0, 0.0)
-        for pdf in batches:
-            n, total = n + len(pdf), total + float(pdf[score].sum())
-        if n >= size:
-            state.remove()
-            if low < total / n < high:
-                yield pd.DataFrame({group: [key[0]], "n": [n], "mean": [total / n]})
-        else:
-            state.update((n, total))
-
-    kind = dict(stream.dtypes)[group]
-    return stream.groupBy(group).applyInPandasWithState(run, f"`{group}` {kind}, n long, mean double", "n long, total double", "append", GroupStateTimeout.NoTimeout)
-
-
 def windowed_means(stream: DataFrame, ts: str, value: str, window: str = "1 hour", late: str = "10 minutes", by: str | None = None) -> DataFrame:
     """Means per event-time window; later rows than the watermark are dropped."""
     keys = [F.window(ts, window).alias("w"), *([F.col(by)] if by else [])]
