@@ -7,13 +7,15 @@ so every operator groups by image and big images split only by map-side aggregat
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.operators.batch import with_position
+from siftwell.sources.scratch import materialise
 
 AXES = ("x", "y", "z")
 
@@ -29,36 +31,45 @@ def backproject(pixels: DataFrame, fx: float, fy: float, cx: float, cy: float, w
     return rows.withColumn("x", (F.col("u") - cx * width) * d / (fx * width)).withColumn("y", (F.col("v") - cy * height) * d / (fy * height)).withColumn("z", d)
 
 
-def edge_mask(pixels: DataFrame, image: str = "image_id", thickness: int = 1, tolerance: float = 0.05) -> DataFrame:
+#: Pixels a side of a tile, and points of one image that one task takes.
+TILE, SHARE = 1024, 100_000
+
+
+def _boxed(a: np.ndarray) -> np.ndarray:
+    """Sum over the 3x3 neighbourhood."""
+    p = np.pad(a, 1)
+    return sum(p[i : i + a.shape[0], j : j + a.shape[1]] for i in range(3) for j in range(3))
+
+
+def edge_mask(pixels: DataFrame, image: str = "image_id", thickness: int = 1, tolerance: float = 0.05, tile: int = TILE) -> DataFrame:
     """Adds edge: pixels where both near and far neighbours lie within ``thickness`` steps.
 
     A pixel is in front of (behind) its surroundings if its disparity exceeds (falls short of) the
     mean of the valid 3x3 neighbourhood by the tolerance; both flags are dilated and must meet.
+    Images are worked on in tiles with a margin as wide as a flag can reach, so one of any size is spread over tasks.
     """
+    margin = thickness + 1
+    kinds = dict(pixels.dtypes)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        w, h = int(pdf["u"].max()) + 1, int(pdf["v"].max()) + 1
-        disp, ok = np.zeros((h, w)), np.zeros((h, w), bool)
+        left, top = int(pdf["_x"].iloc[0]) * tile - margin, int(pdf["_y"].iloc[0]) * tile - margin
+        u, v = pdf["u"].to_numpy(np.int64) - left, pdf["v"].to_numpy(np.int64) - top
+        disp, ok = np.zeros((v.max() + 1, u.max() + 1)), np.zeros((v.max() + 1, u.max() + 1), bool)
         depth = pdf["depth"].to_numpy(float)
         good = np.isfinite(depth) & (depth > 0)
-        u, v = pdf["u"].to_numpy(int), pdf["v"].to_numpy(int)
         disp[v[good], u[good]] = 1 / depth[good]
         ok[v[good], u[good]] = True
-
-        def box(a: np.ndarray) -> np.ndarray:
-            p = np.pad(a, 1)
-            return sum(p[i : i + h, j : j + w] for i in range(3) for j in range(3))
-
-        mean = box(disp) / np.maximum(box(ok.astype(float)), 1)
+        mean = _boxed(disp) / np.maximum(_boxed(ok.astype(float)), 1)
         front, back = ok & (disp > mean * (1 + tolerance)), ok & (disp < mean * (1 - tolerance))
         for _ in range(thickness):
-            front, back = box(front.astype(float)) > 0, box(back.astype(float)) > 0
-        pdf = pdf.copy()
-        pdf["edge"] = (front & back)[v, u]
-        return pdf
+            front, back = _boxed(front.astype(float)) > 0, _boxed(back.astype(float)) > 0
+        own = (u >= margin) & (u < margin + tile) & (v >= margin) & (v < margin + tile)
+        return pdf[own].drop(columns=["_x", "_y"]).assign(edge=(front & back)[v[own], u[own]])
 
-    schema = ", ".join(f"`{n}` {t}" for n, t in pixels.dtypes)
-    return pixels.groupBy(image).applyInPandas(run, f"{schema}, edge boolean")
+    near = lambda c: F.array_distinct(F.transform(F.array(F.lit(-margin), F.lit(0), F.lit(margin)), lambda d: F.floor((F.col(c) + d) / tile)))
+    spread = pixels.withColumn("_x", F.explode(near("u"))).withColumn("_y", F.explode(near("v")))
+    schema = ", ".join(f"`{n}` {t}" for n, t in kinds.items()) + ", edge boolean"
+    return spread.groupBy(image, "_x", "_y").applyInPandas(run, schema)
 
 
 def voxels(points: DataFrame, size: float, image: str = "image_id", order: str = "point_id") -> DataFrame:
@@ -154,27 +165,43 @@ def plane_origin(points: DataFrame, normal: Sequence[float], keys: Sequence[str]
     return rows.where(F.abs(F.col("p") - F.col("height")) < threshold).groupBy(*keys).agg(*(F.avg(a).alias(a) for a in AXES))
 
 
-def dominant_normal(points: DataFrame, image: str = "image_id", iterations: int = 200, degrees: float = 10.0, seed: int = 42) -> DataFrame:
-    """Per image the direction that most unit normals agree with, by seeded sampling consensus."""
+def dominant_normal(points: DataFrame, image: str = "image_id", iterations: int = 200, degrees: float = 10.0, seed: int = 42, share: int = SHARE) -> DataFrame:
+    """Per image the direction that most unit normals agree with, by seeded sampling consensus.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        n = pdf.sort_values("point_id")[["nx", "ny", "nz"]].to_numpy(float)
-        n = n / (np.linalg.norm(n, axis=1, keepdims=True) + 1e-8)
-        some = n[n[:, 1] < 0]
-        some = some if len(some) else n
-        rng, best, count = np.random.default_rng(seed), some[0], -1
-        cos = np.cos(np.radians(degrees))
-        for i in rng.integers(0, len(some), iterations):
-            c = int((n @ some[i] > cos).sum())
-            if c > count:
-                best, count = some[i], c
-        mean = n[n @ best > cos].mean(0)
-        mean = mean / (np.linalg.norm(mean) + 1e-8)
-        mean = -mean if mean[1] > 0 else mean
-        return pd.DataFrame({image: [pdf[image].iloc[0]], "nx": [mean[0]], "ny": [mean[1]], "nz": [mean[2]], "inliers": [count]})
+    Candidates are the ``iterations`` upward normals (all, if there are none) of the smallest hashes; each share of an image
+    counts the votes for all of them, the counts are summed, and the mean of the winner's voters is
+    returned, upward.  Ties go to the smaller hash.
+    """
+    cos = float(np.cos(np.radians(degrees)))
+    names = ["nx", "ny", "nz"]
+    size = F.sqrt(sum((F.col(n) * F.col(n) for n in names), F.lit(0.0))) + 1e-8
+    unit = points.select(image, "point_id", *(F.col(n).cast("double").alias(n) for n in names)).select(image, F.xxhash64(F.lit(seed), "point_id", *names).alias("h"), *((F.col(n) / size).alias(n) for n in names))
+    counts = unit.groupBy(F.col(image).alias("_i")).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("ny") < 0, 1)).alias("up"))
+    counts = materialise(counts, "counts")
+    on = F.col(image).eqNullSafe(F.col("_i"))
+    # some times as many rows as wanted pass the hash; the window then sorts few rows of an image
+    chance = F.lit(4.0 * iterations) / F.when(F.col("up") > 0, F.col("up")).otherwise(F.col("n"))
+    lot = (F.shiftrightunsigned("h", 11) / float(1 << 53)) < chance
+    some = unit.join(counts, on).where(((F.col("up") == 0) | (F.col("ny") < 0)) & lot)
+    some = some.withColumn("k", F.row_number().over(Window.partitionBy(image).orderBy("h", *names))).where(F.col("k") <= iterations).select(image, "k", *names)
+    some = materialise(some, "candidates")
+    spread = unit.join(counts, on).select(image, *names, F.pmod("h", F.ceil(F.col("n") / share)).alias("part"))
+    shared = some.join(counts, on).select(image, "k", *names, F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / share) - 1)).alias("part"))
+
+    def vote(p: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        if not len(c):
+            return pd.DataFrame({image: [], "k": [], "votes": []})
+        hits = (p[names].to_numpy() @ c[names].to_numpy().T > cos).sum(0)
+        return pd.DataFrame({image: [c[image].iloc[0]] * len(c), "k": c["k"], "votes": hits})
 
     kind = dict(points.dtypes)[image]
-    return points.groupBy(image).applyInPandas(run, f"`{image}` {kind}, nx double, ny double, nz double, inliers int")
+    votes = spread.groupBy(image, "part").cogroup(shared.groupBy(image, "part")).applyInPandas(vote, f"`{image}` {kind}, k int, votes long")
+    best = votes.groupBy(image, "k").agg(F.sum("votes").alias("votes")).groupBy(F.col(image).alias("_w")).agg(F.min(F.struct((-F.col("votes")).alias("less"), "k")).alias("b"))
+    winner = best.join(some, F.col("_w").eqNullSafe(F.col(image)) & (F.col("b.k") == F.col("k"))).select("_w", (-F.col("b.less")).cast("int").alias("inliers"), *(F.col(n).alias(f"w{n}") for n in names))
+    dot = sum((F.col(n) * F.col(f"w{n}") for n in names), F.lit(0.0))
+    mean = unit.join(winner, F.col(image).eqNullSafe(F.col("_w"))).where(dot > cos).groupBy(image, "inliers").agg(*(F.avg(n).alias(n) for n in names))
+    length = (F.sqrt(sum((F.col(n) * F.col(n) for n in names), F.lit(0.0))) + 1e-8) * F.when(F.col("ny") > 0, -1.0).otherwise(1.0)
+    return mean.select(image, *((F.col(n) / length).alias(n) for n in names), "inliers")
 
 
 def world_frame(normal: Sequence[float], origin: Sequence[float]) -> list[list[float]]:
@@ -202,20 +229,34 @@ def transform(points: DataFrame, matrix: Sequence[Sequence[float]], normals: boo
 
 
 def principal_boxes(points: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Oriented boxes: eigenvectors of the covariance, extents along them; under three points an axis box."""
+    """Oriented boxes: eigenvectors of the covariance (the largest first), extents along them; under three points an axis box.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf[list(AXES)].to_numpy(float)
-        centre, axes = p.mean(0), np.eye(3)
-        if len(p) >= 3:
-            values, vectors = np.linalg.eigh(np.cov((p - centre).T))
-            axes = vectors[:, np.argsort(values)[::-1]].T
-        local = (p - centre) @ axes.T
-        size = local.max(0) - local.min(0)
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "centre": [centre.tolist()], "size": [size.tolist()], "axes": [axes.ravel().tolist()]})
-
-    kinds = dict(points.dtypes)
-    return points.groupBy(*keys).applyInPandas(run, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", centre array<double>, size array<double>, axes array<double>")
+    Moments and extents are aggregations, so a group of any size meets map-side; only its 3x3 matrix is solved in Python.
+    """
+    pairs = [(a, b) for i, a in enumerate(AXES) for b in AXES[i:]]
+    inner = [f"_k{i}" for i in range(len(keys))]
+    p = points.select(*(F.col(k).alias(i) for k, i in zip(keys, inner, strict=True)), *(F.col(a).cast("double").alias(a) for a in AXES))
+    moments = p.groupBy(*inner).agg(F.count(F.lit(1)).alias("n"), F.array(*(F.avg(a) for a in AXES)).alias("centre"), F.array(*(F.covar_samp(a, b) for a, b in pairs)).alias("moments"))
+
+    @F.pandas_udf("array<double>")
+    def axes_of(n: pd.Series, moments: pd.Series) -> pd.Series:
+        out = []
+        for count, m in zip(n, moments, strict=True):
+            axes = np.eye(3)
+            if count >= 3:
+                cov = np.zeros((3, 3))
+                cov[np.triu_indices(3)] = [float(x) for x in m]
+                values, vectors = np.linalg.eigh(cov + np.triu(cov, 1).T)
+                axes = vectors[:, np.argsort(values)[::-1]].T
+            out.append(axes.ravel().tolist())
+        return pd.Series(out)
+
+    other = [f"_o{i}" for i in range(len(keys))]
+    frames = materialise(moments.select(*(F.col(i).alias(o) for i, o in zip(inner, other, strict=True)), "centre", axes_of("n", "moments").alias("axes")), "axes")
+    local = [sum((F.col("axes")[3 * k + j] * (F.col(a) - F.col("centre")[j]) for j, a in enumerate(AXES)), F.lit(0.0)) for k in range(3)]
+    same = reduce(lambda x, y: x & y, (F.col(i).eqNullSafe(F.col(o)) for i, o in zip(inner, other, strict=True)), F.lit(True))
+    spans = p.join(frames, same).groupBy(*inner).agg(F.array(*(F.max(c) - F.min(c) for c in local)).alias("size"))
+    return spans.join(frames, same).select(*(F.col(i).alias(k) for i, k in zip(inner, keys, strict=True)), "centre", "size", "axes")
 
 
 def object_counts(instances: DataFrame, image: str, name: str) -> DataFrame:
