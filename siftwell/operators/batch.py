@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siftwell.sources.scratch import materialise
 
@@ -189,3 +190,29 @@ def check_consistent(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     for s in sizes[1:]:
         same = same & (s == sizes[0])
     return df.withColumn(columns[0], F.when(same, F.col(columns[0])).otherwise(F.raise_error(F.lit("columns of a row differ in length"))))
+
+
+#: Bytes of a value of fixed width.
+_WIDTHS = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "float": 4, "date": 4, "bigint": 8, "double": 8, "timestamp": 8, "timestamp_ntz": 8}
+
+
+def _held(value: Column, kind: T.DataType) -> Column:
+    match kind:
+        case T.ArrayType():
+            fixed = _WIDTHS.get(kind.elementType.simpleString())
+            inner = F.size(value).cast("long") * fixed if fixed else F.aggregate(F.transform(value, lambda x: _held(x, kind.elementType)), F.lit(0).cast("long"), lambda a, b: a + b)
+        case T.MapType():
+            inner = _held(F.map_keys(value), T.ArrayType(kind.keyType)) + _held(F.map_values(value), T.ArrayType(kind.valueType))
+        case T.StructType():
+            inner = sum((_held(value[f.name], f.dataType) for f in kind.fields), F.lit(0).cast("long"))
+        case T.StringType() | T.BinaryType() | T.VarcharType() | T.CharType():
+            inner = F.octet_length(value).cast("long")
+        case _:
+            inner = F.lit(_WIDTHS.get(kind.simpleString(), 16)).cast("long")
+    return F.when(value.isNotNull(), inner).otherwise(F.lit(0).cast("long"))
+
+
+def held_bytes(df: DataFrame) -> DataFrame:
+    """column, bytes: what the values of each column take up, nulls nothing; one map-side aggregation."""
+    sums = df.agg(F.array(*(F.struct(F.lit(f.name).alias("column"), F.coalesce(F.sum(_held(F.col("`" + f.name.replace("`", "``") + "`"), f.dataType)), F.lit(0)).alias("bytes")) for f in df.schema.fields)).alias("s"))
+    return sums.select(F.inline("s"))

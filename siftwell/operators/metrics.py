@@ -113,3 +113,21 @@ def duration_text(seconds: Column) -> Column:
     """h:mm:ss"""
     s = F.floor(seconds)
     return F.format_string("%d:%02d:%02d", F.floor(s / 3600), F.floor(s % 3600 / 60), s % 60)
+
+
+#: Floating-point operations a second that devices promise (dense, half precision), by parts of their names.
+DEVICE_FLOPS = {"H100": 989e12, "H800": 989e12, "A100": 312e12, "A800": 312e12, "L40": 181.05e12, "L20": 119.5e12, "H20": 148e12, "910B": 354e12}
+UNITS = "BKMGTP"
+
+
+def device_flops(name: Column, unit: str = "T") -> Column:
+    """What a device promises, in thousands per step of the unit; infinite for unknown ones, as the first name that fits says."""
+    out = F.lit(float("inf"))
+    for part, flops in reversed(DEVICE_FLOPS.items()):
+        out = F.when(name.contains(part), flops).otherwise(out)
+    return out / float(1000 ** UNITS.index(unit))
+
+
+def flops_share(achieved: Column, device: Column, devices: int = 1) -> Column:
+    """Achieved against promised teraflops."""
+    return achieved / (device_flops(device) * devices)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.operators.batch import with_position
+from siftwell.sources.scratch import materialise
 
 
 def draw(seed: int | str, key: str | Column) -> Column:
@@ -99,22 +100,55 @@ def interleave(frames: Sequence[DataFrame], order: str, strategy: str = "under")
     return union_all(out)
 
 
-def interleave_by_probability(frames: Sequence[DataFrame], order: str, probabilities: Sequence[float], n: int, seed: int = 42) -> DataFrame:
-    """n draws; draw i takes its source by a fixed random number, and that source's next row (again from its start when exhausted)."""
-    spark = frames[0].sparkSession
-    u = uniform(seed, "id")
-    source, total = F.lit(len(frames) - 1), 0.0
-    edges = []
+def _drawn(spark, probabilities: Sequence[float], n: int, seed: int) -> DataFrame:
+    """_at and _source of n draws; each depends on its number and the seed only."""
+    total, edges = sum(probabilities), []
     for p in probabilities:
-        total += p
-        edges.append(total)
-    for s in range(len(frames) - 2, -1, -1):
-        source = F.when(u < edges[s] / total, s).otherwise(source)
-    draws = spark.range(n).select(F.col("id").alias("_at"), source.alias("_source"))
+        edges.append((edges[-1] if edges else 0.0) + p)
+    source = F.lit(len(probabilities) - 1)
+    for s in range(len(probabilities) - 2, -1, -1):
+        source = F.when(uniform(seed, "id") < edges[s] / total, s).otherwise(source)
+    return spark.range(n).select(F.col("id").alias("_at"), source.alias("_source"))
+
+
+def interleave_by_probability(frames: Sequence[DataFrame], order: str, probabilities: Sequence[float], n: int | None = None, seed: int = 42, stop: str = "first") -> DataFrame:
+    """Draw i takes its source by a fixed random number, and that source's next row (again from its start when exhausted).
+
+    Without a number of draws they end with the last row of the source that is exhausted first (stop = "first"), or of
+    the last one that was not exhausted yet ("all"; sources that are never drawn don't count).  A source without rows is exhausted
+    at once: with "first" nothing is drawn, with "all" it is left out.
+    """
+    spark = frames[0].sparkSession
+    sizes = [f.count() for f in frames]
+    if n is None and stop == "all":
+        probabilities = [p if c else 0.0 for p, c in zip(probabilities, sizes, strict=True)]
+    live = [s for s, p in enumerate(probabilities) if p > 0]
+    places: dict[int, DataFrame] = {}
+
+    def number(upto: int) -> None:
+        draws = _drawn(spark, probabilities, upto, seed)
+        places.update({s: materialise(with_position(draws.where(F.col("_source") == s), "_at"), "draws") for s in live})
+
+    if n is not None:
+        number(n)
+    elif not live or (stop == "first" and min(sizes[s] for s in live) == 0):
+        n = 0
+        number(0)
+    else:
+        need = [sizes[s] * sum(probabilities) / probabilities[s] for s in live]
+        upto = int((min(need) if stop == "first" else max(need)) * 1.1) + 100
+        while n is None:
+            number(upto)
+            ends = [places[s].where(F.col("_pos") == sizes[s] - 1).first() for s in live]  # at most one row each
+            done = [e["_at"] for e in ends if e is not None]
+            if done if stop == "first" else len(done) == len(live):
+                n = (min(done) if stop == "first" else max(done)) + 1
+            upto *= 2
     out = []
     for s, f in enumerate(frames):
-        mine = with_position(draws.where(F.col("_source") == s), "_at").withColumn("_pos", F.col("_pos") % f.count())
-        out.append(mine.join(with_position(f, order), "_pos").drop("_pos"))
+        rows = with_position(f, order)
+        mine = places[s].where(F.col("_at") < n).withColumn("_pos", F.col("_pos") % max(sizes[s], 1)) if s in places else rows.select(F.lit(0).cast("long").alias("_at"), F.lit(s).alias("_source"), "_pos").limit(0)
+        out.append(mine.join(rows, "_pos").drop("_pos"))
     return union_all(out)
 
 

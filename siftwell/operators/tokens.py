@@ -7,7 +7,7 @@ so that they are deterministic under any partitioning.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -373,3 +373,27 @@ def byte_ids(text: str) -> Column:
     """The built-in tokenizer: one id per UTF-8 byte; the text is turned to hex digits once."""
     pairs = F.regexp_extract_all(F.hex(F.encode(F.col(text), "UTF-8")), F.lit("[0-9A-F]{2}"), F.lit(0))
     return F.transform(pairs, lambda h: F.conv(h, 16, 10).cast("int"))
+
+
+def sequence_shards(df: DataFrame, pads: dict[str, object], ranks: int, labels: str | None = None, ignore: int = -100) -> DataFrame:
+    """Each sequence as ``ranks`` rows of equal parts, with rank and padding.
+
+    pads names the array columns and what they are filled with to a multiple of ranks.  labels move one place to the left first, so that
+    the last token of a part is asked for the first of the next one; the end gets ``ignore``.
+    """
+    names = list(pads)
+    if labels is not None:
+        df = df.withColumn(labels, F.when(F.size(labels) > 0, F.concat(F.slice(labels, 2, F.greatest(F.size(labels) - 1, F.lit(0))), F.array(F.lit(ignore)))).otherwise(F.col(labels)))
+    size = F.greatest(*(F.size(c) for c in names), F.lit(0))
+    rows = df.withColumn("padding", F.pmod(-size, F.lit(ranks)).cast("int")).withColumn("_each", ((size + F.col("padding")) / ranks).cast("int"))
+    rows = rows.withColumn("rank", F.explode(F.sequence(F.lit(0), F.lit(ranks - 1))))
+    kinds = dict(df.dtypes)
+    part = lambda c: F.slice(F.concat(F.coalesce(c, F.array().cast(kinds[c])), F.array_repeat(F.lit(pads[c]), F.col("_each") * ranks - F.size(F.coalesce(c, F.array().cast(kinds[c])))).cast(kinds[c])), F.col("rank") * F.col("_each") + 1, F.col("_each"))
+    return rows.withColumns({c: part(c) for c in names}).drop("_each")
+
+
+def gathered_shards(shards: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """The sequences of ``sequence_shards`` again, parts in order of rank, without padding; a key meets its parts only."""
+    g = shards.groupBy(*keys).agg(F.max("padding").alias("_padding"), F.array_sort(F.collect_list(F.struct("rank", *columns))).alias("_parts"))
+    whole = {c: F.flatten(F.col("_parts")[c]) for c in columns}
+    return g.select(*keys, *(F.slice(w, F.lit(1), F.size(w) - F.col("_padding")).alias(c) for c, w in whole.items()))

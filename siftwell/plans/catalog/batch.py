@@ -117,3 +117,8 @@ def _maps(spark, sf_dir):
 def _append(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_id", F.col("event_id").cast("string").alias("s"))
     return B.append_to_lists(e, "user_id", "s", "event_id").select("user_id", F.array_join("values", ",").alias("ids"))
+
+
+@query("held_bytes", "SELECT 'doc_id' AS \"column\", count(doc_id) * 8 AS bytes FROM documents UNION ALL SELECT 'text', CAST(sum(strlen(text)) AS BIGINT) FROM documents UNION ALL SELECT 'lang', CAST(sum(strlen(lang)) AS BIGINT) FROM documents UNION ALL SELECT 'source', CAST(sum(strlen(source)) AS BIGINT) FROM documents UNION ALL SELECT 'n_chars', count(n_chars) * 8 FROM documents")
+def _held(spark, sf_dir):
+    return B.held_bytes(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -104,6 +104,27 @@ def _probability(spark, sf_dir):
     return M.interleave_by_probability(_two(spark, sf_dir), "id", [0.7, 0.3], 300).select(F.col("_at").alias("at"), F.col("_source").alias("source"), "id")
 
 
+def stopped(which: str) -> str:
+    """The SQL of draws that end with a source's last row."""
+    return (
+        TWO
+        + f""", d AS (SELECT i AS "at", CASE WHEN CAST(('0x' || substr(md5('42:' || CAST(i AS VARCHAR)), 1, 13)) AS BIGINT) / 4503599627370496.0 < 0.7 THEN 0 ELSE 1 END AS source FROM n, LATERAL (SELECT unnest(range(5 * (na + nb) + 1000)) AS i)),
+k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY "at") - 1 AS k FROM d),
+e AS (SELECT {which}("at") AS last FROM k, n WHERE (source = 0 AND k = na - 1) OR (source = 1 AND k = nb - 1))
+SELECT k."at", k.source, a.id FROM k, e, n, a WHERE "at" <= last AND source = 0 AND a.pos = k.k % na UNION ALL SELECT k."at", k.source, b.id FROM k, e, n, b WHERE "at" <= last AND source = 1 AND b.pos = k.k % nb"""
+    )
+
+
+@query("interleave_until_first", stopped("min"))
+def _first(spark, sf_dir):
+    return M.interleave_by_probability(_two(spark, sf_dir), "id", [0.7, 0.3]).select(F.col("_at").alias("at"), F.col("_source").alias("source"), "id")
+
+
+@query("interleave_until_all", stopped("max"))
+def _all(spark, sf_dir):
+    return M.interleave_by_probability(_two(spark, sf_dir), "id", [0.7, 0.3], stop="all").select(F.col("_at").alias("at"), F.col("_source").alias("source"), "id")
+
+
 @query(
     "capped_sample",
     f"""WITH r AS (SELECT o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_orderpriority ORDER BY {draw('o_orderkey')}, o_orderkey) AS r FROM orders)

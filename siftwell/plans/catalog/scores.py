@@ -220,3 +220,13 @@ def _maths(spark, sf_dir):
     truth, answer = (F.element_at(F.array(*(x[side] for x in forms)), (F.col("form") + 1).cast("int")) for side in (0, 1))
     rows = i.select("l_orderkey", "l_linenumber", F.lit("math").alias("kind"), truth.alias("truth"), F.concat(F.lit("<answer>"), answer, F.lit("</answer>")).alias("response"))
     return S.score_rows(rows, "response", "truth", "kind", out="s").select("l_orderkey", "l_linenumber", F.col("s.accuracy").alias("accuracy"))
+
+
+@query(
+    "flops_shares",
+    "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 989.0 WHEN 1 THEN 119.5 WHEN 2 THEN 148.0 ELSE CAST('inf' AS DOUBLE) END AS promised, round(CASE o_orderkey % 4 WHEN 0 THEN o_totalprice / 1000 / 989 / 2 WHEN 1 THEN o_totalprice / 1000 / 119.5 / 2 WHEN 2 THEN o_totalprice / 1000 / 148 / 2 ELSE 0 END, 9) AS share FROM orders",
+)
+def _shares(spark, sf_dir):
+    device = F.element_at(F.array(*(F.lit(d) for d in ("NVIDIA H100 80GB", "NVIDIA L20", "NVIDIA H20", "other"))), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", device.alias("device"), (F.col("o_totalprice") / 1000).alias("done"))
+    return o.select("o_orderkey", M.device_flops(F.col("device")).alias("promised"), F.round(M.flops_share(F.col("done"), F.col("device"), 2), 9).alias("share"))

@@ -177,3 +177,29 @@ def _micro(spark, sf_dir):
 @query("balance_report", "WITH p AS (SELECT doc_id % 8 AS p, sum(len(string_split(text, ' '))) AS n FROM documents GROUP BY 1) SELECT CAST(min(n) AS BIGINT) AS least, CAST(max(n) AS BIGINT) AS most, CAST(max(n) - min(n) AS BIGINT) AS difference FROM p")
 def _report(spark, sf_dir):
     return T.balance_report(lengths(spark, sf_dir).withColumn("p", F.col("doc_id") % 8), "p", "n")
+
+
+USERS = "WITH u AS (SELECT user_id, list(event_id ORDER BY event_id) AS ids FROM events GROUP BY 1), p AS (SELECT user_id, ids, (-len(ids)) % 4 + CASE WHEN (-len(ids)) % 4 < 0 THEN 4 ELSE 0 END AS padding FROM u)"
+
+
+def _by_user(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return e.groupBy("user_id").agg(F.array_sort(F.collect_list("event_id")).alias("ids")).withColumn("labels", F.col("ids"))
+
+
+@query(
+    "sequence_shards",
+    USERS
+    + """, f AS (SELECT user_id, padding, (len(ids) + padding) // 4 AS each, list_concat(ids, list_transform(range(padding), lambda x: 0)) AS ids, list_concat(list_concat(ids[2:], [-100]), list_transform(range(padding), lambda x: -100)) AS labels FROM p)
+SELECT user_id, CAST(rank AS INTEGER) AS rank, CAST(padding AS INTEGER) AS padding, array_to_string(ids[rank * each + 1 : (rank + 1) * each], ' ') AS ids, array_to_string(labels[rank * each + 1 : (rank + 1) * each], ' ') AS labels FROM f, (SELECT unnest([0, 1, 2, 3]) AS rank)""",
+)
+def _shards(spark, sf_dir):
+    """Every user's events as one sequence, cut for four ranks."""
+    s = T.sequence_shards(_by_user(spark, sf_dir), {"ids": 0, "labels": -100}, 4, "labels")
+    return s.select("user_id", "rank", "padding", *(F.array_join(F.col(c).cast("array<string>"), " ").alias(c) for c in ("ids", "labels")))
+
+
+@query("gathered_shards", USERS + " SELECT user_id, array_to_string(ids, ' ') AS ids FROM u")
+def _gathered(spark, sf_dir):
+    s = T.sequence_shards(_by_user(spark, sf_dir), {"ids": 0, "labels": -100}, 4, "labels")
+    return T.gathered_shards(s, ["user_id"], ["ids"]).select("user_id", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
