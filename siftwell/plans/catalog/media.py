@@ -10,6 +10,7 @@ from siftwell.functions import tools as K
 from siftwell.operators import dispatch as D
 from siftwell.operators import media as A
 from siftwell.operators import media_tokens as Z
+from siftwell.operators import infer as N
 from siftwell.plans.registry import query
 
 
@@ -126,3 +127,28 @@ def _media(spark, sf_dir):
     p = parts(spark, sf_dir).withColumn("images", F.array(medium))
     text = lambda name, **t: Z.media_text(F.lit("a<image>b"), "image", F.col("images"), Z.plugin(name, **t))
     return p.select("p_partkey", text("qwen2_vl").alias("grid"), text("intern_vl", image_length=16).alias("tiles"), text("pixtral", patch=14).alias("rows"), text("llava").alias("patches"), text("ernie_vl").alias("numbered"))
+
+
+QWEN = ("", "<|im_start|>system\\n{{content}}<|im_end|>\\n", "<|im_start|>user\\n{{content}}<|im_end|>\\n<|im_start|>assistant\\n", "{{content}}<|im_end|>\\n")
+LLAMA3 = ("<|begin_of_text|>", "<|start_header_id|>system<|end_header_id|>\\n\\n{{content}}<|eot_id|>", "<|start_header_id|>user<|end_header_id|>\\n\\n{{content}}<|eot_id|><|start_header_id|>assistant<|end_header_id|>\\n\\n", "{{content}}<|eot_id|>")
+MISTRAL = ("<s>", "{{content}}\\n\\n", "[INST] {{content}}[/INST] ", "{{content}}</s>")
+
+
+@query(
+    "inferred_templates",
+    " UNION ALL ".join("SELECT '" + name + "' AS model, " + ", ".join(f"'{v}' AS \"{c}\"" for c, v in zip(("prefix", "system", "user", "assistant"), slots, strict=True)) + f", {str(inside).lower()} AS system_in_first_user" for name, slots, inside in (("qwen", QWEN, False), ("llama3", LLAMA3, False), ("mistral", MISTRAL, True))).replace("\\n", "' || chr(10) || '"),
+)
+def _inferred(spark, sf_dir):
+    """The slots of three chat formats from what all conversations look like in them."""
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("text <> ''")
+    talks = c.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content"))).alias("all"))
+    bare = F.filter("all", lambda x: x["role"] != "system")
+    system = F.get(F.filter("all", lambda x: x["role"] == "system"), F.lit(0))["content"]
+    talks = talks.select(bare.alias("m"), system.alias("s")).where(F.size("m") > 1)
+    own = F.when(F.col("s").isNotNull(), F.concat(F.array(F.struct(F.lit("system").alias("role"), F.col("s").alias("content"))), F.col("m"))).otherwise(F.col("m"))
+    made = []
+    for name, begin, end in (("qwen", "", "<|im_end|>"), ("llama3", "<|begin_of_text|>", "<|eot_id|>"), ("mistral", "<s>", "</s>")):
+        text = F.array_join(M.render("m", M.resolve(name), "s", end, begin), "")
+        made.append(talks.select(F.lit(name).alias("model"), own.alias("messages"), text.alias("text")))
+    rows = made[0].unionByName(made[1]).unionByName(made[2])
+    return N.infer_templates(rows, "model", "messages", "text").select("model", "prefix", "system", "user", "assistant", "system_in_first_user")
