@@ -1,28 +1,27 @@
 """Arrow IPC files and ASCII PLY points on any Hadoop file system.
 
-Files come through Spark's own ``binaryFile`` source, one row a file (under 2 GB), and are decoded
-in Arrow batches; points are written by its text source, so a task's output counts once it is
-committed.  Nothing is opened by a local path.
+PLY files are read and written by Spark's own text source: a file of any size comes in many splits, and a
+line's number follows from the lines of the splits before it.  Arrow files come through
+its ``binaryFile`` source, one row a file (under 2 GB: they can't be split), and are decoded batch by batch.
+Nothing is opened by a local path.
 """
 
 from __future__ import annotations
 
 import bisect
-import io
 from collections.abc import Iterator, Sequence
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import from_arrow_schema
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from siftwell.sources.scratch import discard, materialise
 
 #: The property types of the points that are written.
 PLY_TYPES = {"x": "float", "y": "float", "z": "float", "red": "uchar", "green": "uchar", "blue": "uchar", "nx": "float", "ny": "float", "nz": "float", "class_id": "int", "instance_id": "int"}
-#: Points that are decoded at once.
-POINTS = 1 << 16
 
 
 def _contents(spark: SparkSession, paths: Sequence[str], suffix: str) -> DataFrame:
@@ -70,55 +69,61 @@ def read_arrow(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     return files.mapInArrow(decode, from_arrow_schema(schema))
 
 
-def ply_header(content: bytes, name: str = "file") -> tuple[int, list[str], int]:
-    """Vertex count, property names and the number of bytes of the header of an ASCII PLY file."""
-    names, count, inside = [], 0, False
-    stream = io.BytesIO(content)
-    if stream.readline().strip() != b"ply":
+def ply_header(lines: Sequence[str], name: str = "file") -> tuple[list[str], int, int]:
+    """Property names of the vertices, the line that the first one stands in, and how many there are, of an ASCII PLY file.
+
+    Elements before the vertices take one line each.
+    """
+    names, start, count, skipped = [], 0, 0, 0
+    element = ""
+    if not lines or lines[0].strip() != "ply":
         raise ValueError(f"{name} is no PLY file")
-    for line in stream:
-        words = line.decode("ascii").split()
-        match words:
+    for at, line in enumerate(lines):
+        match line.split():
             case ["format", kind, *_] if kind != "ascii":
                 raise ValueError(f"{name} is not ASCII")
             case ["element", element, n]:
-                inside = element == "vertex"
-                count = int(n) if inside else count
-            case ["property", *_, prop] if inside:
+                count = int(n) if element == "vertex" else count
+                start = skipped if element == "vertex" else start
+                skipped += int(n)
+            case ["property", *_, prop] if element == "vertex":
                 names.append(prop)
             case ["end_header"]:
-                return count, names, stream.tell()
+                return names, at + 1 + start, count
     raise ValueError(f"{name} has no end of header")
 
 
-def read_ply(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """One row per vertex with the file's name, all properties as doubles; the first file names the properties."""
-    files = _contents(spark, paths, ".ply")
+@F.pandas_udf(T.StructType([T.StructField("names", T.ArrayType(T.StringType())), T.StructField("first", T.LongType()), T.StructField("n", T.LongType())]))
+def _headers(files: pd.Series, lines: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([ply_header(list(x), f) for f, x in zip(files, lines, strict=True)], columns=["names", "first", "n"])
 
-    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array([ply_header(content.as_py(), path)[1]], pa.list_(pa.string()))], names=["names"])
 
-    first = files.orderBy("path").limit(1).mapInArrow(heads, "names array<string>").first()
+def read_ply(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """One row per vertex with the file's name, all properties as doubles; the first file (by path) names the properties.
+
+    One scan counts the lines of each split and picks out the header lines (data lines start with a number); a
+    second one keeps the vertices.  What is broadcast has one row a split.
+    """
+    text = spark.read.option("recursiveFileLookup", "true").text(list(paths))
+    lines = text.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id")).where(F.lower("path").endswith(".ply"))
+    head = F.when(F.col("value").rlike("^[a-z]"), F.struct("id", "value"))
+    splits = lines.groupBy("path", "block").agg(F.count(F.lit(1)).alias("lines"), F.min("id").alias("first_id"), F.array_sort(F.collect_list(head)).alias("head"))
+    splits = materialise(splits, "splits")
+    before = F.sum("lines").over(Window.partitionBy("path").orderBy("block")) - F.col("lines")
+    offsets = splits.select(F.col("path").alias("_path"), F.col("block").alias("_block"), (before - F.col("first_id")).alias("shift"))
+    ordered = splits.groupBy("path").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("block", "head"))), lambda s: s["head"]["value"])).alias("all"))
+    end = F.array_position("all", "end_header").cast("int")
+    headers = materialise(ordered.select("path", F.when(end > 0, F.slice("all", F.lit(1), end)).otherwise(F.col("all")).alias("all")).select("path", _headers("path", "all").alias("h")).select(F.col("path").alias("_of"), "h.*"), "headers")
+    first = headers.orderBy("_of").first()
     if first is None:
         raise ValueError(f"no PLY files under {list(paths)}")
-    wanted = list(first["names"])
-
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                raw = content.as_py()
-                count, names, start = ply_header(raw, path)
-                at = [names.index(n) if n in names else None for n in wanted]
-                stream = io.BytesIO(raw)
-                stream.seek(start)
-                for done in range(0, count, POINTS):
-                    rows = [line.split() for _, line in zip(range(min(POINTS, count - done)), stream, strict=False)]
-                    cols = [pa.nulls(len(rows), pa.float64()) if i is None else pa.array([float(r[i]) for r in rows], pa.float64()) for i in at]
-                    yield pa.RecordBatch.from_arrays([pa.array([path.rsplit("/", 1)[-1]] * len(rows), pa.string()), *cols], names=["file", *wanted])
-
-    return files.mapInArrow(decode, StructType([StructField("file", StringType()), *(StructField(n, DoubleType()) for n in wanted)]))
+    rows = lines.join(F.broadcast(offsets), (F.col("path") == F.col("_path")) & (F.col("block") == F.col("_block"))).join(F.broadcast(headers), F.col("path") == F.col("_of"))
+    number = F.col("id") + F.col("shift")
+    rows = rows.where((number >= F.col("first")) & (number < F.col("first") + F.col("n")))
+    words = F.split(F.trim("value"), r"\s+")
+    named = rows.select(F.element_at(F.split("path", "/"), -1).alias("file"), words.alias("words"), "names")
+    place = lambda n: F.nullif(F.array_position("names", n).cast("int"), F.lit(0))
+    return named.select("file", *(F.try_element_at("words", place(n)).cast("double").alias(n) for n in first["names"]))
 
 
 def write_ply(points: DataFrame, path: str) -> None:

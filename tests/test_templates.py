@@ -4,42 +4,42 @@ import pytest
 
 from siftwell.functions import templates as M
 
-TURNS = [("user", "How are you"), ("assistant", "I am fine"), ("user", "你好"), ("assistant", "Ok")]
+TURNS = [("user", "What is new"), ("assistant", "Not a lot"), ("user", "再见"), ("assistant", "Well")]
 
 #: name: prompt of the first round (system "Be.", bos <s>, eos </s>), first reply, second prompt
 GOLDEN = {
-    "alpaca": ("Be.### Instruction:\nHow are you\n\n### Response:\n", "I am fine</s>\n\n", "### Instruction:\n你好\n\n### Response:\n"),
-    "atom": ("Be.<s>Human: How are you\n</s><s>Assistant:", "I am fine\n</s>", "<s>Human: 你好\n</s><s>Assistant:"),
-    "baichuan": ("Be.<reserved_102>How are you<reserved_103>", "I am fine", "<reserved_102>你好<reserved_103>"),
-    "belle": ("<s>Be.Human: How are you\n\nBelle: ", "I am fine</s>\n\n", "Human: 你好\n\nBelle: "),
-    "breeze": ("<s>Be.[INST] How are you [/INST] ", "I am fine", "[INST] 你好 [/INST] "),
-    "chatglm2": ("[gMASK]sopBe.[Round 0]\n\n问：How are you\n\n答：", "I am fine", "[Round 1]\n\n问：你好\n\n答："),
-    "chatglm3": ("[gMASK]sop<|system|>\nBe.<|user|>\nHow are you<|assistant|>", "\nI am fine", "<|user|>\n你好<|assistant|>"),
-    "cpm3": ("<s><|im_start|>system\nBe.<|im_end|>\n<|im_start|>user\nHow are you<|im_end|>\n<|im_start|>assistant\n", "I am fine<|im_end|>\n", "<|im_start|>user\n你好<|im_end|>\n<|im_start|>assistant\n"),
-    "deepseek": ("<s>Be.\n\nUser: How are you\n\nAssistant:", "I am fine</s>", "User: 你好\n\nAssistant:"),
-    "deepseek3": ("<s>Be.<｜User｜>How are you<｜Assistant｜>", "I am fine</s>", "<｜User｜>你好<｜Assistant｜>"),
-    "default": ("System: Be.</s>\nHuman: How are you</s>\nAssistant:", "I am fine</s>\n", "Human: 你好</s>\nAssistant:"),
-    "empty": ("Be.How are you", "I am fine", "你好"),
-    "gemma": ("<s><start_of_turn>user\nBe.\n\nHow are you<end_of_turn>\n<start_of_turn>model\n", "I am fine<end_of_turn>\n", "<start_of_turn>user\n你好<end_of_turn>\n<start_of_turn>model\n"),
-    "glm4": ("[gMASK]<sop><|system|>\nBe.<|user|>\nHow are you<|assistant|>", "\nI am fine", "<|user|>\n你好<|assistant|>"),
-    "llama2": ("<s>[INST] <<SYS>>\nBe.\n<</SYS>>\n\nHow are you [/INST]", "I am fine</s>", "<s>[INST] 你好 [/INST]"),
+    "alpaca": ("Be.### Instruction:\nWhat is new\n\n### Response:\n", "Not a lot</s>\n\n", "### Instruction:\n再见\n\n### Response:\n"),
+    "atom": ("Be.<s>Human: What is new\n</s><s>Assistant:", "Not a lot\n</s>", "<s>Human: 再见\n</s><s>Assistant:"),
+    "baichuan": ("Be.<reserved_102>What is new<reserved_103>", "Not a lot", "<reserved_102>再见<reserved_103>"),
+    "belle": ("<s>Be.Human: What is new\n\nBelle: ", "Not a lot</s>\n\n", "Human: 再见\n\nBelle: "),
+    "breeze": ("<s>Be.[INST] What is new [/INST] ", "Not a lot", "[INST] 再见 [/INST] "),
+    "chatglm2": ("[gMASK]sopBe.[Round 0]\n\n问：What is new\n\n答：", "Not a lot", "[Round 1]\n\n问：再见\n\n答："),
+    "chatglm3": ("[gMASK]sop<|system|>\nBe.<|user|>\nWhat is new<|assistant|>", "\nNot a lot", "<|user|>\n再见<|assistant|>"),
+    "cpm3": ("<s><|im_start|>system\nBe.<|im_end|>\n<|im_start|>user\nWhat is new<|im_end|>\n<|im_start|>assistant\n", "Not a lot<|im_end|>\n", "<|im_start|>user\n再见<|im_end|>\n<|im_start|>assistant\n"),
+    "deepseek": ("<s>Be.\n\nUser: What is new\n\nAssistant:", "Not a lot</s>", "User: 再见\n\nAssistant:"),
+    "deepseek3": ("<s>Be.<｜User｜>What is new<｜Assistant｜>", "Not a lot</s>", "<｜User｜>再见<｜Assistant｜>"),
+    "default": ("System: Be.</s>\nHuman: What is new</s>\nAssistant:", "Not a lot</s>\n", "Human: 再见</s>\nAssistant:"),
+    "empty": ("Be.What is new", "Not a lot", "再见"),
+    "gemma": ("<s><start_of_turn>user\nBe.\n\nWhat is new<end_of_turn>\n<start_of_turn>model\n", "Not a lot<end_of_turn>\n", "<start_of_turn>user\n再见<end_of_turn>\n<start_of_turn>model\n"),
+    "glm4": ("[gMASK]<sop><|system|>\nBe.<|user|>\nWhat is new<|assistant|>", "\nNot a lot", "<|user|>\n再见<|assistant|>"),
+    "llama2": ("<s>[INST] <<SYS>>\nBe.\n<</SYS>>\n\nWhat is new [/INST]", "Not a lot</s>", "<s>[INST] 再见 [/INST]"),
     "llama3": (
-        "<s><|start_header_id|>system<|end_header_id|>\n\nBe.<|eot_id|><|start_header_id|>user<|end_header_id|>\n\nHow are you<|eot_id|><|start_header_id|>assistant<|end_header_id|>\n\n",
-        "I am fine<|eot_id|>",
-        "<|start_header_id|>user<|end_header_id|>\n\n你好<|eot_id|><|start_header_id|>assistant<|end_header_id|>\n\n",
+        "<s><|start_header_id|>system<|end_header_id|>\n\nBe.<|eot_id|><|start_header_id|>user<|end_header_id|>\n\nWhat is new<|eot_id|><|start_header_id|>assistant<|end_header_id|>\n\n",
+        "Not a lot<|eot_id|>",
+        "<|start_header_id|>user<|end_header_id|>\n\n再见<|eot_id|><|start_header_id|>assistant<|end_header_id|>\n\n",
     ),
-    "mistral": ("<s>[INST] Be.\n\nHow are you[/INST]", " I am fine</s>", "[INST] 你好[/INST]"),
-    "mistral_small": ("<s>[SYSTEM_PROMPT]Be.[/SYSTEM_PROMPT][INST]How are you[/INST]", "I am fine</s>", "[INST]你好[/INST]"),
-    "olmo": ("</s>Be.<|user|>\nHow are you<|assistant|>\n", "I am fine</s>", "<|user|>\n你好<|assistant|>\n"),
-    "openchat": ("<s>Be.GPT4 Correct User: How are you</s>GPT4 Correct Assistant:", "I am fine</s>", "GPT4 Correct User: 你好</s>GPT4 Correct Assistant:"),
-    "orion": ("<s>Be.Human: How are you\n\nAssistant: </s>", "I am fine</s>", "Human: 你好\n\nAssistant: </s>"),
-    "phi4": ("<|im_start|>system<|im_sep|>Be.<|im_end|><|im_start|>user<|im_sep|>How are you<|im_end|><|im_start|>assistant<|im_sep|>", "I am fine<|im_end|>", "<|im_start|>user<|im_sep|>你好<|im_end|><|im_start|>assistant<|im_sep|>"),
-    "qwen": ("<|im_start|>system\nBe.<|im_end|>\n<|im_start|>user\nHow are you<|im_end|>\n<|im_start|>assistant\n", "I am fine<|im_end|>\n", "<|im_start|>user\n你好<|im_end|>\n<|im_start|>assistant\n"),
-    "seed_coder": ("<s>system\nBe.</s><s>user\nHow are you</s><s>assistant\n", "I am fine</s>", "<s>user\n你好</s><s>assistant\n"),
-    "yayi": ("<|System|>:\nBe.\n\n<|Human|>:\nHow are you\n\n<|YaYi|>:", "I am fine\n\n", "<|Human|>:\n你好\n\n<|YaYi|>:"),
-    "yuan": ("Be.How are you<sep>", "I am fine<eod>\n", "你好<sep>"),
-    "zephyr": ("<|system|>\nBe.</s><|user|>\nHow are you</s><|assistant|>\n", "I am fine</s>", "<|user|>\n你好</s><|assistant|>\n"),
-    "ziya": ("Be.<human>:How are you\n<bot>:", "I am fine\n", "<human>:你好\n<bot>:"),
+    "mistral": ("<s>[INST] Be.\n\nWhat is new[/INST]", " Not a lot</s>", "[INST] 再见[/INST]"),
+    "mistral_small": ("<s>[SYSTEM_PROMPT]Be.[/SYSTEM_PROMPT][INST]What is new[/INST]", "Not a lot</s>", "[INST]再见[/INST]"),
+    "olmo": ("</s>Be.<|user|>\nWhat is new<|assistant|>\n", "Not a lot</s>", "<|user|>\n再见<|assistant|>\n"),
+    "openchat": ("<s>Be.GPT4 Correct User: What is new</s>GPT4 Correct Assistant:", "Not a lot</s>", "GPT4 Correct User: 再见</s>GPT4 Correct Assistant:"),
+    "orion": ("<s>Be.Human: What is new\n\nAssistant: </s>", "Not a lot</s>", "Human: 再见\n\nAssistant: </s>"),
+    "phi4": ("<|im_start|>system<|im_sep|>Be.<|im_end|><|im_start|>user<|im_sep|>What is new<|im_end|><|im_start|>assistant<|im_sep|>", "Not a lot<|im_end|>", "<|im_start|>user<|im_sep|>再见<|im_end|><|im_start|>assistant<|im_sep|>"),
+    "qwen": ("<|im_start|>system\nBe.<|im_end|>\n<|im_start|>user\nWhat is new<|im_end|>\n<|im_start|>assistant\n", "Not a lot<|im_end|>\n", "<|im_start|>user\n再见<|im_end|>\n<|im_start|>assistant\n"),
+    "seed_coder": ("<s>system\nBe.</s><s>user\nWhat is new</s><s>assistant\n", "Not a lot</s>", "<s>user\n再见</s><s>assistant\n"),
+    "yayi": ("<|System|>:\nBe.\n\n<|Human|>:\nWhat is new\n\n<|YaYi|>:", "Not a lot\n\n", "<|Human|>:\n再见\n\n<|YaYi|>:"),
+    "yuan": ("Be.What is new<sep>", "Not a lot<eod>\n", "再见<sep>"),
+    "zephyr": ("<|system|>\nBe.</s><|user|>\nWhat is new</s><|assistant|>\n", "Not a lot</s>", "<|user|>\n再见</s><|assistant|>\n"),
+    "ziya": ("Be.<human>:What is new\n<bot>:", "Not a lot\n", "<human>:再见\n<bot>:"),
 }
 
 
