@@ -37,9 +37,9 @@ from pyspark.sql import functions as F
 from siftwell.llm.common import bounded_batches, materialise
 
 
-#: (groups, share of the capacity up to which a length is small), from coarse to fine.  At one half
-#: a configuration is one large piece; the small ones then fill it up.
-TRIALS = tuple((groups, small) for small in (0.25, 0.4, 0.45, 0.48, 0.5) for groups in (32, 64))
+#: (groups, share of the capacity up to which a length is small), from coarse to fine: configurations hold two
+#: to three large pieces, and the small ones fill them up.
+TRIALS = ((64, 0.25), (256, 0.34), (256, 0.4))
 
 
 def best_pattern(value: np.ndarray, sizes: np.ndarray, capacity: int) -> np.ndarray:
