@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.functions.text import json_candidate, normalize_label, parse_labels
+from siftwell.operators.batch import with_position
 
 
 def tags_from_text(df: DataFrame, image: str, text: str) -> DataFrame:
@@ -33,8 +34,9 @@ def support_from_rows(rows: DataFrame, label: str, number: str) -> DataFrame:
 
 
 def class_table(tags: DataFrame) -> DataFrame:
-    """class_id from 1 by falling support, then label.  The vocabulary is one row per label, so one sorted pass over it is small."""
-    return support(tags).withColumn("class_id", F.row_number().over(Window.orderBy(F.desc("support"), "label")))
+    """class_id from 1 by falling support, then label, numbered by ranges so that no task sees the whole vocabulary."""
+    rows = with_position(support(tags), F.desc("support"), F.col("label"), name="class_id")
+    return rows.withColumn("class_id", (F.col("class_id") + 1).cast("int"))
 
 
 def apply_mapping(tags: DataFrame, mapping: DataFrame, images: DataFrame | None = None) -> DataFrame:

@@ -148,16 +148,6 @@ def segment_lengths(segments: str) -> Column:
     return F.when(F.size(own) == 0, F.array().cast("array<int>")).otherwise(F.zip_with(ends, F.slice(before, F.lit(1), F.size(ends)), lambda e, b: e - b))
 
 
-def unpadded(df: DataFrame, order: str, segments: str) -> DataFrame:
-    """One row for one micro-batch: flat indices of tokens that aren't padding in row-major order, cumulative segment lengths, and the longest.
-
-    token_places and cumulative_lengths give the same as rows, for batches of any size.
-    """
-    kept = token_places(df, order, segments).agg(F.array_sort(F.collect_list("index")).alias("indices"))
-    parts = cumulative_lengths(df, order, segments).agg(F.concat(F.array(F.lit(0).cast("long")), F.array_sort(F.collect_list("end"))).alias("cumulative"), F.max("length").alias("longest"))
-    return kept.crossJoin(F.broadcast(parts))  # one row each
-
-
 def token_places(df: DataFrame, order: str, segments: str) -> DataFrame:
     """index and place per token that isn't padding: its row-major index in the batch of rows, in order.
 

@@ -130,6 +130,17 @@ def load_datasets(spark: SparkSession, catalog: Mapping[str, Entry], names: Sequ
     return out
 
 
+def _named_rows(df: DataFrame, name: str) -> DataFrame:
+    """df with _row: the dataset's name, a digest of the row's content, and a number among rows of that content.
+
+    So a row keeps its name on any file split; equal rows are counted map-side and numbered as they are laid out again.
+    """
+    whole = F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in df.columns))
+    counted = df.groupBy(F.md5(F.to_json(whole)).alias("_digest")).agg(F.first(whole).alias("_whole"), F.count(F.lit(1)).alias("_times"))
+    again = counted.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))))
+    return again.select("_whole.*", F.concat_ws("#", F.lit(name), "_digest", F.col("_time").cast("string")).alias("_row"))
+
+
 def merged_datasets(spark: SparkSession, catalog: Mapping[str, Entry], names: Sequence[str], base: str = "", ranking: bool = False, kind: str = "sft", seed: int = 42) -> DataFrame:
     """The named datasets in canonical form as one frame: _dataset names each row's, _row tells its rows apart.
 
@@ -139,7 +150,7 @@ def merged_datasets(spark: SparkSession, catalog: Mapping[str, Entry], names: Se
     out = None
     for name, df in load_datasets(spark, catalog, names, base, ranking).items():
         entry = catalog[name]
-        rows = df.withColumn("_row", F.concat_ws("#", F.lit(name), F.monotonically_increasing_id().cast("string")))
+        rows = _named_rows(df, name)
         rows = canonical(rows, entry, "_row", kind)
         rows = resample(rows, "_row", entry.num_samples, seed) if entry.num_samples else rows.withColumn("_draw", F.lit(0).cast("long"))
         rows = rows.withColumn("_dataset", F.lit(name))

@@ -57,8 +57,10 @@ def test_truncation_goldens(spark):
 def test_segments(spark):
     df = spark.createDataFrame([(0, [1, 1, 2, 2, 2, 0]), (1, [1, 2, 2, 3, 3, 3])], "i int, m array<int>")
     assert [r.n for r in df.orderBy("i").select(T.segment_lengths("m").alias("n")).collect()] == [[2, 3], [1, 2, 3]]
-    r = T.unpadded(df, "i", "m").first()
-    assert (r.indices, r.cumulative, r.longest) == ([0, 1, 2, 3, 4, 6, 7, 8, 9, 10, 11], [0, 2, 5, 6, 8, 11], 3)
+    places = T.token_places(df, "i", "m").orderBy("place").collect()
+    assert [r["index"] for r in places] == [0, 1, 2, 3, 4, 6, 7, 8, 9, 10, 11] and [r.place for r in places] == list(range(11))
+    ends = T.cumulative_lengths(df, "i", "m").orderBy("end").collect()
+    assert [r.end for r in ends] == [2, 5, 6, 8, 11] and max(r.length for r in ends) == 3
     mask = df.where("i = 0").select(T.block_causal_mask("m").alias("x")).first().x
     assert mask == [[1, 0, 0, 0, 0, 0], [1, 1, 0, 0, 0, 0], [0, 0, 1, 0, 0, 0], [0, 0, 1, 1, 0, 0], [0, 0, 1, 1, 1, 0], [0, 0, 0, 0, 0, 0]]
 
