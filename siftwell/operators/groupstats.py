@@ -174,24 +174,43 @@ def position_ids(mask: str) -> Column:
     return S.over(S.counted_places, "array<int>", mask)
 
 
-def smooth(df: DataFrame, key: str, order: str, value: str, block: int = 512) -> DataFrame:
+def _starts(blocks: DataFrame, most: int, size: int) -> DataFrame:
+    """_key, _block, _start: what the maps x to x * f + own of a series' blocks before each one come to.
+
+    blocks: _key, _block, f, own, at most ``most`` of a series.  More than ``size`` of them are put together to
+    blocks of blocks first, so that no row holds more than size.
+    """
+    whole = F.array_sort(F.collect_list(F.struct("_block", "f", "own"))).alias("b")
+    if most <= size:
+        held = blocks.groupBy("_key").agg(whole).withColumn("_from", F.lit(0.0))
+    else:
+        held = materialise(blocks.groupBy("_key", F.floor(F.col("_block") / size).alias("_of")).agg(whole), "blocks")
+        outer = held.select("_key", F.col("_of").alias("_block"), F.expr("aggregate(b, 1D, (a, x) -> a * x.f)").alias("f"), F.expr("aggregate(b, 0D, (a, x) -> a * x.f + x.own)").alias("own"))
+        before = _starts(outer, -(-most // size), size).select(F.col("_key").alias("_k"), F.col("_block").alias("_b"), F.col("_start").alias("_from"))
+        held = held.join(before, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_of") == F.col("_b"))).select("_key", "b", "_from")
+    # the start stands in front of the maps, as one that gives it whatever it gets
+    run = S.over(S.affine, "array<double>", F.concat(F.array(F.lit(0.0)), F.col("b.f")), F.concat(F.array("_from"), F.col("b.own")))
+    return held.withColumn("e", run).select("_key", F.inline(F.arrays_zip(F.col("b._block").alias("_block"), F.slice("e", F.lit(1), F.size("b")).alias("_start"))))
+
+
+def smooth(df: DataFrame, key: str, order: str, value: str, block: int = 512, fan: int = 512) -> DataFrame:
     """Exponential moving average per series; the weight follows from the series' length: 1.8 * (sigmoid(0.05 n) - 0.5).
 
-    A series is folded in blocks of consecutive rows: each block starts from what the blocks before
-    it come to, so no row of the plan holds a whole series.
+    A series is folded in blocks of consecutive rows, and its blocks in blocks of blocks: each starts from what
+    those before it come to, so no row of the plan holds more than ``block`` rows or ``fan`` blocks (two at least).
     """
     rows = with_position(df.select(key, order, value), key, order, value)
-    series = rows.groupBy(F.col(key).alias("_key")).agg(F.min("_pos").alias("_start"), F.count(F.lit(1)).alias("_n"))
-    rows = rows.join(series, F.col(key).eqNullSafe(F.col("_key"))).withColumn("_block", F.floor((F.col("_pos") - F.col("_start")) / block))
+    series = materialise(rows.groupBy(F.col(key).alias("_key")).agg(F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_n")), "series")
+    most = series.agg(F.max("_n")).first()[0] or 0
+    rows = rows.join(series, F.col(key).eqNullSafe(F.col("_key"))).withColumn("_block", F.floor((F.col("_pos") - F.col("_first")) / block))
     s = F.array_sort(F.collect_list(F.struct("_pos", F.col(order).alias("o"), F.col(value).cast("double").alias("v"))))
     rows = rows.groupBy("_key", "_block", "_n").agg(s.alias("s")).withColumn("w", F.expr("1.8D * (1D / (1D + exp(-0.05D * _n)) - 0.5D)"))
     rows = materialise(rows, "blocks")
     # a block takes x to x * w ** size + own; the first one starts from its first value
     own = F.expr("aggregate(s, if(_block = 0, s[0].v, 0D), (a, x) -> a * w + (1D - w) * x.v)")
-    ends = rows.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("_block", F.expr("if(_block = 0, 0D, pow(w, size(s)))").alias("f"), own.alias("own")))).alias("b"))
-    ends = ends.withColumn("e", S.over(S.affine, "array<double>", F.col("b.f"), F.col("b.own")))
-    ends = ends.select(F.col("_key").alias("_of"), F.posexplode("e").alias("_at", "_end"))
-    rows = rows.join(ends, F.col("_key").eqNullSafe(F.col("_of")) & (F.col("_block") == F.col("_at") + 1), "left")
+    maps = rows.select("_key", "_block", F.expr("if(_block = 0, 0D, pow(w, size(s)))").alias("f"), own.alias("own"))
+    starts = _starts(maps, -(-most // block), max(fan, 2)).select(F.col("_key").alias("_of"), F.col("_block").alias("_at"), F.when(F.col("_block") > 0, F.col("_start")).alias("_end"))
+    rows = rows.join(starts, F.col("_key").eqNullSafe(F.col("_of")) & (F.col("_block") == F.col("_at")))
     folded = S.over(S.moving_averages, "array<double>", F.col("s.v"), F.col("w"), F.col("_end"))
     return rows.withColumn("e", folded).select(F.col("_key").alias(key), F.explode(F.arrays_zip(F.col("s.o").alias(order), F.col("e").alias("smoothed"))).alias("z")).select(key, F.col(f"z.{order}"), "z.smoothed")
 

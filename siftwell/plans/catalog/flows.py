@@ -23,7 +23,7 @@ def events(spark, sf_dir):
     "loaded_datasets",
     PAIRS
     + """SELECT 'asked' AS dataset, q AS prompt, o AS response, 1 AS n FROM (SELECT q, o FROM p)
-UNION ALL SELECT 'chats', c.text, d.text, 1 FROM conversations c JOIN conversations d ON c.conv_id = d.conv_id WHERE c.turn = (SELECT min(turn) FROM conversations x WHERE x.conv_id = c.conv_id AND role = 'user') AND d.turn = c.turn + 1 AND d.role = 'assistant'""",
+UNION ALL SELECT 'chats', t[1].x, t[len(t)].x, CAST(len(t) - 1 AS INTEGER) FROM (SELECT list({'r': role, 'x': text} ORDER BY turn) AS t FROM conversations WHERE role <> 'system' GROUP BY conv_id) WHERE len(t) % 2 = 0 AND len([i FOR i IN range(1, len(t) + 1) IF t[i].r <> CASE WHEN i % 2 = 1 THEN 'user' ELSE 'assistant' END]) = 0""",
 )
 def _loaded(spark, sf_dir):
     """Two datasets of a catalog, written as JSON lines and Parquet, read by extension, brought to one form."""
@@ -31,11 +31,12 @@ def _loaded(spark, sf_dir):
     p = pairs(spark, sf_dir).select("instruction", "output")
     p.write.json(f"{base}/asked.jsonl")
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("role <> 'system'")
-    first = c.groupBy("conv_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), 1, 2).alias("s")).where("size(s) = 2 AND s[0].role = 'user' AND s[1].role = 'assistant'")
-    first.select(F.transform("s", lambda x: F.struct(F.when(x["role"] == "user", "human").otherwise("gpt").alias("from"), x["text"].alias("value"))).alias("conversations")).write.parquet(f"{base}/chats.parquet")
+    # whole conversations; those whose roles don't take turns are no example of this layout
+    whole = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("s")).where(F.array_join(F.col("s.role"), ",").rlike("^user,assistant(,user,assistant)*$"))
+    whole.select(F.transform("s", lambda x: F.struct(F.when(x["role"] == "user", "human").otherwise("gpt").alias("from"), x["text"].alias("value"))).alias("conversations")).write.parquet(f"{base}/chats.parquet")
     entries = K.load_catalog({"asked": {"file_name": "asked.jsonl"}, "chats": {"file_name": "chats.parquet", "formatting": "sharegpt"}})
     rows = K.merged_datasets(spark, entries, ["asked", "chats"], base)
-    return rows.select(F.col("_dataset").alias("dataset"), F.expr("_prompt[0].content").alias("prompt"), F.expr("_response[0].content").alias("response"), F.lit(1).alias("n"))
+    return rows.select(F.col("_dataset").alias("dataset"), F.expr("_prompt[0].content").alias("prompt"), F.expr("_response[0].content").alias("response"), F.size("_prompt").alias("n"))
 
 
 @query("sampled_datasets", "SELECT 'less' AS dataset, 10 AS n, 10 AS different UNION ALL SELECT 'more', 80, 25")
