@@ -199,7 +199,7 @@ def test_hits_match_plain_rule(spark, chunk_bytes):
 def test_long_texts_and_empty_tables(spark):
     item = "one two three four five six seven eight nine ten eleven"
     filler = "nothing of this kind is in the list, " * 40_000
-    rows = [(1, filler + item.upper().replace(" ", " , ") + filler), (2, filler)]
+    rows = [(1, filler + item.upper().replace(" ", " , ") + " " + filler), (2, filler)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     bench = spark.createDataFrame([(5, item)], "item_id long, text string")
     got = {r.doc_id: (r.n_words, [tuple(s) for s in r.spans], list(r["items"])) for r in D.find_benchmark(docs, bench).collect()}
