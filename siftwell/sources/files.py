@@ -9,6 +9,7 @@ Nothing is opened by a local path.
 from __future__ import annotations
 
 import bisect
+import uuid
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -127,7 +128,10 @@ def read_ply(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
 
 
 def write_ply(points: DataFrame, path: str) -> None:
-    """ASCII PLY files points-*.ply, one a partition that holds points; what stood under the path goes."""
+    """ASCII PLY files points-*.ply, one a partition that holds points; what stood under the path goes.
+
+    The files are written and named in a folder beside it, which takes the path's name when all are there.
+    """
     spark, names = points.sparkSession, points.columns
     rows = materialise(points.withColumn("_part", F.spark_partition_id()), "points")
     counts = {r["_part"]: r["n"] for r in rows.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a partition
@@ -153,9 +157,15 @@ def write_ply(points: DataFrame, path: str) -> None:
                 at, first = at + last - first, last
 
     made = rows.repartitionByRange(max(len(counts), 1), "_part").sortWithinPartitions("_part").mapInArrow(lines, "part int, at long, value string")
-    made.sortWithinPartitions("part", "at").select("part", "value").write.mode("overwrite").partitionBy("part").text(path)
+    draft = f"{path.rstrip('/')}.draft-{uuid.uuid4().hex}"
+    made.sortWithinPartitions("part", "at").select("part", "value").write.partitionBy("part").text(draft)
     discard(rows)
-    _name_files(spark, path)
+    _name_files(spark, draft)
+    there, new = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p) for p in (path, draft))
+    fs = there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(there, True)
+    if not fs.rename(new, there):
+        raise OSError(f"{draft} is complete but could not take the name {path}")
 
 
 def _name_files(spark: SparkSession, path: str) -> None:

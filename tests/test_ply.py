@@ -46,3 +46,17 @@ def test_headers():
     for bad in (["plx"], [], ["ply", "format binary_little_endian 1.0", "end_header"], ["ply", "element vertex 1"]):
         with pytest.raises(ValueError):
             ply_header(bad)
+
+
+def test_written_files_replace_the_folder_at_once(spark, tmp_path):
+    from siftwell.sources.files import write_ply
+
+    path = tmp_path / "points"
+    for n in (300, 20):
+        points = spark.range(n).selectExpr("cast(id as double) as x", "-id * 0.5D as y", "cast(id % 7 as int) as class_id").repartition(4)
+        write_ply(points, str(path))
+        got = sorted((r.x, r.y, r.class_id) for r in read_ply(spark, [str(path)]).collect())
+        assert got == [(float(i), -i * 0.5, float(i % 7)) for i in range(n)]
+    assert [p.name for p in tmp_path.iterdir() if p.name != "points"] == []
+    write_ply(spark.createDataFrame([], "x double, y double"), str(path))
+    assert not list(path.glob("*.ply"))

@@ -3,7 +3,6 @@
 from collections import defaultdict
 
 import pytest
-from pyspark.sql import functions as F
 
 from siftwell.streaming import intake as I
 from siftwell.streaming import stateful as S
