@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from siftwell.functions.chat_formats import TEMPLATES, Template
 
-__all__ = ["TEMPLATES", "Template", "end_of", "prompt_and_response", "register_template", "render", "resolve", "stop_words", "turn_pairs", "with_thoughts"]
+__all__ = ["TEMPLATES", "Template", "end_of", "jinja_text", "prompt_and_response", "register_template", "render", "resolve", "stop_words", "turn_pairs", "with_thoughts"]
 
 
 def register_template(name: str, template: Template) -> None:
@@ -118,3 +118,32 @@ def turn_pairs(turns: str, messages: str | None = None, template: Template | Non
 def stop_words(template: Template, end_token: str) -> list[str]:
     """The end token and the template's stop words, each once."""
     return list(dict.fromkeys([end_of(template, end_token), *template.stop_words]))
+
+
+def jinja_text(template: Template, end_token: str = "", begin_token: str = "<s>") -> str:
+    """The template as a Jinja text over ``messages``, for tokenizers that bring none.
+
+    It writes system, user and assistant turns as ``render`` does; calls, observations and thoughts are left to the caller.
+    """
+    quoted = lambda text: "'" + text.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
+    values = {"bos": quoted(begin_token), "eos": quoted(end_of(template, end_token)), "idx": "(loop.index0 // 2)"}
+
+    def shown(slot: str, content: str = "''") -> str:
+        parts = re.split(r"\{\{(\w+)\}\}", slot)
+        items = [(values | {"content": content})[p] if i % 2 else quoted(p) for i, p in enumerate(parts) if p]
+        return "{{ " + " ~ ".join(items) + " }}" if items else ""
+
+    asked = "((opening if loop.first else '') ~ turn.content)" if template.system_in_first_user else "turn.content"
+    system = shown(template.system, "system")
+    opening = "{% set opening %}{% if system %}" + system + "{% endif %}{% endset %}" if template.system_in_first_user else "{% if system %}" + system + "{% endif %}"
+    return "".join(
+        (
+            "{% set given = messages[0].role == 'system' %}",
+            "{% set system = messages[0].content if given and messages[0].content else " + quoted(template.default_system) + " %}",
+            shown(template.prefix),
+            opening,
+            "{% for turn in (messages[1:] if given else messages) %}",
+            "{% if turn.role == 'user' %}" + shown(template.user, asked) + "{% elif turn.role == 'assistant' %}" + shown(template.reply, "turn.content") + "{% endif %}",
+            "{% endfor %}",
+        )
+    )

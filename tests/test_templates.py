@@ -79,3 +79,20 @@ def test_every_template_has_its_parts():
         assert "{{content}}" in t.user and "{{content}}" in t.reply and "{{content}}" in t.system and "{{content}}" in t.call, name
         assert not t.replace_eos or t.stop_words, name
     assert M.stop_words(M.resolve("qwen"), "<|endoftext|>") == ["<|im_end|>"] and M.stop_words(M.resolve("aquila"), "e") == ["e", "</s>"]
+
+
+def test_jinja_texts():
+    """By hand: two templates, one whose system text stands inside the first turn and one that numbers its rounds."""
+    head = "{% set given = messages[0].role == 'system' %}{% set system = messages[0].content if given and messages[0].content else '' %}"
+    loop = "{% for turn in (messages[1:] if given else messages) %}{% if turn.role == 'user' %}"
+    assert M.jinja_text(M.TEMPLATES["llama2"], "</s>") == (
+        head + r"{% set opening %}{% if system %}{{ '<<SYS>>\n' ~ system ~ '\n<</SYS>>\n\n' }}{% endif %}{% endset %}" + loop
+        + "{{ '<s>' ~ '[INST] ' ~ ((opening if loop.first else '') ~ turn.content) ~ ' [/INST]' }}{% elif turn.role == 'assistant' %}{{ turn.content ~ '</s>' }}{% endif %}{% endfor %}"
+    )
+    assert M.jinja_text(M.TEMPLATES["chatglm2"]) == (
+        head + "{{ '[gMASK]sop' }}{% if system %}{{ system }}{% endif %}" + loop
+        + r"{{ '[Round ' ~ (loop.index0 // 2) ~ ']\n\n问：' ~ turn.content ~ '\n\n答：' }}{% elif turn.role == 'assistant' %}{{ turn.content }}{% endif %}{% endfor %}"
+    )
+    odd = M.Template(user="it's \\ {{content}}")
+    assert r"{{ 'it\'s \\ ' ~ turn.content }}" in M.jinja_text(odd)
+    assert all(M.jinja_text(t, "</s>").count("{%") == M.jinja_text(t, "</s>").count("%}") for t in M.TEMPLATES.values())
