@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siftwell.sources.scratch import discard, materialise, remove, scratch, shared_dir
 
-__all__ = ["bounded_batches", "carried", "discard", "materialise", "remove", "restored", "scratch", "shared_dir", "shuffle_partitions", "table"]
+__all__ = ["bounded_batches", "carried", "discard", "materialise", "remove", "restored", "scratch", "shared_dir", "shuffled", "shuffle_partitions", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -19,6 +19,15 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df as a side of joins that are never broadcast.
+
+    Spark estimates a table by its compressed file and an exploded one by what it was before, so tables that grow with the
+    input would pass for small ones and fill the driver.
+    """
+    return df.hint("merge")
+
+
 def bounded_batches(spark: SparkSession, size: str = "16m") -> None:
     """Arrow batches of at most this size, unless the session has its own bound: long texts then can't fill a worker."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"

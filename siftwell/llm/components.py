@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import discard, materialise
+from siftwell.llm.common import discard, materialise, shuffled
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -18,15 +18,15 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.where("m < u").select("u", F.col("m").alias("v"))).distinct()
+        large = both.join(shuffled(least), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.where("m < u").select("u", F.col("m").alias("v"))).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+        small = large.join(shuffled(low), "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         old, e = e, materialise(small, "edges")
         discard(old)
         # done when every component is a star around its smallest node: one edge a node, and no
         # root is a node of another edge
         count = e.agg(F.count(F.lit(1)).alias("edges"), F.count_distinct("u").alias("nodes")).first()
-        if count["edges"] == count["nodes"] and e.select(F.col("v").alias("u")).join(e.select("u"), "u", "left_semi").isEmpty():
+        if count["edges"] == count["nodes"] and e.select(F.col("v").alias("u")).join(shuffled(e.select("u")), "u", "left_semi").isEmpty():
             break
     else:
         raise RuntimeError("components did not settle")

@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import bounded_batches, carried, discard, materialise, restored
+from siftwell.llm.common import bounded_batches, carried, discard, materialise, restored, shuffled
 from siftwell.llm.components import connected_components
 from siftwell.llm.rolling import Batch, avalanche, cuts, span_hashes
 from siftwell.operators.batch import with_position
@@ -159,6 +159,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFr
                 linked.append(share[1] * both >= share[0] * (len(p) + len(q) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
+    sets = shuffled(sets)
     joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("items_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("items").alias("items_b")), "b")
     return joined.select("a", "b", "items_a", "items_b").mapInArrow(run, "a long, b long, linked boolean")
 
@@ -214,8 +215,8 @@ def near_duplicates(docs: DataFrame, share: tuple[int, int] = (80, 100), width:
     centre = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct((-F.col("size")).alias("s"), "node")).alias("c"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("mark")).where("n > 1")
     # buckets with the same members say the same: one of them stays
     centre = centre.groupBy("n", "mark").agg(F.min("bucket").alias("bucket"), F.first("c").alias("c")).select("bucket", F.col("c.node").alias("centre"))
-    member = materialise(member.select("bucket", "node").join(centre, "bucket").distinct(), "buckets")
-    node = classes.select("node", "n_shingles", *(f"s{i}" for i in range(SAMPLE_WORDS)), *(f"f{i}" for i in range(SET_WORDS)))
+    member = materialise(member.select("bucket", "node").join(shuffled(centre), "bucket").distinct(), "buckets")
+    node = shuffled(classes).select("node", "n_shingles", *(f"s{i}" for i in range(SAMPLE_WORDS)), *(f"f{i}" for i in range(SET_WORDS)))
     x, y = node.alias("x"), node.alias("y")
     star = member.where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
     star = star.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).where(possible(share)).select("a", "b").distinct()
@@ -225,18 +226,19 @@ def near_duplicates(docs: DataFrame, share: tuple[int, int] = (80, 100), width:
 
     def across(roots: DataFrame) -> DataFrame:
         """Pairs of one bucket but different components that the bitmaps leave open."""
-        m = member.select("bucket", "node").join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+        m = member.select("bucket", "node").join(shuffled(roots), "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
         mixed = m.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
         salt = F.pmod(F.xxhash64(F.lit("salt"), "node"), F.lit(SALTS)).cast("int")
         salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-        m = m.withColumn("salt", salt).join(mixed.select("*", salts), ["bucket", "salt"])
+        m = m.withColumn("salt", salt).join(shuffled(mixed.select("*", salts)), ["bucket", "salt"])
         m = materialise(m.join(node, "node").withColumn("level", F.floor(F.log("n_shingles") / F.lit(step)).cast("int")), "mixed")
         # linked sets lie in one size level or in neighbouring ones; a cell's rows meet in parts of CELL rows
         cells = m.groupBy("bucket", "level").agg(F.ceil(F.count(F.lit(1)) / F.lit(CELL)).cast("int").alias("parts")).select("*", salts)
+        cells = shuffled(cells)
         p = m.join(cells, ["bucket", "level", "salt"]).withColumn("part", F.pmod(F.xxhash64(F.lit("cell"), "node"), F.col("parts")).cast("int")).drop("parts")
         q = m.withColumn("own", F.col("level")).withColumn("level", F.explode(F.array(F.col("own") - 1, F.col("own"), F.col("own") + 1)))
         q = q.join(cells, ["bucket", "level", "salt"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-        p, q = p.alias("x"), q.alias("y")
+        p, q = p.alias("x"), shuffled(q).alias("y")
         on = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.level") == F.col("y.level")) & (F.col("x.part") == F.col("y.part"))
         on = on & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & possible(share)
         return p.join(q, on).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
@@ -245,14 +247,14 @@ def near_duplicates(docs: DataFrame, share: tuple[int, int] = (80, 100), width:
     roots = connected_components(linked)
     # All open pairs across these components are confirmed at once.  New links only merge
     # components, so no pair can come up that was not among them.
-    more = materialise(across(roots).join(star.select("a", "b"), ["a", "b"], "left_anti"), "open")
+    more = materialise(across(roots).join(shuffled(star.select("a", "b")), ["a", "b"], "left_anti"), "open")
     if not more.isEmpty():
         new = materialise(confirm(more, sets, share).where("linked").select("a", "b"), "links")
         if not new.isEmpty():
             roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(new))
     discard(member, star, sets)
-    named = classes.select("k1", "k2", F.col("node")).join(roots, "node", "left").select("k1", "k2", F.coalesce("root", "node").alias("root"))
-    out = sig.select("doc_id", "n_shingles", "k1", "k2").join(named, ["k1", "k2"], "left")
+    named = classes.select("k1", "k2", F.col("node")).join(shuffled(roots), "node", "left").select("k1", "k2", F.coalesce("root", "node").alias("root"))
+    out = sig.select("doc_id", "n_shingles", "k1", "k2").join(shuffled(named), ["k1", "k2"], "left")
     component = F.when(F.col("doc_id").isNull(), None).otherwise(F.when(F.col("n_shingles") > 0, F.col("root")).otherwise(F.col("doc_id")))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
@@ -267,6 +269,7 @@ def _numbered(docs: DataFrame) -> DataFrame:
     if repeated.isEmpty():
         return docs
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    repeated = shuffled(repeated)
     rows = docs.join(repeated, "_id", "left_semi").withColumn("_same", F.row_number().over(Window.partitionBy("_id", text).orderBy("text"))).where("_same = 1")
     rows = materialise(rows.withColumn("_row", F.row_number().over(Window.partitionBy("_id").orderBy(text))).drop("_same"), "rows")
     low, high = docs.agg(F.min("_id"), F.max("_id")).first()
@@ -287,5 +290,5 @@ def distinct_documents(docs: DataFrame, share: tuple[int, int] = (80, 100), widt
     given = carried(docs, "doc_id", "text")
     rows = _numbered(given.where("doc_id IS NOT NULL"))
     kept = near_duplicates(rows.select(F.col("_id").alias("doc_id"), "text"), share, width).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    out = rows.join(kept, "_id", "left_semi").select(*given.columns).unionByName(given.where("doc_id IS NULL"))
+    out = rows.join(shuffled(kept), "_id", "left_semi").select(*given.columns).unionByName(given.where("doc_id IS NULL"))
     return restored(out, docs, "doc_id", "text")
