@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import materialise
+from siftwell.llm.common import materialise, shuffled
 
 RUN = "[A-Za-zÀ-ÿ]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -86,7 +86,7 @@ def _replaced(w: DataFrame) -> DataFrame:
     for i in reversed(range(BANDS)):
         first = F.when(band(F.col("a_mask"), i) == band(F.col("b_mask"), i), F.lit(i)).otherwise(first)
     same = (F.col("a_word") < F.col("b_word")) & (F.floor(F.col("slot") / 2) == first)
-    return _both_ways(a.join(b, _KEY).where(same & (F.levenshtein("a_word", "b_word", 1) == 1)))
+    return _both_ways(shuffled(a).join(shuffled(b), _KEY).where(same & (F.levenshtein("a_word", "b_word", 1) == 1)))
 
 
 def _inserted(w: DataFrame) -> DataFrame:
@@ -97,7 +97,7 @@ def _inserted(w: DataFrame) -> DataFrame:
     h = F.floor(F.length("a_word") / 2).cast("int")
     front = F.substring("a_word", F.lit(1), h) == F.substring("b_word", F.lit(1), h)
     once = (F.col("slot") % 2 == 0) | ~front
-    return _both_ways(a.join(b, _KEY).where(once & (F.levenshtein("a_word", "b_word", 1) == 1)))
+    return _both_ways(shuffled(a).join(shuffled(b), _KEY).where(once & (F.levenshtein("a_word", "b_word", 1) == 1)))
 
 
 def _both_ways(pairs: DataFrame) -> DataFrame:
@@ -113,17 +113,17 @@ def spelling_forms(docs: DataFrame, least_length: int = 6, least_count: int = 5,
     """
     words = materialise(word_counts(docs, least_length, least_count, drop_every), "words")
     best = near_pairs(words).groupBy(F.col("a").alias("of")).agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("n_b")).alias("less"), F.col("b").alias("form"))).alias("best"))
-    known = words.join(best, words.word == best.of, "left").select("word", "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), F.when(-F.col("best.less") >= ratio * F.col("n"), F.struct(F.col("best.form").alias("form"), (-F.col("best.less")).alias("form_n"))).alias("to"))
+    known = words.join(shuffled(best), words.word == best.of, "left").select("word", "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), F.when(-F.col("best.less") >= ratio * F.col("n"), F.struct(F.col("best.form").alias("form"), (-F.col("best.less")).alias("form_n"))).alias("to"))
     known = materialise(known.select("word", "n", "n_near", "to.form", "to.form_n"), "forms")
     roots = _roots(known.where("form IS NOT NULL").select("word", F.col("form").alias("root")))
-    return known.join(roots.withColumnRenamed("word", "of"), F.col("word") == F.col("of"), "left").select("word", "n", "n_near", "form", "form_n", F.coalesce("root", "word").alias("root"))
+    return known.join(shuffled(roots.withColumnRenamed("word", "of")), F.col("word") == F.col("of"), "left").select("word", "n", "n_near", "form", "form_n", F.coalesce("root", "word").alias("root"))
 
 
 def _roots(links: DataFrame) -> DataFrame:
     """Each word with the end of its chain, by doubling; counts grow along a chain, so there are no cycles."""
     for _ in range(DOUBLINGS):
         on = links.select(F.col("word").alias("of"), F.col("root").alias("further"))
-        step = materialise(links.join(on, F.col("root") == F.col("of"), "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), "roots")
+        step = materialise(links.join(shuffled(on), F.col("root") == F.col("of"), "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), "roots")
         links = step.select("word", "root")
         if step.where("moved").isEmpty():
             break
