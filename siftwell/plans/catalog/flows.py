@@ -128,10 +128,10 @@ def _points(spark, sf_dir):
     return K.read(spark, path, kind="ply").select("x", "y", "class_id")
 
 
-def _source(spark, sf_dir, rows) -> str:
+def _source(spark, sf_dir, rows, files: int = 4) -> str:
     """Rows as a folder that a stream reads file by file."""
     path = scratch(spark, "stream")
-    rows.repartition(4).write.parquet(path)
+    rows.repartition(files).write.parquet(path)
     return path
 
 
@@ -145,7 +145,8 @@ def _dead(spark, sf_dir):
             raise ValueError("three")
         return pd.DataFrame({"event_id": pdf["event_id"], "doubled": pdf["event_id"] * 2})
 
-    stream = I.read_stream(spark, _source(spark, sf_dir, e), e.schema)
+    # one task a file: their number follows the rows
+    stream = I.read_stream(spark, _source(spark, sf_dir, e, max(4, e.count() // 50_000)), e.schema)
     path, log = scratch(spark, "letters"), scratch(spark, "log")
     rows = I.with_dead_letters(stream, double, "event_id long, doubled long", "event_id")
     I.append_json(rows, path, log).awaitTermination()

@@ -106,3 +106,21 @@ def test_dead_letters(spark):
     assert sorted((r.id, r.n) for r in I.good_rows(made).collect()) == [(1, 1), (3, 3)]
     bad = I.bad_rows(made).collect()
     assert len(bad) == 1 and bad[0]._row == "x" and bad[0]._error.startswith("ValueError")
+
+
+def test_dead_letters_take_few_calls(spark):
+    """A few bad rows don't make a batch go row by row, and pieces of different types keep large integers."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def checked(p):
+        calls.add(1)
+        if (p["id"] % 1000 == 7).any():
+            raise ValueError("seven")
+        n = p["id"] + 2**60
+        return p.assign(n=n.astype(object).where(p["id"] != 3, None) if len(p) < 20 else n)[["id", "n"]]
+
+    made = I.with_dead_letters(spark.range(0, 4000, 1, 1), checked, "id long, n long", "id").collect()
+    good = {r.id: r.n for r in made if r._error is None}
+    assert good == {i: None if i == 3 else i + 2**60 for i in range(4000) if i % 1000 != 7}
+    assert sorted((r._row, r._error) for r in made if r._error is not None) == sorted((str(i), "ValueError: seven") for i in range(7, 4000, 1000))
+    assert calls.value < 120
