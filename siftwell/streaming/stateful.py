@@ -57,8 +57,9 @@ class _Groups(StatefulProcessor):
                     self.seen.updateValue((r,), (float(s),))
                     n += 1
         if not done and n >= self.size:
-            scores = [v[0] for v in self.seen.values()]
-            mean = sum(sorted(scores)) / n
+            scores = [v[0] for _, v in sorted(self.seen.iterator())]
+            # one addition after the other, by row id: as a plain average does, also where it meets a bound
+            mean = float(np.cumsum(scores)[-1]) / n
             self.seen.clear()
             done = True
             yield self._row(key, "kept" if self.low < mean < self.high else "dropped", scores)

@@ -1,6 +1,7 @@
 """Streams with state: each group once, state that ends, the same rows after a restart."""
 
 from collections import defaultdict
+from datetime import datetime
 
 import pytest
 
@@ -97,3 +98,15 @@ def test_shuffle_gives_each_row_once_and_the_same_after_a_restart(spark, tmp_pat
         assert ids != sorted(ids) and all(i % 2 == s for i in ids)
         # a row leaves after at least buffer later ones came in, but for the rest at the end
         assert all(ids.index(i) >= (i - s) / 2 - 16 for i in ids)
+
+
+def test_means_at_a_bound_are_plain_averages(spark, tmp_path):
+    """0.1, 0.2 and 0.3, added one after the other, pass 0.6: the average is over the bound, as SQL has it."""
+    import duckdb
+
+    folder, path, log = (str(tmp_path / n) for n in ("in", "out", "log"))
+    fetch(spark, folder, [("a", i, i / 10, datetime(2024, 1, 1)) for i in (1, 2, 3)], GROUPS)
+    stream = I.read_stream(spark, folder, spark.read.parquet(folder).schema)
+    run(S.complete_groups(stream, "uid", "row", "score", "ts", 3, 0.2, 1.0, "1 hour", "0 minutes"), path, log)
+    ((mean, kept),) = duckdb.execute("SELECT avg(x), avg(x) > 0.2 FROM (SELECT unnest([0.1::DOUBLE, 0.2, i / 10]) AS x FROM range(3, 4) r(i))").fetchall()
+    assert kept and [r.status for r in spark.read.json(path).collect()] == ["kept"] and mean > 0.2
