@@ -124,3 +124,16 @@ def test_dead_letters_take_few_calls(spark):
     assert good == {i: None if i == 3 else i + 2**60 for i in range(4000) if i % 1000 != 7}
     assert sorted((r._row, r._error) for r in made if r._error is not None) == sorted((str(i), "ValueError: seven") for i in range(7, 4000, 1000))
     assert calls.value < 120
+
+
+def test_equal_texts_are_made_once_a_batch(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def made(x):
+        calls.add(1)
+        return None if x == "t1" else x.upper()
+
+    df = spark.range(0, 3000, 1, 1).selectExpr("id", "if(id % 4 = 3, null, 't' || id % 4) AS t")
+    got = {r.id: (r.t, r.u) for r in K._with_made(df, "t", "u", "string", pa.string(), made).collect()}
+    assert got == {i: (None, None) if i % 4 == 3 else (f"t{i % 4}", None if i % 4 == 1 else f"T{i % 4}") for i in range(3000)}
+    assert calls.value == 3
