@@ -8,6 +8,7 @@ from siftwell.operators import metrics as M
 from siftwell.operators import overlap as O
 from siftwell.operators import scoring as S
 from siftwell.plans.registry import query
+from siftwell.sources.scratch import spread
 
 
 #: The kinds of the queries below that hold no mathematical answers.
@@ -61,7 +62,7 @@ def replies(spark, sf_dir):
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     a = c.where("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("candidate"))
     u = c.where("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("reference"))
-    return u.join(a, ["conv_id", "turn"])
+    return spread(u.join(a, ["conv_id", "turn"]))
 
 
 @query("overlap_scores")
@@ -89,7 +90,7 @@ SELECT word, n FROM held ORDER BY n DESC, encode(word) LIMIT 200000""",
 )
 def _lexicon(spark, sf_dir):
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    return O.count_lexicon(c.select(han(F.col("text")).alias("t")), "t")
+    return O.count_lexicon(spread(c.select("text")).select(han(F.col("text")).alias("t")), "t")
 
 
 @query("segmented_overlap_scores")
@@ -192,7 +193,7 @@ def _tasks(spark, sf_dir):
     line, box = '[{"point_2d": [100, 5], "depth": 1.0}, {"point_2d": [200, 9], "depth": 1.0}]', '[{"bbox_2d": [0, 0, 10, 10]}]'
     tasks = {"trace": (track, line), "trace_3d": (track, line), "spatial grounding": (F.format_string('[{"bbox_2d": [%d, 0, %d, 10]}]', k, 10 + k), box), "point": (F.format_string('[{"point_2d": [1, 1]}, {"point_2d": [%d, 2]}]', k * 2), box)}
     rows = F.array(*(F.struct(F.lit(name).alias("kind"), F.concat(F.lit("<answer>"), a, F.lit("</answer>")).alias("response"), F.lit(t).alias("truth")) for name, (a, t) in tasks.items()))
-    p = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.inline(rows))
+    p = spread(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size")).select("p_partkey", F.inline(rows))
     return S.score_rows(p, "response", "truth", "kind", relaxed=True, out="s", kinds=KINDS).select("p_partkey", "kind", r6(F.col("s.accuracy")).alias("accuracy"))
 
 
