@@ -32,8 +32,9 @@ from pyspark.sql import functions as F
 from siftwell.llm.common import bounded_batches, discard, materialise, shuffle_partitions
 from siftwell.llm.rolling import avalanche, cuts
 
-#: Text of one block (its lists stay well under half a megabyte), and of the blocks whose phrases one bucket takes.
-BLOCK_BYTES, BUCKET_BYTES = 2 << 20, 16 << 20
+#: Text of one block (its lists stay under some two megabytes), and of the blocks whose phrases one bucket takes.  A block
+#: sends each distinct phrase once, so the larger it is, the less is sent and written for a text.
+BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 16 << 20
 STATE, ENTRY, ANSWER, FREQUENT = 0, 1, 2, 3
 _FIELDS = [("kind", pa.int32()), ("lang", pa.string()), ("block", pa.int64()), ("bucket", pa.int32()), ("payload", pa.binary()), ("id", pa.int64()), ("left", pa.int64()), ("word", pa.int64()), ("n", pa.int64()), ("text", pa.string())]
 _ROWS = "kind int, lang string, block long, bucket int, payload binary, id long, left long, word long, n long, text string"
@@ -90,13 +91,10 @@ def _first_level(docs: DataFrame, buckets: int, block_bytes: int) -> DataFrame:
 
         block = TaskContext.get().partitionId() << 32
         for whole in batches:
-            size = np.asarray(pc.fill_null(pc.binary_length(whole.column("text")), 0))
-            for low, high in cuts(size, block_bytes):
-                part = whole.slice(low, high - low)
-                langs = part.column("lang").to_pylist()
-                for lang in sorted(set(langs)):
-                    some = part.column("text").filter(pa.array([x == lang for x in langs]))
-                    code, words = _words_of(some.cast(pa.binary()).to_pylist())
+            for lang in sorted(pc.unique(whole.column("lang")).to_pylist()):
+                own_text = whole.column("text").filter(pc.equal(whole.column("lang"), lang))  # cut by language, so that rare ones fill blocks too
+                for low, high in cuts(np.asarray(pc.binary_length(own_text)), block_bytes):
+                    code, words = _words_of(own_text.slice(low, high - low).cast(pa.binary()).to_pylist())
                     count = np.bincount(code[code >= 0], minlength=len(words))
                     often = np.argsort(-count, kind="stable")  # frequent words get small numbers, which pack well
                     place = np.empty(len(words) + 1, np.int32)
@@ -129,7 +127,7 @@ def _sum_level(rows: DataFrame, least: int, level: int, last: bool, partitions:
         for (lang, bucket), held in _groups(batches):
             spans, at, parts = [], 0, []
             for block, payload in held:
-                parts.append(_unpack(payload, "<i4", "u1", "<i8") if level == 1 else _unpack(payload, "<i8", "<i8", "<i8"))
+                parts.append(_unpack(payload, "<i4", "u1", "<i8") if level == 1 else _unpack_entries(payload))
                 spans.append((block, at, at + len(parts[-1][2])))
                 at = spans[-1][2]
             count = np.concatenate([p[2] for p in parts])
@@ -199,19 +197,35 @@ def _extended(at: np.ndarray, phrase: np.ndarray, word: np.ndarray, level: int,
     return start, np.diff(np.r_[new, len(start)]), bucket[new], left[new], right[new]
 
 
+def _pack_entries(left: np.ndarray, right: np.ndarray, length: np.ndarray) -> bytes:
+    """A block's phrases of one bucket: their parts, the first as steps (they ascend), and how often each occurs."""
+    return _pack(np.diff(left, prepend=0).astype("<i8"), right.astype("<i8"), length.astype("<i8"))
+
+
+def _unpack_entries(payload: bytes) -> list[np.ndarray]:
+    step, right, length = _unpack(payload, "<i8", "<i8", "<i8")
+    return [np.cumsum(step), right, length]
+
+
 def _pack_lists(at: np.ndarray, phrase: np.ndarray, word: np.ndarray) -> bytes:
-    """Inverted lists: each phrase's number, last word and list length, and the steps from position to position."""
+    """Inverted lists: each phrase's number, last word (none if all are words) and list length, and the steps from position to position.
+
+    Numbers ascend and are kept as steps, too.
+    """
     order = np.lexsort((at, phrase))
     at, phrase, word = at[order], phrase[order], word[order]
     new = np.flatnonzero(np.diff(phrase, prepend=-1))
     step = np.diff(at, prepend=0)
     step[new] = at[new]
-    return _pack(phrase[new].astype("<i8"), word[new].astype("<i8"), np.diff(np.r_[new, len(at)]).astype("<i4"), step.astype("<i4"))
+    last = word[new] if (word != phrase).any() else word[:0]
+    return _pack(np.diff(phrase[new], prepend=0).astype("<i8"), last.astype("<i8"), np.diff(np.r_[new, len(at)]).astype("<i4"), step.astype("<i4"))
 
 
 def _unpack_lists(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Positions in order, with each one's phrase and its last word."""
     phrase, word, length, step = _unpack(payload, "<i8", "<i8", "<i4", "<i4")
+    phrase = np.cumsum(phrase)
+    word = word if len(word) else phrase
     at = np.cumsum(step, dtype=np.int64)
     if len(length):
         starts = np.cumsum(length) - length
@@ -246,7 +260,7 @@ def _next_level(addressed: DataFrame, level: int, buckets: int, last: bool) -> D
                 at, phrase, word = lists(payload, {x["bucket"]: _unpack(x["payload"], "<i4")[0] for x in got or []})
                 _, length, bucket, left, right = _extended(at, phrase, word, level, buckets)
                 rows = [] if last else [{"kind": STATE, "lang": lang, "block": block, "payload": _pack_lists(at, phrase, word)}]
-                rows += [{"kind": ENTRY, "lang": lang, "block": block, "bucket": b, "payload": _pack(left[i:j], right[i:j], length[i:j].astype("<i8"))} for b, i, j in _ranges(bucket)]
+                rows += [{"kind": ENTRY, "lang": lang, "block": block, "bucket": b, "payload": _pack_entries(left[i:j], right[i:j], length[i:j])} for b, i, j in _ranges(bucket)]
                 yield _batch(rows)
 
     return addressed.mapInArrow(run, _ROWS)

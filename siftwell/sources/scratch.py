@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's setting that a finished query's shuffle files go at once, not when the driver next collects garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session; without it a folder of this machine in local mode, else an error."""
@@ -27,10 +30,18 @@ def scratch(spark: SparkSession, what: str) -> str:
 
 
 def materialise(df: DataFrame, what: str) -> DataFrame:
-    """Write df and read it back: every reader sees one result, and lost executors cost no lineage."""
+    """Write df and read it back: every reader sees one result, and lost executors cost no lineage.
+
+    Nothing reads the shuffles of the write once the table stands, so their files go with its end.
+    """
     spark = df.sparkSession
     path = scratch(spark, what)
-    df.write.mode("errorifexists").option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.mode("errorifexists").option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
