@@ -1,8 +1,44 @@
 """What the corpus operators leave on disk while they run."""
 
+import random
+import time
+
 from pyspark.sql import functions as F
 
 from siftwell.llm import collocations as C
+from siftwell.llm.suffix_dedup import dedup_suffixes
+
+
+def shuffle_bytes(spark):
+    """Bytes of each shuffle file that this machine holds."""
+    import os
+
+    held = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+    return {f: os.path.getsize(f) for f in held.split("\n") if f.endswith(".data") and "/shuffle_" in f and os.path.exists(f)}
+
+
+def left_over(spark, before):
+    """Bytes of shuffle files that were not there before; Spark removes them a moment after a query's end."""
+    for _ in range(20):
+        left = sum(n for f, n in shuffle_bytes(spark).items() if f not in before)
+        if left < 50_000:
+            break
+        time.sleep(0.25)
+    return left
+
+
+def random_texts(n, size, seed):
+    rng = random.Random(seed)
+    return ["".join(rng.choice("abcdefghijklmnop ") for _ in range(size)) for _ in range(n)]
+
+
+def test_suffix_dedup_leaves_no_shuffles_of_its_rounds(spark):
+    texts = random_texts(300, 3000, 3)
+    df = spark.createDataFrame([(i, texts[i % 250]) for i in range(300)], "doc_id long, text string")
+    before = shuffle_bytes(spark)
+    done = dedup_suffixes(df, 100, home_bytes=50_000)
+    assert left_over(spark, before) < 50_000
+    assert done.where("n_removed = n_bytes").count() == 50
 
 
 def test_blocks_fill_with_one_language(spark):
