@@ -35,6 +35,9 @@ from siftwell.llm.rolling import avalanche, cuts
 #: Text of one block (its lists stay under some two megabytes), and of the blocks whose phrases one bucket takes.  A block
 #: sends each distinct phrase once, so the larger it is, the less is sent and written for a text.
 BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 16 << 20
+#: Blocks meet their answers in so many parts at most, one after the other, each of so many blocks' text at least: only one
+#: part's blocks lie on disk twice, in their table and in the join's shuffle.
+PARTS, PART_BLOCKS = 4, 32
 STATE, ENTRY, ANSWER, FREQUENT = 0, 1, 2, 3
 _FIELDS = [("kind", pa.int32()), ("lang", pa.string()), ("block", pa.int64()), ("bucket", pa.int32()), ("payload", pa.binary()), ("id", pa.int64()), ("left", pa.int64()), ("word", pa.int64()), ("n", pa.int64()), ("text", pa.string())]
 _ROWS = "kind int, lang string, block long, bucket int, payload binary, id long, left long, word long, n long, text string"
@@ -285,6 +288,7 @@ def frequent_phrases(docs: DataFrame, least: int, longest: int, block_bytes: int
     partitions = shuffle_partitions(spark)
     buckets = max(2 * partitions, -(-volume // bucket_bytes))
     partitions = buckets // 4 if buckets // 4 > partitions else None
+    parts = min(PARTS, max(1, volume // (PART_BLOCKS * block_bytes)))
     rows = materialise(_first_level(docs, buckets, block_bytes), "postings-1")
     totals = rows.where(F.col("kind") == STATE).groupBy("lang").agg(F.sum("n").alias("n"))
     totals = materialise(totals, "totals")
@@ -301,9 +305,13 @@ def frequent_phrases(docs: DataFrame, least: int, longest: int, block_bytes: int
         one = before.select("lang", F.col("text").alias("phrase"), F.lit(level).alias("size"), F.col("n").alias("f"))
         found = one if found is None else found.unionByName(one)
         if not last:
-            answers = sums.where(F.col("kind") == ANSWER).groupBy("block").agg(F.collect_list(F.struct("bucket", "payload")).alias("answers"))
-            addressed = rows.where(F.col("kind") == STATE).select("block", "lang", "payload").join(answers, "block", "left")
-            after = materialise(_next_level(addressed, level, buckets, level + 1 == longest), f"postings-{level + 1}")
+            after = None
+            for part in range(parts):
+                some = F.pmod(F.xxhash64("block"), F.lit(parts)) == part
+                answers = sums.where((F.col("kind") == ANSWER) & some).groupBy("block").agg(F.collect_list(F.struct("bucket", "payload")).alias("answers"))
+                addressed = rows.where((F.col("kind") == STATE) & some).select("block", "lang", "payload").join(answers, "block", "left")
+                made = materialise(_next_level(addressed, level, buckets, level + 1 == longest), f"postings-{level + 1}")
+                after = made if after is None else after.unionByName(made)
             discard(rows, sums)
             rows = after
     return materialise(found, "frequent"), totals

@@ -47,3 +47,16 @@ def test_blocks_fill_with_one_language(spark):
     blocks = C._first_level(df, 4, 4000).where(F.col("kind") == C.STATE).select("lang", "block", "n").collect()
     assert sorted((b.lang, b.n) for b in blocks) == [(f"l{i}", 800) for i in range(4)]
     assert len({b.block for b in blocks}) == 4
+
+
+def test_blocks_meet_their_answers_in_parts(spark, monkeypatch):
+    written = []
+    whole = C.materialise
+    monkeypatch.setattr(C, "materialise", lambda df, what: written.append(what) or whole(df, what))
+    rng = random.Random(5)
+    docs = [(" ".join(rng.choice("abcdef") for _ in range(40)), rng.choice(["en", "de", None])) for _ in range(120)]
+    df = spark.createDataFrame(docs, "text string, lang string")
+    got = {tuple(r) for r in C.frequent_phrases(df, 6, 4, block_bytes=70, bucket_bytes=2000)[0].collect()}
+    assert [written.count(f"postings-{level}") for level in (1, 2, 3, 4)] == [1, 4, 4, 4]
+    assert got == {tuple(r) for r in C.frequent_phrases(df, 6, 4)[0].collect()} and {r[2] for r in got} == {1, 2, 3, 4}
+    assert written.count("postings-2") == 5
